@@ -13,6 +13,10 @@ def op1_extendible_sharding(spark, sf_dir):
     return import_module("thalweg.llm.sharding").extendible_shards(_documents(spark, sf_dir))
 
 
+def op6_partenum_jaccard(spark, sf_dir):
+    return import_module("thalweg.llm.jaccard").jaccard_components(_documents(spark, sf_dir))
+
+
 def op8_curriculum_mix(spark, sf_dir):
     return import_module("thalweg.llm.mixing").mix_documents(_documents(spark, sf_dir))
 

@@ -17,6 +17,10 @@ def op6_partenum_jaccard(spark, sf_dir):
     return import_module("thalweg.llm.jaccard").jaccard_components(_documents(spark, sf_dir))
 
 
+def op7_cgk_decontamination(spark, sf_dir):
+    return import_module("thalweg.llm.decontaminate").find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_curriculum_mix(spark, sf_dir):
     return import_module("thalweg.llm.mixing").mix_documents(_documents(spark, sf_dir))
 

@@ -13,6 +13,9 @@ import pyarrow.compute as pc
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space and ASCII punctuation, for words without punctuation.
+PUNCTUATION = SPACE.copy()
+PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 PIECE = 1 << 20
@@ -67,8 +70,8 @@ def chunks(offsets: np.ndarray, budget: int = 4 << 20):
         lo = min(hi, n)
 
 
-def _edges(block: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inside = ~SPACE[block]
+def _edges(block: np.ndarray, breaks: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = ~space[block]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     first[breaks] = inside[breaks]
@@ -79,7 +82,7 @@ def _edges(block: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def words(data: np.ndarray, offsets: np.ndarray, spans: bool = False):
+def words(data: np.ndarray, offsets: np.ndarray, spans: bool = False, space: np.ndarray = SPACE):
     """Hashes of all words of the documents, and the number of words before each document (n + 1); with ``spans`` also the
     words' byte starts and ends, counted from offsets[0]."""
     base, stop = int(offsets[0]), int(offsets[-1])
@@ -88,7 +91,7 @@ def words(data: np.ndarray, offsets: np.ndarray, spans: bool = False):
     while lo < stop:
         hi = min(stop, lo + PIECE)
         while hi < stop:
-            gap = np.flatnonzero(SPACE[data[max(lo, hi - 65536) : hi]])
+            gap = np.flatnonzero(space[data[max(lo, hi - 65536) : hi]])
             if len(gap):
                 hi = max(lo, hi - 65536) + int(gap[-1]) + 1
                 break
@@ -99,7 +102,7 @@ def words(data: np.ndarray, offsets: np.ndarray, spans: bool = False):
             hi = min(stop, hi + PIECE)
         block = data[lo:hi]
         a, b = np.searchsorted(offsets, lo, side="left"), np.searchsorted(offsets, hi, side="left")
-        s, e = _edges(block, offsets[a:b] - lo)
+        s, e = _edges(block, offsets[a:b] - lo, space)
         up, down = _powers(len(block) + 1)
         total = np.zeros(len(block) + 1, U64)
         np.cumsum(_BYTE[block] * up[:-1], out=total[1:])

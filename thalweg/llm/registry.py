@@ -25,6 +25,10 @@ def op8_curriculum_mix(spark, sf_dir):
     return import_module("thalweg.llm.mixing").mix_documents(_documents(spark, sf_dir))
 
 
+def op9_bigru_toxicity(spark, sf_dir):
+    return import_module("thalweg.llm.toxicity").score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -11,10 +11,11 @@ two adjacent ones, and each set is signed for its own band and for the next.
 * Sets of 4 to 14 shingles use every shingle as a partition of its own: all subsets lacking up to (100 - percent) % of the
   members are enumerated.
 
-Both are complete: every similar pair shares a signature.  Sets sharing one are candidates and are verified by exact
-intersection.  Copies collapse to one set first, candidates are compared with the least and greatest set of their group,
-and other pairs of a group only where their sets are not in one component yet, so a group of near copies costs work in
-proportion to its size.
+Both are complete: every similar pair shares a signature.  Sets sharing one form a group.  Copies collapse to one set first.
+No pairs of a group are formed but those with its hub, the member that meets most others: they are compared exactly.  Two
+members that are not both linked to the hub are similar only if their differences from the hub overlap, so the members are
+grouped anew by single differences, and so on until no group is left.  Each round takes the hub out of a group, and what
+a family of near copies has in common drops out with it, so the work follows the size of the groups, not its square.
 """
 
 from __future__ import annotations
@@ -169,29 +170,34 @@ def _signer(percent: int, common):
             fresh = seen.fresh(ids)
             flat, bounds = _pick(flat, bounds, fresh)
             who, sig = signatures(flat, bounds, percent, cells)
-            yield pa.RecordBatch.from_arrays([_long(sig), _long(ids[fresh][who])], ["sig", "set_id"])
+            yield pa.RecordBatch.from_arrays([_long(sig), _long(ids[fresh][who])], ["key", "set_id"])
 
     return sign
 
 
 def _groups(batches):
-    """All rows of a partition; groups of two sets or more, with the least and greatest id of the group."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    """Rows of a partition whose key two sets or more have, of which one at least is ``small``."""
+    got = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)) for b in batches]
     if not got:
         return
-    sig, ids = (np.concatenate(x) for x in zip(*got))
+    key, ids, small = (np.concatenate(x) for x in zip(*got))
     del got
-    order = np.lexsort((ids, sig))
-    sig, ids = sig[order], ids[order]
-    fresh = np.r_[True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])] if len(sig) else np.zeros(0, bool)
-    sig, ids = sig[fresh], ids[fresh]
-    if not len(sig):
+    order = np.lexsort((ids, key))
+    key, ids, small = key[order], ids[order], small[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])] if len(key) else np.zeros(0, bool)
+    key, ids, small = key[fresh], ids[fresh], small[fresh]
+    if not len(key):
         return
-    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    size = np.diff(np.r_[start, len(sig)])
-    least, greatest = np.repeat(ids[start], size), np.repeat(ids[start + size - 1], size)
-    many = np.repeat(size > 1, size)
-    yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (sig, ids, least, greatest)], ["sig", "set_id", "least", "greatest"])
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    many = np.repeat((size > 1) & np.logical_or.reduceat(small, start), size)
+    yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(ids[many])], ["key", "set_id"])
+
+
+def _grouped(rows: DataFrame, n_rows: int) -> DataFrame:
+    """``rows(key, set_id, small)`` to the rows of groups, in partitions of a bounded size."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // _SIG_ROWS))
+    return materialize(rows.repartition(parts, "key").mapInArrow(_groups, "key long, set_id long"), "jaccard-groups")
 
 
 def _bit_places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -230,13 +236,43 @@ def _members(bloom):
     return read
 
 
-def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of set ids that are similar, by exact intersection."""
-    left = members.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
-    right = members.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
-    n, m = F.size("x"), F.size("y")
-    inter = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(inter * (100 + percent) >= (n + m) * percent).select("a", "b")
+def _hubs(groups: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``hub, x``: each member of a group with the hub of the group, the member that meets most others over all groups.
+    Groups whose members are in one component already are left out."""
+    if found is None:
+        whole = groups.groupBy("key").agg(F.count("*").alias("n"))
+    else:
+        known = groups.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
+        whole = known.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    rows = groups.join(whole.select("key", "n"), "key")
+    met = rows.groupBy("set_id").agg(F.sum("n").alias("met"))
+    rows = rows.join(met, "set_id")
+    hub = rows.groupBy("key").agg(F.max(F.struct("met", "set_id")).alias("top"))
+    return rows.join(hub, "key").select(F.col("top.set_id").alias("hub"), F.col("set_id").alias("x")).where("hub <> x").distinct()
+
+
+def _against_hubs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``hub, x, linked, size, plus, minus``: whether x is similar to its hub, by exact comparison, and where they differ."""
+    left = members.select(F.col("set_id").alias("hub"), F.col("members").alias("a"))
+    right = members.select(F.col("set_id").alias("x"), F.col("members").alias("b"))
+    both = pairs.join(left, "hub").join(right, "x").withColumns({"plus": F.array_except("b", "a"), "minus": F.array_except("a", "b")})
+    differ, n, m = F.size("plus") + F.size("minus"), F.size("a"), F.size("b")
+    return both.select("hub", "x", (differ * (100 + percent) <= (n + m) * (100 - percent)).alias("linked"), m.alias("size"), "plus", "minus")
+
+
+def _differences(tested: DataFrame, percent: int) -> DataFrame:
+    """Keys under which members of one hub must meet if they are similar and not both linked to the hub.
+
+    Write D(x) for the symmetric difference of x and the hub.  x and y differ in D(x) ^ D(y), so if they are similar and
+    one is not linked to the hub, D(x) and D(y) overlap.  Either they share an addition, or both have so few additions
+    that the sum is within the allowed difference, then one has at most half of that, and they share a loss."""
+    open_hubs = tested.where("not linked").select("hub").distinct()
+    most = f"((size + size * 100 div {percent}) * {100 - percent} div {100 + percent})"
+    rows = tested.join(open_hubs, "hub", "left_semi").withColumn("most", F.expr(most))
+    plus = rows.select("hub", F.col("x").alias("set_id"), F.explode("plus").alias("e"), F.lit(True).alias("small"))
+    few = rows.where(F.size("plus") <= F.col("most"))
+    minus = few.select("hub", F.col("x").alias("set_id"), F.explode("minus").alias("e"), (F.size("plus") * 2 <= F.col("most")).alias("small"))
+    return plus.select(F.xxhash64("hub", "e", F.lit(0)).alias("key"), "set_id", "small").unionByName(minus.select(F.xxhash64("hub", "e", F.lit(1)).alias("key"), "set_id", "small"))
 
 
 def document_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,28 +292,26 @@ def similar_sets(df: DataFrame, sets: DataFrame, text_col: str = "text", percent
     frequent = [r[0] for r in counts.orderBy(F.desc("count"), "shingle").limit(_MOST_FREQUENT).select("shingle").collect()]
     cells = np.unique((np.array(frequent, np.int64).view(U64) >> U64(44)).astype(np.int64))
     common = spark.sparkContext.broadcast(cells)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_shingles // (2 * _SIG_ROWS)))
-    signed = text.mapInArrow(_signer(percent, common), "sig long, set_id long")
-    groups = materialize(signed.repartition(parts, "sig").mapInArrow(_groups, "sig long, set_id long, least long, greatest long"), "jaccard-groups")
+    signed = text.mapInArrow(_signer(percent, common), "key long, set_id long").withColumn("small", F.lit(True))
+    groups = _grouped(signed, n_shingles // 2)
     ids = materialize(groups.select("set_id").distinct(), "jaccard-ids")
     n_ids = ids.count()
+    nothing = spark.createDataFrame([], "node long, component long")
     if not n_ids:
-        return spark.createDataFrame([], "node long, component long")
+        return nothing
     bloom = spark.sparkContext.broadcast(_bloom(ids, n_ids))
     members = materialize(text.mapInArrow(_members(bloom), "set_id long, members array<long>").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-members")
-    ends = groups.select(F.col("least").alias("a"), F.col("set_id").alias("b")).unionByName(groups.select(F.col("set_id").alias("a"), F.col("greatest").alias("b")))
-    first = materialize(ends.where("a < b").distinct(), "jaccard-pairs")
-    links = materialize(_verified(first, members, percent), "jaccard-links")
-    found = materialize(connected_components(links), "jaccard-components")
-    labelled = groups.select("sig", "set_id").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id")).drop("component")
-    open_groups = labelled.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    rest = materialize(labelled.join(open_groups, "sig", "left_semi"), "jaccard-open")
-    other = rest.select("sig", F.col("set_id").alias("b"), F.col("c").alias("d"))
-    pairs = rest.withColumnRenamed("set_id", "a").join(other, "sig").where("a < b and c <> d").select("a", "b").distinct()
-    more = materialize(_verified(pairs.join(first, ["a", "b"], "left_anti"), members, percent), "jaccard-links")
-    if more.isEmpty():
-        return found
-    return connected_components(links.unionByName(more))
+    found, links = None, None
+    while True:
+        tested = materialize(_against_hubs(_hubs(groups, found), members, percent), "jaccard-tested")
+        n_new, n_open, n_keys = tested.agg(F.count_if("linked"), F.count_if(~F.col("linked")), F.sum(F.size("plus") + F.size("minus"))).first()
+        if n_new:
+            new = tested.where("linked").select(F.col("hub").alias("a"), F.col("x").alias("b"))
+            links = new if links is None else links.unionByName(new)
+            found = materialize(connected_components(links), "jaccard-components")
+        if not n_open:
+            return nothing if found is None else found
+        groups = _grouped(_differences(tested, percent), n_keys)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -13,6 +13,14 @@ def op1_extendible_sharding(spark, sf_dir):
     return import_module("thalweg.llm.sharding").extendible_shards(_documents(spark, sf_dir))
 
 
+def op2_ppm_language(spark, sf_dir):
+    return import_module("thalweg.llm.langid").identify(_documents(spark, sf_dir))
+
+
+def op5_tiff_media(spark, sf_dir):
+    return import_module("thalweg.llm.media").text_media(_documents(spark, sf_dir))
+
+
 def op6_partenum_jaccard(spark, sf_dir):
     return import_module("thalweg.llm.jaccard").jaccard_components(_documents(spark, sf_dir))
 

@@ -21,35 +21,41 @@ from thalweg.llm import textkernel as tk
 
 #: A passage matches an item of n words within n * (100 - PERCENT) // 100 word edits.
 PERCENT = 80
-REPETITIONS, STEPS, SAMPLED = 5, 9, 5
+REPETITIONS, SAMPLED_STEPS = 5, (0, 2, 4, 6, 8)
+#: An item's window is used in a repetition if its walk sampled so many different words.
+DIFFERENT = 4
 #: Items handled in one pass over the documents, so that what is sent to the workers stays small.
 BLOCK_ITEMS, BLOCK_WORDS = 4096, 1_000_000
 U64 = np.uint64
 _CELL_BITS = 22
 
 
-def walks(repetitions: int = REPETITIONS, steps: int = STEPS, sampled: int = SAMPLED, seed: int = 7):
-    """Per repetition: which hash bit decides each step, and the sampled steps (step 0 always)."""
+def walks(repetitions: int = REPETITIONS, sampled=SAMPLED_STEPS, seed: int = 7):
+    """Per repetition: which hash bit decides each step, and the sampled steps."""
     rng = np.random.default_rng(seed)
-    return [(rng.permutation(64)[:steps], np.sort(np.r_[0, 1 + rng.permutation(steps - 1)[: sampled - 1]])) for _ in range(repetitions)]
+    return [(rng.permutation(64)[: sampled[-1] + 1], np.array(sampled)) for _ in range(repetitions)]
 
 
-def window_keys(hashes: np.ndarray, last: np.ndarray, walk) -> np.ndarray:
+def window_keys(hashes: np.ndarray, last: np.ndarray, walk, count: bool = False):
     """Keys of the windows that start at every word.  ``last``: for each word the index of the last word of its text, where
-    the walk stays."""
+    the walk stays.  With ``count`` also the number of different words sampled."""
     bits, sampled = walk
     at = np.arange(len(hashes))
     key = np.zeros(len(hashes), U64)
     chosen = set(sampled.tolist())
+    seen, different = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
     for step in range(int(sampled[-1]) + 1):
         symbol = hashes[at]
         if step in chosen:
             key = (key ^ symbol) * U64(0x9E3779B97F4A7C15)
             key ^= key >> U64(29)
+            if count:
+                different += at != seen
+                seen = at.copy()
         if step < sampled[-1]:
             at += ((symbol >> U64(bits[step])) & U64(1)).astype(np.int64)
             np.minimum(at, last, out=at)
-    return key
+    return (key, different) if count else key
 
 
 def _texts_words(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +74,10 @@ class Items:
         last = self.before[item + 1] - 1 if len(item) else np.zeros(0, np.int64)
         self.walks, self.tables = walks(), []
         for walk in self.walks:
-            keys = window_keys(self.hashes, last, walk)
-            order = np.argsort(keys, kind="stable")
+            keys, different = window_keys(self.hashes, last, walk, count=True)
+            # a walk that stood still, or reached the end, sampled too few words to tell anything
+            telling = np.flatnonzero(different >= np.minimum(DIFFERENT, size[item] - size[item] // 3))
+            order = telling[np.argsort(keys[telling], kind="stable")]
             self.tables.append((keys[order], item[order], anchor[order]))
 
     def cells(self):
@@ -81,14 +89,23 @@ class Items:
         return out
 
 
-def edit_distances(items, regions) -> tuple[np.ndarray, np.ndarray]:
+def edit_distances(items, regions, allowed=None) -> tuple[np.ndarray, np.ndarray]:
     """For each (item, region), arrays of word hashes: the least edit distance between the item and a passage of the
-    region, and where that passage ends."""
+    region, and where that passage ends.  With ``allowed``, distances above it may be reported as the item's length: an item
+    that has more words missing from the region than that is not aligned."""
     rows, width = max(map(len, items)), max(map(len, regions))
     n, m = np.array([len(x) for x in items]), np.array([len(x) for x in regions])
     a, b = np.zeros((len(items), rows), U64), np.zeros((len(items), width), U64)
     for k, (x, y) in enumerate(zip(items, regions)):
         a[k, : len(x)], b[k, : len(y)] = x, y
+    if allowed is not None:
+        found = ((a[:, :, None] == b[:, None, :]) & (np.arange(width) < m[:, None])[:, None, :]).any(axis=2)
+        missing = (~found & (np.arange(rows) < n[:, None])).sum(axis=1)
+        near = np.flatnonzero(missing <= allowed)
+        best, end = n.astype(np.int64), np.zeros(len(items), np.int64)
+        if len(near):
+            best[near], end[near] = edit_distances([items[k] for k in near], [regions[k] for k in near])
+        return best, end
     slope = np.arange(width + 1)
     d = np.zeros((len(items), width + 1), np.int64)
     best, end = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
@@ -134,7 +151,7 @@ def matches(hashes, before, items: Items, cells, percent: int = PERCENT):
             left = np.maximum(before[doc[part]], start[part] - allowed[part] - allowed[part] // 2 - 1)
             right = np.minimum(before[doc[part] + 1], start[part] + length[part] + allowed[part] + allowed[part] // 2 + 2)
             edits, end = edit_distances(
-                [items.hashes[items.before[i] : items.before[i + 1]] for i in item[part]], [hashes[x:y] for x, y in zip(left, right)]
+                [items.hashes[items.before[i] : items.before[i + 1]] for i in item[part]], [hashes[x:y] for x, y in zip(left, right)], allowed[part]
             )
             ok = edits <= allowed[part]
             out.append(np.stack([doc[part], item[part], edits, np.maximum(start[part], before[doc[part]]) - before[doc[part]], left + end - before[doc[part]]])[:, ok])

@@ -1,0 +1,71 @@
+import base64
+import hashlib
+import json
+import random
+import re
+
+from thalweg.llm import secrets as S
+
+
+def der(tag, body):
+    n = len(body)
+    size = bytes((n,)) if n < 128 else bytes((0x80 | (k := (n.bit_length() + 7) // 8),)) + n.to_bytes(k, "big")
+    return bytes((tag,)) + size + body
+
+
+NUMBERS = [der(2, bytes([k + 1] * 64)) for k in range(8)]
+RSA = der(0x30, der(2, b"\0") + b"".join(NUMBERS))
+PKCS8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, RSA))
+EC = der(0x30, der(2, b"\1") + der(4, bytes(range(32))))
+SSH = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-rsa", b"\1\0\1", bytes(range(1, 129))))
+FIELDS = b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b""))
+OPENSSH = b"openssh-key-v1\0" + FIELDS + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (SSH, bytes(64)))
+b64 = lambda b: base64.b64encode(b).decode()
+url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+JWT = ".".join((url(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()), url(b'{"sub": "1"}'), url(bytes(32))))
+
+
+def kinds(text):
+    return [x.split(":")[0] for x in S.scan(text)[4].split(",") if x]
+
+
+def test_structures():
+    assert S.is_der_key(RSA) and S.is_der_key(PKCS8) and S.is_der_key(EC) and S.is_ssh_key(SSH) and S.is_ssh_key(OPENSSH)
+    for good in (RSA, PKCS8, EC):
+        assert not S.is_der_key(good[:-1]) and not S.is_der_key(good + b"\0")
+    assert not S.is_ssh_key(SSH[:-1]) and not S.is_ssh_key(OPENSSH[:-1]) and not S.is_ssh_key(b"")
+    assert kinds("x " + b64(PKCS8) + " y") == ["der"] and "der" in kinds(RSA.hex().upper())
+    assert kinds(RSA.hex()) == ["hex", "der"] and kinds(bytes(range(200)).hex()) == ["hex"]
+    assert kinds("key " + b64(SSH)) == ["ssh"]
+    assert kinds("go " + JWT + ".") == ["jwt"]
+    assert kinds(JWT.replace("eyJ", "eyK")) == [] and kinds(b64(bytes(range(200)))) == [] and kinds("A" * 400) == []
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\n" + b64(RSA)[:64] + "\n" + b64(RSA)[64:] + "\n-----END RSA PRIVATE KEY-----") == ["pem"]
+    assert kinds("-----BEGIN OPENSSH PRIVATE KEY-----\n" + b64(OPENSSH) + "\n-----END OPENSSH PRIVATE KEY-----") == ["pem"]
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END RSA PRIVATE KEY-----") == []
+
+
+def plain(text):
+    found = []
+    for kind, pattern, flags in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), ("access", "AKIA[A-Z0-9]+", 0), ("hex", "[0-9a-f]+", 0)):
+        for m in re.finditer(pattern, text, flags):
+            if len(m[2] if kind == "assign" else m[0]) >= {"assign": 6, "access": 20, "hex": 24}[kind]:
+                found.append((m.start(), kind, m.end()))
+    order = ("assign", "access", "hex")
+    found.sort(key=lambda x: (x[0], order.index(x[1])))
+    text = ",".join(f"{k}:{s}:{e}" for s, k, e in found)
+    return [sum(k == x for _, x, _ in found) for k in order] + [hashlib.sha256(text.encode()).hexdigest()]
+
+
+def test_base_spans_against_plain_patterns(spark):
+    r = random.Random(2)
+    pool = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", '"', "'", " ", "=", ":", "abc", "deadbeef01", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "\n", "x/+", "😀", "ſecret", "toKen=abcdefg"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(0, 30))) for _ in range(2000)] + [None, "", "token=abcdef " * 20000]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(None, "token=abcdefg", 0)], "doc_id long, text string, spans int")
+    out = S.find_secrets(df).collect()
+    assert len(out) == len(texts) + 1
+    for row in out:
+        text = "token=abcdefg" if row.doc_id is None else texts[row.doc_id] or ""
+        assert [row.n_assign, row.n_access, row.n_hex, row.base_sha256] == plain(text)
+        base = [x for x in row.spans.split(",") if x and x.split(":")[0] in S.KINDS[:3]]
+        assert hashlib.sha256(",".join(base).encode()).hexdigest() == row.base_sha256
+    assert S.find_secrets(df.limit(0)).collect() == []

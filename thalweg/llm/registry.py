@@ -17,6 +17,16 @@ def op2_ppm_language(spark, sf_dir):
     return import_module("thalweg.llm.langid").identify(_documents(spark, sf_dir))
 
 
+def op3_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return import_module("thalweg.llm.tokencount").count_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_secret_scan(spark, sf_dir):
+    return import_module("thalweg.llm.secrets").find_secrets(_documents(spark, sf_dir))
+
+
 def op5_tiff_media(spark, sf_dir):
     return import_module("thalweg.llm.media").text_media(_documents(spark, sf_dir))
 

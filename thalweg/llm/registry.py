@@ -47,6 +47,10 @@ def op9_bigru_toxicity(spark, sf_dir):
     return import_module("thalweg.llm.toxicity").score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_chat_repair(spark, sf_dir):
+    return import_module("thalweg.llm.chat").repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -12,10 +12,9 @@ two adjacent ones, and each set is signed for its own band and for the next.
   members are enumerated.
 
 Both are complete: every similar pair shares a signature.  Sets sharing one form a group.  Copies collapse to one set first.
-No pairs of a group are formed but those with its hub, the member that meets most others: they are compared exactly.  Two
-members that are not both linked to the hub are similar only if their differences from the hub overlap, so the members are
-grouped anew by single differences, and so on until no group is left.  Each round takes the hub out of a group, and what
-a family of near copies has in common drops out with it, so the work follows the size of the groups, not its square.
+Each member is compared exactly with the hub of its group, the member that meets most others, and linked sets become one
+component.  Other pairs of a group are compared only if they are in different components and no exact bound rules them
+out: not their own shingles, which no other set has, and not the triangle inequality over the hub.
 """
 
 from __future__ import annotations
@@ -176,26 +175,26 @@ def _signer(percent: int, common):
 
 
 def _groups(batches):
-    """Rows of a partition whose key two sets or more have, of which one at least is ``small``."""
-    got = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)) for b in batches]
+    """Rows of a partition whose key two sets or more have."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if not got:
         return
-    key, ids, small = (np.concatenate(x) for x in zip(*got))
+    key, ids = (np.concatenate(x) for x in zip(*got))
     del got
     order = np.lexsort((ids, key))
-    key, ids, small = key[order], ids[order], small[order]
+    key, ids = key[order], ids[order]
     fresh = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])] if len(key) else np.zeros(0, bool)
-    key, ids, small = key[fresh], ids[fresh], small[fresh]
+    key, ids = key[fresh], ids[fresh]
     if not len(key):
         return
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
-    many = np.repeat((size > 1) & np.logical_or.reduceat(small, start), size)
+    many = np.repeat(size > 1, size)
     yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(ids[many])], ["key", "set_id"])
 
 
 def _grouped(rows: DataFrame, n_rows: int) -> DataFrame:
-    """``rows(key, set_id, small)`` to the rows of groups, in partitions of a bounded size."""
+    """``rows(key, set_id)`` to the rows of groups, in partitions of a bounded size."""
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // _SIG_ROWS))
     return materialize(rows.repartition(parts, "key").mapInArrow(_groups, "key long, set_id long"), "jaccard-groups")
 
@@ -236,43 +235,46 @@ def _members(bloom):
     return read
 
 
-def _hubs(groups: DataFrame, found: DataFrame | None) -> DataFrame:
-    """``hub, x``: each member of a group with the hub of the group, the member that meets most others over all groups.
-    Groups whose members are in one component already are left out."""
-    if found is None:
-        whole = groups.groupBy("key").agg(F.count("*").alias("n"))
-    else:
-        known = groups.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
-        whole = known.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    rows = groups.join(whole.select("key", "n"), "key")
-    met = rows.groupBy("set_id").agg(F.sum("n").alias("met"))
-    rows = rows.join(met, "set_id")
-    hub = rows.groupBy("key").agg(F.max(F.struct("met", "set_id")).alias("top"))
-    return rows.join(hub, "key").select(F.col("top.set_id").alias("hub"), F.col("set_id").alias("x")).where("hub <> x").distinct()
-
-
-def _against_hubs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """``hub, x, linked, size, plus, minus``: whether x is similar to its hub, by exact comparison, and where they differ."""
-    left = members.select(F.col("set_id").alias("hub"), F.col("members").alias("a"))
-    right = members.select(F.col("set_id").alias("x"), F.col("members").alias("b"))
-    both = pairs.join(left, "hub").join(right, "x").withColumns({"plus": F.array_except("b", "a"), "minus": F.array_except("a", "b")})
-    differ, n, m = F.size("plus") + F.size("minus"), F.size("a"), F.size("b")
-    return both.select("hub", "x", (differ * (100 + percent) <= (n + m) * (100 - percent)).alias("linked"), m.alias("size"), "plus", "minus")
-
-
-def _differences(tested: DataFrame, percent: int) -> DataFrame:
-    """Keys under which members of one hub must meet if they are similar and not both linked to the hub.
-
-    Write D(x) for the symmetric difference of x and the hub.  x and y differ in D(x) ^ D(y), so if they are similar and
-    one is not linked to the hub, D(x) and D(y) overlap.  Either they share an addition, or both have so few additions
-    that the sum is within the allowed difference, then one has at most half of that, and they share a loss."""
-    open_hubs = tested.where("not linked").select("hub").distinct()
-    most = f"((size + size * 100 div {percent}) * {100 - percent} div {100 + percent})"
-    rows = tested.join(open_hubs, "hub", "left_semi").withColumn("most", F.expr(most))
-    plus = rows.select("hub", F.col("x").alias("set_id"), F.explode("plus").alias("e"), F.lit(True).alias("small"))
-    few = rows.where(F.size("plus") <= F.col("most"))
-    minus = few.select("hub", F.col("x").alias("set_id"), F.explode("minus").alias("e"), (F.size("plus") * 2 <= F.col("most")).alias("small"))
-    return plus.select(F.xxhash64("hub", "e", F.lit(0)).alias("key"), "set_id", "small").unionByName(minus.select(F.xxhash64("hub", "e", F.lit(1)).alias("key"), "set_id", "small"))
+def _with_hub(groups: DataFrame) -> DataFrame:
+    """``key, hub, x``: the members of each group with its hub, the member that meets most others over all groups."""
+    size = groups.groupBy("key").agg(F.count("*").alias("n"))
+    met = groups.join(size, "key").groupBy("set_id").agg(F.sum("n").alias("met"))
+    top = groups.join(met, "set_id").groupBy("key").agg(F.max(F.struct("met", "set_id")).alias("top"))
+    return groups.join(top, "key").select("key", F.col("top.set_id").alias("hub"), F.col("set_id").alias("x"))
+
+
+def _compared(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``a, b, n, m, differ`` of pairs of set ids: sizes and exact symmetric difference."""
+    left = members.select(F.col("set_id").alias("a"), F.col("members").alias("p"))
+    right = members.select(F.col("set_id").alias("b"), F.col("members").alias("q"))
+    n, m = F.size("p"), F.size("q")
+    shared = F.size(F.array_intersect("p", "q"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", n.alias("n"), m.alias("m"), (n + m - 2 * shared).alias("differ"))
+
+
+def _slack(members: DataFrame, percent: int) -> DataFrame:
+    """``x, size, slack``: how far a set's own shingles, those no other member has, leave room for a similar set.  The own shingles of
+    both are in the symmetric difference of a pair, so two sets whose slacks sum to less than 0 can't be similar."""
+    each = members.select("set_id", F.explode("members").alias("e"))
+    own = each.groupBy("e").agg(F.count("*").alias("n"), F.min("set_id").alias("set_id")).where("n = 1").groupBy("set_id").agg(F.count("*").alias("own"))
+    size = F.size("members").cast("long")
+    return members.join(own, "set_id", "left").select(
+        F.col("set_id").alias("x"), size.alias("size"), (size * (100 - percent) - F.coalesce("own", F.lit(0)) * (100 + percent)).alias("slack")
+    )
+
+
+def _open_pairs(hubbed: DataFrame, tested: DataFrame, found: DataFrame, slack: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of a group that are in different components and that neither bound rules out: the slack, and the triangle
+    inequality over the hub, whose exact differences are known."""
+    labelled = hubbed.join(found.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    rows = labelled.join(mixed, "key", "left_semi").where("hub <> x").join(slack, "x")
+    rows = rows.join(tested.select(F.col("a").alias("hub"), F.col("b").alias("x"), "differ"), ["hub", "x"])
+    best = rows.groupBy("key").agg(F.max("slack").alias("best"))
+    rows = materialize(rows.join(best, "key").where("slack + best >= 0").select("key", "x", "c", "size", "slack", "differ"), "jaccard-open")
+    other = rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("x", "c", "size", "slack", "differ")])
+    near = f"abs(differ - differ_) * {100 + percent} <= (size + size_) * {100 - percent}"
+    return rows.join(other, "key").where(f"x < x_ and c <> c_ and slack + slack_ >= 0 and {near}").select(F.col("x").alias("a"), F.col("x_").alias("b")).distinct()
 
 
 def document_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,26 +294,22 @@ def similar_sets(df: DataFrame, sets: DataFrame, text_col: str = "text", percent
     frequent = [r[0] for r in counts.orderBy(F.desc("count"), "shingle").limit(_MOST_FREQUENT).select("shingle").collect()]
     cells = np.unique((np.array(frequent, np.int64).view(U64) >> U64(44)).astype(np.int64))
     common = spark.sparkContext.broadcast(cells)
-    signed = text.mapInArrow(_signer(percent, common), "key long, set_id long").withColumn("small", F.lit(True))
-    groups = _grouped(signed, n_shingles // 2)
+    groups = _grouped(text.mapInArrow(_signer(percent, common), "key long, set_id long"), n_shingles // 2)
     ids = materialize(groups.select("set_id").distinct(), "jaccard-ids")
     n_ids = ids.count()
-    nothing = spark.createDataFrame([], "node long, component long")
     if not n_ids:
-        return nothing
+        return spark.createDataFrame([], "node long, component long")
     bloom = spark.sparkContext.broadcast(_bloom(ids, n_ids))
     members = materialize(text.mapInArrow(_members(bloom), "set_id long, members array<long>").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-members")
-    found, links = None, None
-    while True:
-        tested = materialize(_against_hubs(_hubs(groups, found), members, percent), "jaccard-tested")
-        n_new, n_open, n_keys = tested.agg(F.count_if("linked"), F.count_if(~F.col("linked")), F.sum(F.size("plus") + F.size("minus"))).first()
-        if n_new:
-            new = tested.where("linked").select(F.col("hub").alias("a"), F.col("x").alias("b"))
-            links = new if links is None else links.unionByName(new)
-            found = materialize(connected_components(links), "jaccard-components")
-        if not n_open:
-            return nothing if found is None else found
-        groups = _grouped(_differences(tested, percent), n_keys)
+    similar = F.col("differ") * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+    hubbed = materialize(_with_hub(groups), "jaccard-hubs")
+    pairs = hubbed.where("hub <> x").select(F.col("hub").alias("a"), F.col("x").alias("b")).distinct()
+    tested = materialize(_compared(pairs, members), "jaccard-tested")
+    links = tested.where(similar).select("a", "b")
+    found = materialize(connected_components(links), "jaccard-components")
+    more = _compared(_open_pairs(hubbed, tested, found, _slack(members, percent), percent), members).where(similar).select("a", "b")
+    more = materialize(more, "jaccard-links")
+    return found if more.isEmpty() else connected_components(links.unionByName(more))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

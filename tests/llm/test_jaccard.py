@@ -113,6 +113,17 @@ def test_signatures_are_complete(seed):
         assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist()) or np.array_equal(a, b), (len(a), len(b), inter)
 
 
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 400, int(rng.integers(1, 300)), dtype=np.uint64)) for _ in range(40)]
+    bounds = np.r_[0, np.cumsum([len(s) for s in sets])]
+    marks = J.sketches(np.concatenate(sets), bounds)
+    for i in range(40):
+        for j in range(40):
+            apart = int(np.bitwise_count((marks[i] ^ marks[j]).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(sets[i], sets[j])) and (i != j or apart == 0)
+
+
 def test_words_match_plain_split():
     texts = ["", "a", " a  b\tc\n", "é x y", "  ", None, "x" * 100 + " y", "A a"]
     data, offsets = tk.utf8(pa.array(texts))

@@ -13,8 +13,8 @@ two adjacent ones, and each set is signed for its own band and for the next.
 
 Both are complete: every similar pair shares a signature.  Sets sharing one form a group.  Copies collapse to one set first.
 Each member is compared exactly with the hub of its group, the member that meets most others, and linked sets become one
-component.  Other pairs of a group are compared only if they are in different components and no exact bound rules them
-out: not their own shingles, which no other set has, and not the triangle inequality over the hub.
+component.  Other members of one hub are compared only if they are in different components and their parity sketches,
+which differ in at most as many bits as the sets in members, are near enough.
 """
 
 from __future__ import annotations
@@ -220,6 +220,22 @@ def _bloom(ids: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+SKETCH = 512
+
+
+def sketches(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """``SKETCH`` parity bits of each set, as rows of 64-bit words: bit b tells whether an odd number of members hash to b.  The sketches
+    of two sets differ in at most as many bits as the sets in members."""
+    out = np.zeros((len(bounds) - 1, SKETCH // 64), np.int64)
+    for lo in range(0, len(out), 2048):
+        hi = min(len(out), lo + 2048)
+        part = flat[bounds[lo] : bounds[hi]]
+        place = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1])) * SKETCH + (tk.mix(part ^ U64(0x6A09E667F3BCC909)) & U64(SKETCH - 1)).astype(np.int64)
+        odd = (np.bincount(place, minlength=(hi - lo) * SKETCH) & 1).astype(np.uint8).reshape(hi - lo, SKETCH)
+        out[lo:hi] = np.packbits(odd, axis=1).view(np.int64)
+    return out
+
+
 def _members(bloom):
     def read(batches):
         table, seen = bloom.value, _Seen()
@@ -230,17 +246,22 @@ def _members(bloom):
             hit = ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0) & (ids != 0)
             hit[hit] = seen.fresh(ids[hit])
             flat, bounds = _pick(flat, bounds, hit)
-            yield pa.RecordBatch.from_arrays([_long(ids[hit]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _long(flat))], ["set_id", "members"])
+            marks = sketches(flat, bounds)
+            cuts = np.arange(len(marks) + 1) * (SKETCH // 64)
+            yield pa.RecordBatch.from_arrays(
+                [_long(ids[hit]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _long(flat)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(marks.ravel()))],
+                ["set_id", "members", "sketch"],
+            )
 
     return read
 
 
-def _with_hub(groups: DataFrame) -> DataFrame:
-    """``key, hub, x``: the members of each group with its hub, the member that meets most others over all groups."""
+def _hub_pairs(groups: DataFrame) -> DataFrame:
+    """``a, b``: each member b of a group with the hub a of the group, the member that meets most others over all groups."""
     size = groups.groupBy("key").agg(F.count("*").alias("n"))
     met = groups.join(size, "key").groupBy("set_id").agg(F.sum("n").alias("met"))
     top = groups.join(met, "set_id").groupBy("key").agg(F.max(F.struct("met", "set_id")).alias("top"))
-    return groups.join(top, "key").select("key", F.col("top.set_id").alias("hub"), F.col("set_id").alias("x"))
+    return groups.join(top, "key").select(F.col("top.set_id").alias("a"), F.col("set_id").alias("b")).where("a <> b").distinct()
 
 
 def _compared(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -252,29 +273,19 @@ def _compared(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", n.alias("n"), m.alias("m"), (n + m - 2 * shared).alias("differ"))
 
 
-def _slack(members: DataFrame, percent: int) -> DataFrame:
-    """``x, size, slack``: how far a set's own shingles, those no other member has, leave room for a similar set.  The own shingles of
-    both are in the symmetric difference of a pair, so two sets whose slacks sum to less than 0 can't be similar."""
-    each = members.select("set_id", F.explode("members").alias("e"))
-    own = each.groupBy("e").agg(F.count("*").alias("n"), F.min("set_id").alias("set_id")).where("n = 1").groupBy("set_id").agg(F.count("*").alias("own"))
-    size = F.size("members").cast("long")
-    return members.join(own, "set_id", "left").select(
-        F.col("set_id").alias("x"), size.alias("size"), (size * (100 - percent) - F.coalesce("own", F.lit(0)) * (100 + percent)).alias("slack")
-    )
-
-
-def _open_pairs(hubbed: DataFrame, tested: DataFrame, found: DataFrame, slack: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of a group that are in different components and that neither bound rules out: the slack, and the triangle
-    inequality over the hub, whose exact differences are known."""
-    labelled = hubbed.join(found.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rows = labelled.join(mixed, "key", "left_semi").where("hub <> x").join(slack, "x")
-    rows = rows.join(tested.select(F.col("a").alias("hub"), F.col("b").alias("x"), "differ"), ["hub", "x"])
-    best = rows.groupBy("key").agg(F.max("slack").alias("best"))
-    rows = materialize(rows.join(best, "key").where("slack + best >= 0").select("key", "x", "c", "size", "slack", "differ"), "jaccard-open")
-    other = rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("x", "c", "size", "slack", "differ")])
-    near = f"abs(differ - differ_) * {100 + percent} <= (size + size_) * {100 - percent}"
-    return rows.join(other, "key").where(f"x < x_ and c <> c_ and slack + slack_ >= 0 and {near}").select(F.col("x").alias("a"), F.col("x_").alias("b")).distinct()
+def _open_pairs(tested: DataFrame, found: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of members of one hub that are in different components and whose sketches are near enough for similar sets.  Members
+    of a group have a hub in common, so no similar pair is missed.  The test is part of the join; what fails it is not made."""
+    rows = tested.select(F.col("a").alias("hub"), F.col("b").alias("x")).join(found.select(F.col("node").alias("x"), "component"), "x", "left")
+    rows = rows.select("hub", "x", F.coalesce("component", "x").alias("c"))
+    mixed = rows.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("hub")
+    words = [f"s{k}" for k in range(SKETCH // 64)]
+    marks = members.select(F.col("set_id").alias("x"), F.size("members").cast("long").alias("size"), *[F.col("sketch")[k].alias(w) for k, w in enumerate(words)])
+    rows = materialize(rows.join(mixed, "hub", "left_semi").join(marks, "x"), "jaccard-open")
+    other = rows.select("hub", *[F.col(c).alias(f"{c}_") for c in ("x", "c", "size", *words)])
+    apart = " + ".join(f"bit_count({w} ^ {w}_)" for w in words)
+    near = f"({apart}) * {100 + percent} <= (size + size_) * {100 - percent}"
+    return rows.join(other, "hub").where(f"x < x_ and c <> c_ and {near}").select(F.col("x").alias("a"), F.col("x_").alias("b")).distinct()
 
 
 def document_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,14 +311,12 @@ def similar_sets(df: DataFrame, sets: DataFrame, text_col: str = "text", percent
     if not n_ids:
         return spark.createDataFrame([], "node long, component long")
     bloom = spark.sparkContext.broadcast(_bloom(ids, n_ids))
-    members = materialize(text.mapInArrow(_members(bloom), "set_id long, members array<long>").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-members")
+    members = materialize(text.mapInArrow(_members(bloom), "set_id long, members array<long>, sketch array<long>").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-members")
     similar = F.col("differ") * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
-    hubbed = materialize(_with_hub(groups), "jaccard-hubs")
-    pairs = hubbed.where("hub <> x").select(F.col("hub").alias("a"), F.col("x").alias("b")).distinct()
-    tested = materialize(_compared(pairs, members), "jaccard-tested")
+    tested = materialize(_compared(_hub_pairs(groups), members), "jaccard-tested")
     links = tested.where(similar).select("a", "b")
     found = materialize(connected_components(links), "jaccard-components")
-    more = _compared(_open_pairs(hubbed, tested, found, _slack(members, percent), percent), members).where(similar).select("a", "b")
+    more = _compared(_open_pairs(tested, found, members, percent), members).where(similar).select("a", "b")
     more = materialize(more, "jaccard-links")
     return found if more.isEmpty() else connected_components(links.unionByName(more))
 

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
+from thalweg.plans.catalogue import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -31,17 +32,17 @@ def plain(df):
     return sorted(map(tuple, df.itertuples(index=False)))
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, sf_dir, sql, name):
-    got = entry_module.queries()[name](spark, sf_dir).toPandas()
-    want = sql.sql(entry_module.oracle_sql()[name]).df()
+    got = QUERIES[name](spark, sf_dir).toPandas()
+    want = sql.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
 
 
 @pytest.mark.parametrize("name", ["q21_chain_contract", "q26_schematic_layout", "q35_edit_log"])
 def test_runs(spark, sf_dir, name):
-    assert entry_module.queries()[name](spark, sf_dir).count() > 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):

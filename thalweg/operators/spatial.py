@@ -50,7 +50,8 @@ def coverage(lines: DataFrame, others: DataFrame, key: str, reach: float, cell:
     """``key, length, fraction``: the share of each line's length within ``reach`` of the other lines.  Both sides are segment tables.
     Lines of no length, and lines with nothing near, have fraction 0."""
     pairs = near_segments(lines, others, reach, cell, [key, "seg"], [key, "seg"])
-    spans = G.apply(pairs, G.capsule_interval(reach)).where("lo is not null")
+    # no filter on lo here: pushed down through the steps it would repeat all of them; an empty range covers nothing
+    spans = G.apply(pairs, G.capsule_interval(reach)).withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(0.0))})
     ahead = F.max("hi").over(Window.partitionBy(key, "seg").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("fresh", F.greatest(F.lit(0.0), F.col("hi") - F.greatest(F.col("lo"), F.coalesce(ahead, F.lit(0.0)))))
     covered = spans.groupBy(key).agg(F.sum(F.col("fresh") * F.sqrt("qa")).alias("covered"))

@@ -27,7 +27,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
 
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?)PRIVATE KEY-----([A-Za-z0-9+/=\s:,-]*?)-----END \1PRIVATE KEY-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 _HEX_KEY = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")

@@ -22,6 +22,8 @@ TRAIN_DOCS, TRAIN_CHARS = (1600, 800), 20_000
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 VOCABULARY, TRIGRAMS = 16_384, 4096
+#: With fewer spared documents of class 1 than this, all documents calibrate the scores.
+FEW = 30
 #: Passes over the sample: at least the first number, and more, up to the second, while there were fewer steps than ``STEPS``.
 EPOCHS, STEPS, BATCH, RATE = (4, 24), 400, 256, 0.01
 U64 = np.uint64
@@ -260,7 +262,8 @@ def train(texts, labels, share: float | None = None, epochs=EPOCHS, seed: int =
     best = np.full(len(labels), -np.inf)
     owner, start = window_starts(n_words)
     np.maximum.at(best, owner, net.window_logits(words, owner, start))
-    use = np.isfinite(best) & (spared if len(set(labels[spared & np.isfinite(best)].tolist())) == 2 else True)
+    told = np.isfinite(best)
+    use = told & spared if (labels[told & spared] == 1).sum() >= FEW and (labels[told & spared] == 0).any() else told
     y = labels[use]
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
     net.a, net.c = _calibrate(best[use], y, weight)

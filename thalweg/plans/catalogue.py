@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,16 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def network_query(name: str, sql: str):
+    """A query over the sample network of its SQL, and as ``name_whole`` the same over the network of all rows."""
+
+    def keep(f):
+        query(f"{name}_whole", V.whole_sql(sql))(partial(f, whole=True))
+        return query(name, sql)(f)
+
+    return keep
+
+
 def steps_sql(source: str, steps) -> str:
     """A table with named expressions added one after another, as nested SQL."""
     out = source
@@ -200,9 +212,9 @@ def q14(spark, d):
     return c.unionByName(s, allowMissingColumns=True).unionByName(p, allowMissingColumns=True)
 
 
-@query("q15_count_by_source", f"with {NET_SQL} select source, tag, count(*) as n, count(*) filter (where length_m > 20000) as n_long from net group by source, tag")
-def q15(spark, d):
-    return V.net(spark, d).groupBy("source", "tag").agg(F.count("*").alias("n"), F.count_if(F.col("length_m") > 20000).alias("n_long"))
+@network_query("q15_count_by_source", f"with {NET_SQL} select source, tag, count(*) as n, count(*) filter (where length_m > 20000) as n_long from net group by source, tag")
+def q15(spark, d, whole=False):
+    return V.net(spark, d, whole=whole).groupBy("source", "tag").agg(F.count("*").alias("n"), F.count_if(F.col("length_m") > 20000).alias("n_long"))
 
 
 @query("q16_noding_intersections", f"""with {SEGS_SQL}, p as (select s.line_id, s.seg, s.x1, s.y1, s.x2, s.y2, o.line_id as o_line_id, o.x1 as ox1, o.y1 as oy1, o.x2 as ox2, o.y2 as oy2 from segs s, segs o where (s.line_id, s.seg) <> (o.line_id, o.seg)),
@@ -241,39 +253,39 @@ def q18(spark, d):
     return nodes.select("node_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "members")
 
 
-@query("q19_graph_degree", f"with {NET_SQL}, e as (select u, case when discount = 0 then u else v end as v from net) select node_id, count(*) as degree from (select u as node_id from e union all select v from e) group by node_id")
-def q19(spark, d):
-    e = V.net(spark, d).withColumn("v", F.when(F.col("discount") == 0, F.col("u")).otherwise(F.col("v")))
+@network_query("q19_graph_degree", f"with {NET_SQL}, e as (select u, case when discount = 0 then u else v end as v from net) select node_id, count(*) as degree from (select u as node_id from e union all select v from e) group by node_id")
+def q19(spark, d, whole=False):
+    e = V.net(spark, d, whole=whole).withColumn("v", F.when(F.col("discount") == 0, F.col("u")).otherwise(F.col("v")))
     return N.degrees(e)
 
 
-@query("q20_parallel_dedup", """with par as (select l_partkey % 40 as u, 40 + l_suppkey % 10 as v, l_extendedprice as len, case when l_returnflag = 'R' then 'primary' else 'supplement' end as source,
+@network_query("q20_parallel_dedup", """with par as (select l_partkey % 40 as u, 40 + l_suppkey % 10 as v, l_extendedprice as len, case when l_returnflag = 'R' then 'primary' else 'supplement' end as source,
     row_number() over (order by l_orderkey, l_partkey, l_suppkey, l_extendedprice) - 1 as edge_id from lineitem where l_linenumber = 1 and l_quantity <= 5),
   p as (select *, max(source = 'primary') over (partition by u, v) as has from par),
   k as (select * from p where source = 'primary' or not has),
   g as (select u, v, list({'len': len, 'id': edge_id} order by len desc, edge_id) as l from k group by u, v),
   f as (select u, v, list_reduce(list_prepend([]::struct(len double, id bigint)[], list_transform(l, lambda x: [x])), lambda a, b: case when len(a) = 0 or a[-1].len - b[1].len > 5000 then list_concat(a, b) else a end) as kept from g)
 select u, v, unnest(kept).id as edge_id from f""")
-def q20(spark, d):
-    e = V.net(spark, d, "l_partkey % 40", "40 + l_suppkey % 10", 5)
+def q20(spark, d, whole=False):
+    e = V.net(spark, d, "l_partkey % 40", "40 + l_suppkey % 10", 5, whole=whole)
     return N.drop_parallel(e, 5000.0).select("u", "v", "edge_id")
 
 
 @query("q21_chain_contract")
 def q21(spark, d):
-    out = N.contract(V.net(spark, d).withColumn("source", F.lit("primary")).withColumn("tag", F.lit("river")))
+    out = N.contract(V.net(spark, d, whole=True).withColumn("source", F.lit("primary")).withColumn("tag", F.lit("river")))
     return out.select("edge_id", "u", "v", F.round("length_m", 2).alias("length_m"), "name", "n_edges")
 
 
-@query("q22_component_report", f"with recursive {NET_SQL}, {COMPONENTS_SQL} select comp as component, count(*) as size from cc group by comp order by size desc, component limit 10")
-def q22(spark, d):
-    return N.component_report(N.labelled_nodes(V.net(spark, d)))
+@network_query("q22_component_report", f"with recursive {NET_SQL}, {COMPONENTS_SQL} select comp as component, count(*) as size from cc group by comp order by size desc, component limit 10")
+def q22(spark, d, whole=False):
+    return N.component_report(N.labelled_nodes(V.net(spark, d, whole=whole)))
 
 
-@query("q23_trunk_filter", f"""with recursive {NET_SQL}, {COMPONENTS_SQL}, main as (select comp from cc group by comp order by count(*) desc, comp limit 1)
+@network_query("q23_trunk_filter", f"""with recursive {NET_SQL}, {COMPONENTS_SQL}, main as (select comp from cc group by comp order by count(*) desc, comp limit 1)
 select edge_id, u, v, length_m, source, tag from net where u in (select node from cc where comp = (select comp from main)) and v in (select node from cc where comp = (select comp from main))""")
-def q23(spark, d):
-    return N.trunk(V.net(spark, d))[1].select("edge_id", "u", "v", "length_m", "source", "tag")
+def q23(spark, d, whole=False):
+    return N.trunk(V.net(spark, d, whole=whole))[1].select("edge_id", "u", "v", "length_m", "source", "tag")
 
 
 def _elevation(spark, d):
@@ -286,15 +298,15 @@ _FLOW_SQL = f"""with {NET_SQL}, f as (select net.*, case when p_partkey % 7 <> 0
   g as (select *, case when eu is null or ev is null then 'missing' when abs(eu - ev) <= 1 then 'flat' when ev > eu then 'flipped' else 'kept' end as state from f)"""
 
 
-@query("q24_flow_direction", f"""{_FLOW_SQL} select edge_id, case when state = 'flipped' then v else u end as u, case when state = 'flipped' then u else v end as v, case when state = 'flipped' then ev else eu end as elevation_u,
+@network_query("q24_flow_direction", f"""{_FLOW_SQL} select edge_id, case when state = 'flipped' then v else u end as u, case when state = 'flipped' then u else v end as v, case when state = 'flipped' then ev else eu end as elevation_u,
   case when state = 'flipped' then eu else ev end as elevation_v, state in ('flipped', 'kept') as known, state from g""")
-def q24(spark, d):
-    return N.orient(V.net(spark, d), _elevation(spark, d)).select("edge_id", "u", "v", "elevation_u", "elevation_v", "known", "state")
+def q24(spark, d, whole=False):
+    return N.orient(V.net(spark, d, whole=whole), _elevation(spark, d)).select("edge_id", "u", "v", "elevation_u", "elevation_v", "known", "state")
 
 
-@query("q24_flow_stats", f"{_FLOW_SQL} select state, count(*) as n from g group by state")
-def q24_stats(spark, d):
-    return N.counts(N.orient(V.net(spark, d), _elevation(spark, d)), "state")
+@network_query("q24_flow_stats", f"{_FLOW_SQL} select state, count(*) as n from g group by state")
+def q24_stats(spark, d, whole=False):
+    return N.counts(N.orient(V.net(spark, d, whole=whole), _elevation(spark, d)), "state")
 
 
 @query("q25_raster_sample", f"""with {PTS_SQL}, dem as (select cast(p_partkey // 20 as integer) as r, cast(p_partkey % 20 as integer) as c, case when p_partkey % 11 <> 0 then p_retailprice end as elev from part)
@@ -308,7 +320,7 @@ def q25(spark, d):
 
 def _placed(spark, d):
     """The trunk with made-up coordinates of its nodes."""
-    keep, edges = N.trunk(V.net(spark, d))
+    keep, edges = N.trunk(V.net(spark, d, whole=True))
     edges = materialize(edges, "trunk-edges")
     hash01 = lambda salt: (F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("node_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") % 100000)
     nodes = materialize(keep.withColumns({"x": hash01("x"), "y": hash01("y")}), "trunk-nodes")
@@ -345,9 +357,9 @@ def _route_inputs(spark, d):
     return p, edges, p.select("node_id", cell("x").alias("schematic_x"), cell("y").alias("schematic_y"))
 
 
-@query("q28_waterway_size", f"with {NET_SQL} select edge_id, case when tag in ('river', 'major_river') then 'main' else 'branch' end as waterway_size from net")
-def q28(spark, d):
-    return V.net(spark, d).select("edge_id", T.size_class(F.col("tag")).alias("waterway_size"))
+@network_query("q28_waterway_size", f"with {NET_SQL} select edge_id, case when tag in ('river', 'major_river') then 'main' else 'branch' end as waterway_size from net")
+def q28(spark, d, whole=False):
+    return V.net(spark, d, whole=whole).select("edge_id", T.size_class(F.col("tag")).alias("waterway_size"))
 
 
 @query("q29_screen_export", f"""with {PTS_SQL}, b as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from pts), s as (select *, 2400.0::double / greatest(case when x1 = x0 then 1 else x1 - x0 end, case when y1 = y0 then 1 else y1 - y0 end) as k from pts, b)
@@ -357,10 +369,10 @@ def q29(spark, d):
     return s.select(F.concat(F.lit("n"), "seq").alias("node_key"), F.col("sx").alias("pos_x"), F.col("sy").alias("pos_y"))
 
 
-@query("q30_elements_split", f"""with {NET_SQL} select 'edge' as kind, 'e' || edge_id as key, 'n' || u as a, 'n' || v as b, case when edge_id % 3 = 0 then '' else name end as label, edge_id % 2 = 0 as flag, cast(null as double) as x from net
+@network_query("q30_elements_split", f"""with {NET_SQL} select 'edge' as kind, 'e' || edge_id as key, 'n' || u as a, 'n' || v as b, case when edge_id % 3 = 0 then '' else name end as label, edge_id % 2 = 0 as flag, cast(null as double) as x from net
 union all select 'node', 'n' || edge_id, null, null, '', null, length_m from net where edge_id % 2 = 0""")
-def q30(spark, d):
-    e = V.net(spark, d)
+def q30(spark, d, whole=False):
+    e = V.net(spark, d, whole=whole)
     ids = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edge = F.to_json(F.struct(F.struct(ids("e", "edge_id").alias("id"), ids("n", "u").alias("source"), ids("n", "v").alias("target"), F.when(F.col("edge_id") % 3 != 0, F.col("name")).alias("label"), F.when(F.col("edge_id") % 2 == 0, True).alias("engineStraight")).alias("data")))
     node = F.to_json(F.struct(F.struct(ids("n", "edge_id").alias("id")).alias("data"), F.struct(F.col("length_m").alias("x"), F.lit(0.0).alias("y")).alias("position")))
@@ -433,11 +445,11 @@ def q34(spark, d):
     return back.select("line_id", "source", F.round(F.col("geom")[0]["x"], 6).alias("x1"), F.round(F.col("geom")[2]["y"], 6).alias("y3"), F.size("geom").alias("n"), "srid")
 
 
-@query("q34_graphml_roundtrip", f"with {NET_SQL} select u, v, edge_id, length_m, source, tag as waterway_tag, case when edge_id % 4 <> 0 then name || '<&>\"' end as name from net")
-def q34_graphml(spark, d):
+@network_query("q34_graphml_roundtrip", f"with {NET_SQL} select u, v, edge_id, length_m, source, tag as waterway_tag, case when edge_id % 4 <> 0 then name || '<&>\"' end as name from net")
+def q34_graphml(spark, d, whole=False):
     import uuid
 
-    e = V.net(spark, d).withColumn("waterway_tag", F.col("tag")).withColumn("name", F.when(F.col("edge_id") % 4 != 0, F.concat("name", F.lit('<&>"'))))
+    e = V.net(spark, d, whole=whole).withColumn("waterway_tag", F.col("tag")).withColumn("name", F.when(F.col("edge_id") % 4 != 0, F.concat("name", F.lit('<&>"'))))
     nodes = e.select(F.explode(F.array("u", "v")).alias("node_id")).distinct().withColumns({"x": F.col("node_id") * 1.5, "y": F.lit(None).cast("double")})
     path = f"{shared_dir(spark)}/graphml-{uuid.uuid4().hex}"
     W.graphml_lines(nodes, e).select("value").write.text(path)
@@ -451,11 +463,11 @@ def q35(spark, d):
     return D.effective_ops(ops)
 
 
-@query("q35_delete_split", f"""with {NET_SQL}, n as (select distinct unnest([u, v]) as k from net), e as (select 'e' || edge_id as edge_key, 'n' || u as a, 'n' || v as b, name as label, edge_id from net where u % 5 <> 0)
+@network_query("q35_delete_split", f"""with {NET_SQL}, n as (select distinct unnest([u, v]) as k from net), e as (select 'e' || edge_id as edge_key, 'n' || u as a, 'n' || v as b, name as label, edge_id from net where u % 5 <> 0)
 select edge_key, a as source_node_key, b as target_node_key, label from e where edge_id % 3 <> 0
 union all select edge_key || 'a', a, 'm' || edge_id, label from e where edge_id % 3 = 0 union all select edge_key || 'b', 'm' || edge_id, b, '' from e where edge_id % 3 = 0""")
-def q35_delete(spark, d):
-    e = V.net(spark, d)
+def q35_delete(spark, d, whole=False):
+    e = V.net(spark, d, whole=whole)
     ids = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nodes = e.select(F.explode(F.array("u", "v")).alias("id")).distinct().select(ids("n", "id").alias("node_key"), (F.col("id") % 5 == 0).alias("gone"), F.lit(0).alias("pos_x"), F.lit(0).alias("pos_y"))
     edges = e.select(ids("e", "edge_id").alias("edge_key"), ids("n", "u").alias("source_node_key"), ids("n", "v").alias("target_node_key"), F.col("name").alias("label"))
@@ -475,5 +487,5 @@ def q35_rotate(spark, d):
 
 def flagship(spark, d) -> DataFrame:
     """Trunk of the network with degrees: the first joins of most queries here."""
-    keep, edges = N.trunk(V.net(spark, d))
+    keep, edges = N.trunk(V.net(spark, d, whole=True))
     return N.degrees(edges).join(keep, "node_id").select("node_id", "degree")

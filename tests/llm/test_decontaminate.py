@@ -66,6 +66,31 @@ def test_recall_and_exact_distances(spark):
     assert kept == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def test_items_of_every_length_with_spread_edits():
+    """None is missed: exact copies of short items, and items with the most edits allowed, evenly spread."""
+    rng = random.Random(8)
+    texts, docs = [], []
+    for n in [*range(1, 41)] * 5:
+        piece = [f"v{rng.randrange(5000)}" for _ in range(n)]
+        texts.append(" ".join(piece))
+        edits = n * 20 // 100
+        for k in range(edits):
+            piece[(2 * k + 1) * n // (2 * edits)] = "zz"
+        docs.append(" ".join([f"u{rng.randrange(5000)}" for _ in range(9)] + piece + ["end"] * 9))
+    items = D.Items(texts)
+    got = D.matches(*D._texts_words(docs), items, items.cells())
+    missed = {len(t.split()) for k, t in enumerate(texts) if not ((got[0] == k) & (got[1] == k)).any()}
+    assert missed == set()
+
+
+def test_batches_of_candidates_change_nothing(monkeypatch):
+    rows, texts = corpus(6)
+    items, docs = D.Items([t for _, t in texts]), D._texts_words([t for _, t in rows])
+    want = D.matches(*docs, items, items.cells())[:3]
+    monkeypatch.setattr(D, "BATCH_PAIRS", 7)
+    assert want.shape[1] and D.matches(*docs, items, items.cells())[:3].tolist() == want.tolist()
+
+
 def test_edge_cases(spark):
     item = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, item, 0), (3, item, 0), (None, "x " + item.upper() + "!", 0), (4, "w " * 50000 + item, 0)], "doc_id long, text string, item_id int")

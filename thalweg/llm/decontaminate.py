@@ -5,9 +5,10 @@ reads a window symbol by symbol: at step j it emits the symbol under its pointer
 tells whether the pointer moves on.  Two windows at a small edit distance walk in step, so their embeddings agree but for
 the steps near an edit, and a few sampled steps agree with good probability.  A repetition is one walk with one sample
 of steps; its key folds the sampled symbols.  Windows start at every word of a document and at every word of an item, so
-a passage is met by as many pairs of windows as it has words, and a handful of repetitions reaches the target recall.
-Windows with equal keys are candidates; each is verified by the exact edit distance between the whole item and the best
-passage of the document around it.
+a passage is met by as many pairs of windows as it has words.  The walks alone miss short items and evenly spread edits, so
+an item that allows k edits is also cut into k + 1 pieces: k edits leave at least one piece as it is, and every place where
+a document holds a piece is a candidate too (an item that allows none is one piece, itself).  Candidates are verified by the
+exact edit distance between the whole item and the best passage of the document around it; none within reach is missed.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ REPETITIONS, SAMPLED_STEPS = 5, (0, 2, 4, 6, 8)
 DIFFERENT = 4
 #: Items handled in one pass over the documents, so that what is sent to the workers stays small.
 BLOCK_ITEMS, BLOCK_WORDS = 4096, 1_000_000
+#: Candidates gathered before they are verified, so that a frequent piece takes no more memory.
+BATCH_PAIRS = 1 << 20
 U64 = np.uint64
 _CELL_BITS = 22
 
@@ -58,15 +61,25 @@ def window_keys(hashes: np.ndarray, last: np.ndarray, walk, count: bool = False)
     return (key, different) if count else key
 
 
+def piece_keys(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Keys of the runs of ``length`` words that start at every word; runs over the end of the data have no meaning."""
+    key = np.zeros(len(hashes), U64)
+    for step in range(length):
+        key[: len(hashes) - step] ^= hashes[step:]
+        key *= U64(0x9E3779B97F4A7C15)
+        key ^= key >> U64(29)
+    return key
+
+
 def _texts_words(texts) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = tk.utf8(pa.array(texts, pa.string()))
     return tk.words(data, offsets, space=tk.PUNCTUATION)
 
 
 class Items:
-    """Keys of all windows of a block of items, sorted, per repetition, and the items' words."""
+    """Keys of all windows of a block of items, sorted, per repetition, keys of their pieces, per length, and the items' words."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, percent: int = PERCENT):
         self.hashes, self.before = _texts_words(texts)
         size = np.diff(self.before)
         item = np.repeat(np.arange(len(size)), size)
@@ -79,6 +92,18 @@ class Items:
             telling = np.flatnonzero(different >= np.minimum(DIFFERENT, size[item] - size[item] // 3))
             order = telling[np.argsort(keys[telling], kind="stable")]
             self.tables.append((keys[order], item[order], anchor[order]))
+        self.lengths = []
+        pieces = size * (100 - percent) // 100 + 1
+        which = np.repeat(np.arange(len(size)), pieces)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin, end = nth * size[which] // pieces[which], (nth + 1) * size[which] // pieces[which]
+        for length in np.unique(end - begin).tolist():
+            if length:
+                own = np.flatnonzero(end - begin == length)
+                keys = piece_keys(self.hashes, length)[self.before[which[own]] + begin[own]]
+                order = np.argsort(keys, kind="stable")
+                self.lengths.append(length)
+                self.tables.append((keys[order], which[own][order], begin[own][order]))
 
     def cells(self):
         out = []
@@ -123,21 +148,46 @@ def edit_distances(items, regions, allowed=None) -> tuple[np.ndarray, np.ndarray
     return best, end
 
 
+def _candidates(hashes, last, items: Items, cells):
+    """Places where an item may lie, in batches: first word of the item's place, item, a word of the document."""
+    batch, held = [], 0
+    for k, ((keys, item, anchor), table) in enumerate(zip(items.tables, cells)):
+        if k < len(items.walks):
+            own, fits = window_keys(hashes, last, items.walks[k]), True
+        else:
+            length = items.lengths[k - len(items.walks)]
+            own, fits = piece_keys(hashes, length), np.arange(len(hashes)) + length - 1 <= last
+        hit = np.flatnonzero(table[(own >> U64(64 - _CELL_BITS)).astype(np.int64)] & fits)
+        lo, hi = np.searchsorted(keys, own[hit], "left"), np.searchsorted(keys, own[hit], "right")
+        some = hi > lo
+        hit, lo, n = hit[some], lo[some], (hi - lo)[some]
+        total, first = np.cumsum(n), 0
+        while first < len(hit):
+            room = (total[first - 1] if first else 0) + BATCH_PAIRS - held
+            until = max(first + 1, int(np.searchsorted(total, room, "right")))
+            h, m = hit[first:until], n[first:until]
+            at = np.repeat(lo[first:until], m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
+            batch.append(np.stack([np.repeat(h, m) - anchor[at], item[at], np.repeat(h, m)]))
+            held, first = held + len(at), until
+            if held >= BATCH_PAIRS or first < len(hit):
+                yield np.concatenate(batch, axis=1)
+                batch, held = [], 0
+    if held:
+        yield np.concatenate(batch, axis=1)
+
+
 def matches(hashes, before, items: Items, cells, percent: int = PERCENT):
     """Matches in a batch of documents, given by word hashes: document, item, edits, first and last word (about)."""
     size = np.diff(before)
     last = np.repeat(before[1:] - 1, size)
-    found = []
-    for walk, (keys, item, anchor), table in zip(items.walks, items.tables, cells):
-        own = window_keys(hashes, last, walk)
-        hit = np.flatnonzero(table[(own >> U64(64 - _CELL_BITS)).astype(np.int64)])
-        lo, hi = np.searchsorted(keys, own[hit], "left"), np.searchsorted(keys, own[hit], "right")
-        n = hi - lo
-        at = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        found.append(np.stack([np.repeat(hit, n) - anchor[at], item[at], np.repeat(hit, n)]))
-    start, item, where = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-    if not len(start):
-        return np.zeros((5, 0), np.int64)
+    found = [_verified(hashes, before, items, percent, *c) for c in _candidates(hashes, last, items, cells)]
+    rows = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+    rows = rows[:, np.lexsort((rows[4], rows[2], rows[1], rows[0]))]
+    fresh = np.r_[True, (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)] if rows.shape[1] else np.zeros(0, bool)
+    return rows[:, fresh]
+
+
+def _verified(hashes, before, items: Items, percent: int, start, item, where):
     doc = np.searchsorted(before, where, side="right") - 1
     length = np.diff(items.before)[item]
     allowed = length * (100 - percent) // 100
@@ -155,10 +205,7 @@ def matches(hashes, before, items: Items, cells, percent: int = PERCENT):
             )
             ok = edits <= allowed[part]
             out.append(np.stack([doc[part], item[part], edits, np.maximum(start[part], before[doc[part]]) - before[doc[part]], left + end - before[doc[part]]])[:, ok])
-    rows = np.concatenate(out, axis=1)
-    rows = rows[:, np.lexsort((rows[4], rows[2], rows[1], rows[0]))]
-    fresh = np.r_[True, (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)] if rows.shape[1] else np.zeros(0, bool)
-    return rows[:, fresh]
+    return np.concatenate(out, axis=1)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
@@ -214,7 +261,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
     out = spark.createDataFrame([], schema)
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
     for ids, texts in _blocks(benchmark, item_col, "text"):
-        held = spark.sparkContext.broadcast(Items(texts))
+        held = spark.sparkContext.broadcast(Items(texts, percent))
         out = out.unionByName(narrow.mapInArrow(_matcher(held, percent, False, 0, 1, ids, arrow), schema))
     return out.withColumn("similarity", F.lit(1.0) - F.col("edits") / F.col("item_words"))
 
@@ -223,6 +270,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col=
     """The rows of ``docs`` that contain no item; columns as in ``docs``."""
     spark = docs.sparkSession
     for _, texts in _blocks(benchmark, item_col, "text"):
-        held = spark.sparkContext.broadcast(Items(texts))
+        held = spark.sparkContext.broadcast(Items(texts, percent))
         docs = docs.mapInArrow(_matcher(held, percent, True, None, docs.columns.index(text_col)), docs.schema)
     return docs

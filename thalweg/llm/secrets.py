@@ -27,7 +27,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
 
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+_FIRST_KEY = re.compile(r'\{"(?:[^"\\]|\\.)*"[ \t\n\r]*:')
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?)PRIVATE KEY-----([A-Za-z0-9+/=\s:,-]*?)-----END \1PRIVATE KEY-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 _HEX_KEY = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
@@ -121,11 +122,43 @@ def is_token(text: str) -> bool:
     head, body, signature = text.split(".")
     try:
         header, claims = (json.loads(_decoded(x) or b"") for x in (head, body))
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict) and (bool(signature) or header["alg"].lower() == "none")
 
 
+def _object_starts(part: str):
+    """Offsets of eyJ from which the part, decoded, may be one object.  What starts at offsets of the same remainder by 4 is
+    decoded together, and an object is read only where a key with its colon stands."""
+    read, texts, at = json.JSONDecoder().raw_decode, {}, part.find("eyJ")
+    while at >= 0:
+        if at % 4 not in texts:
+            texts[at % 4] = (_decoded(part[at % 4 :]) or b"").decode("latin-1").rstrip(" \t\n\r")
+        text, k = texts[at % 4], at // 4 * 3
+        if text.endswith("}") and _FIRST_KEY.match(text, k):
+            try:
+                if read(text, k)[1] == len(text):
+                    yield at
+            except (ValueError, RecursionError):
+                pass
+        at = part.find("eyJ", at + 1)
+
+
+def tokens(text: str):
+    """Spans of signed tokens, whatever stands before them: of each maximal dotted run every three parts in a row, the first
+    from the first offset that makes them a token."""
+    for m in _DOTTED.finditer(text):
+        if "eyJ" not in m[0]:
+            continue
+        at, parts = m.start(), m[0].split(".")
+        for head, body, signature in zip(parts, parts[1:], parts[2:]):
+            if "eyJ" in head and body:
+                start = next((k for k in _object_starts(head) if is_token(f"{head[k:]}.{body}.{signature}")), None)
+                if start is not None:
+                    yield at + start, at + len(head) + len(body) + len(signature) + 2
+            at += len(head) + 1
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates that decode to keys or signed tokens."""
     out = []
@@ -136,7 +169,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             if data and (is_der_key(data) or is_ssh_key(data) or m[1] == "ENCRYPTED " and der_items(data, 0, len(data))):
                 out.append((m.start(), m.end(), "pem"))
     if "eyJ" in text:
-        out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_token(m[0])]
+        out += [(start, end, "jwt") for start, end in tokens(text)]
     if b"h" * 40 in text.encode().translate(_B64_RUN):
         inside = [(s, e) for s, e, _ in out]
         for pattern, decode in ((_BASE64, _decoded), (_HEX_KEY, bytes.fromhex)):

@@ -54,6 +54,20 @@ def test_tokens_after_any_character():
     assert kinds("x" + JWT + "." + JWT) == ["jwt", "jwt"] and kinds("x" + JWT.replace("eyJ", "eyK")) == []
 
 
+def test_escaped_wrapped_and_url_forms():
+    wrap = lambda t, end: end.join(t[k : k + 64] for k in range(0, len(t), 64))
+    for end in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n"):
+        for label, key in (("RSA ", RSA), ("", PKCS8), ("OPENSSH ", OPENSSH)):
+            pem = f"-----BEGIN {label}PRIVATE KEY-----{end}{wrap(b64(key), end)}{end}-----END {label}PRIVATE KEY-----"
+            assert kinds('{"private_key": "' + pem + end + '"}') == ["pem"]
+        for kind, key in (("der", RSA), ("der", PKCS8), ("ssh", SSH), ("ssh", OPENSSH)):
+            for text in (wrap(b64(key), end), f"a{end}{wrap(b64(key), end)}{end}b c", "key: " + wrap(b64(key), end)):
+                assert kinds(text) == [kind], (end, kind, text)
+    tricky = der(0x30, der(2, b"\0") + b"".join(der(2, b"\x7b\xef\xbf\xfb" * 16) for _ in range(8)))
+    assert set(url(tricky)) & set("-_") and kinds("x " + url(tricky) + " y") == ["der"]
+    assert kinds("id-" + b64(RSA)) == ["der"] and kinds("\\n" + b64(RSA)) == ["der"] and kinds("\\n" + url(tricky)) == ["der"]
+
+
 def test_long_runs_are_read_once():
     nested = url(b'{"a":' * 60000)
     for run in ("eyJ" * 100000, "eyJh" * 75000, "eyJ." * 75000, nested + ".eyJ9.x", url(b'{"ab":1}' * 30000) + ".eyJ9.x", "A" * 300000):

@@ -29,11 +29,16 @@ KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 _DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
 _FIRST_KEY = re.compile(r'\{"(?:[^"\\]|\\.)*"[ \t\n\r]*:')
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?)PRIVATE KEY-----([A-Za-z0-9+/=\s:,-]*?)-----END \1PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?)PRIVATE KEY-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nrt])*?)-----END \1PRIVATE KEY-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+_BASE64_URL = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: First lines of wrapped keys, also after an escaped line end, and what follows on the next line.
+_WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-Za-z]|b3Bl|AAAA)[A-Za-z0-9+/_-]{10,}")
+_NEXT_LINE = re.compile(r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*([A-Za-z0-9+/_-]+={0,2}|={1,2})")
+_ESCAPED_END = re.compile(r"\\+[nrt]")
 _HEX_KEY = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
 _HEX_RUN = bytes(0x68 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256))
-_B64_RUN = bytes(0x68 if chr(b).isalnum() and b < 128 or chr(b) in "+/" else 0x20 for b in range(256))
+_B64_RUN = bytes(0x68 if chr(b).isalnum() and b < 128 or chr(b) in "+/-_" else 0x20 for b in range(256))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -159,27 +164,60 @@ def tokens(text: str):
             at += len(head) + 1
 
 
+def _kind(data: bytes | None) -> str | None:
+    return "der" if data and is_der_key(data) else "ssh" if data and is_ssh_key(data) else None
+
+
+def wrapped_keys(text: str):
+    """Spans and kinds of keys without armour over several lines.  A DER key ends where its first length says; the lines of
+    others are equally long but for the last."""
+    for m in _WRAPPED.finditer(text):
+        width, end, run = len(m[0]), m.end(), [m[0]]
+        head, need, have = _decoded(m[0][:8]), None, width
+        if m[0][0] == "M" and head[0] == 0x30:
+            k = head[1] & 0x7F if head[1] & 0x80 else 0
+            if not k <= 4:
+                continue
+            size = (int.from_bytes(head[2 : 2 + k], "big") if k else head[1]) + 2 + k
+            need = -(-size * 4 // 3)
+        elif m[0][0] == "M":
+            continue
+        while (need is None or have < need) and (line := _NEXT_LINE.match(text, end)):
+            part = line[1].rstrip("=")
+            if need is None and len(part) > width:
+                break
+            run.append(part)
+            have, end = have + len(part), line.end()
+            if "=" in line[1] or need is None and len(part) < width:
+                break
+        if len(run) > 1 and (need is None or have == need) and (kind := _kind(_decoded("".join(run)))):
+            yield m.start(), end, kind
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates that decode to keys or signed tokens."""
     out = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            body = "".join(x for x in m[2].splitlines() if ":" not in x)
+            body = "".join(x for x in _ESCAPED_END.sub("\n", m[2]).splitlines() if ":" not in x)
             data = _decoded(re.sub(r"\s", "", body))
             if data and (is_der_key(data) or is_ssh_key(data) or m[1] == "ENCRYPTED " and der_items(data, 0, len(data))):
                 out.append((m.start(), m.end(), "pem"))
     if "eyJ" in text:
         out += [(start, end, "jwt") for start, end in tokens(text)]
-    if b"h" * 40 in text.encode().translate(_B64_RUN):
+    if b"h" * 40 in text.encode().translate(_B64_RUN) or _WRAPPED.search(text):
         inside = [(s, e) for s, e, _ in out]
-        for pattern, decode in ((_BASE64, _decoded), (_HEX_KEY, bytes.fromhex)):
+        found = set()
+        for pattern, decode in ((_BASE64, _decoded), (_BASE64_URL, _decoded), (_HEX_KEY, bytes.fromhex)):
             for m in pattern.finditer(text):
-                if any(s <= m.start() < e for s, e in inside):
+                if pattern is _BASE64_URL and not ("-" in m[0] or "_" in m[0]):
                     continue
-                data = decode(m[0])
-                kind = "der" if data and is_der_key(data) else "ssh" if data and is_ssh_key(data) else None
-                if kind:
-                    out.append((m.start(), m.end(), kind))
+                # the letter of an escape before a run is not part of it
+                for skip in (0, 1) if text[m.start() - 1 : m.start()] == "\\" else (0,):
+                    if kind := _kind(decode(m[0][skip:]) if decode is _decoded or not skip else None):
+                        found.add((m.start() + skip, m.end(), kind))
+        found.update(wrapped_keys(text))
+        out += [(s, e, k) for s, e, k in sorted(found) if not any(a <= s < b for a, b in inside)]
     return out
 
 

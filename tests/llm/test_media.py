@@ -60,6 +60,19 @@ def test_pages_of_a_column(spark):
     assert [r.id for r in out if r.error] == [3]
 
 
+def test_pages_after_an_unsupported_one(spark):
+    data = bytearray(M.write_pages([np.full((2, 3, 1), k, np.uint8) for k in (7, 8, 9)]))
+    at = struct.unpack_from("<L", data, 4)[0]
+    at = struct.unpack_from("<L", data, at + 2 + 12 * struct.unpack_from("<H", data, at)[0])[0]
+    for k in range(struct.unpack_from("<H", data, at)[0]):
+        if struct.unpack_from("<H", data, at + 2 + 12 * k)[0] == M.COMPRESSION:
+            struct.pack_into("<H", data, at + 10 + 12 * k, 7)
+    out = M.tiff_pages(spark.createDataFrame([(1, bytes(data))], "id long, tiff binary"), "id", "tiff").orderBy("page").collect()
+    assert [(r.page, r.pixels and r.pixels[0], r.error) for r in out] == [(0, 7, None), (1, None, "unsupported kind of page"), (2, 9, None)]
+    with pytest.raises(ValueError):
+        list(M.read_pages(bytes(data)))
+
+
 def test_text_media(spark):
     texts = [None, "", "a", "é" * 32, "x" * 64, "y" * 65, "long text é " * 30000, "a"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as pages")

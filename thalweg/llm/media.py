@@ -166,15 +166,28 @@ def _directories(data: bytes) -> Iterator[dict[int, tuple]]:
         at = struct.unpack_from(order + "L", data, at + 2 + 12 * n)[0]
 
 
+class UnsupportedPage(ValueError):
+    """A page whose directory is whole but whose samples can't be decoded here."""
+
+
 def read_pages(data: bytes) -> Iterator[Page]:
     """Pages of a TIFF with 8-bit interleaved samples, in order.  ValueError where the file is broken or of another kind."""
+    for page in _pages_or_faults(data):
+        if isinstance(page, UnsupportedPage):
+            raise page
+        yield page
+
+
+def _pages_or_faults(data: bytes) -> Iterator[Page | UnsupportedPage]:
+    """As ``read_pages``, with an UnsupportedPage in the place of each page of another kind."""
     try:
         for index, tags in enumerate(_directories(data)):
             one = lambda tag, default: tags.get(tag, (default,))[0]
             width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
             packing, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
             if set(tags.get(BITS, (1,))) != {8} or packing not in _UNPACK or predictor not in (1, 2) or samples > 1 and one(PLANAR, 1) != 1:
-                raise ValueError("unsupported kind of page")
+                yield UnsupportedPage("unsupported kind of page")
+                continue
             tiled = TILE_OFFSETS in tags
             w, h = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(height, one(STRIP_ROWS, height)))
             offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
@@ -235,8 +248,9 @@ def write_pages(pages: list[np.ndarray], packing: int = DEFLATE, predictor: int
 
 
 def tiff_pages(df: DataFrame, id_col: str, tiff_col: str) -> DataFrame:
-    """One row per page of each TIFF: ``id, page, width, height, samples, compression, predictor, pixels, error``.  A file that is
-    no TIFF, or broken, gives the pages before the fault and one row with null pixels and the error; null gives no rows."""
+    """One row per page of each TIFF: ``id, page, width, height, samples, compression, predictor, pixels, error``.  A page
+    of an unsupported kind gives a row with null pixels and the error.  A file that is no TIFF, or broken, gives the pages before the
+    fault and one such row; null gives no rows."""
 
     def run(batches):
         names = ["id", "page", "width", "height", "samples", "compression", "predictor", "pixels", "error"]
@@ -245,9 +259,12 @@ def tiff_pages(df: DataFrame, id_col: str, tiff_col: str) -> DataFrame:
             for key, data in zip(b.column(0).to_pylist(), b.column(1)):
                 n = 0
                 try:
-                    for p in read_pages(data.as_py()) if data.is_valid else ():
-                        h, w, s = p.pixels.shape
-                        rows.append((key, p.index, w, h, s, p.compression, p.predictor, p.pixels.tobytes(), None))
+                    for p in _pages_or_faults(data.as_py()) if data.is_valid else ():
+                        if isinstance(p, UnsupportedPage):
+                            rows.append((key, n, None, None, None, None, None, None, str(p)))
+                        else:
+                            h, w, s = p.pixels.shape
+                            rows.append((key, p.index, w, h, s, p.compression, p.predictor, p.pixels.tobytes(), None))
                         n += 1
                 except ValueError as e:
                     rows.append((key, n, None, None, None, None, None, None, str(e)))

@@ -1,14 +1,18 @@
-"""Token counts of a word-end byte-pair vocabulary, without materialising ids.
+"""Token counts of a byte-pair vocabulary, without materialising ids.
 
-A text falls into pre-tokens (normal form C, lower case, runs of letters, single digits, runs of other characters).  The
-pieces of a pre-token do not depend on its surroundings, so each distinct pre-token is split once, and a document's count is
-the sum over its pre-tokens of frequency times pieces.  Per-document frequencies are joined with the piece counts: for the
-most frequent pre-tokens from a broadcast table of a fixed size, for all others by a shuffle join on the pre-token.
+The vocabulary file's own normaliser and splitter cut a text into pre-tokens.  The pieces of a pre-token do not depend on its
+surroundings, so each distinct pre-token is split once, and a document's count is the sum over its pre-tokens of frequency
+times pieces.  Per-document frequencies are joined with the piece counts: for the most frequent pre-tokens from a broadcast
+table of a fixed size, for all others by a shuffle join on the pre-token.
+
+Where the splitter never joins what white space parts, which is tried out on pairs of all kinds of characters, the library is
+asked once for each distinct run between blanks, else for each text.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import hashlib
+import json
 from collections import Counter
 
 import pyarrow as pa
@@ -20,114 +24,173 @@ from pyspark.sql import functions as F
 from thalweg.storage import materialize
 
 LIMIT = 2048
-#: Pre-tokens in the broadcast table: the most frequent ones, of at most so many characters.
+#: Pre-tokens in the broadcast table, the most frequent ones, and characters from which a pre-token's key is a digest.
 HEAD, HEAD_CHARS = 131_072, 48
-# Fixed values of the vocabulary file: its special strings and its pattern of pre-tokens.
-SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PRETOKEN = regex.compile(PATTERN)
-_SPECIAL = regex.compile("|".join(regex.escape(s) for s in SPECIAL))
-_ODD_LOWER = regex.compile("[İΣ]")
-
-
-def _lower(text: str) -> str:
-    """Lower case character by character: no special final sigma."""
-    return "".join(c.lower() if c != "Σ" else "σ" for c in text) if _ODD_LOWER.search(text) else text.lower()
-
-
-def pretokens(text: str) -> Counter:
-    """Pre-tokens of a text and how often each occurs; a special string is a pre-token of its own."""
-    out: Counter = Counter()
-    parts = [text]
-    if "<|" in text:
-        out.update(_SPECIAL.findall(text))
-        parts = _SPECIAL.split(text)
-    for part in parts:
-        if not part.isascii() and not unicodedata.is_normalized("NFC", part):
-            part = unicodedata.normalize("NFC", part)
-        out.update(_PRETOKEN.findall(_lower(part)))
-    return out
+#: Runs between blanks that a task remembers, and the longest of them.
+_MEMO, _MEMO_CHARS = 200_000, 200
+#: Characters of all kinds that a splitter may treat in different ways.
+_KINDS = ("a", "Z", "é", "ß", "Σ", "İ", "ก", "中", "ー", "1", "²", "Ⅷ", "٣", "'", "'s", ".", ",", "_", "-", "́", "่", "​", "\x00", "\x1c", "\x85", "\xa0", "😀", "　")
 
 
 class Pieces:
-    """Number of pieces of a pre-token by the vocabulary's own merges."""
+    """The pre-tokens of texts and the pieces of pre-tokens, by the vocabulary file at ``path``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer(Tokenizer.from_file(path).model)
-        self.tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        tokenizer = Tokenizer.from_file(path)
+        self.normalizer, self.splitter, self.model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that depend on their surroundings are not supported")
+        self.special = {t["content"] for t in added}
+        self._special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if added else None
+        self._memo: dict[str, tuple[str, ...]] = {}
+        self.apart = not any(c.isspace() for s in self.special for c in s) and all(
+            self._plain(f"{a}{gap}{b}") == self._plain(a) + self._plain(b) for a in _KINDS for b in _KINDS for gap in (" ", "\n", "\t", "  \n")
+        )
+
+    def _plain(self, text: str) -> list[str]:
+        if self.normalizer is not None:
+            text = self.normalizer.normalize_str(text)
+        return [text] if self.splitter is None else [w for w, _ in self.splitter.pre_tokenize_str(text)]
+
+    def _split(self, text: str) -> list[str]:
+        if self._special is None or not self._special.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self._special.finditer(text):
+            out += [*self._plain(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + self._plain(text[at:])
+
+    def runs(self, text: str) -> list[str]:
+        """What may be split on its own: the runs between blanks, or the whole text."""
+        return text.replace("\n", " ").replace("\t", " ").split(" ") if self.apart else [text]
+
+    def split(self, run: str) -> tuple[str, ...]:
+        """Pre-tokens of a run, in order; special strings are pre-tokens of their own."""
+        out = self._memo.get(run)
+        if out is None:
+            out = tuple(w for w in self._split(run) if w) if run else ()
+            if len(run) <= _MEMO_CHARS:
+                if len(self._memo) >= _MEMO:
+                    self._memo.clear()
+                self._memo[run] = out
+        return out
+
+    def pretokens(self, text: str) -> Counter:
+        """Pre-tokens of a text and how often each occurs."""
+        out: Counter = Counter()
+        for run, n in Counter(self.runs(text)).items():
+            for w in self.split(run):
+                out[w] += n
+        return out
 
     def count(self, words: list[str]) -> list[int]:
-        return [1 if w in SPECIAL else len(e.ids) for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False))]
+        return [1 if w in self.special else len(self.model.tokenize(w)) for w in words]
 
 
-def _distinct(batches):
-    """Pre-tokens with counts, gathered up to a bounded number before they leave."""
-    held: Counter = Counter()
-    for b in batches:
-        for text in b.column(0):
-            if text.is_valid:
-                held.update(pretokens(text.as_py()))
-            if len(held) > 300_000:
-                yield _counted(held)
-                held = Counter()
-    yield _counted(held)
+def _key(word: str) -> str:
+    """The pre-token, or a digest in the place of a long one; no pre-token starts with the sign before it."""
+    return word if len(word) <= HEAD_CHARS else "\x01" + hashlib.md5(word.encode()).hexdigest()
 
 
-def _counted(held):
-    return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], ["pretoken", "n"])
+def _distinct(path):
+    """Pre-tokens with counts, gathered up to a bounded number before they leave; the text of those with a digest goes along."""
+
+    def run(batches):
+        pieces = Pieces(path)
+        held: Counter = Counter()
+        size = 0
+        for b in batches:
+            for text in b.column(0):
+                if text.is_valid:
+                    fresh = Counter(pieces.runs(text.as_py()))
+                    size += sum(len(r) for r in fresh if r not in held)
+                    held.update(fresh)
+                if len(held) > 300_000 or size > 16 << 20:
+                    yield _counted(held, pieces)
+                    held, size = Counter(), 0
+        yield _counted(held, pieces)
+
+    return run
+
+
+def _counted(runs, pieces):
+    held: Counter = Counter()
+    for run, n in runs.items():
+        for w in pieces.split(run):
+            held[w] += n
+    words = list(held)
+    keys = [_key(w) for w in words]
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(list(held.values()), pa.int64()), pa.array([None if k == w else w for k, w in zip(keys, words)], pa.string())], ["pretoken", "n", "long"])
 
 
 def vocabulary_counts(text: DataFrame, path: str) -> DataFrame:
-    """``pretoken, n, pieces`` of a table with one text column: each distinct pre-token once."""
-    totals = text.mapInArrow(_distinct, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
+    """``pretoken, n, pieces`` of a table with one text column: each distinct pre-token once, long ones by a digest."""
+    totals = text.mapInArrow(_distinct(path), "pretoken string, n long, long string").groupBy("pretoken").agg(F.sum("n").alias("n"), F.first("long").alias("long"))
 
     def split(batches):
         pieces = Pieces(path)
         for b in batches:
-            words = b.column(0).to_pylist()
-            counts = [x for lo in range(0, len(words), 4096) for x in pieces.count(words[lo : lo + 4096])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int32())], ["pretoken", "n", "pieces"])
+            words = [w if long is None else long for w, long in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pieces.count(words), pa.int32())], ["pretoken", "n", "pieces"])
 
     return totals.mapInArrow(split, "pretoken string, n long, pieces int")
 
 
-def _document_counter(head, kind):
+def _document_counter(head, kind, path):
     """Per document one row with what the head table counts, and a row for each pre-token beyond it.  The first row's
     pre-token is a string no text can yield, so it meets nothing and hashes anywhere."""
 
     def run(batches):
-        known = head.value
+        known, pieces, memo = head.value, Pieces(path), {}
+
+        def told(run: str):
+            """Pieces of a run that the head table counts, and the keys of its other pre-tokens."""
+            out = memo.get(run)
+            if out is None:
+                keys = [_key(w) for w in pieces.split(run)]
+                out = sum(known.get(k, 0) for k in keys), tuple(k for k in keys if k not in known)
+                if len(run) <= _MEMO_CHARS:
+                    if len(memo) >= _MEMO:
+                        memo.clear()
+                    memo[run] = out
+            return out
+
         base, k = TaskContext.get().partitionId() << 40, 0
         for b in batches:
-            rows: list[list] = [[] for _ in range(6)]
-            ids = b.column(0)
-            at = []
+            rows: list[list] = [[] for _ in range(5)]
+            ids, at = b.column(0), []
             for i, text in enumerate(b.column(1)):
                 value = text.as_py() or ""
-                counted, rest = 0, []
-                for word, n in pretokens(value).items():
-                    pieces = known.get(word)
-                    if pieces is None:
-                        rest.append((word, n))
-                    else:
-                        counted += n * pieces
-                for word, n, n_bytes, c in [(f"\x00{base + k}", 0, len(value.encode()), counted), *[(w, n, None, 0) for w, n in rest]]:
+                counted, rest = 0, Counter()
+                for r, n in Counter(pieces.runs(value)).items():
+                    c, others = told(r)
+                    counted += n * c
+                    for w in others:
+                        rest[w] += n
+                for word, n, n_bytes, c in [(f"\x00{base + k}", 0, len(value.encode()), counted), *[(w, n, None, 0) for w, n in rest.items()]]:
                     for column, v in zip(rows, (base + k, word, n, n_bytes, c)):
                         column.append(v)
                     at.append(i)
                 k += 1
+                if len(at) >= 1 << 17:
+                    yield _counts(rows, ids, at)
+                    rows, at = [[] for _ in range(5)], []
             if at:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[0], pa.int64()), ids.take(pa.array(at)), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64())],
-                    ["row", "doc_id", "pretoken", "n", "n_bytes", "counted"],
-                )
+                yield _counts(rows, ids, at)
 
     return run, f"row long, doc_id {kind}, pretoken string, n long, n_bytes long, counted long"
 
 
+def _counts(rows, ids, at):
+    long = lambda k: pa.array(rows[k], pa.int64())
+    return pa.RecordBatch.from_arrays([long(0), ids.take(pa.array(at)), pa.array(rows[1], pa.string()), long(2), long(3), long(4)], ["row", "doc_id", "pretoken", "n", "n_bytes", "counted"])
+
+
 def count_tokens(df: DataFrame, path: str, id_col="doc_id", text_col="text", limit: int = LIMIT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row, for the vocabulary file at ``path``.
 
@@ -137,9 +200,9 @@ def count_tokens(df: DataFrame, path: str, id_col="doc_id", text_col="text", lim
     """
     text = F.col(text_col).cast("string").alias("text")
     words = materialize(vocabulary_counts(df.select(text), path), "token-pieces")
-    top = words.where(F.length("pretoken") <= HEAD_CHARS).orderBy(F.desc("n"), "pretoken").limit(HEAD).select("pretoken", "pieces")
+    top = words.orderBy(F.desc("n"), "pretoken").limit(HEAD).select("pretoken", "pieces")
     head = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in top.toLocalIterator()})
-    run, schema = _document_counter(head, dict(df.dtypes)[id_col])
+    run, schema = _document_counter(head, dict(df.dtypes)[id_col], path)
     rows = df.select(F.col(id_col).alias("doc_id"), text).mapInArrow(run, schema)
     joined = rows.join(words.select("pretoken", "pieces"), "pretoken", "left")
     out = joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), (F.sum("counted") + F.sum(F.col("n") * F.coalesce("pieces", F.lit(0)))).alias("n_tokens"))

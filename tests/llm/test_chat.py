@@ -2,6 +2,8 @@ import random
 import re
 from itertools import product
 
+from pyspark.sql import functions as F
+
 from thalweg.llm import chat as C
 
 
@@ -83,3 +85,16 @@ def test_edge_cases(spark):
     df = spark.createDataFrame(long + [(2, None, None, None, 0), (2, None, None, None, 0)], "conv_id long, turn long, role string, text string, n int")
     out = C.repair(df).collect()
     assert {r.cost for r in out if r.conv_id == 1} == {0} and sum(r.conv_id == 2 for r in out) == 2
+
+
+def test_order_roles_and_segments(spark):
+    """Null turns come first, then negative ones; white space around roles is no part of them; equal turns spread over segments."""
+    rows = [(1, 0, "user", "c", 0), (1, -3, "assistant\t", "b", 0), (1, None, "user\n", "a", 0), (1, 5, "assistant", "d", 0)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seg int").withColumn("m", F.lit(1)).withColumn("tie", F.lit(1))
+    out = {r.text: r for r in C.repair(df).withColumn("text", F.regexp_extract("piece", "([a-d])<|([a-d])$", 0)).collect()}
+    assert {r.cost for r in out.values()} == {0} and {r.action for r in out.values()} == {"keep"}
+    assert {r.turn: (r.role, r.n_inserted) for r in out.values()} == {None: ("user", 0), -3: ("assistant", 0), 0: ("user", 0), 5: ("assistant", 0)}
+    same = spark.createDataFrame([(None, None, "user", "x", 0)] * 50 + [(7, 1, "tool", None, 0)] * 9, "conv_id long, turn long, role string, text string, n int")
+    check([tuple(r) for r in same.collect()], 4, spark)
+    assert {r.cost for r in C.repair(same, segment=4).collect() if r.conv_id is None} == {49 + 2}
+    assert C.repair(same, segment=4).where("conv_id is null").count() == 50

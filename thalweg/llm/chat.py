@@ -5,8 +5,10 @@ last.  Each turn of a conversation may keep its role, merge into the turn before
 put in; a dynamic programme over the states of the legal-turn automaton finds the cheapest repair, which is then rendered.
 
 The programme is a product of min-plus matrices, one per turn, so a conversation of any length is cut into segments of turns:
-each segment's matrix is computed on its own, the short chain of matrices of a conversation fixes the states at the cuts,
-and each segment then finds its own part of the repair.  No task ever holds a whole conversation.
+each segment's matrix is computed on its own, the chain of matrices of a conversation fixes the states at the cuts, and each
+segment then finds its own part of the repair.  Segments are runs of turns in sorted range partitions, whatever the numbers
+of the turns, so a conversation with very many turns is dealt to many tasks; what one task holds of a conversation is a
+segment of bounded size, or its matrices, one for ``SEGMENT`` turns.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ from functools import lru_cache
 from itertools import groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Turns of a conversation in one segment.
-SEGMENT = 4096
+from thalweg.storage import materialize
+
+#: A segment ends with its conversation, or after so many turns, or so many characters.
+SEGMENT, SEGMENT_CHARS = 4096, 8 << 20
 ROLES = ("system", "user", "assistant")
 # Other names of the roles.
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
@@ -40,7 +45,7 @@ _END = {START: (), AFTER_SYSTEM: ("user", "assistant"), AFTER_USER: ("assistant"
 
 
 def role_code(role: str | None) -> str:
-    name = (role or "").strip().lower()
+    name = (role or "").strip(" \t\n\x0b\f\r").lower()
     name = ALIASES.get(name, name)
     return name[0] if name in ROLES else "?"
 
@@ -75,9 +80,16 @@ def advance(costs: list[int], code: str) -> tuple[list[int], list[int]]:
     return after, taken
 
 
-@lru_cache(maxsize=200_000)
+#: Segments up to so many turns are remembered.
+_SHORT = 48
+
+
 def matrix(codes: str) -> tuple[int, ...]:
     """Least costs of passing a segment from each state (row) to each state."""
+    return _short_matrix(codes) if len(codes) <= _SHORT else _matrix(codes)
+
+
+def _matrix(codes):
     out = []
     for start in range(4):
         costs = [0 if s == start else FAR for s in range(4)]
@@ -105,9 +117,12 @@ def chain(matrices: list[tuple[int, ...]]) -> tuple[list[int], int]:
     return states[::-1], total
 
 
-@lru_cache(maxsize=200_000)
 def path(codes: str, first: int, last: int) -> tuple[int, ...]:
     """Moves of the cheapest way through a segment between two states."""
+    return _short_path(codes, first, last) if len(codes) <= _SHORT else _path(codes, first, last)
+
+
+def _path(codes, first, last):
     costs, trail = [0 if s == first else FAR for s in range(4)], []
     for c in codes:
         costs, taken = advance(costs, c)
@@ -119,6 +134,9 @@ def path(codes: str, first: int, last: int) -> tuple[int, ...]:
     return tuple(reversed(out))
 
 
+_short_matrix, _short_path = lru_cache(maxsize=50_000)(_matrix), lru_cache(maxsize=50_000)(_path)
+
+
 def opened(role: str, text: str = "") -> str:
     return f"<|im_start|>{role}\n{text}"
 
@@ -126,38 +144,59 @@ def opened(role: str, text: str = "") -> str:
 CLOSED = "<|im_end|>\n"
 
 
-def _segments(batches, columns):
-    """Runs of rows with one (conv_id, seg), across batches."""
-    rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(columns))))
-    return groupby(rows, key=lambda r: r[:2])
+def _rows(rows, *kinds, names):
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], list(names))
 
 
-def _matrices(batches):
-    held: list[tuple] = []
-    for (conv, seg), rows in _segments(batches, 3):
-        held.append((conv, seg, list(matrix("".join(r[2] for r in rows)))))
-        if len(held) >= 4096:
-            yield _rows(held, pa.int64(), pa.int64(), pa.list_(pa.int64()), names=("conv_id", "seg", "m"))
-            held = []
-    yield _rows(held, pa.int64(), pa.int64(), pa.list_(pa.int64()), names=("conv_id", "seg", "m"))
+def _plain_rows(batches):
+    return (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
 
 
-def _rows(rows, *kinds, names):
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], list(names))
+_CUT = {"seg": pa.int64(), "idx": pa.int32(), "conv_id": pa.int64(), "turn": pa.int64(), "role_in": pa.string(), "code": pa.string(), "text": pa.string(), "m": pa.list_(pa.int64())}
+
+
+def _cutter(segment: int):
+    """Sorted turns to turns with their segment and place in it, and a row with its matrix for each segment."""
+
+    def cut(batches):
+        base, k, before, codes, chars = TaskContext.get().partitionId() << 40, 0, None, [], 0
+        for b in batches:
+            seg, idx, done = [], [], []
+            convs, marks, sizes = (b.column(c).to_pylist() for c in (0, 3, 5))
+            for conv, code, size in zip(convs, marks, sizes):
+                if codes and (conv != before or len(codes) >= segment or chars >= SEGMENT_CHARS):
+                    done.append((base + k, -1, before, None, None, None, None, list(matrix("".join(codes)))))
+                    k, codes, chars = k + 1, [], 0
+                before = conv
+                seg.append(base + k)
+                idx.append(len(codes))
+                codes.append(code)
+                chars += size
+            none = pa.nulls(b.num_rows, _CUT["m"])
+            yield pa.RecordBatch.from_arrays([pa.array(seg, _CUT["seg"]), pa.array(idx, _CUT["idx"]), *[b.column(c) for c in (0, 1, 2, 3, 4)], none], list(_CUT))
+            if done:
+                yield _rows(done, *_CUT.values(), names=_CUT)
+        if codes:
+            yield _rows([(base + k, -1, before, None, None, None, None, list(matrix("".join(codes))))], *_CUT.values(), names=_CUT)
+
+    return cut
 
 
 def _chains(batches):
     held: list[tuple] = []
-    rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3))))
-    names = ("conv_id", "seg", "enter", "leave", "final", "cost")
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
-    for conv, parts in groupby(rows, key=lambda r: r[0]):
-        parts = list(parts)
-        states, cost = chain([p[2] for p in parts])
-        held += [(conv, p[1], states[k], states[k + 1], k == len(parts) - 1, cost) for k, p in enumerate(parts)]
-        if len(held) >= 4096:
-            yield _rows(held, *kinds, names=names)
-            held = []
+    names = ("seg", "enter", "leave", "final", "cost")
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+    for _, parts in groupby(_plain_rows(batches), key=lambda r: r[0]):
+        segs, matrices = [], []
+        for _, seg, m in parts:
+            segs.append(seg)
+            matrices.append(tuple(m))
+        states, cost = chain(matrices)
+        for k, seg in enumerate(segs):
+            held.append((seg, states[k], states[k + 1], k == len(segs) - 1, cost))
+            if len(held) >= 4096:
+                yield _rows(held, *kinds, names=names)
+                held = []
     yield _rows(held, *kinds, names=names)
 
 
@@ -165,13 +204,12 @@ def _repaired(batches):
     names = ("conv_id", "turn", "role_in", "role", "action", "n_inserted", "piece", "cost")
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64())
     held, size = [], 0
-    for (conv, _), rows in _segments(batches, 10):
+    for _, rows in groupby(_plain_rows(batches), key=lambda r: r[0]):
+        enter, leave, final, cost = next(rows)[7:11]  # the segment's own row comes first
         rows = list(rows)
-        codes = "".join(r[4] for r in rows)
-        enter, leave, final, cost = rows[0][6:10]
         state = enter
-        for k, (r, move) in enumerate(zip(rows, path(codes, enter, leave))):
-            _, _, turn, role_in, code, text = r[:6]
+        for k, (r, move) in enumerate(zip(rows, path("".join(r[5] for r in rows), enter, leave))):
+            _, _, conv, turn, role_in, code, text = r[:7]
             _, to, _, action, role, gap = moves(code)[move]
             text = text or ""
             if action == "merge":
@@ -199,21 +237,23 @@ def repair(df: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role",
     (after it too, for the last), ``cost`` is that of the whole conversation.  The pieces of a conversation in the order of turns
     are its rendering.  conv_id must be an integer.
 
-    Turns are ordered by turn (null first), then role, then text; repeated rows are turns like others.  Null texts are empty; null and
-    unknown roles get a role at the cost ``NAME``.  Rows with a null conv_id form one conversation.  Other columns are ignored;
-    an empty table gives no rows.
+    Turns are ordered by turn (null first, then negative ones), then role (null first), then the md5 of the text (null as empty);
+    rows equal in all of these are turns like others and may swap.  Null texts are empty; roles count without white space around
+    them and in any case; null and unknown roles get a role at the cost ``NAME``.  Rows with a null conv_id form one conversation.
+    Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    code = F.lower(F.trim(F.coalesce(F.col(role_col).cast("string"), F.lit(""))))
+    text = F.col(text_col).cast("string")
+    code = F.lower(F.regexp_replace(F.coalesce(F.col(role_col).cast("string"), F.lit("")), "^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+$", ""))
     names = F.create_map(*[F.lit(x) for k, v in {**{r: r for r in ROLES}, **ALIASES}.items() for x in (k, v[0])])
     turns = df.select(
-        F.col(conv_col).cast("long").alias("conv_id"), F.floor(F.coalesce(F.col(turn_col), F.lit(0)) / segment).cast("long").alias("seg"), F.col(turn_col).cast("long").alias("turn"),
-        F.col(role_col).cast("string").alias("role_in"), F.coalesce(names[code], F.lit("?")).alias("code"), F.col(text_col).cast("string").alias("text"),
+        F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role_in"),
+        F.coalesce(names[code], F.lit("?")).alias("code"), text.alias("text"), F.length(F.coalesce(text, F.lit(""))).alias("size"),
+        F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("tie"),
     )
-    order = ["conv_id", "seg", "turn", "role_in", "text"]
-    roles = turns.repartition("conv_id", "seg").sortWithinPartitions(*order).select("conv_id", "seg", "code")
-    cuts = roles.mapInArrow(_matrices, "conv_id long, seg long, m array<long>").repartition("conv_id").sortWithinPartitions("conv_id", "seg")
-    states = cuts.mapInArrow(_chains, "conv_id long, seg long, enter int, leave int, final boolean, cost long")
-    b = states.withColumnRenamed("conv_id", "_c").withColumnRenamed("seg", "_s")
-    joined = turns.join(b, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("seg") == F.col("_s"))).drop("_c", "_s")
-    whole = joined.repartition("conv_id", "seg").sortWithinPartitions(*order)
-    return whole.mapInArrow(_repaired, "conv_id long, turn long, role_in string, role string, action string, n_inserted int, piece string, cost long")
+    order = ["conv_id", "turn", "role_in", "digest", "tie"]
+    ranged = turns.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "turn", "role_in", "code", "text", "size")
+    cut = materialize(ranged.mapInArrow(_cutter(segment), "seg long, idx int, conv_id long, turn long, role_in string, code string, text string, m array<long>"), "chat-segments")
+    own = cut.where("m is not null").select("conv_id", "seg", "m").repartition("conv_id").sortWithinPartitions("conv_id", "seg")
+    states = own.mapInArrow(_chains, "seg long, enter int, leave int, final boolean, cost long")
+    whole = cut.where("m is null").drop("m").unionByName(states.withColumn("idx", F.lit(-1)), allowMissingColumns=True)
+    return whole.repartition("seg").sortWithinPartitions("seg", "idx").mapInArrow(_repaired, "conv_id long, turn long, role_in string, role string, action string, n_inserted int, piece string, cost long")

@@ -100,3 +100,14 @@ def test_base_spans_against_plain_patterns(spark):
         base = [x for x in row.spans.split(",") if x and x.split(":")[0] in S.KINDS[:3]]
         assert hashlib.sha256(",".join(base).encode()).hexdigest() == row.base_sha256
     assert S.find_secrets(df.limit(0)).collect() == []
+
+
+def test_many_candidates_take_linear_time():
+    block = "-----BEGIN PRIVATE KEY-----\n" + b64(PKCS8) + "\n-----END PRIVATE KEY-----\n"
+    for text, want in (
+        ("-----BEGIN PRIVATE KEY-----\n" * 40_000, 0), ("-----END PRIVATE KEY-----\n-----BEGIN PRIVATE KEY-----\n" * 20_000, 0),
+        ("-----BEGIN PRIVATE KEY-----\n" * 9000 + block, 1), ((block + JWT + "\n" + b64(PKCS8) + "\n") * 400, 1200),
+    ):
+        start = time.time()
+        assert S.scan(text)[5] == want and time.time() - start < 5
+    assert kinds(block.replace("BEGIN ", "BEGIN RSA ")) == ["der"] and kinds(block.replace("\n-----END", "!\n-----END")) == ["der"]

@@ -29,7 +29,8 @@ KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 _DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
 _FIRST_KEY = re.compile(r'\{"(?:[^"\\]|\\.)*"[ \t\n\r]*:')
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?)PRIVATE KEY-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nrt])*?)-----END \1PRIVATE KEY-----")
+_PEM_LINE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}?)PRIVATE KEY-----")
+_PEM_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,-]|\\+[nrt])*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 _BASE64_URL = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 #: First lines of wrapped keys, also after an escaped line end, and what follows on the next line.
@@ -164,6 +165,28 @@ def tokens(text: str):
             at += len(head) + 1
 
 
+def pem_blocks(text: str):
+    """Spans, labels and bodies of armoured keys: a first line, and the last line of the same label that is the next such line."""
+    opened = None
+    for m in _PEM_LINE.finditer(text):
+        if m[1] == "BEGIN":
+            opened = m
+        elif opened:
+            if opened[2] == m[2] and _PEM_BODY.fullmatch(text, opened.end(), m.start()):
+                yield opened.start(), m.end(), m[2], text[opened.end() : m.start()]
+            opened = None
+
+
+def _outside(found, spans):
+    """Those of the sorted ``found`` that start in none of the spans."""
+    spans, k, reach = sorted(spans), 0, -1
+    for s, e, kind in found:
+        while k < len(spans) and spans[k][0] <= s:
+            reach, k = max(reach, spans[k][1]), k + 1
+        if s >= reach:
+            yield s, e, kind
+
+
 def _kind(data: bytes | None) -> str | None:
     return "der" if data and is_der_key(data) else "ssh" if data and is_ssh_key(data) else None
 
@@ -198,11 +221,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates that decode to keys or signed tokens."""
     out = []
     if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            body = "".join(x for x in _ESCAPED_END.sub("\n", m[2]).splitlines() if ":" not in x)
+        for start, end, label, body in pem_blocks(text):
+            body = "".join(x for x in _ESCAPED_END.sub("\n", body).splitlines() if ":" not in x)
             data = _decoded(re.sub(r"\s", "", body))
-            if data and (is_der_key(data) or is_ssh_key(data) or m[1] == "ENCRYPTED " and der_items(data, 0, len(data))):
-                out.append((m.start(), m.end(), "pem"))
+            if data and (is_der_key(data) or is_ssh_key(data) or label == "ENCRYPTED " and der_items(data, 0, len(data))):
+                out.append((start, end, "pem"))
     if "eyJ" in text:
         out += [(start, end, "jwt") for start, end in tokens(text)]
     if b"h" * 40 in text.encode().translate(_B64_RUN) or _WRAPPED.search(text):
@@ -217,7 +240,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
                     if kind := _kind(decode(m[0][skip:]) if decode is _decoded or not skip else None):
                         found.add((m.start() + skip, m.end(), kind))
         found.update(wrapped_keys(text))
-        out += [(s, e, k) for s, e, k in sorted(found) if not any(a <= s < b for a, b in inside)]
+        out += _outside(sorted(found), inside)
     return out
 
 

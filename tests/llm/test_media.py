@@ -87,3 +87,19 @@ def test_text_media(spark):
         assert r.pages == -(-len(pad) // 65536)
     assert out[2][1:] == out[7][1:]
     assert M.text_media(df.limit(0)).collect() == []
+
+
+def test_false_claims_give_one_error_row(spark):
+    import struct
+
+    def tiff(width, height, packing, body, rows=None):
+        tags = [(256, width), (257, height), (258, 8), (259, packing), (273, 8), (277, 1), (278, rows or height), (279, len(body))]
+        entries = b"".join(struct.pack("<HHLL", t, 4, 1, v) for t, v in tags)
+        return struct.pack("<2sHL", b"II", 42, 8 + len(body)) + body + struct.pack("<H", len(tags)) + entries + bytes(4)
+
+    bomb = zlib.compress(bytes(64 << 20), 9)
+    rows = [("claim", tiff(10**6, 10**6, 8, b"x" * 20)), ("plain", tiff(30_000, 30_000, 1, b"x" * 20)), ("missing", tiff(4, 4, 1, b"x" * 16, 1)), ("zero", tiff(4, 0, 1, b"x" * 16)), ("bomb", tiff(8, 8, 8, bomb))]
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "id string, tiff binary")
+    got = {r.id: (r.page, r.pixels and len(r.pixels), r.error) for r in M.tiff_pages(df, "id", "tiff").collect()}
+    assert got["claim"] == (0, None, "page is too large") and got["plain"] == (0, None, "strip or tile is short") and got["missing"] == (0, None, "strip or tile is missing")
+    assert got["bomb"] == (0, 64, None) and got["zero"][1] is None and len(got) == 5

@@ -140,8 +140,12 @@ def pack_lzw(data: bytes) -> bytes:
 
 _UNPACK = {
     NONE: lambda d, n: bytes(d[:n]), LZW: unpack_lzw, PACKBITS: unpack_bits,
-    DEFLATE: lambda d, n: zlib.decompress(d)[:n], OLD_DEFLATE: lambda d, n: zlib.decompress(d)[:n],
+    DEFLATE: lambda d, n: zlib.decompressobj().decompress(d, n), OLD_DEFLATE: lambda d, n: zlib.decompressobj().decompress(d, n),
 }
+#: Most bytes that a packed byte can stand for, and most samples of a page: a value of a binary column must hold them.
+_GROWTH = {NONE: 1, LZW: 4096, PACKBITS: 128, DEFLATE: 1040, OLD_DEFLATE: 1040}
+MOST_SAMPLES = 1 << 30
+_KNOWN = {WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, STRIP_ROWS, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS}
 _PACK = {NONE: bytes, LZW: pack_lzw, PACKBITS: pack_bits, DEFLATE: lambda d: zlib.compress(d, 1)}
 
 
@@ -158,7 +162,7 @@ def _directories(data: bytes) -> Iterator[dict[int, tuple]]:
         tags = {}
         for k in range(n):
             tag, kind, count = struct.unpack_from(order + "HHL", data, at + 2 + 12 * k)
-            if kind in TYPE_CODES:
+            if kind in TYPE_CODES and tag in _KNOWN and tag not in tags:
                 form = f"{order}{count}{TYPE_CODES[kind]}"
                 own = at + 10 + 12 * k
                 tags[tag] = struct.unpack_from(form, data, own if struct.calcsize(form) <= 4 else struct.unpack_from(order + "L", data, own)[0])
@@ -192,8 +196,17 @@ def _pages_or_faults(data: bytes) -> Iterator[Page | UnsupportedPage]:
             w, h = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(height, one(STRIP_ROWS, height)))
             offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
             across = -(-width // w) if tiled else 1
+            blocks = list(zip(offsets, counts))[: across * -(-height // h)]
+            if len(blocks) < across * -(-height // h):
+                raise ValueError("strip or tile is missing")
+            area = height * width * samples
+            if area > MOST_SAMPLES or tiled and h * w * samples > MOST_SAMPLES:
+                yield UnsupportedPage("page is too large")
+                continue
+            if area > _GROWTH[packing] * sum(len(data[at : at + n]) for at, n in blocks):
+                raise ValueError("strip or tile is short")
             pixels = np.zeros((height, width, samples), np.uint8)
-            for k, (at, n) in enumerate(zip(offsets, counts)):
+            for k, (at, n) in enumerate(blocks):
                 top, left = k // across * h, k % across * w
                 rows = h if tiled else min(h, height - top)
                 raw = _UNPACK[packing](data[at : at + n], rows * w * samples)
@@ -249,8 +262,9 @@ def write_pages(pages: list[np.ndarray], packing: int = DEFLATE, predictor: int
 
 def tiff_pages(df: DataFrame, id_col: str, tiff_col: str) -> DataFrame:
     """One row per page of each TIFF: ``id, page, width, height, samples, compression, predictor, pixels, error``.  A page
-    of an unsupported kind gives a row with null pixels and the error.  A file that is no TIFF, or broken, gives the pages before the
-    fault and one such row; null gives no rows."""
+    of an unsupported kind, or of more than ``MOST_SAMPLES`` samples, gives a row with null pixels and the error.  A file that is no
+    TIFF, or broken, or that claims more samples than its bytes can hold, gives the pages before the fault and one such row;
+    null gives no rows.  No more is unpacked than a page claims."""
 
     def run(batches):
         names = ["id", "page", "width", "height", "samples", "compression", "predictor", "pixels", "error"]

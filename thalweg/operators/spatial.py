@@ -142,8 +142,9 @@ def snap(points: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
     return nodes.select("node_id", "x", "y", "members"), labels.join(nodes.select("first", "node_id"), "first").select("seq", "node_id")
 
 
-def dense_ids(df: DataFrame, key: str, name: str, slices: int = 64) -> DataFrame:
+def dense_ids(df: DataFrame, key: str, name: str, slices: int | None = None) -> DataFrame:
     """Consecutive numbers from 0 in the order of a unique key, by range partitions and their sizes, not in one task."""
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(df.repartitionByRange(slices, key).withColumn("_p", F.spark_partition_id()), "dense")
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min(key).alias("_lo"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

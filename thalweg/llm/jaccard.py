@@ -4,17 +4,19 @@ Sets of five-word shingles with Jaccard similarity of at least ``percent`` / 100
 (n + m) * (100 - percent) / (100 + percent) members.  Sizes are cut into bands so that similar sets lie in one band or in
 two adjacent ones, and each set is signed for its own band and for the next.
 
-* Within a band the feature domain (the hash range) is cut into n1 partitions, more than the sets may differ in, so
-  similar sets agree on whole partitions, on n1 - k of them at least.  A signature is the content of one partition.  As
-  several partitions must agree, a set may leave out its least telling signatures: they are ordered by how many rare
-  shingles they hold, and of s signatures of which c must agree the first s - c + 1 suffice.
+* Within a band the feature domain (the hash range) is cut into partitions, so many that sets of the band which differ in
+  at most k members differ in at most one member in one partition more than k // 2.  Each partition is cut into three parts;
+  where two sets differ in one member, two parts are equal.  All subsets of two of the three parts are enumerated; a
+  signature is the content of such a subset.  Partitions are taken in their order until k // 2 + 1 of them (k: what the set
+  itself may differ in) have members in two parts at least, so that no subset of them is empty.
 * Sets of 4 to 14 shingles use every shingle as a partition of its own: all subsets lacking up to (100 - percent) % of the
   members are enumerated.
 
 Both are complete: every similar pair shares a signature.  Sets sharing one form a group.  Copies collapse to one set first.
 Each member is compared exactly with the hub of its group, the member that meets most others, and linked sets become one
 component.  Other members of one hub are compared only if they are in different components and their parity sketches,
-which differ in at most as many bits as the sets in members, are near enough.
+which differ in at most as many bits as the sets in members, are near enough.  Signatures, hubs and components that very many
+sets have are dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -25,18 +27,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thalweg.llm import textkernel as tk
 from thalweg.operators.components import connected_components
-from thalweg.storage import materialize
+from thalweg.operators.skew import LARGE_KEYS, salted_join
+from thalweg.storage import forget, materialize
 
 PERCENT = 80
 _SMALL, _LEAST = 14, 4
 U64 = np.uint64
-#: Documents whose shingles are counted to tell frequent shingles from rare ones, and the count from which one is
-#: frequent.  This orders signatures; it drops nothing.
-_PROBE_DOCS, _FREQUENT, _MOST_FREQUENT, _CELLS = 8000, 6, 100_000, 1 << 20
+#: Documents whose signatures are counted to find those that a large part of all sets have, the count from which one is among
+#: them, and the most that are sent to the tasks.  This deals rows to tasks; it drops nothing.
+_PROBE_DOCS, _FREQUENT, _MOST_FREQUENT = 8000, 16, 100_000
 _SIG_ROWS = 1_500_000
+#: Parts of a partition, and pairs of set ids with one set from which they are dealt to more tasks.
+_PARTS, _LARGE_HUB, _BLOCK = 3, 4000, 2048
 
 
 def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,39 +65,43 @@ def _small_signatures(members: np.ndarray, percent: int) -> np.ndarray:
     return tk.mix(np.concatenate(out) ^ U64(0x1F83D9ABFB41BD6B))
 
 
-def _band_signatures(flat, bounds, docs, tags, low, high, percent, common):
+def _band_signatures(flat, bounds, docs, tags, low, high, percent):
     """Signatures of ``docs`` (indices of sets) for the bands ``tags``: owner index and signature, flat."""
     n = np.diff(bounds)[docs]
-    k_band = 2 * high * (100 - percent) // (100 + percent)
-    parts = ((k_band + 1) * 5 // 4 + 3)[tags]
-    greatest = np.minimum(high[tags], n * 100 // percent)
-    differ = (n + greatest) * (100 - percent) // (100 + percent)
+    most = 2 * high * (100 - percent) // (100 + percent) // 2 + 1
+    parts = (most + 2 + most // 16)[tags]
+    differ = (n + np.minimum(high[tags], n * 100 // percent)) * (100 - percent) // (100 + percent)
     at = np.repeat(bounds[docs], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
     members, owner = flat[at], np.repeat(np.arange(len(docs)), n)
-    part = ((members >> U64(32)) * parts[owner].astype(U64)) >> U64(32)
-    cut = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])])
-    content = np.add.reduceat(tk.mix(members ^ U64(0x3C6EF372FE94F82B)), cut)
-    rare = np.add.reduceat((~common[(members >> U64(44)).astype(np.int64)]).astype(np.int64), cut)
-    who = owner[cut]
-    tag = tags[who].astype(U64) * U64(0x9E3779B97F4A7C15)
-    signature = tk.mix(content + tag + part[cut] * U64(0xD1B54A32D192ED03))
-    order = np.argsort((who.astype(U64) << U64(40)) | ((U64(255) - np.minimum(rare, 255).astype(U64)) << U64(32)) | (signature >> U64(32)), kind="stable")
-    who, signature = who[order], signature[order]
-    filled = np.bincount(who, minlength=len(docs))
-    agree = parts - differ - (parts - filled)
-    keep = np.where(agree >= 1, filled - agree + 1, filled)
-    rank = np.arange(len(who)) - np.repeat(np.cumsum(filled) - filled, filled)
-    sure = rank < keep[who]
-    out_who, out_sig = [docs[who[sure]]], [signature[sure]]
-    for d in np.flatnonzero(agree < 1):  # so few partitions are filled that an empty one may be all that agrees
-        own = np.arange(bounds[docs[d]], bounds[docs[d] + 1])
-        empty = np.setdiff1d(np.arange(parts[d]), ((flat[own] >> U64(32)) * U64(parts[d])) >> U64(32)).astype(U64)
-        out_who.append(np.full(len(empty), docs[d]))
-        out_sig.append(tk.mix(empty * U64(0xD1B54A32D192ED03) + tags[d : d + 1].astype(U64) * U64(0x9E3779B97F4A7C15)))
+    first = np.cumsum(parts) - parts
+    part = first[owner] + (((members >> U64(32)) * parts[owner].astype(U64)) >> U64(32)).astype(np.int64)
+    mixed = tk.mix(members ^ U64(0x3C6EF372FE94F82B))
+    cell = part * _PARTS + (mixed % U64(_PARTS)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(cell[order]) != 0])
+    content = np.zeros(int(parts.sum()) * _PARTS, U64)
+    content[cell[order][cut]] = np.add.reduceat(mixed[order], cut)
+    filled = np.zeros(len(content), bool)
+    filled[cell] = True
+    content, filled = content.reshape(-1, _PARTS), filled.reshape(-1, _PARTS)
+    who = np.repeat(np.arange(len(docs)), parts)
+    telling = filled.sum(axis=1) >= 2
+    # partitions up to the one that makes enough telling ones; all, with empty subsets too, where there are not enough
+    met = np.cumsum(telling)
+    met -= (met[first] - telling[first])[who]
+    need = (differ // 2 + 1)[who]
+    kept = met - telling < need
+    short = (met[first + parts - 1] < differ // 2 + 1)[who]
+    name = tags[who].astype(U64) * U64(0x9E3779B97F4A7C15) + (np.arange(len(who)) - first[who]).astype(U64) * U64(0xD1B54A32D192ED03)
+    out_who, out_sig = [], []
+    for lacking, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
+        use = kept & (filled[:, a] | filled[:, b] | short)
+        out_who.append(docs[who[use]])
+        out_sig.append(tk.mix(tk.mix(content[use, a] + U64(lacking + 1)) * U64(3) + content[use, b] + name[use]))
     return np.concatenate(out_who), np.concatenate(out_sig)
 
 
-def signatures(flat: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(flat: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of a batch of sets: index of the set and signature."""
     n = np.diff(bounds)
     who, sig = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
@@ -105,7 +115,7 @@ def signatures(flat: np.ndarray, bounds: np.ndarray, percent: int, common: np.nd
         tag = band + step
         docs = np.flatnonzero((tag >= 0) & (n > _LEAST) & (n * 100 // percent >= low[np.maximum(tag, 0)]))
         if len(docs):
-            a, b = _band_signatures(flat, bounds, docs, tag[docs], low, high, percent, common)
+            a, b = _band_signatures(flat, bounds, docs, tag[docs], low, high, percent)
             who.append(a)
             sig.append(b)
     return np.concatenate(who), np.concatenate(sig)
@@ -153,50 +163,58 @@ def _sizes(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids.view(np.int64), mask=n == 0), _long(n)], ["doc_id", "set_id", "n_shingles"])
 
 
-def _shingles(batches):
-    seen = _Seen()
-    for _, _, _, flat, bounds in _batches(batches):
-        flat, bounds = _pick(flat, bounds, seen.fresh(tk.set_ids(flat, bounds)))
-        yield pa.RecordBatch.from_arrays([_long(flat)], ["shingle"])
+def _signer(percent: int, frequent=None, slices: int = 1):
+    """Rows ``key, slice, set_id``; those of frequent keys are dealt into slices 1, 2, ..."""
 
-
-def _signer(percent: int, common):
     def sign(batches):
-        cells, seen = np.zeros(_CELLS, bool), _Seen()
-        cells[common.value] = True
+        seen, hot = _Seen(), frequent.value if frequent is not None else np.zeros(0, U64)
         for _, _, _, flat, bounds in _batches(batches):
             ids = tk.set_ids(flat, bounds)
             fresh = seen.fresh(ids)
             flat, bounds = _pick(flat, bounds, fresh)
-            who, sig = signatures(flat, bounds, percent, cells)
-            yield pa.RecordBatch.from_arrays([_long(sig), _long(ids[fresh][who])], ["key", "set_id"])
+            who, sig = signatures(flat, bounds, percent)
+            own, part = ids[fresh][who], np.zeros(len(sig), np.int16)
+            if len(hot):
+                met = hot[np.minimum(np.searchsorted(hot, sig), len(hot) - 1)] == sig
+                part[met] = 1 + (tk.mix(own[met]) % U64(slices)).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([_long(sig), pa.array(part), _long(own)], ["key", "slice", "set_id"])
 
     return sign
 
 
 def _groups(batches):
-    """Rows of a partition whose key two sets or more have."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    """Rows of a partition whose key two sets or more have; those of frequent keys all."""
+    got = [tuple(c.to_numpy() for c in b.columns) for b in batches]
     if not got:
         return
-    key, ids = (np.concatenate(x) for x in zip(*got))
+    key, part, ids = (np.concatenate(x) for x in zip(*got))
     del got
     order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
+    key, part, ids = key[order], part[order], ids[order]
     fresh = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])] if len(key) else np.zeros(0, bool)
-    key, ids = key[fresh], ids[fresh]
+    key, part, ids = key[fresh], part[fresh], ids[fresh]
     if not len(key):
         return
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
-    many = np.repeat(size > 1, size)
+    many = np.repeat(size > 1, size) | (part > 0)
     yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(ids[many])], ["key", "set_id"])
 
 
-def _grouped(rows: DataFrame, n_rows: int) -> DataFrame:
-    """``rows(key, set_id)`` to the rows of groups, in partitions of a bounded size."""
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // _SIG_ROWS))
-    return materialize(rows.repartition(parts, "key").mapInArrow(_groups, "key long, set_id long"), "jaccard-groups")
+def _grouped(text: DataFrame, percent: int, n_docs: int, n_shingles: int) -> DataFrame:
+    """``key, set_id`` of the signatures that two sets or more have.  A first look at some documents tells which signatures a large part
+    of all sets have; their rows are dealt to many partitions."""
+    spark = text.sparkSession
+    share = min(1.0, _PROBE_DOCS / max(1, n_docs))
+    probe = text.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = "key long, slice short, set_id long"
+    counts = probe.mapInArrow(_signer(percent), rows).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= _FREQUENT)
+    keys = [r[0] for r in counts.orderBy(F.desc("n"), "key").limit(_MOST_FREQUENT).select("key").collect()]
+    frequent = spark.sparkContext.broadcast(np.sort(np.array(keys, np.int64).view(U64)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_shingles * 3 // 4 // _SIG_ROWS))
+    slices = min(32_000, max(16, parts // 64))
+    signed = text.mapInArrow(_signer(percent, frequent, slices), rows)
+    return materialize(signed.repartition(parts, "key", "slice").mapInArrow(_groups, "key long, set_id long"), "jaccard-groups")
 
 
 def _bit_places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -258,34 +276,83 @@ def _members(bloom):
 
 def _hub_pairs(groups: DataFrame) -> DataFrame:
     """``a, b``: each member b of a group with the hub a of the group, the member that meets most others over all groups."""
-    size = groups.groupBy("key").agg(F.count("*").alias("n"))
-    met = groups.join(size, "key").groupBy("set_id").agg(F.sum("n").alias("met"))
-    top = groups.join(met, "set_id").groupBy("key").agg(F.max(F.struct("met", "set_id")).alias("top"))
-    return groups.join(top, "key").select(F.col("top.set_id").alias("a"), F.col("set_id").alias("b")).where("a <> b").distinct()
-
-
-def _compared(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """``a, b, n, m, differ`` of pairs of set ids: sizes and exact symmetric difference."""
-    left = members.select(F.col("set_id").alias("a"), F.col("members").alias("p"))
-    right = members.select(F.col("set_id").alias("b"), F.col("members").alias("q"))
-    n, m = F.size("p"), F.size("q")
-    shared = F.size(F.array_intersect("p", "q"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", n.alias("n"), m.alias("m"), (n + m - 2 * shared).alias("differ"))
+    total = groups.count()
+    size = groups.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("members"))
+    met = salted_join(groups, size, "key", total, "set_id", least=_LARGE_HUB).groupBy("set_id").agg(F.sum("members").alias("met"))
+    top = groups.join(met, "set_id").groupBy("key").agg(F.max(F.struct("met", "set_id")).alias("top"), F.count("*").alias("n"))
+    return salted_join(groups, top, "key", total, "set_id", least=_LARGE_HUB).select(F.col("top.set_id").alias("a"), F.col("set_id").alias("b")).where("a <> b").distinct()
+
+
+def _differences(percent: int):
+    """Sorted rows ``a, slice, b, members``, the row of the hub a itself (b null) first, to pairs ``a, b`` of similar sets.  Only the hub's
+    members are held."""
+
+    def run(batches):
+        at, hub = None, None
+        for batch in batches:
+            a, part, b, lists = batch.columns
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            ends -= ends[0]
+            a, part = a.to_numpy(zero_copy_only=False), part.to_numpy(zero_copy_only=False)
+            own = np.array(b.is_null())
+            b = b.fill_null(0).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (part[1:] != part[:-1])]) if len(a) else np.zeros(0, np.int64)
+            out_a, out_b = [], []
+            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(a)]):
+                if own[lo]:
+                    at, hub = (a[lo], part[lo]), flat[ends[lo] : ends[lo + 1]].copy()
+                    lo += 1
+                if lo == hi:
+                    continue
+                assert at == (a[lo], part[lo])
+                values = flat[ends[lo] : ends[hi]]
+                shared = np.r_[0, np.cumsum(hub[np.minimum(np.searchsorted(hub, values), len(hub) - 1)] == values)]
+                size = np.diff(ends[lo : hi + 1])
+                both = len(hub) + size
+                differ = both - 2 * (shared[ends[lo + 1 : hi + 1] - ends[lo]] - shared[ends[lo:hi] - ends[lo]])
+                near = differ * (100 + percent) <= both * (100 - percent)
+                out_a.append(a[lo:hi][near])
+                out_b.append(b[lo:hi][near])
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+    return run
+
+
+def _similar(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b`` of set ids that are similar.  ``pairs``: a table.  The members of b go to the place of a; a set a
+    in very many pairs is repeated in several places."""
+    own = members.select("set_id", "members")
+    total = pairs.count()
+    share = max(_LARGE_HUB, total // LARGE_KEYS)
+    times = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    slices = F.ceil(F.col("n") / share).cast("int")
+    large = times.where(F.col("n") > share).select("a", slices.alias("slices"))
+    dealt = pairs.join(F.broadcast(large), "a", "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64("b"), "slices"), F.lit(0)).cast("int"))
+    right = dealt.select("a", "slice", "b").join(own.withColumnRenamed("set_id", "b"), "b").select("a", "slice", "b", "members")
+    left = times.join(own.withColumnRenamed("set_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(None).cast("long").alias("b"), "members")
+    rows = left.unionByName(right).repartition("a", "slice").sortWithinPartitions("a", "slice", F.asc_nulls_first("b"))
+    return rows.mapInArrow(_differences(percent), "a long, b long")
 
 
 def _open_pairs(tested: DataFrame, found: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of members of one hub that are in different components and whose sketches are near enough for similar sets.  Members
-    of a group have a hub in common, so no similar pair is missed.  The test is part of the join; what fails it is not made."""
+    of a group have a hub in common, so no similar pair is missed.  The test is part of the join; what fails it is not made.  The
+    members of a large hub are dealt into blocks, and each two blocks meet in a place of their own."""
     rows = tested.select(F.col("a").alias("hub"), F.col("b").alias("x")).join(found.select(F.col("node").alias("x"), "component"), "x", "left")
     rows = rows.select("hub", "x", F.coalesce("component", "x").alias("c"))
-    mixed = rows.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("hub")
+    mixed = rows.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks")).where("lo < hi").drop("lo", "hi")
     words = [f"s{k}" for k in range(SKETCH // 64)]
     marks = members.select(F.col("set_id").alias("x"), F.size("members").cast("long").alias("size"), *[F.col("sketch")[k].alias(w) for k, w in enumerate(words)])
-    rows = materialize(rows.join(mixed, "hub", "left_semi").join(marks, "x"), "jaccard-open")
-    other = rows.select("hub", *[F.col(c).alias(f"{c}_") for c in ("x", "c", "size", *words)])
+    rows = salted_join(rows, mixed, "hub", tested.count(), "x", least=_LARGE_HUB).join(marks, "x")
+    rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("x", F.lit(5)), "blocks").cast("int")), "jaccard-open")
+    own = rows.select("hub", "x", "c", "size", *words, F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    other = rows.select("hub", *[F.col(c).alias(f"{c}_") for c in ("x", "c", "size", *words)], F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
     apart = " + ".join(f"bit_count({w} ^ {w}_)" for w in words)
     near = f"({apart}) * {100 + percent} <= (size + size_) * {100 - percent}"
-    return rows.join(other, "hub").where(f"x < x_ and c <> c_ and {near}").select(F.col("x").alias("a"), F.col("x_").alias("b")).distinct()
+    met = own.join(other, ["hub", "i", "j"]).where(f"(i < j or x < x_) and c <> c_ and {near}")
+    return met.select(F.least("x", "x_").alias("a"), F.greatest("x", "x_").alias("b")).distinct()
 
 
 def document_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,28 +366,30 @@ def similar_sets(df: DataFrame, sets: DataFrame, text_col: str = "text", percent
     spark = df.sparkSession
     text = df.select(F.col(text_col).cast("string").alias("text"))
     n_docs, n_shingles = sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    share = min(1.0, _PROBE_DOCS / max(1, n_docs))
-    probe = text.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = probe.mapInArrow(_shingles, "shingle long").groupBy("shingle").count().where(F.col("count") >= _FREQUENT)
-    frequent = [r[0] for r in counts.orderBy(F.desc("count"), "shingle").limit(_MOST_FREQUENT).select("shingle").collect()]
-    cells = np.unique((np.array(frequent, np.int64).view(U64) >> U64(44)).astype(np.int64))
-    common = spark.sparkContext.broadcast(cells)
-    groups = _grouped(text.mapInArrow(_signer(percent, common), "key long, set_id long"), n_shingles // 2)
+    groups = _grouped(text, percent, n_docs, n_shingles)
     ids = materialize(groups.select("set_id").distinct(), "jaccard-ids")
     n_ids = ids.count()
     if not n_ids:
         return spark.createDataFrame([], "node long, component long")
     bloom = spark.sparkContext.broadcast(_bloom(ids, n_ids))
     members = materialize(text.mapInArrow(_members(bloom), "set_id long, members array<long>, sketch array<long>").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-members")
-    similar = F.col("differ") * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
-    tested = materialize(_compared(_hub_pairs(groups), members), "jaccard-tested")
-    links = tested.where(similar).select("a", "b")
+    tested = materialize(_hub_pairs(groups), "jaccard-tested")
+    links = materialize(_similar(tested, members, percent), "jaccard-links")
     found = materialize(connected_components(links), "jaccard-components")
-    more = _compared(_open_pairs(tested, found, members, percent), members).where(similar).select("a", "b")
-    more = materialize(more, "jaccard-links")
+    open_pairs = materialize(_open_pairs(tested, found, members, percent), "jaccard-pairs")
+    more = materialize(_similar(open_pairs, members, percent), "jaccard-links")
+    forget(groups, ids, members, tested, open_pairs)
     return found if more.isEmpty() else connected_components(links.unionByName(more))
 
 
+def _named(own: DataFrame, found: DataFrame) -> DataFrame:
+    """``set_id, component, component_id`` of sets ``own(set_id, m)``, m being the smallest id of a set: the component's smallest id."""
+    labelled = own.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    labelled = materialize(labelled, "jaccard-named")
+    least = labelled.groupBy("component").agg(F.min("m").alias("component_id"), F.count("*").alias("n"))
+    return salted_join(labelled, least, "component", labelled.count(), "set_id", least=256).select("set_id", "component", "component_id")
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
@@ -331,27 +400,49 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table gives no rows.
     """
     sets = materialize(document_sets(df, id_col, text_col), "jaccard-sets")
-    found = similar_sets(df, sets, text_col, percent).withColumnRenamed("node", "set_id")
-    own = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("m"))
-    labelled = own.join(found, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least = labelled.groupBy("component").agg(F.min("m").alias("component_id"))
-    named = labelled.join(least, "component").select("set_id", "component_id")
-    return sets.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id"))).alias("component_id"))
+    return _labelled(sets, _components(df, sets, text_col, percent)[1])
+
+
+def _components(df, sets, text_col, percent):
+    """Number of rows of the sets, and ``set_id, component, component_id, n``, n being the number of rows with that set."""
+    own = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("m"), F.count("*").alias("n"))
+    own = materialize(own, "jaccard-own")
+    return own.select("set_id", "n"), _named(own.drop("n"), similar_sets(df, sets, text_col, percent)).join(own.drop("m"), "set_id")
+
+
+def _labelled(sets: DataFrame, named: DataFrame) -> DataFrame:
+    alone = sets.where("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = salted_join(sets.where("set_id is not null").withColumn("_any", F.monotonically_increasing_id()), named.select("set_id", "component_id", "n"), "set_id", sets.count(), "_any", least=_LARGE_HUB)
+    return rows.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row of each group of similar rows, the one with the smallest id; columns as in ``df``.
+    """One row of each group of similar rows, the one with the smallest id; columns as in ``df``, whatever their names.
 
-    Rows without shingles (null text, no words) all stay.  Rows with a null id, and rows that share an id, can't be told
-    apart by it: those all stay that carry the smallest id of their group or none, but exact repeats of a text are one row.
+    Rows without shingles (null text, no words) all stay.  A null id comes after all others.  Of rows of a group with the same
+    id the one whose text has the smallest md5 stays; rows that are equal in both are repeats, of which one stays.  An empty table
+    gives no rows.
     """
-    sets = materialize(jaccard_components(df, id_col, text_col, percent), "jaccard-labels")
-    kept = sets.where("doc_id is not null and doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = df.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi")
-    out = named.unionByName(df.where(F.col(id_col).isNull()))
-    if sets.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = out.withColumn("_text_key", F.xxhash64(text)).withColumn("_filled", text.rlike("[^\\x20\\x09-\\x0D]"))
-    once = marked.where("_filled").dropDuplicates([id_col, "_text_key"])
-    return once.unionByName(marked.where("not _filled")).select(*[F.col(f"`{c}`") for c in df.columns])
+    sets = materialize(document_sets(df, id_col, text_col), "jaccard-sets")
+    _, named = _components(df, sets, text_col, percent)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    if sets.where("doc_id is null").isEmpty() and sets.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = named.select(F.col("component_id").alias("key")).distinct().unionByName(sets.where("set_id is null").select(F.col("doc_id").alias("key")))
+        return packed.join(kept, "key", "left_semi").select("row.*")
+    # ids do not tell rows apart: each row goes by its own set
+    at = F.struct(F.col("key").isNull().alias("none"), "key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    own = packed.withColumn("at", at).mapInArrow(_set_of_row, T.StructType([*packed.schema.fields, T.StructField("at", packed.select(at.alias("at")).schema[0].dataType), T.StructField("set_id", T.LongType())]))
+    own = materialize(own, "jaccard-rows")
+    mine = salted_join(own.where("set_id is not null").withColumn("any", F.monotonically_increasing_id()), named.select("set_id", "component", "n"), "set_id", sets.count(), "any", least=_LARGE_HUB)
+    once = mine.groupBy("component").agg(F.min_by("row", "at").alias("row"))
+    return once.select("row.*").unionByName(own.where("set_id is null").select("row.*"))
+
+
+def _set_of_row(batches):
+    for batch in batches:
+        ids = []
+        data, offsets = tk.utf8(batch.column(batch.schema.get_field_index("text")))
+        for lo, hi in tk.chunks(offsets):
+            ids.append(tk.set_ids(*tk.shingle_sets(data, offsets[lo : hi + 1])))
+        ids = np.concatenate(ids) if ids else np.zeros(0, U64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids.view(np.int64), mask=ids == 0)], [*batch.schema.names, "set_id"])

@@ -77,3 +77,38 @@ def test_edge_cases(spark):
     assert L.identify(docs.limit(0)).collect() == []
     untaught = docs.select("doc_id", "text").selectExpr("*", "cast(null as string) lang")
     assert {r.lang_pred for r in L.identify(untaught).collect()} == {"und"}
+
+
+def test_thirty_languages_in_several_scripts():
+    """No context is left out, however many languages and symbols there are."""
+    rng = np.random.default_rng(5)
+    letters = ["abcdefghijklmnop", "абвгдежзийклмноп", "กขคงจฉชซญฎฏฐฑฒณด", "αβγδεζηθικλμνξοπ", "あいうえおかきくけこさしすせそた"]
+    texts = {}
+    for k in range(30):
+        own = list(letters[k % 5])
+        words = ["".join(rng.choice(own, int(rng.integers(2, 6)))) for _ in range(40)]
+        texts[f"l{k:02}"] = [" ".join(rng.choice(words, 120)) for _ in range(2)]
+    model = L.Trees(texts)
+    probes = [texts[k][0][:70] for k in list(texts)[::6]]
+    got = model.lengths(*tk.utf8(pa.array(probes)))
+    want = [[plain_cost(texts[lang], p) for lang in model.langs] for p in probes]
+    assert np.allclose(got, want, atol=2e-3)
+    assert model.nbytes() < 30 * 200_000
+    data, offsets = tk.utf8(pa.array([t[1] for t in texts.values()]))
+    assert (model.predict(data, offsets)[0] == np.arange(30)).all()
+
+
+def test_little_room_changes_nothing(monkeypatch):
+    model = L.Trees({"x": ["the cat sat on the mat " * 3], "y": ["der hund und die katze " * 4]})
+    args = tk.utf8(pa.array(["the cat and the dog", "", "x", "die katze und der hund " * 9]))
+    whole = model.lengths(*args)
+    monkeypatch.setattr(L, "_REMEMBERED", 12)
+    monkeypatch.setattr(L, "_BLOCK", 11)
+    model.forget()
+    assert np.allclose(whole, model.lengths(*args))
+
+
+def test_a_language_of_copies_is_learned(spark):
+    rows = [(k, "der hund und die katze " * 20, "de") for k in range(3000)] + [(5000 + k, f"the cat {k}", "en") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.fit(docs).langs == ["de", "en"]

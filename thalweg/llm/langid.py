@@ -4,25 +4,73 @@ Each language has a context tree of up to three bytes with frozen counts.  A byt
 context known to the tree; where it was never seen there, the escape share is paid and the next shorter context is asked,
 down to a uniform byte.  The language with the shortest total code is predicted.
 
-With frozen counts the cost of a byte depends on the context and the byte alone, so the trees of all languages become one
-table, state x byte x language, and a text is scored by table look-ups on its byte columns.  Bytes never seen in training
-cost the same everywhere and share one symbol, so the table is exact.
+Trees are kept as sorted arrays of the contexts and followers that occur, so a tree takes some 12 bytes for each distinct run
+of up to four bytes in its sample, whatever the number of languages and scripts; no context is left out for room.  With frozen
+counts the cost of a byte depends on the four bytes that end with it alone, so a worker works out the costs of a run of four
+once under all languages, remembers them, and adds up texts by look-ups.  Bytes never seen in training cost the same everywhere
+and share one symbol.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.llm import textkernel as tk
 
-#: Bounds of the training sample: bytes a language (expected) and bytes of one text in it, texts being taken whole.
-TRAIN_BYTES, TRAIN_TEXT_BYTES = 600_000, 60_000
-#: A context is in the tree from this count on; the table holds at most so many entries.
-LEAST_COUNT, MOST_ENTRIES = 4, 16_000_000
+#: Bounds of the training sample: bytes a language (expected), bytes of all languages together, which share that evenly if they
+#: are more than some hundred, and bytes of one text in it, texts being taken whole.
+TRAIN_BYTES, TRAIN_TOTAL, TRAIN_TEXT_BYTES = 600_000, 96 << 20, 60_000
+#: A context is in the tree from this count on.
+LEAST_COUNT = 4
+ORDERS = 3
 _BLOCK = 1 << 19
+#: Costs that a worker remembers (runs of four bytes times languages), and slots in which they are looked up.
+_REMEMBERED, _SLOTS = 8_000_000, 1 << 20
+
+
+def _runs(block: np.ndarray, a: int) -> np.ndarray:
+    """Code of the four symbols that end at each place of a block that starts with three zeros."""
+    s = block.astype(np.int64)
+    return ((s[:-3] * a + s[1:-2]) * a + s[2:-1]) * a + s[3:]
+
+
+class Tree:
+    """One language: costs of single symbols, and for each order the contexts with their escape costs and the followers with theirs."""
+
+    def __init__(self, codes: np.ndarray, a: int):
+        n = np.bincount(codes % a, minlength=a)
+        total, kinds = n.sum(), (n > 0).sum()
+        with np.errstate(divide="ignore"):
+            lacking = np.log2(total + kinds) - np.log2(kinds) + 8.0 if total else 8.0
+            self.single = np.where(n > 0, np.log2(max(1, total + kinds)) - np.log2(n), lacking)
+        self.orders = []
+        for k in range(1, ORDERS + 1):
+            pairs, n = np.unique(codes % a ** (k + 1), return_counts=True)
+            contexts, first = np.unique(pairs // a, return_index=True)
+            total, kinds = np.add.reduceat(n, first) if len(n) else n, np.diff(np.r_[first, len(n)])
+            known = total >= LEAST_COUNT
+            member = np.repeat(known, kinds)
+            hit = np.log2(np.repeat(total + kinds, kinds)) - np.log2(n)
+            escape = np.log2(total + kinds) - np.log2(kinds)
+            self.orders.append((contexts[known].astype(np.uint32), escape[known].astype(np.float32), pairs[member].astype(np.uint32), hit[member].astype(np.float32)))
+
+    def costs(self, codes: np.ndarray, a: int) -> np.ndarray:
+        out = self.single[codes % a]
+        for k, (contexts, escape, pairs, hit) in enumerate(self.orders, 1):
+            if len(contexts):
+                pair = (codes % a ** (k + 1)).astype(np.uint32)
+                context = pair // np.uint32(a)
+                at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+                out = np.where(contexts[at] == context, out + escape[at], out)
+                at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+                out = np.where(pairs[at] == pair, hit[at], out)
+        return out
+
+    def nbytes(self) -> int:
+        return self.single.nbytes + sum(x.nbytes for order in self.orders for x in order)
 
 
 class Trees:
@@ -30,7 +78,7 @@ class Trees:
         self.langs = sorted(texts)
         if not texts:
             return
-        blocks = {k: np.frombuffer(b"\0\0\0".join(t.encode() for t in texts[k]) + b"\0\0\0", np.uint8) for k in self.langs}
+        blocks = {k: np.frombuffer(b"\0\0\0" + b"\0\0\0".join(t.encode() for t in texts[k]), np.uint8) for k in self.langs}
         seen = np.zeros(256, bool)
         for b in blocks.values():
             seen[tk.LOWER[b]] = True
@@ -39,37 +87,52 @@ class Trees:
         symbol = np.zeros(256, np.int32)
         symbol[seen] = np.arange(1, a)
         self.symbol = symbol[tk.LOWER]  # 0: unseen in training, and before the start of a text
-        n_langs = len(self.langs)
-        counts = []
+        self.trees = []
         for k in self.langs:
-            s = self.symbol[blocks[k]].astype(np.int64)
-            s = np.r_[0, 0, 0, s]
-            here = s[3:] > 0
-            c3, c2, c1, now = s[:-3][here], s[1:-2][here], s[2:-1][here], s[3:][here]
-            counts.append((np.bincount(now, minlength=a), np.bincount(c1 * a + now, minlength=a * a), np.bincount((c2 * a + c1) * a + now, minlength=a**3), ((c3 * a + c2) * a + c1, now)))
-        cost = np.empty((a, n_langs))
-        first = np.empty((a, a, n_langs))
-        second = np.empty((a, a, a, n_langs), np.float32)
-        for j, (n0, n1, n2, _) in enumerate(counts):
-            cost[:, j] = _escape(n0[None, :], np.full((1, a), 8.0))[0]
-            first[:, :, j] = _escape(_pruned(n1.reshape(a, a)), np.broadcast_to(cost[:, j], (a, a)))
-            second[:, :, :, j] = _escape(_pruned(n2.reshape(a * a, a)), np.tile(first[:, :, j], (a, 1))).reshape(a, a, a)
-        total = np.zeros(a**3, np.int64)
-        for *_, (context, _) in counts:
-            n = np.bincount(context, minlength=a**3)
-            total = np.maximum(total, np.where(n >= LEAST_COUNT, n, 0))
-        known = np.flatnonzero(total)
-        room = max(0, MOST_ENTRIES // (a * max(1, n_langs)) - a * a)
-        known = np.sort(known[np.argsort(-total[known], kind="stable")[:room]])
-        third = np.empty((len(known), a, n_langs), np.float32)
-        at = np.full(a**3, -1, np.int64)
-        at[known] = np.arange(len(known))
-        for j, (*_, (context, now)) in enumerate(counts):
-            row = at[context]
-            n = np.bincount(row[row >= 0] * a + now[row >= 0], minlength=len(known) * a).reshape(-1, a)
-            third[:, :, j] = _escape(_pruned(n), second.reshape(a * a, a, n_langs)[known % (a * a), :, j])
-        self.state = np.where(at >= 0, at + a * a, np.arange(a**3) % (a * a)).astype(np.int32)
-        self.cost = np.concatenate([second.reshape(-1, n_langs), third.reshape(-1, n_langs)])
+            codes = _runs(self.symbol[blocks[k]], a)
+            self.trees.append(Tree(codes[codes % a > 0], a))
+        self.forget()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("codes", "known", "slots")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes, self.known = np.zeros(0, np.int64), np.zeros((0, len(self.langs)), np.float32)
+        self.slots = np.zeros(_SLOTS, np.int32)
+
+    def nbytes(self) -> int:
+        """Bytes sent to a worker."""
+        return sum(t.nbytes() for t in self.trees) if self.langs else 0
+
+    def _slot(self, codes):
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 20)).astype(np.int64) & (_SLOTS - 1)
+
+    def costs(self, codes: np.ndarray) -> np.ndarray:
+        """Costs of runs under each language, float32; those met before are remembered."""
+        at = np.zeros(len(codes), np.int64)
+        hit = np.zeros(len(codes), bool)
+        if len(self.codes):
+            at = self.slots[self._slot(codes)].astype(np.int64)
+            hit = self.codes[at] == codes
+            rest = np.flatnonzero(~hit)
+            at[rest] = np.minimum(np.searchsorted(self.codes, codes[rest]), len(self.codes) - 1)
+            hit[rest] = self.codes[at[rest]] == codes[rest]
+        if not hit.all():
+            fresh = np.unique(codes[~hit])
+            if len(self.codes) and (len(self.codes) + len(fresh)) * len(self.langs) > _REMEMBERED:
+                self.forget()
+                fresh = np.unique(codes)
+            rows = np.stack([t.costs(fresh, self.size) for t in self.trees], axis=1).astype(np.float32)
+            every = np.r_[self.codes, fresh]
+            order = np.argsort(every, kind="stable")
+            self.codes, self.known = every[order], np.concatenate([self.known, rows])[order]
+            self.slots[self._slot(self.codes)] = np.arange(len(self.codes), dtype=np.int32)
+            at = np.searchsorted(self.codes, codes)
+        return self.known[at]
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each text under each language, in bits."""
@@ -88,7 +151,7 @@ class Trees:
                 at = at[(at >= 0) & (at < hi - lo)]
                 for column in columns:
                     column[at] = 0
-            bits = self.cost[self.state[(three * a + two) * a + one] * a + s[3:]]
+            bits = self.costs(((three.astype(np.int64) * a + two) * a + one) * a + s[3:])
             first, last = np.searchsorted(offsets, lo, "right") - 1, np.searchsorted(offsets, hi, "left")
             docs = np.arange(first, last)
             begin = np.maximum(offsets[docs], lo) - lo
@@ -103,34 +166,26 @@ class Trees:
         return best, 1.0 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
 
 
-def _pruned(n):
-    return np.where(n.sum(axis=1, keepdims=True) >= LEAST_COUNT, n, 0)
-
-
-def _escape(n, lower):
-    """Costs in contexts (rows) with counts n, where escapes lead to costs ``lower``; rows without counts are ``lower``."""
-    total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        hit = np.log2(total + kinds) - np.log2(n)
-        miss = np.log2(total + kinds) - np.log2(kinds) + lower
-    return np.where(total == 0, lower, np.where(n > 0, hit, miss))
-
-
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> Trees:
     """Trees from texts whose crc32 of the id as text is not 1 modulo 3 and whose lang is not null.  The sample is drawn by a
-    hash of the text, copies once, to about ``TRAIN_BYTES`` a language; texts over ``TRAIN_TEXT_BYTES`` are not in it."""
+    hash of the text, copies once, to about ``TRAIN_BYTES`` a language, one text of each at least; texts over
+    ``TRAIN_TEXT_BYTES`` are not in it."""
     rows = docs.where(~F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False)))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null").withColumn("n", F.octet_length("text")).where(F.col("n").between(1, TRAIN_TEXT_BYTES))
-    totals = rows.groupBy("lang").agg(F.sum("n")).collect()
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 40)))
+    totals = rows.groupBy("lang", "h").agg(F.max("n").alias("n")).groupBy("lang").agg(F.sum("n"), F.min("h")).collect()
     if not totals:
         return Trees({})
-    shares = F.create_map(*[x for lang, n in totals for x in (F.lit(lang), F.lit(int(min(1.0, TRAIN_BYTES / n) * (1 << 30))))])
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < shares[F.col("lang")])
-    texts: dict[str, list[str]] = {lang: [] for lang, _ in totals}
-    for lang, text in sorted(drawn.select("lang", "text").distinct().collect()):
+    each = min(TRAIN_BYTES, TRAIN_TOTAL // len(totals))
+    below = {lang: max(least + 1, int(min(1.0, each / n) * (1 << 40))) for lang, n, least in totals}
+    limits = docs.sparkSession.createDataFrame(list(below.items()), "lang string, below long")
+    drawn = rows.join(F.broadcast(limits), "lang").where("h < below")  # a row a language
+    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang", "h").orderBy("text"))).where("k = 1")
+    texts: dict[str, list[str]] = {lang: [] for lang in below}
+    for lang, text in sorted(drawn.select("lang", "text").collect()):
         texts[lang].append(text)
-    return Trees({k: v for k, v in texts.items() if v})
+    return Trees(texts)
 
 
 def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:

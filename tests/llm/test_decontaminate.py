@@ -70,7 +70,7 @@ def test_items_of_every_length_with_spread_edits():
     """None is missed: exact copies of short items, and items with the most edits allowed, evenly spread."""
     rng = random.Random(8)
     texts, docs = [], []
-    for n in [*range(1, 41)] * 5:
+    for n in [*range(1, 61)] * 5:
         piece = [f"v{rng.randrange(5000)}" for _ in range(n)]
         texts.append(" ".join(piece))
         edits = n * 20 // 100
@@ -100,3 +100,13 @@ def test_edge_cases(spark):
     assert D.find_leaks(docs, bench.limit(0)).collect() == [] and D.find_leaks(docs.limit(0), bench).collect() == []
     assert sorted(r.doc_id for r in D.drop_leaks(docs, bench).collect()) == [1, 2]
     assert D.drop_leaks(docs, bench).columns == docs.columns
+
+
+def test_ids_of_other_types_and_other_names(spark):
+    docs = spark.createDataFrame([("a", "well yes, of course", 1), ("b", "no", 2)], "doc_id string, text string, item_id int")
+    for kind, ids in (("short", (1, None)), ("double", (1.5, 2.5)), ("date", ("2024-01-02", None)), ("boolean", (True, False)), ("decimal(10,2)", ("1.25", "2.5"))):
+        bench = spark.createDataFrame([(None if i is None else str(i), w) for i, w in zip(ids, ("yes", "of course"))], "k string, words string").selectExpr(f"cast(k as {kind}) as item", "words")
+        got = D.find_leaks(docs, bench, item_col="item", item_text_col="words")
+        assert dict(got.dtypes)["item_id"] == dict(bench.dtypes)["item"]
+        assert {r.item_id for r in got.collect()} == {r.item for r in bench.collect()} and {r.doc_id for r in got.collect()} == {"a"}
+    assert [r.doc_id for r in D.drop_leaks(docs, bench, item_col="item", item_text_col="words").collect()] == ["b"]

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from thalweg.llm import textkernel as tk
 
@@ -246,30 +247,32 @@ def _matcher(held, percent, whole_rows, id_at, text_at, ids=None, id_type=None):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", percent: int = PERCENT) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", percent: int = PERCENT, item_text_col="text") -> DataFrame:
     """One row per document and item it contains: ``doc_id, item_id, edits, item_words, first_word, end_word, similarity``.
 
     A document contains an item of n words if one of its passages is within n * (100 - percent) // 100 word edits of it;
     ``edits`` is the least such distance found.  Null and empty texts, and items without words, match nothing.  Repeated rows
-    give repeated matches, equal items each a match.  Null ids are reported as null.  An empty table on either side gives
-    no rows; other columns are ignored.
+    give repeated matches, equal items each a match.  Null ids are reported as null; ids of items and documents may be of
+    any simple type.  An empty table on either side gives no rows; other columns are ignored.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    item_kind = dict(benchmark.dtypes)[item_col]
+    item_type = benchmark.select(F.col(item_col)).schema[0].dataType
+    item_kind = item_type.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, edits int, item_words int, first_word long, end_word long"
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
-    for ids, texts in _blocks(benchmark, item_col, "text"):
+    arrow = to_arrow_type(item_type)
+    for ids, texts in _blocks(benchmark, item_col, item_text_col):
         held = spark.sparkContext.broadcast(Items(texts, percent))
         out = out.unionByName(narrow.mapInArrow(_matcher(held, percent, False, 0, 1, ids, arrow), schema))
     return out.withColumn("similarity", F.lit(1.0) - F.col("edits") / F.col("item_words"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that contain no item; columns as in ``docs``."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", percent: int = PERCENT, item_text_col="text") -> DataFrame:
+    """The rows of ``docs`` that contain no item; columns as in ``docs``.  Null and empty texts stay, as do all rows where there are no
+    items; repeated rows stay or go alike."""
     spark = docs.sparkSession
-    for _, texts in _blocks(benchmark, item_col, "text"):
+    for _, texts in _blocks(benchmark, item_col, item_text_col):
         held = spark.sparkContext.broadcast(Items(texts, percent))
         docs = docs.mapInArrow(_matcher(held, percent, True, None, docs.columns.index(text_col)), docs.schema)
     return docs

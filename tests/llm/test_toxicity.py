@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -91,3 +92,52 @@ def test_scores_do_not_depend_on_the_batch():
     data, offsets = tk.utf8(texts)
     alone = [net.scores(net.document_logits(data, offsets[i : i + 2]))[0] for i in range(len(rows))]
     assert np.allclose(together, alone, atol=1e-4)
+
+
+def plain_logit(net, text):
+    """The largest window logit, word by word and step by step in plain Python."""
+    import math
+
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    h = T.HIDDEN
+    words = [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if w]
+
+    def vector(word):
+        (key,) = tk.words(*tk.utf8(pa.array([word])))[0].tolist()
+        known = np.flatnonzero(net.vocabulary == np.uint64(key))
+        b = [1, *word.encode(), 2]
+        grams = [((b[i] * 961 + b[i + 1]) * 1021 + b[i + 2]) * 2654435761 // 4096 % T.TRIGRAMS for i in range(len(b) - 2)]
+        chars = [sum(p["char"][g][k] for g in grams) / len(grams) for k in range(T.CHAR_DIM)]
+        return p["word"][known[0] if len(known) else -1] + chars
+
+    def read(window, d):
+        state, out = [0.0] * h, []
+        for x in window:
+            g = [sum(a * w for a, w in zip(x, column)) + b for column, b in zip(zip(*p[f"W{d}"]), p[f"b{d}"])]
+            u = list(zip(*p[f"U{d}"]))
+            dot = lambda v, column: sum(a * w for a, w in zip(v, column))
+            z = [1 / (1 + math.exp(-g[k] - dot(state, u[k]))) for k in range(h)]
+            r = [1 / (1 + math.exp(-g[h + k] - dot(state, u[h + k]))) for k in range(h)]
+            gated = [a * b for a, b in zip(r, state)]
+            n = [math.tanh(g[2 * h + k] + dot(gated, u[2 * h + k])) for k in range(h)]
+            state = [(1 - z[k]) * n[k] + z[k] * state[k] for k in range(h)]
+            out.append(state)
+        return out
+
+    best = -math.inf
+    starts = sorted({min(s, max(0, len(words) - T.WINDOW)) for s in range(0, max(1, len(words) - T.WINDOW + T.STRIDE), T.STRIDE)})
+    for s in starts if words else []:
+        window = [vector(w) for w in words[s : s + T.WINDOW]]
+        states = [a + b for a, b in zip(read(window, "f"), reversed(read(window[::-1], "b")))]
+        weights = [math.exp(sum(a * v for a, v in zip(x, p["v"]))) for x in states]
+        pooled = [sum(w * x[k] for w, x in zip(weights, states)) / sum(weights) for k in range(2 * h)]
+        best = max(best, sum(a * b for a, b in zip(pooled, p["out"])) + p["bias"][0])
+    return best
+
+
+def test_scores_against_a_plain_network():
+    rows, labels = made(80, 7)
+    net = T.train([t for _, t in rows], [x for _, _, x in labels], epochs=(2, 2))
+    texts = [rows[0][1], rows[1][1], "Vile, AWFUL word3!", "é unknown words über alles", "x", "", " ".join(f"word{i % 50}" for i in range(85))]
+    data, offsets = tk.utf8(pa.array(texts))
+    assert np.allclose(net.document_logits(data, offsets), [plain_logit(net, t) for t in texts], atol=2e-3)

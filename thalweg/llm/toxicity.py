@@ -9,6 +9,8 @@ later passes keep, of a toxic document, only the windows that score highest.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,9 +141,13 @@ class Network:
         grad["v"] = np.einsum("bt,bth->h", g_e, states)
         g_states = w[:, :, None] * g_pooled[:, None, :] + g_e[:, :, None] * p["v"]
         g_x = np.zeros_like(x)
+        by_kind = np.argsort(kinds.T, axis=None, kind="stable")  # steps and windows in the order of their words
+        named = kinds.T.ravel()[by_kind]
+        first = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
         for d, cut in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
             u_zr, u_n = p[f"U{d}"][:, : 2 * h], p[f"U{d}"][:, 2 * h :]
             g_u, g_gates = np.zeros_like(p[f"U{d}"]), np.zeros((len(x), 3 * h), np.float32)
+            g_steps = np.empty((kinds.shape[1], len(kinds), 3 * h), np.float32)
             carry = np.zeros((len(kinds), h), np.float32)
             for k, state, z, r, n in reversed(trail[d]):
                 total = g_states[:, k, cut] + carry
@@ -154,8 +160,9 @@ class Network:
                 g_zr = np.concatenate([g_z, g_r], axis=1)
                 g_u[:, : 2 * h] += state.T @ g_zr
                 g_u[:, 2 * h :] += (r * state).T @ g_n
-                np.add.at(g_gates, kinds[:, k], np.concatenate([g_zr, g_n], axis=1))
+                g_steps[k, :, : 2 * h], g_steps[k, :, 2 * h :] = g_zr, g_n
                 carry = np.where(on, live * z + back_n * r + g_zr @ u_zr.T, total)
+            g_gates[named[first]] = np.add.reduceat(g_steps.reshape(-1, 3 * h)[by_kind], first, axis=0)
             grad |= {f"U{d}": g_u, f"W{d}": x.T @ g_gates, f"b{d}": g_gates.sum(axis=0)}
             g_x += g_gates @ p[f"W{d}"].T
         return grad, g_x
@@ -250,9 +257,11 @@ def train(texts, labels, share: float | None = None, epochs=EPOCHS, seed: int =
             x = np.concatenate([net.p["word"][rows[used]], np.add.reduceat(net.p["char"][tri], tri_at, axis=0) / tri_n[:, None]], axis=1).astype(np.float32)
             grad, g_x = net.gradients(x, inverse, mask, label[own].astype(np.float32), np.where(label[own] == 1, lift, np.float32(1)))
             grad["word"], grad["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(grad["word"], rows[used], g_x[:, :WORD_DIM])
+            grad["word"][rows[used]] = g_x[:, :WORD_DIM]  # known words are met once among those used
             grad["word"][-1] = 0
-            np.add.at(grad["char"], tri, np.repeat(g_x[:, WORD_DIM:] / tri_n[:, None], tri_n, axis=0))
+            spread = np.repeat(g_x[:, WORD_DIM:] / tri_n[:, None], tri_n, axis=0)
+            cell = tri[:, None] * CHAR_DIM + np.arange(CHAR_DIM)
+            grad["char"] += np.bincount(cell.ravel(), spread.ravel(), TRIGRAMS * CHAR_DIM).reshape(TRIGRAMS, CHAR_DIM).astype(np.float32)
             step += 1
             for k, g in grad.items():
                 m, v = moments[k]
@@ -285,7 +294,8 @@ def _calibrate(x, y, weight, rounds=100):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> Network:
     """Network from labelled rows outside the held-out fifth, at most ``TRAIN_DOCS`` of each class, chosen by a hash of the
-    id among texts of at most ``TRAIN_CHARS`` characters, never cut.  Rows with null ids, labels or texts are not used."""
+    id among texts of at most ``TRAIN_CHARS`` characters, never cut.  Rows with null ids, labels or texts are not used.  The bounded
+    sample is learned in one task, which is repeated with the same result if it is lost."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("_toxic"))
     marked = marked.where(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 0)
     n = dict(marked.groupBy("_toxic").count().collect())
@@ -294,8 +304,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") ->
     ids = F.broadcast(few[0].unionByName(few[1]))  # at most twice the sum of TRAIN_DOCS
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text") <= TRAIN_CHARS)
     rows = text.join(ids, "_id").select(order.alias("_order"), "_text", "_toxic")
-    chosen = [r for c in (0, 1) for r in rows.where(F.col("_toxic") == c).orderBy("_order", "_text").limit(TRAIN_DOCS[c]).collect()]
-    return train([r["_text"] for r in chosen], [r["_toxic"] for r in chosen], n.get(1, 0) / max(1, sum(n.values())))
+    chosen = [rows.where(F.col("_toxic") == c).orderBy("_order", "_text").limit(TRAIN_DOCS[c]) for c in (0, 1)]
+    share = n.get(1, 0) / max(1, sum(n.values()))
+
+    def learn(batches):
+        held = sorted(r for b in batches for r in zip(*(b.column(k).to_pylist() for k in (2, 0, 1))))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[2] for r in held], [r[0] for r in held], share))], pa.binary())], ["model"])
+
+    sample = chosen[0].unionByName(chosen[1]).select("_order", "_text", F.col("_toxic").cast("int")).coalesce(1)
+    learned = sample.mapInArrow(learn, "model binary").collect()
+    return pickle.loads(learned[0][0]) if learned else train([], [], 0.0)
 
 
 def _document_scores(net, column):

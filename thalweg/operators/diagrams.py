@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sources a version may come from.
 SOURCES = ("engine", "community")
-#: Structures that can be broken (planned ones can't), and what the legend calls each symbol.
+# Structures that can be broken (planned ones can't), the status that says so, and the words of the legend.
 BREAKABLE = ("gate", "weir", "reservoir", "telemetry", "pump")
-LEGEND = {
-    "gate": "Gate", "gate_plan": "Gate (planned)", "weir": "Weir", "weir_plan": "Weir (planned)", "reservoir": "Reservoir", "reservoir_plan": "Reservoir (planned)",
-    "telemetry": "Telemetry station", "pump": "Pumping station", "waterbody": "Water body",
-}
-BROKEN_LEGEND = {f"{t}_broken": f"{LEGEND[t]} (broken)" for t in BREAKABLE}
 BROKEN_STATUS = "ชำรุด"
-#: Symbol: shape, width and height when drawn along the flow.
+LEGEND = {
+    "gate": "ประตูระบายน้ำ/ปตร. (ปัจจุบัน)",
+    "gate_plan": "ประตูระบายน้ำ/ปตร. (แผน)",
+    "weir": "ฝาย (ปัจจุบัน)",
+    "weir_plan": "ฝาย (แผน)",
+    "reservoir": "อ่างเก็บน้ำ (ปัจจุบัน)",
+    "reservoir_plan": "อ่างเก็บน้ำ (แผน)",
+    "telemetry": "สถานีโทรมาตร",
+    "pump": "สถานีสูบน้ำ",
+    "waterbody": "แหล่งน้ำ (หนอง/บึง/สระน้ำ)",
+}
+BROKEN_LEGEND = {
+    "gate_broken": "ประตูระบายน้ำ/ปตร. (ชำรุด)",
+    "weir_broken": "ฝาย (ชำรุด)",
+    "reservoir_broken": "อ่างเก็บน้ำ (ชำรุด)",
+    "telemetry_broken": "สถานีโทรมาตร (ชำรุด)",
+    "pump_broken": "สถานีสูบน้ำ (ชำรุด)",
+}
+EDGE_LEGEND = {"main": "ลำน้ำหลัก", "branch": "ลำน้ำสาขา"}
+# Shape, width and height of a symbol drawn along the flow.
 SHAPES = {
     "gate": ("diamond", 18, 18), "gate_plan": ("diamond", 18, 18), "weir": ("bar", 32, 12), "weir_plan": ("bar", 32, 12), "reservoir": ("triangle", 22, 22), "reservoir_plan": ("triangle", 22, 22),
     "telemetry": ("ring", 18, 18), "pump": ("circle", 22, 22), "waterbody": ("bar", 44, 26),
 }
+OTHER = ("dot", 7, 7)
 TURNS_OVER = ("weir", "weir_plan", "waterbody")
 
 
@@ -45,23 +61,24 @@ def _lookup(table: dict, key: Column) -> Column:
 
 
 def draw_list(nodes: DataFrame) -> DataFrame:
-    """Nodes with shape, size (swapped for upright bars), fill and caption."""
-    kind = F.col("node_type")
+    """Nodes with shape, size (swapped for upright bars), fill and caption.  A text box is its text and no symbol; a node of another kind
+    is a grey dot, without a caption if it is a generic one; a water body shows what it refers to under its label."""
+    kind, label = F.coalesce("node_type", F.lit("")), F.coalesce("label", F.lit(""))
     upright = (F.col("dir") == "v") & kind.isin(*TURNS_OVER)
-    w, h = (_lookup({k: v[i] for k, v in SHAPES.items()}, kind) for i in (1, 2))
-    broken = is_broken(kind, F.col("status"))
-    plan = kind.endswith("_plan") | kind.isin("telemetry", "pump")
-    fill = F.when(broken, "hatched").when(kind == "waterbody", "water").when(plan, "white").otherwise("black")
-    caption = F.when(kind == "waterbody", F.concat_ws("\n", F.nullif("label", F.lit("")), F.concat(F.lit("["), F.col("source_ref"), F.lit("]")))).otherwise(F.coalesce("label", F.lit("")))
-    return nodes.select(
-        "node_key", "pos_x", "pos_y", F.coalesce(_lookup({k: v[0] for k, v in SHAPES.items()}, kind), F.lit("dot")).alias("shape"),
-        F.when(upright, h).otherwise(w).alias("width"), F.when(upright, w).otherwise(h).alias("height"), F.when(kind.isNull(), "grey").otherwise(fill).alias("fill"), caption.alias("caption"),
-    )
+    shape, w, h = (F.coalesce(_lookup({k: v[i] for k, v in SHAPES.items()}, kind), F.lit(OTHER[i])) for i in (0, 1, 2))
+    text = kind == "text_box"
+    white = kind.endswith("_plan") | kind.isin("telemetry", "pump")
+    fill = F.when(text, "none").when(~kind.isin(*SHAPES), "grey").when(is_broken(kind, F.col("status")), "hatched").when(kind == "waterbody", "water").when(white, "white").otherwise("black")
+    ref = F.coalesce(F.col("source_ref").cast("string"), F.lit(""))
+    told = F.when(ref == "", label).when(label == "", F.concat(F.lit("["), ref, F.lit("]"))).otherwise(F.concat(label, F.lit("\n[sp"), ref, F.lit("]")))
+    caption = F.when(kind == "waterbody", told).when(kind == "generic_node", "").otherwise(label)
+    size = lambda a, b: F.when(~text, F.when(upright, b).otherwise(a))
+    return nodes.select("node_key", "pos_x", "pos_y", F.when(text, "text").otherwise(shape).alias("shape"), size(w, h).alias("width"), size(h, w).alias("height"), fill.alias("fill"), caption.alias("caption"))
 
 
 def legend(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``part, key, label`` of the symbols in use, edge classes first, in order."""
-    lines = edges.select(F.when(F.col("edge_type") == "main", "main").otherwise("branch").alias("key")).distinct().select(F.lit(0).alias("part"), "key", F.when(F.col("key") == "main", "Main channel").otherwise("Branch channel").alias("label"))
+    lines = edges.select(F.when(F.col("edge_type") == "main", "main").otherwise("branch").alias("key")).distinct().select(F.lit(0).alias("part"), "key", _lookup(EDGE_LEGEND, F.col("key")).alias("label"))
     used = nodes.select(F.col("node_type").alias("key")).distinct().select(F.lit(1).alias("part"), "key", _lookup(LEGEND, F.col("key")).alias("label")).where("label is not null")
     bad = nodes.where(is_broken(F.col("node_type"), F.col("status"))).select(F.concat("node_type", F.lit("_broken")).alias("key")).distinct().select(F.lit(2).alias("part"), "key", _lookup(BROKEN_LEGEND, F.col("key")).alias("label"))
     return lines.unionByName(used).unionByName(bad).orderBy("part", F.when(F.col("part") == 0, F.when(F.col("key") == "main", "0").otherwise("1")).otherwise(F.col("key")))
@@ -74,20 +91,34 @@ def drawn_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def effective_ops(ops: DataFrame, by: str = "doc") -> DataFrame:
-    """Edits in force after undo and redo: ``ops(doc, seq, op, ...)``.  An edit after an undo drops what could be redone.  The stack of
-    a document is folded over its ordered log of operation names only."""
-    log = ops.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("seq", "op"))).alias("log"))
-    start = F.struct(F.array().cast("array<bigint>").alias("stack"), F.lit(0).alias("cursor"))
-
-    def step(acc, o):
-        kept = F.slice(acc["stack"], F.lit(1), acc["cursor"])
-        edit = F.struct(F.concat(kept, F.array(o["seq"].cast("bigint"))).alias("stack"), (acc["cursor"] + 1).alias("cursor"))
-        undo = F.struct(acc["stack"].alias("stack"), F.greatest(acc["cursor"] - 1, F.lit(0)).alias("cursor"))
-        redo = F.struct(acc["stack"].alias("stack"), F.least(acc["cursor"] + 1, F.size(acc["stack"])).alias("cursor"))
-        return F.when(o["op"] == "undo", undo).when(o["op"] == "redo", redo).otherwise(edit)
-
-    done = log.withColumn("end", F.aggregate("log", start, step))
-    return done.select(by, F.explode(F.slice("end.stack", F.lit(1), F.col("end.cursor"))).alias("seq"))
+    """Edits in force after undo and redo: ``ops(doc, seq, op, ...)``.  An edit after an undo drops what could be redone.  The log of
+    a document is read once in its order; the stack of its edits is all that is held."""
+    kind = dict(ops.dtypes)[by]
+
+    def fold(batches):
+        doc, stack, cursor, begun = None, [], 0, False
+        for b in batches:
+            docs, seqs = [], []
+            for own, seq, op in zip(*(c.to_pylist() for c in b.columns)):
+                if begun and own != doc:
+                    docs += [doc] * cursor
+                    seqs += stack[:cursor]
+                    stack, cursor = [], 0
+                doc, begun = own, True
+                if op == "undo":
+                    cursor = max(0, cursor - 1)
+                elif op == "redo":
+                    cursor = min(cursor + 1, len(stack))
+                else:
+                    del stack[cursor:]
+                    stack.append(seq)
+                    cursor += 1
+            yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field(0).type), pa.array(seqs, pa.int64())], [by, "seq"])
+        if cursor:
+            yield pa.RecordBatch.from_arrays([pa.array([doc] * cursor, b.schema.field(0).type), pa.array(stack[:cursor], pa.int64())], [by, "seq"])
+
+    log = ops.select(by, F.col("seq").cast("long").alias("seq"), "op").repartition(by).sortWithinPartitions(by, "seq")
+    return log.mapInArrow(fold, f"`{by}` {kind}, seq long")
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

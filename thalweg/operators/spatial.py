@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thalweg.functions import geometry as G
 from thalweg.operators.components import connected_components
+from thalweg.operators.skew import salted_join
 from thalweg.storage import materialize
 
 
@@ -35,21 +36,29 @@ def _renamed(df: DataFrame, prefix: str = "o_") -> DataFrame:
     return df.select([F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def near_segments(left: DataFrame, right: DataFrame, reach: float, cell: float, keys: list[str], other_keys: list[str]) -> DataFrame:
+#: What rounding may move a place by.
+_SLACK = 1e-6
+
+
+def near_segments(left: DataFrame, right: DataFrame, reach: float, cell: float, also: str = "true") -> DataFrame:
     """Pairs of segments at most ``reach`` apart, once each: all columns of left, those of right with ``o_`` before the name, and
-    ``gap2``, the squared distance."""
-    a = _cells(left, cell, 0.0)
-    b = _cells(_renamed(right), cell, reach, "o_")
-    pairs = a.join(b, ["cx", "cy"]).drop("cx", "cy")
+    ``gap2``, the squared distance.  Two segments may share many cells; the pair is taken in the cell where the left one is
+    met, so nothing is shuffled to remove repeats.  ``also``: a condition on the pairs."""
+    a = _cells(left, cell, _SLACK)
+    b = _cells(_renamed(right), cell, reach + _SLACK, "o_")
+    far = f"least(x1, x2) > greatest(o_x1, o_x2) + {reach + _SLACK} or least(o_x1, o_x2) > greatest(x1, x2) + {reach + _SLACK} or least(y1, y2) > greatest(o_y1, o_y2) + {reach + _SLACK} or least(o_y1, o_y2) > greatest(y1, y2) + {reach + _SLACK}"
+    pairs = a.join(b, ["cx", "cy"]).where(f"({also}) and not ({far})")
     steps = G.segment_distance()
-    pairs = G.apply(pairs, steps).where(F.col("gap2") <= F.lit(reach * reach)).drop(*[n for n, _ in steps[:-1]])
-    return pairs.dropDuplicates(keys + [f"o_{k}" for k in other_keys])
+    told = G.apply(pairs, steps)
+    own = F.floor(F.col("near_x") / F.lit(cell)) == F.col("cx")
+    met = told.where((F.col("gap2") <= F.lit(reach * reach)) & own & (F.floor(F.col("near_y") / F.lit(cell)) == F.col("cy")))
+    return met.drop("cx", "cy", *[n for n, _ in steps if n != "gap2"])
 
 
 def coverage(lines: DataFrame, others: DataFrame, key: str, reach: float, cell: float) -> DataFrame:
     """``key, length, fraction``: the share of each line's length within ``reach`` of the other lines.  Both sides are segment tables.
     Lines of no length, and lines with nothing near, have fraction 0."""
-    pairs = near_segments(lines, others, reach, cell, [key, "seg"], [key, "seg"])
+    pairs = near_segments(lines, others, reach, cell)
     # no filter on lo here: pushed down through the steps it would repeat all of them; an empty range covers nothing
     spans = G.apply(pairs, G.capsule_interval(reach)).withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(0.0))})
     ahead = F.max("hi").over(Window.partitionBy(key, "seg").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
@@ -84,26 +93,77 @@ def within_polygon(lines: DataFrame, ring: list[tuple[float, float]], buffer: fl
     return lines.where((F.size(passed) % 2 == 1) | F.exists(corners, near)).select(key).distinct()
 
 
+def _cuts(segs: DataFrame, key: str, cell: float) -> DataFrame:
+    """``key, seg, t``: where segments are met by others (crossings, touching ends, ends of collinear overlaps), ends included.  The end that
+    a segment shares with the next of its line is no such place."""
+    segs = segs.where("x1 <> x2 or y1 <> y2")
+    pairs = near_segments(segs, segs, 1e-9, cell, f"struct({key}, seg) < struct(o_{key}, o_seg)")
+
+    def side(a: str, b: str, shared: str):
+        """Places on the segment with prefix a where the one with prefix b meets it."""
+        dx, dy = f"({a}x2 - {a}x1)", f"({a}y2 - {a}y1)"
+        ex, ey = f"({b}x2 - {b}x1)", f"({b}y2 - {b}y1)"
+        d, own = f"({dx} * {ey} - {dy} * {ex})", f"({dx} * {dx} + {dy} * {dy})"
+        cross = f"(({b}x1 - {a}x1) * {ey} - ({b}y1 - {a}y1) * {ex}) / {d}"
+        foot = lambda p: f"(({b}x{p} - {a}x1) * {dx} + ({b}y{p} - {a}y1) * {dy}) / {own}"
+        at = f"case when abs({d}) > 1e-12 * {own} then array({cross}) else array({foot(1)}, {foot(2)}) end"
+        inside = f"filter({at}, t -> t >= -1e-9 and t <= 1 + 1e-9 and not ({shared}))"
+        return F.expr(f"transform({inside}, t -> struct({a}{key} as k, {a}seg as seg, case when t <= 1e-9 then 0d when t >= 1 - 1e-9 then 1d else round(t, 12) end as t))")
+
+    following = f"{key} = o_{key} and o_seg = seg + 1"
+    both = F.concat(side("", "o_", f"{following} and t >= 1 - 1e-9"), side("o_", "", f"{following} and t <= 1e-9"))
+    return pairs.select(F.explode(both).alias("c")).select(F.col("c.k").alias(key), "c.seg", "c.t").distinct()
+
+
 def node_segments(segs: DataFrame, key: str, cell: float) -> DataFrame:
-    """Cuts all segments where they meet (crossings, touching ends, ends of collinear overlaps): ``key, seg, piece, x1, y1, x2, y2``.
-    Pieces that several segments share appear once, for the least (key, seg)."""
-    pairs = near_segments(segs, segs, 1e-9, cell, [key, "seg"], [key, "seg"]).where(f"not ({key} = o_{key} and seg = o_seg)")
-    d = "((x2 - x1) * (o_y2 - o_y1) - (y2 - y1) * (o_x2 - o_x1))"
-    t = f"((o_x1 - x1) * (o_y2 - o_y1) - (o_y1 - y1) * (o_x2 - o_x1)) / {d}"
-    own = "((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))"
-    foot = lambda p: f"((o_x{p} - x1) * (x2 - x1) + (o_y{p} - y1) * (y2 - y1)) / {own}"
-    cuts = pairs.where(f"{own} > 0").select(key, "seg", F.explode(F.expr(f"case when abs({d}) > 1e-12 * {own} then array({t}) else array({foot(1)}, {foot(2)}) end")).alias("t"))
-    cuts = cuts.where("t > 1e-9 and t < 1 - 1e-9")
+    """Cuts all segments where they meet: ``key, seg, piece, x1, y1, x2, y2``.  Pieces that several segments share appear once, for the
+    least (key, seg)."""
+    cuts = _cuts(segs, key, cell).where("t > 0 and t < 1")
     ends = segs.where("x1 <> x2 or y1 <> y2").select(key, "seg", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
-    every = cuts.unionByName(ends).select(key, "seg", F.round("t", 12).alias("t")).distinct()
+    every = cuts.unionByName(ends)
     here = Window.partitionBy(key, "seg").orderBy("t")
     spans = every.withColumns({"to": F.lead("t").over(here), "piece": F.row_number().over(here) - 1}).where("to is not null").join(segs, [key, "seg"])
     at = lambda a, t: F.round(F.col(f"{a}1") + F.col(t) * (F.col(f"{a}2") - F.col(f"{a}1")), 6)
     pieces = spans.select(key, "seg", "piece", at("x", "t").alias("px"), at("y", "t").alias("py"), at("x", "to").alias("qx"), at("y", "to").alias("qy"))
     forward = F.expr("px < qx or (px = qx and py <= qy)")
-    pieces = pieces.withColumn("same", F.when(forward, F.struct("px", "py", "qx", "qy")).otherwise(F.struct(F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("px").alias("qx"), F.col("py").alias("qy"))))
-    first = F.row_number().over(Window.partitionBy("same").orderBy(key, "seg", "piece"))
-    return pieces.withColumn("k", first).where("k = 1").select(key, "seg", "piece", F.col("px").alias("x1"), F.col("py").alias("y1"), F.col("qx").alias("x2"), F.col("qy").alias("y2"))
+    same = F.when(forward, F.struct("px", "py", "qx", "qy")).otherwise(F.struct(F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("px").alias("qx"), F.col("py").alias("qy")))
+    first = pieces.groupBy(same.alias("same")).agg(F.min(F.struct(key, "seg", "piece", "px", "py", "qx", "qy")).alias("p"))
+    return first.select(f"p.{key}", "p.seg", "p.piece", F.col("p.px").alias("x1"), F.col("p.py").alias("y1"), F.col("p.qx").alias("x2"), F.col("p.qy").alias("y2"))
+
+
+def plain_vertices(geom):
+    """A vertex array without vertices equal to the one before."""
+    return F.filter(geom, lambda p, i: (i == 0) | (p != geom[F.greatest(i - 1, F.lit(0))]))
+
+
+def node_lines(lines: DataFrame, key: str, cell: float, geom: str = "geom") -> DataFrame:
+    """Cuts polylines where they meet each other or themselves: ``key, piece, geom``, each piece with all vertices between two such places or
+    line ends.  Pieces that several lines share appear once, for the least (key, piece).  Coordinates are rounded to six places; lines
+    without length give nothing.  A line with its places is one row."""
+    shaped = lines.select(key, plain_vertices(F.col(geom)).alias("g")).where(F.size("g") >= 2)
+    places = _cuts(segments(shaped, key, "g"), key, cell)
+    places = places.select(key, F.when(F.col("t") == 1, F.struct((F.col("seg") + 1).alias("s"), F.lit(0.0).alias("t"))).otherwise(F.struct(F.col("seg").alias("s"), "t")).alias("at"))
+    places = places.groupBy(key).agg(F.collect_set("at").alias("places"))
+    whole = shaped.join(places, key, "left")
+    ends = F.array(F.struct(F.lit(0).alias("s"), F.lit(0.0).alias("t")), F.struct((F.size("g") - 1).alias("s"), F.lit(0.0).alias("t")))
+    whole = whole.withColumn("c", F.array_sort(F.array_distinct(F.concat(ends, F.coalesce("places", F.slice(ends, 1, 0))))))
+
+    def point(at):
+        p, q = F.col("g")[at["s"]], F.col("g")[F.least(at["s"] + 1, F.size("g") - 1)]
+        along = lambda c: F.round(p[c] + at["t"] * (q[c] - p[c]), 6).alias(c)
+        return F.struct(along("x"), along("y"))
+
+    def piece(a, b):
+        inner = b["s"] - a["s"] - F.when(b["t"] > 0, F.lit(0)).otherwise(F.lit(1))
+        between = F.transform(F.slice("g", a["s"] + 2, F.greatest(inner, F.lit(0))), lambda p: F.struct(F.round(p.x, 6).alias("x"), F.round(p.y, 6).alias("y")))
+        return F.concat(F.array(point(a)), between, F.array(point(b)))
+
+    n = F.size("c") - 1
+    cut = whole.select(key, F.posexplode(F.zip_with(F.slice("c", F.lit(1), n), F.slice("c", F.lit(2), n), piece)).alias("piece", "geom"))
+    cut = cut.withColumn("geom", plain_vertices(F.col("geom"))).where(F.size("geom") >= 2)
+    same = F.least("geom", F.reverse("geom"))
+    first = cut.groupBy(same.alias("same")).agg(F.min(F.struct(key, "piece", "geom")).alias("p"))
+    return first.select(f"p.{key}", "p.piece", "p.geom")
 
 
 def midpoints(segs: DataFrame, key: str) -> DataFrame:
@@ -120,26 +180,51 @@ def midpoints(segs: DataFrame, key: str) -> DataFrame:
 def nearest_line(points: DataFrame, segs: DataFrame, key: str, reach: float, cell: float, *attrs: str) -> DataFrame:
     """``key`` of each point with the nearest line within ``reach``, the least key in a tie, its distance and ``attrs``; null if none."""
     spots = points.select(key, F.col("mx").alias("x1"), F.col("my").alias("y1"), F.col("mx").alias("x2"), F.col("my").alias("y2"), F.lit(0).alias("seg"))
-    pairs = near_segments(spots, segs, reach, cell, [key], [key, "seg"])
+    pairs = near_segments(spots, segs, reach, cell)
     best = pairs.groupBy(key).agg(F.min(F.struct("gap2", f"o_{key}", *[f"o_{a}" for a in attrs])).alias("b"))
     return points.join(best, key, "left").select(*points.columns, F.col(f"b.o_{key}").alias("near_id"), F.sqrt("b.gap2").alias("distance"), *[F.col(f"b.o_{a}").alias(a) for a in attrs])
 
 
+#: Neighbours of a cell of side tolerance / sqrt(2) that may hold a point within the tolerance, one of each two opposite ones.
+_AROUND = [(i, j) for i in (0, 1, 2) for j in (-2, -1, 0, 1, 2) if (i, j) > (0, 0) and (abs(i), abs(j)) != (2, 2)]
+
+
 def snap(points: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
     """Merges points ``(seq, x, y)`` that are chained by steps of at most ``tolerance``: nodes ``(node_id, x, y, members)``, at the mean of
-    their members and numbered by their first point, and ``(seq, node_id)``."""
-    cell = lambda c: F.floor(F.col(c) / F.lit(tolerance)).cast("long")
-    own = points.select("seq", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    around = own.select(F.col("seq").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy").withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
-    around = around.select("b", "bx", "by", (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
-    near = own.join(around, ["cx", "cy"]).where("seq < b").where((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2 <= tolerance * tolerance)
-    edges = near.select(F.col("seq").alias("a"), "b")
-    found = connected_components(materialize(edges, "snap-pairs"))
-    labels = points.join(found.withColumnRenamed("node", "seq"), "seq", "left").withColumn("first", F.coalesce("component", "seq")).drop("component")
-    groups = labels.groupBy("first").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("members"))
-    nodes = groups.join(dense_ids(groups.select("first"), "first", "node_id"), "first")
-    return nodes.select("node_id", "x", "y", "members"), labels.join(nodes.select("first", "node_id"), "first").select("seq", "node_id")
+    their members and numbered by their first point, and ``(seq, node_id)``.
+
+    Points of one cell of side tolerance / sqrt(2) belong together, so cells are chained, not points.  Two near cells are linked at
+    once where their first points are near; otherwise the points of each that lie near the other's box are searched until a near
+    pair is found.  At most ten rows a cell are joined, and no list of near points is made."""
+    side = F.lit(tolerance / 2**0.5)
+    own = points.select("seq", "x", "y", F.struct(F.floor(F.col("x") / side).cast("long").alias("i"), F.floor(F.col("y") / side).cast("long").alias("j")).alias("cell"))
+    m = lambda f, c: f(c).alias(f"{c}{'0' if f is F.min else '1'}")
+    cells = own.groupBy("cell").agg(F.min(F.struct("seq", "x", "y")).alias("p"), m(F.min, "x"), m(F.max, "x"), m(F.min, "y"), m(F.max, "y"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count("*").alias("n"))
+    cells = materialize(cells, "snap-cells")
+    box = F.struct("p", "x0", "x1", "y0", "y1")
+    steps = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in _AROUND]))
+    left = cells.select(F.col("cell").alias("a"), box.alias("box_a"), steps.alias("d")).select("a", "box_a", F.struct((F.col("a.i") + F.col("d.i")).alias("i"), (F.col("a.j") + F.col("d.j")).alias("j")).alias("b"))
+    reach = tolerance * tolerance
+    gap = lambda p, q: f"pow(greatest(0, {p}.x0 - {q}.x1, {q}.x0 - {p}.x1), 2) + pow(greatest(0, {p}.y0 - {q}.y1, {q}.y0 - {p}.y1), 2)"
+    near = left.join(cells.select(F.col("cell").alias("b"), box.alias("box_b")), "b").where(f"{gap('box_a', 'box_b')} <= {reach!r}")
+    near = materialize(near.withColumn("sure", F.expr(f"pow(box_a.p.x - box_b.p.x, 2) + pow(box_a.p.y - box_b.p.y, 2) <= {reach!r}")), "snap-near")
+    open_pairs = near.where("not sure")
+    places = own.select("cell", "x", "y").distinct()
+
+    def facing(mine: str, other: str):
+        rows = places.withColumnRenamed("cell", mine).join(open_pairs.select("a", "b", F.col(f"box_{other}").alias("box")), mine)
+        return rows.where(f"pow(greatest(0, box.x0 - x, x - box.x1), 2) + pow(greatest(0, box.y0 - y, y - box.y1), 2) <= {reach!r}").select("a", "b", F.col("x").alias(f"x_{mine}"), F.col("y").alias(f"y_{mine}"))
+
+    met = facing("a", "b").join(facing("b", "a").withColumnsRenamed({"a": "o_a", "b": "o_b"}), F.expr(f"a = o_a and b = o_b and pow(x_a - x_b, 2) + pow(y_a - y_b, 2) <= {reach!r}"), "left_semi").select("a", "b").distinct()
+    links = near.where("sure").unionByName(near.join(met, ["a", "b"], "left_semi")).select(F.col("box_a.p.seq").alias("a"), F.col("box_b.p.seq").alias("b"))
+    found = connected_components(links).withColumnRenamed("node", "first")
+    named = cells.select("cell", F.col("p.seq").alias("first"), "sx", "sy", "n").join(found, "first", "left").withColumn("first", F.coalesce("component", "first"))
+    named = materialize(named, "snap-named")
+    groups = named.groupBy("first").agg(F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.sum("n").alias("members"))
+    nodes = dense_ids(groups, "first", "node_id")
+    total = named.agg(F.sum("n")).first()[0] or 0
+    ends = salted_join(own.select("seq", "cell"), named.select("cell", "first", "n"), "cell", total, "seq").join(nodes.select("first", "node_id"), "first")
+    return nodes.select("node_id", (F.col("sx") / F.col("members")).alias("x"), (F.col("sy") / F.col("members")).alias("y"), "members"), ends.select("seq", "node_id")
 
 
 def dense_ids(df: DataFrame, key: str, name: str, slices: int | None = None) -> DataFrame:

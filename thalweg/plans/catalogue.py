@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from thalweg.operators import diagrams as D
 from thalweg.operators import layout as L
 from thalweg.operators import network as N
 from thalweg.operators import spatial as S
+from thalweg.plans import pipeline as P
 from thalweg.plans import views as V
 from thalweg.plans.views import COMPONENTS_SQL, NET_SQL, PTS_SQL, SEGS_SQL, TRACKS_SQL
 from thalweg.sources import documents as W
@@ -32,16 +31,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def network_query(name: str, sql: str):
-    """A query over the sample network of its SQL, and as ``name_whole`` the same over the network of all rows."""
-
-    def keep(f):
-        query(f"{name}_whole", V.whole_sql(sql))(partial(f, whole=True))
-        return query(name, sql)(f)
-
-    return keep
-
-
 def steps_sql(source: str, steps) -> str:
     """A table with named expressions added one after another, as nested SQL."""
     out = source
@@ -212,9 +201,9 @@ def q14(spark, d):
     return c.unionByName(s, allowMissingColumns=True).unionByName(p, allowMissingColumns=True)
 
 
-@network_query("q15_count_by_source", f"with {NET_SQL} select source, tag, count(*) as n, count(*) filter (where length_m > 20000) as n_long from net group by source, tag")
-def q15(spark, d, whole=False):
-    return V.net(spark, d, whole=whole).groupBy("source", "tag").agg(F.count("*").alias("n"), F.count_if(F.col("length_m") > 20000).alias("n_long"))
+@query("q15_count_by_source", f"with {NET_SQL} select source, tag, count(*) as n, count(*) filter (where length_m > 20000) as n_long from net group by source, tag")
+def q15(spark, d):
+    return V.net(spark, d, ids=False).groupBy("source", "tag").agg(F.count("*").alias("n"), F.count_if(F.col("length_m") > 20000).alias("n_long"))
 
 
 @query("q16_noding_intersections", f"""with {SEGS_SQL}, p as (select s.line_id, s.seg, s.x1, s.y1, s.x2, s.y2, o.line_id as o_line_id, o.x1 as ox1, o.y1 as oy1, o.x2 as ox2, o.y2 as oy2 from segs s, segs o where (s.line_id, s.seg) <> (o.line_id, o.seg)),
@@ -229,6 +218,26 @@ def q16(spark, d):
     return pieces.groupBy("line_id", "seg").agg(F.count("*").alias("n_pieces"), F.round(F.sum(size), 3).alias("length_m"))
 
 
+#: Pieces of the lines of three vertices between the places where two lines meet: from p to q, with the bend m if it is between them.
+PIECES_SQL = f"""{SEGS_SQL},
+  met as (select s.line_id, s.seg, s.x1, s.y1, s.x2, s.y2, o.x1 as ox1, o.y1 as oy1, o.x2 as ox2, o.y2 as oy2, (s.x2 - s.x1) * (o.y2 - o.y1) - (s.y2 - s.y1) * (o.x2 - o.x1) as dd from segs s join segs o on s.line_id <> o.line_id),
+  cut as (select line_id, seg, round(((ox1 - x1) * (oy2 - oy1) - (oy1 - y1) * (ox2 - ox1)) / dd, 12) as t, ((ox1 - x1) * (y2 - y1) - (oy1 - y1) * (x2 - x1)) / dd as u from met where dd <> 0),
+  places as (select line_id, seg, t from cut where t > 1e-9 and t < 1 - 1e-9 and u between 0 and 1 union select line_id, 0, 0.0 from v union select line_id, 2, 0.0 from v),
+  spots as (select p.line_id, p.seg, p.t, round(case when p.seg = 2 then x2 else x1 + t * (x2 - x1) end, 6) as x, round(case when p.seg = 2 then y2 else y1 + t * (y2 - y1) end, 6) as y from places p join segs s on s.line_id = p.line_id and s.seg = least(p.seg, 1)),
+  runs as (select line_id, row_number() over w - 1 as piece, seg + t as at0, lead(seg + t) over w as at1, x as px, y as py, lead(x) over w as qx, lead(y) over w as qy from spots window w as (partition by line_id order by seg, t)),
+  bends as (select line_id, source, tag, round(x2, 6) as mx, round(y2, 6) as my from segs where seg = 0),
+  pieces as (select line_id, piece, px, py, qx, qy, source, tag, 2 + cast(at0 < 1 and at1 > 1 as integer) as n_vertices,
+    case when at0 < 1 and at1 > 1 then sqrt((mx - px) * (mx - px) + (my - py) * (my - py)) + sqrt((qx - mx) * (qx - mx) + (qy - my) * (qy - my)) else sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)) end as length_m
+    from runs join bends using (line_id) where at1 is not null)"""
+
+
+@query("q16_noding_polylines", f"with {PIECES_SQL} select line_id, cast(piece as integer) as piece, n_vertices, px as x1, py as y1, qx as x2, qy as y2, round(length_m, 3) as length_m from pieces")
+def q16_lines(spark, d):
+    pieces = S.node_lines(V.short_lines(spark, d), "line_id", 60.0)
+    end = lambda k, c, n: F.element_at("geom", k)[c].alias(n)
+    return pieces.select("line_id", "piece", F.size("geom").alias("n_vertices"), end(1, "x", "x1"), end(1, "y", "y1"), end(-1, "x", "x2"), end(-1, "y", "y2"), F.round(G.length(F.col("geom")), 3).alias("length_m"))
+
+
 @query("q17_nearest_attr_transfer", f"""with {SEGS_SQL}, l as (select *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as d from segs where source = 'supplement'),
   r as (select *, coalesce(sum(d) over (partition by line_id order by seg rows between unbounded preceding and 1 preceding), 0) as before, sum(d) over (partition by line_id) as total from l),
   m as (select line_id, arg_min(x1 + (total / 2 - before) / d * (x2 - x1), seg) as mx, arg_min(y1 + (total / 2 - before) / d * (y2 - y1), seg) as my from r where total > 0 and before <= total / 2 and before + d >= total / 2 and d > 0 group by line_id),
@@ -253,39 +262,62 @@ def q18(spark, d):
     return nodes.select("node_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "members")
 
 
-@network_query("q19_graph_degree", f"with {NET_SQL}, e as (select u, case when discount = 0 then u else v end as v from net) select node_id, count(*) as degree from (select u as node_id from e union all select v from e) group by node_id")
-def q19(spark, d, whole=False):
-    e = V.net(spark, d, whole=whole).withColumn("v", F.when(F.col("discount") == 0, F.col("u")).otherwise(F.col("v")))
+@query("q19_graph_degree", f"with {NET_SQL}, e as (select u, case when discount = 0 then u else v end as v from net) select node_id, count(*) as degree from (select u as node_id from e union all select v from e) group by node_id")
+def q19(spark, d):
+    e = V.net(spark, d, ids=False).withColumn("v", F.when(F.col("discount") == 0, F.col("u")).otherwise(F.col("v")))
     return N.degrees(e)
 
 
-@network_query("q20_parallel_dedup", """with par as (select l_partkey % 40 as u, 40 + l_suppkey % 10 as v, l_extendedprice as len, case when l_returnflag = 'R' then 'primary' else 'supplement' end as source,
-    row_number() over (order by l_orderkey, l_partkey, l_suppkey, l_extendedprice) - 1 as edge_id from lineitem where l_linenumber = 1 and l_quantity <= 5),
+@query("q20_parallel_dedup", """with par as (select l_partkey % 40 as u, 40 + l_suppkey % 10 as v, l_extendedprice as len, case when l_returnflag = 'R' then 'primary' else 'supplement' end as source,
+    row_number() over (order by """ + ", ".join(V.ROW) + """) - 1 as edge_id from lineitem),
   p as (select *, max(source = 'primary') over (partition by u, v) as has from par),
   k as (select * from p where source = 'primary' or not has),
   g as (select u, v, list({'len': len, 'id': edge_id} order by len desc, edge_id) as l from k group by u, v),
   f as (select u, v, list_reduce(list_prepend([]::struct(len double, id bigint)[], list_transform(l, lambda x: [x])), lambda a, b: case when len(a) = 0 or a[-1].len - b[1].len > 5000 then list_concat(a, b) else a end) as kept from g)
 select u, v, unnest(kept).id as edge_id from f""")
-def q20(spark, d, whole=False):
-    e = V.net(spark, d, "l_partkey % 40", "40 + l_suppkey % 10", 5, whole=whole)
+def q20(spark, d):
+    e = V.net(spark, d, "l_partkey % 40", "40 + l_suppkey % 10")
     return N.drop_parallel(e, 5000.0).select("u", "v", "edge_id")
 
 
-@query("q21_chain_contract")
+def contract_sql(edges: str) -> str:
+    """Common tables that merge the edges at pass-through nodes of the table ``edges(edge_id, u, v, length_m, kind, name)`` into
+    ``merged(edge_id, u, v, length_m, name, n_edges)``."""
+    glue = lambda n: f"""glue{n} as (select a, b from pass{n} union all select b, a from pass{n}),
+  chain{n}(edge, chain) using key (edge) as (select edge_id, edge_id from open_edges
+    union select g.b, min(c.chain) from chain{n} c join glue{n} g on g.a = c.edge join recurring.chain{n} r on r.edge = g.b where c.chain < r.chain group by g.b)"""
+    return f"""open_edges as (select * from {edges} where u <> v),
+  ends as (select u as node, edge_id, kind from open_edges union all select v, edge_id, kind from open_edges),
+  pass1 as (select node, min(edge_id) as a, max(edge_id) as b from ends group by node having count(*) = 2 and min(kind) = max(kind)),
+  {glue(1)},
+  touched as (select distinct chain, node, node in (select node from pass1) as inner_node from ends join chain1 on edge = edge_id),
+  stays as (select node from (select chain, node, row_number() over (partition by chain order by node desc) as k from touched where inner_node)
+    join (select chain, 2 - least(2, count(*) filter (where not inner_node)) as spare from touched group by chain) using (chain) where k <= spare),
+  pass2 as (select * from pass1 where node not in (select node from stays)),
+  {glue(2)},
+  parts as (select * from open_edges join chain2 on edge = edge_id),
+  outer_nodes as (select chain, min(node) as lo, max(node) as hi from ends join chain2 on edge = edge_id where node not in (select node from pass2) group by chain),
+  sums as (select chain, min(edge_id) as edge_id, sum(length_m) as length_m, arg_min(name, edge_id) filter (where name <> '') as name, count(*) as n_edges, min(u) as u0, min(v) as v0 from parts group by chain),
+  home as (select distinct node, lo from ends join chain2 on edge = edge_id join outer_nodes using (chain) where node in (select node from pass2)),
+  merged as (select edge_id, case when n_edges = 1 then u0 else lo end as u, case when n_edges = 1 then v0 else hi end as v, length_m, name, n_edges from sums join outer_nodes using (chain)
+    union all select edge_id, coalesce(lo, u), coalesce(lo, v), length_m, name, 1 from {edges} left join home on node = u where u = v)"""
+
+
+@query("q21_chain_contract", f"with recursive {NET_SQL}, plain as (select edge_id, u, v, length_m, 'x' as kind, name from net), {contract_sql('plain')} select edge_id, u, v, round(length_m, 2) as length_m, name, n_edges from merged")
 def q21(spark, d):
-    out = N.contract(V.net(spark, d, whole=True).withColumn("source", F.lit("primary")).withColumn("tag", F.lit("river")))
+    out = N.contract(V.net(spark, d).withColumn("source", F.lit("primary")).withColumn("tag", F.lit("river")))
     return out.select("edge_id", "u", "v", F.round("length_m", 2).alias("length_m"), "name", "n_edges")
 
 
-@network_query("q22_component_report", f"with recursive {NET_SQL}, {COMPONENTS_SQL} select comp as component, count(*) as size from cc group by comp order by size desc, component limit 10")
-def q22(spark, d, whole=False):
-    return N.component_report(N.labelled_nodes(V.net(spark, d, whole=whole)))
+@query("q22_component_report", f"with recursive {NET_SQL}, {COMPONENTS_SQL} select comp as component, count(*) as size from cc group by comp order by size desc, component limit 10")
+def q22(spark, d):
+    return N.component_report(N.labelled_nodes(V.net(spark, d, ids=False)))
 
 
-@network_query("q23_trunk_filter", f"""with recursive {NET_SQL}, {COMPONENTS_SQL}, main as (select comp from cc group by comp order by count(*) desc, comp limit 1)
+@query("q23_trunk_filter", f"""with recursive {NET_SQL}, {COMPONENTS_SQL}, main as (select comp from cc group by comp order by count(*) desc, comp limit 1)
 select edge_id, u, v, length_m, source, tag from net where u in (select node from cc where comp = (select comp from main)) and v in (select node from cc where comp = (select comp from main))""")
-def q23(spark, d, whole=False):
-    return N.trunk(V.net(spark, d, whole=whole))[1].select("edge_id", "u", "v", "length_m", "source", "tag")
+def q23(spark, d):
+    return N.trunk(V.net(spark, d))[1].select("edge_id", "u", "v", "length_m", "source", "tag")
 
 
 def _elevation(spark, d):
@@ -298,15 +330,15 @@ _FLOW_SQL = f"""with {NET_SQL}, f as (select net.*, case when p_partkey % 7 <> 0
   g as (select *, case when eu is null or ev is null then 'missing' when abs(eu - ev) <= 1 then 'flat' when ev > eu then 'flipped' else 'kept' end as state from f)"""
 
 
-@network_query("q24_flow_direction", f"""{_FLOW_SQL} select edge_id, case when state = 'flipped' then v else u end as u, case when state = 'flipped' then u else v end as v, case when state = 'flipped' then ev else eu end as elevation_u,
+@query("q24_flow_direction", f"""{_FLOW_SQL} select edge_id, case when state = 'flipped' then v else u end as u, case when state = 'flipped' then u else v end as v, case when state = 'flipped' then ev else eu end as elevation_u,
   case when state = 'flipped' then eu else ev end as elevation_v, state in ('flipped', 'kept') as known, state from g""")
-def q24(spark, d, whole=False):
-    return N.orient(V.net(spark, d, whole=whole), _elevation(spark, d)).select("edge_id", "u", "v", "elevation_u", "elevation_v", "known", "state")
+def q24(spark, d):
+    return N.orient(V.net(spark, d), _elevation(spark, d)).select("edge_id", "u", "v", "elevation_u", "elevation_v", "known", "state")
 
 
-@network_query("q24_flow_stats", f"{_FLOW_SQL} select state, count(*) as n from g group by state")
-def q24_stats(spark, d, whole=False):
-    return N.counts(N.orient(V.net(spark, d, whole=whole), _elevation(spark, d)), "state")
+@query("q24_flow_stats", f"{_FLOW_SQL} select state, count(*) as n from g group by state")
+def q24_stats(spark, d):
+    return N.counts(N.orient(V.net(spark, d, ids=False), _elevation(spark, d)), "state")
 
 
 @query("q25_raster_sample", f"""with {PTS_SQL}, dem as (select cast(p_partkey // 20 as integer) as r, cast(p_partkey % 20 as integer) as c, case when p_partkey % 11 <> 0 then p_retailprice end as elev from part)
@@ -320,7 +352,7 @@ def q25(spark, d):
 
 def _placed(spark, d):
     """The trunk with made-up coordinates of its nodes."""
-    keep, edges = N.trunk(V.net(spark, d, whole=True))
+    keep, edges = N.trunk(V.net(spark, d))
     edges = materialize(edges, "trunk-edges")
     hash01 = lambda salt: (F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("node_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") % 100000)
     nodes = materialize(keep.withColumns({"x": hash01("x"), "y": hash01("y")}), "trunk-nodes")
@@ -357,9 +389,9 @@ def _route_inputs(spark, d):
     return p, edges, p.select("node_id", cell("x").alias("schematic_x"), cell("y").alias("schematic_y"))
 
 
-@network_query("q28_waterway_size", f"with {NET_SQL} select edge_id, case when tag in ('river', 'major_river') then 'main' else 'branch' end as waterway_size from net")
-def q28(spark, d, whole=False):
-    return V.net(spark, d, whole=whole).select("edge_id", T.size_class(F.col("tag")).alias("waterway_size"))
+@query("q28_waterway_size", f"with {NET_SQL} select edge_id, case when tag in ('river', 'major_river') then 'main' else 'branch' end as waterway_size from net")
+def q28(spark, d):
+    return V.net(spark, d).select("edge_id", T.size_class(F.col("tag")).alias("waterway_size"))
 
 
 @query("q29_screen_export", f"""with {PTS_SQL}, b as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from pts), s as (select *, 2400.0::double / greatest(case when x1 = x0 then 1 else x1 - x0 end, case when y1 = y0 then 1 else y1 - y0 end) as k from pts, b)
@@ -369,10 +401,10 @@ def q29(spark, d):
     return s.select(F.concat(F.lit("n"), "seq").alias("node_key"), F.col("sx").alias("pos_x"), F.col("sy").alias("pos_y"))
 
 
-@network_query("q30_elements_split", f"""with {NET_SQL} select 'edge' as kind, 'e' || edge_id as key, 'n' || u as a, 'n' || v as b, case when edge_id % 3 = 0 then '' else name end as label, edge_id % 2 = 0 as flag, cast(null as double) as x from net
+@query("q30_elements_split", f"""with {NET_SQL} select 'edge' as kind, 'e' || edge_id as key, 'n' || u as a, 'n' || v as b, case when edge_id % 3 = 0 then '' else name end as label, edge_id % 2 = 0 as flag, cast(null as double) as x from net
 union all select 'node', 'n' || edge_id, null, null, '', null, length_m from net where edge_id % 2 = 0""")
-def q30(spark, d, whole=False):
-    e = V.net(spark, d, whole=whole)
+def q30(spark, d):
+    e = V.net(spark, d)
     ids = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edge = F.to_json(F.struct(F.struct(ids("e", "edge_id").alias("id"), ids("n", "u").alias("source"), ids("n", "v").alias("target"), F.when(F.col("edge_id") % 3 != 0, F.col("name")).alias("label"), F.when(F.col("edge_id") % 2 == 0, True).alias("engineStraight")).alias("data")))
     node = F.to_json(F.struct(F.struct(ids("n", "edge_id").alias("id")).alias("data"), F.struct(F.col("length_m").alias("x"), F.lit(0.0).alias("y")).alias("position")))
@@ -396,27 +428,39 @@ _TYPE = "case event_type when 'click' then 'gate' when 'view' then 'weir' when '
 _STATUS = "case when event_id % 4 = 0 then 'ชำรุด' end"
 
 
+#: The kinds of the renderer, two without a symbol, one unknown and none.
+_KINDS = ["gate", "gate_plan", "weir", "weir_plan", "reservoir", "reservoir_plan", "telemetry", "pump", "waterbody", "text_box", "generic_node", "bridge", None]
+_KIND = "case event_id % 13 " + " ".join(f"when {i} then '{k}'" for i, k in enumerate(_KINDS) if k) + " end"
+_LABEL = "case when event_id % 5 = 0 then null when event_id % 7 = 0 then '' else event_type end"
+_REF = "case when event_id % 3 = 0 then cast(user_id as {0}) when event_id % 11 = 0 then '' end"
+
+
 def _diagram(spark, d):
     e = V.table(spark, d, "events")
-    nodes = e.select(F.concat(F.lit("n"), "event_id").alias("node_key"), F.expr(_TYPE).alias("node_type"), F.expr(_STATUS).alias("status"), F.when(F.col("event_id") % 2 == 0, "v").otherwise("h").alias("dir"), F.col("event_type").alias("label"), F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).alias("source_ref"), F.col("event_id").alias("pos_x"), F.col("user_id").alias("pos_y"))
+    nodes = e.select(F.concat(F.lit("n"), "event_id").alias("node_key"), F.expr(_KIND).alias("node_type"), F.expr(_STATUS).alias("status"), F.when(F.col("event_id") % 2 == 0, "v").otherwise("h").alias("dir"), F.expr(_LABEL).alias("label"), F.expr(_REF.format("string")).alias("source_ref"), F.col("event_id").alias("pos_x"), F.col("user_id").alias("pos_y"))
     edges = e.select(F.concat(F.lit("e"), "event_id").alias("edge_key"), F.concat(F.lit("n"), "event_id").alias("source_node_key"), F.concat(F.lit("n"), F.col("event_id") + 1).alias("target_node_key"), F.when(F.col("value") > 50, "main").otherwise("branch").alias("edge_type"))
     return nodes, edges
 
 
-@query("q32_draw_list", f"""with n as (select 'n' || event_id as node_key, {_TYPE} as t, {_STATUS} as status, event_id % 2 = 0 as up, event_type as label, case when event_id % 3 = 0 then '[' || user_id || ']' end as ref from events)
-select node_key, case t when 'gate' then 'diamond' when 'weir' then 'bar' when 'waterbody' then 'bar' when 'pump' then 'circle' else 'dot' end as shape,
-  case t when 'gate' then 18 when 'weir' then case when up then 12 else 32 end when 'waterbody' then case when up then 26 else 44 end when 'pump' then 22 end as width,
-  case t when 'gate' then 18 when 'weir' then case when up then 32 else 12 end when 'waterbody' then case when up then 44 else 26 end when 'pump' then 22 end as height,
-  case when t is null then 'grey' when status is not null and t in ('gate', 'weir', 'pump') then 'hatched' when t = 'waterbody' then 'water' when t = 'pump' then 'white' else 'black' end as fill,
-  case when t = 'waterbody' then concat_ws(chr(10), label, ref) else label end as caption from n""")
+@query("q32_draw_list", f"""with n as (select 'n' || event_id as node_key, {_KIND} as t, {_STATUS} = 'ชำรุด' as bad, event_id % 2 = 0 as up, coalesce({_LABEL}, '') as label, coalesce({_REF.format('varchar')}, '') as ref from events)
+select node_key,
+  case when t in ('gate', 'gate_plan') then 'diamond' when t in ('weir', 'weir_plan', 'waterbody') then 'bar' when t in ('reservoir', 'reservoir_plan') then 'triangle' when t = 'telemetry' then 'ring' when t = 'pump' then 'circle' when t = 'text_box' then 'text' else 'dot' end as shape,
+  case when t in ('gate', 'gate_plan', 'telemetry') then 18 when t in ('weir', 'weir_plan') then case when up then 12 else 32 end when t = 'waterbody' then case when up then 26 else 44 end when t in ('reservoir', 'reservoir_plan', 'pump') then 22 when t = 'text_box' then null else 7 end as width,
+  case when t in ('gate', 'gate_plan', 'telemetry') then 18 when t in ('weir', 'weir_plan') then case when up then 32 else 12 end when t = 'waterbody' then case when up then 44 else 26 end when t in ('reservoir', 'reservoir_plan', 'pump') then 22 when t = 'text_box' then null else 7 end as height,
+  case when t = 'text_box' then 'none' when t = 'waterbody' then 'water' when t in ('gate_plan', 'weir_plan', 'reservoir_plan') then 'white' when t in ('gate', 'weir', 'reservoir') then case when bad then 'hatched' else 'black' end
+    when t in ('telemetry', 'pump') then case when bad then 'hatched' else 'white' end else 'grey' end as fill,
+  case when t = 'generic_node' then '' when t = 'waterbody' and ref <> '' then case when label = '' then '[' || ref || ']' else label || chr(10) || '[sp' || ref || ']' end else label end as caption from n""")
 def q32(spark, d):
     return D.draw_list(_diagram(spark, d)[0]).select("node_key", "shape", "width", "height", "fill", "caption")
 
 
-@query("q32_legend", """with m as (select distinct case when value > 50 then 'main' else 'branch' end as k from events)
-select 0 as part, k as key, case when k = 'main' then 'Main channel' else 'Branch channel' end as label from m
-union all select * from (values (1, 'gate', 'Gate'), (1, 'pump', 'Pumping station'), (1, 'waterbody', 'Water body'), (1, 'weir', 'Weir')) t(part, key, label) where exists (select 1 from events)
-union all select 2, t.k, t.label from (values ('click', 'gate_broken', 'Gate (broken)'), ('signup', 'pump_broken', 'Pumping station (broken)'), ('view', 'weir_broken', 'Weir (broken)')) t(e, k, label) where exists (select 1 from events where event_type = t.e and event_id % 4 = 0)""")
+_LEGEND_SQL = " union all ".join([f"select '{k}' as k, '{v}' as label" for k, v in (D.LEGEND | D.BROKEN_LEGEND).items()])
+
+
+@query("q32_legend", f"""with words as ({_LEGEND_SQL}), m as (select distinct value > 50 as main from events), n as (select {_KIND} as t, event_id % 4 = 0 as bad from events)
+select 0 as part, case when main then 'main' else 'branch' end as key, case when main then 'ลำน้ำหลัก' else 'ลำน้ำสาขา' end as label from m
+union all select distinct 1, t, label from n join words on k = t
+union all select distinct 2, t || '_broken', label from n join words on k = t || '_broken' where bad and t in ('gate', 'weir', 'reservoir', 'telemetry', 'pump')""")
 def q32_legend(spark, d):
     return D.legend(*_diagram(spark, d))
 
@@ -445,29 +489,34 @@ def q34(spark, d):
     return back.select("line_id", "source", F.round(F.col("geom")[0]["x"], 6).alias("x1"), F.round(F.col("geom")[2]["y"], 6).alias("y3"), F.size("geom").alias("n"), "srid")
 
 
-@network_query("q34_graphml_roundtrip", f"with {NET_SQL} select u, v, edge_id, length_m, source, tag as waterway_tag, case when edge_id % 4 <> 0 then name || '<&>\"' end as name from net")
-def q34_graphml(spark, d, whole=False):
+@query("q34_graphml_roundtrip", f"with {NET_SQL} select u, v, edge_id, length_m, source, tag as waterway_tag, case when edge_id % 4 <> 0 then name || '<&>\"' end as name from net")
+def q34_graphml(spark, d):
     import uuid
 
-    e = V.net(spark, d, whole=whole).withColumn("waterway_tag", F.col("tag")).withColumn("name", F.when(F.col("edge_id") % 4 != 0, F.concat("name", F.lit('<&>"'))))
+    e = V.net(spark, d).withColumn("waterway_tag", F.col("tag")).withColumn("name", F.when(F.col("edge_id") % 4 != 0, F.concat("name", F.lit('<&>"'))))
     nodes = e.select(F.explode(F.array("u", "v")).alias("node_id")).distinct().withColumns({"x": F.col("node_id") * 1.5, "y": F.lit(None).cast("double")})
     path = f"{shared_dir(spark)}/graphml-{uuid.uuid4().hex}"
     W.graphml_lines(nodes, e).select("value").write.text(path)
     return W.parse_graphml_edges(spark.read.text(path))
 
 
-@query("q35_edit_log")
+@query("q35_edit_log", """with recursive ops as (select user_id as doc, event_id as seq, case event_type when 'error' then 'undo' when 'signup' then 'redo' else 'edit' end as op, row_number() over (partition by user_id order by event_id) as k from events),
+  folded(doc, k, stack, cur) as (select distinct doc, 0::bigint, []::bigint[], 0::bigint from ops
+    union all select o.doc, o.k, case when op = 'edit' then list_append(list_slice(stack, 1, cur), seq) else stack end, case op when 'edit' then cur + 1 when 'undo' then greatest(cur - 1, 0) else least(cur + 1, len(stack)) end
+    from folded f join ops o on o.doc = f.doc and o.k = f.k + 1),
+  last as (select doc, arg_max(stack, k) as stack, arg_max(cur, k) as cur from folded group by doc)
+select doc, unnest(list_slice(stack, 1, cur)) as seq from last where cur > 0""")
 def q35(spark, d):
     op = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
     ops = V.table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("seq"), op.alias("op"))
     return D.effective_ops(ops)
 
 
-@network_query("q35_delete_split", f"""with {NET_SQL}, n as (select distinct unnest([u, v]) as k from net), e as (select 'e' || edge_id as edge_key, 'n' || u as a, 'n' || v as b, name as label, edge_id from net where u % 5 <> 0)
+@query("q35_delete_split", f"""with {NET_SQL}, n as (select distinct unnest([u, v]) as k from net), e as (select 'e' || edge_id as edge_key, 'n' || u as a, 'n' || v as b, name as label, edge_id from net where u % 5 <> 0)
 select edge_key, a as source_node_key, b as target_node_key, label from e where edge_id % 3 <> 0
 union all select edge_key || 'a', a, 'm' || edge_id, label from e where edge_id % 3 = 0 union all select edge_key || 'b', 'm' || edge_id, b, '' from e where edge_id % 3 = 0""")
-def q35_delete(spark, d, whole=False):
-    e = V.net(spark, d, whole=whole)
+def q35_delete(spark, d):
+    e = V.net(spark, d)
     ids = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nodes = e.select(F.explode(F.array("u", "v")).alias("id")).distinct().select(ids("n", "id").alias("node_key"), (F.col("id") % 5 == 0).alias("gone"), F.lit(0).alias("pos_x"), F.lit(0).alias("pos_y"))
     edges = e.select(ids("e", "edge_id").alias("edge_key"), ids("n", "u").alias("source_node_key"), ids("n", "v").alias("target_node_key"), F.col("name").alias("label"))
@@ -485,7 +534,31 @@ def q35_rotate(spark, d):
     return e.select("event_id", rotation.cast("long").alias("rotation"), direction.alias("dir"), D.edited_label(F.concat("event_type", F.lit("\\n"), F.col("user_id").cast("string"))).alias("label"))
 
 
+_NODED_SQL = f"""with recursive {PIECES_SQL},
+  raw as (select row_number() over (order by line_id, piece) - 1 as edge_id, * from pieces),
+  tips as (select edge_id * 2 as seq, px as x, py as y from raw union all select edge_id * 2 + 1, qx, qy from raw),
+  near as (select a.seq as a, b.seq as b from tips a join tips b on a.seq <> b.seq and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100),
+  tied(seq, comp) using key (seq) as (select seq, seq from tips union select n.b, min(c.comp) from tied c join near n on n.a = c.seq join recurring.tied r on r.seq = n.b where c.comp < r.comp group by n.b),
+  node_of as (select seq, dense_rank() over (order by comp) - 1 as node from tied),
+  graph as (select edge_id, a.node as u, b.node as v, length_m, source || ':' || tag as kind, cast(null as varchar) as name from raw join node_of a on a.seq = edge_id * 2 join node_of b on b.seq = edge_id * 2 + 1),
+  {contract_sql('graph')}"""
+
+
+#: Places are shifted by this before they are rounded, so that none lies half way.
+_OFF = 1.3e-7
+
+
+@query("q36_network_of_lines", f"""{_NODED_SQL}, spot as (select node, round(avg(x) + {_OFF}, 4) as x, round(avg(y) + {_OFF}, 4) as y from tips join node_of using (seq) group by node)
+select edge_id, u, v, round(length_m, 2) as length_m, n_edges, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from merged join spot a on a.node = u join spot b on b.node = v""")
+def q36(spark, d):
+    lines = V.short_lines(spark, d).withColumn("tag", F.col("tag").cast("string")).withColumn("name", F.lit(None).cast("string"))
+    nodes, edges = P.noded(lines, P.Settings(snap=10.0, cell=60.0))
+    at = lambda k, n: nodes.select(F.col("node_id").alias(k), *[F.round(F.col(c) + _OFF, 4).alias(f"{c}{n}") for c in ("x", "y")])
+    merged = N.contract(edges, nodes).join(at("u", 1), "u").join(at("v", 2), "v")
+    return merged.select("edge_id", "u", "v", F.round("length_m", 2).alias("length_m"), "n_edges", "x1", "y1", "x2", "y2")
+
+
 def flagship(spark, d) -> DataFrame:
     """Trunk of the network with degrees: the first joins of most queries here."""
-    keep, edges = N.trunk(V.net(spark, d, whole=True))
+    keep, edges = N.trunk(V.net(spark, d, ids=False))
     return N.degrees(edges).join(keep, "node_id").select("node_id", "degree")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +38,13 @@ def tracks(spark, sf_dir) -> DataFrame:
 ROW = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-def net(spark, sf_dir, u="l_partkey", v="1000000 + l_suppkey", most=2, whole=False) -> DataFrame:
-    """Edges from rows of lineitem: all of them with ``whole``, else the sample that ``NET_SQL`` takes."""
-    order = ROW if whole else ROW[:4]
-    li = table(spark, sf_dir, "lineitem")
-    if not whole:
-        li = li.where((F.col("l_linenumber") == 1) & (F.col("l_quantity") <= most))
+def net(spark, sf_dir, u="l_partkey", v="1000000 + l_suppkey", ids=True) -> DataFrame:
+    """An edge for each row of lineitem; ``ids``: numbered in the order of the whole row."""
     from thalweg.operators.spatial import dense_ids
 
-    keyed = li.select(F.struct(*order).alias("k"), F.expr(u).alias("u"), F.expr(v).alias("v"), F.col("l_extendedprice").alias("length_m"), F.when(F.col("l_returnflag") == "R", "primary").otherwise("supplement").alias("source"), F.when(F.col("l_linestatus") == "F", "river").otherwise("canal").alias("tag"), F.concat(F.lit("e"), "l_orderkey").alias("name"), F.col("l_discount").alias("discount"))
-    return dense_ids(keyed, "k", "edge_id").drop("k")
+    li = table(spark, sf_dir, "lineitem")
+    edges = [F.expr(u).alias("u"), F.expr(v).alias("v"), F.col("l_extendedprice").alias("length_m"), F.when(F.col("l_returnflag") == "R", "primary").otherwise("supplement").alias("source"), F.when(F.col("l_linestatus") == "F", "river").otherwise("canal").alias("tag"), F.concat(F.lit("e"), "l_orderkey").alias("name"), F.col("l_discount").alias("discount")]
+    return dense_ids(li.select(F.struct(*ROW).alias("k"), *edges), "k", "edge_id").drop("k") if ids else li.select(*edges)
 
 
 PTS_SQL = "pts as (select vec_id as seq, embedding[1]::double * 1000 as x, embedding[2]::double * 1000 as y, label from embeddings)"
@@ -59,15 +54,7 @@ SEGS_SQL = """v as (select vec_id as line_id, case when label % 2 = 0 then 'prim
 TRACKS_SQL = "tracks as (select user_id, row_number() over (partition by user_id order by ts) as k, date_diff('microsecond', timestamp '2024-01-01', ts) / 3.6e9::double as x, value as y from events)"
 NET_SQL = """net as (select l_partkey as u, 1000000 + l_suppkey as v, l_extendedprice as length_m, case when l_returnflag = 'R' then 'primary' else 'supplement' end as source,
     case when l_linestatus = 'F' then 'river' else 'canal' end as tag, 'e' || l_orderkey as name, l_discount as discount,
-    row_number() over (order by l_orderkey, l_partkey, l_suppkey, l_extendedprice) - 1 as edge_id from lineitem where l_linenumber = 1 and l_quantity <= 2)"""
-
-
-def whole_sql(sql: str) -> str:
-    """SQL over a sample of lineitem as SQL over all its rows."""
-    cut = r"\(order by l_orderkey, l_partkey, l_suppkey, l_extendedprice\) - 1 as edge_id from lineitem where l_linenumber = 1 and l_quantity <= \d+"
-    out, n = re.subn(cut, f"(order by {', '.join(ROW)}) - 1 as edge_id from lineitem", sql)
-    assert n == 1
-    return out
+    row_number() over (order by %s) - 1 as edge_id from lineitem)""" % ", ".join(ROW)
 
 
 #: Components of net by the least node: label(node, comp).

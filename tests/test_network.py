@@ -263,7 +263,7 @@ def test_landing_stream(spark, tmp_path):
     folder.mkdir()
     way = {"type": "way", "id": 1, "tags": {"waterway": "canal", "name": "x"}, "geometry": [{"lat": 1.0, "lon": 2.0}, {"lat": 3.0, "lon": 4.0}]}
     for k in range(2):
-        (folder / f"{k}.json").write_text(json.dumps({"elements": [way, {**way, "id": 2 + k, "tags": {"waterway": "dam"}}]}))
+        (folder / f"{k}.json").write_text(json.dumps({"elements": [way, {**way, "id": 2 + k, "tags": {"waterway": "dam"}}]}, indent=1))
     q = follow_responses(spark, str(folder)).writeStream.format("memory").queryName("ways").outputMode("append").start()
     q.processAllAvailable()
     q.stop()

@@ -146,3 +146,49 @@ def rotate(node_type: Column, rotation: Column, direction: Column) -> tuple[Colu
 
 def edited_label(text: Column) -> Column:
     return F.replace(text, F.lit("\\n"), F.lit("\n"))
+
+
+# Labels of new nodes by kind, and of a new edge.
+NEW_LABELS = {
+    "gate": "ปตร.", "weir": "ฝาย", "reservoir": "อ่างฯ", "telemetry": "โทรมาตร", "pump": "",
+    "gate_plan": "ปตร.(แผน)", "weir_plan": "ฝาย(แผน)", "generic_node": "", "waterbody": "ชื่อแหล่งน้ำ\n(ความจุ)",
+}
+NEW_EDGE = "คลองใหม่"
+
+
+def insert_nodes(nodes: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Adds nodes ``fresh(node_key, node_type, pos_x, pos_y[, label])`` with the label of their kind, or a text box with its text; a text
+    box without text is not added."""
+    given = F.col("label") if "label" in fresh.columns else F.lit(None).cast("string")
+    text = F.col("node_type") == "text_box"
+    rows = fresh.withColumn("label", F.when(text, given).otherwise(_lookup(NEW_LABELS, F.col("node_type")))).where(~text | (F.coalesce("label", F.lit("")) != ""))
+    return nodes.unionByName(rows.withColumns({"rotation": F.lit(0), "dir": F.lit("h")}), allowMissingColumns=True)
+
+
+def draw_edges(edges: DataFrame, nodes: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Adds edges ``fresh(edge_key, source_node_key, target_node_key, edge_type)`` between two different nodes that exist."""
+    known = lambda k: nodes.select(F.col("node_key").alias(k))
+    rows = fresh.where("source_node_key <> target_node_key").join(known("source_node_key"), "source_node_key", "left_semi").join(known("target_node_key"), "target_node_key", "left_semi")
+    return edges.unionByName(rows.select(*fresh.columns).withColumn("label", F.lit(NEW_EDGE)), allowMissingColumns=True)
+
+
+def move_nodes(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """Nodes at their last place of ``moves(node_key, seq, pos_x, pos_y)``; moves of unknown nodes do nothing."""
+    last = moves.groupBy("node_key").agg(F.max(F.struct("seq", "pos_x", "pos_y")).alias("_to"))
+    at = lambda c: F.coalesce(F.col(f"_to.{c}").cast(dict(nodes.dtypes)[c]), F.col(c)).alias(c)
+    return nodes.join(last, "node_key", "left").select(*[at(c) if c in ("pos_x", "pos_y") else c for c in nodes.columns])
+
+
+def export_elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``value``: one JSON element per node and edge, nodes first, as :func:`thalweg.sources.documents.split_elements` reads them."""
+    of = lambda df, names: [F.col(c).alias(a) for c, a in names.items() if c in df.columns]
+    node = of(nodes, {"node_key": "id", "label": "label", "node_type": "type", "rotation": "rotation", "dir": "dir"})
+    edge = of(edges, {"edge_key": "id", "source_node_key": "source", "target_node_key": "target", "label": "label", "edge_type": "type", "engine_straight": "engineStraight", "engine_bend": "engineBend", "seg_dist": "segDist", "seg_weight": "segWeight"})
+    place = F.struct(F.col("pos_x").cast("double").alias("x"), F.col("pos_y").cast("double").alias("y"))
+    a = nodes.select(F.lit(0).alias("part"), F.to_json(F.struct(F.struct(*node).alias("data"), place.alias("position"))).alias("value"))
+    return a.unionByName(edges.select(F.lit(1).alias("part"), F.to_json(F.struct(F.struct(*edge).alias("data"))).alias("value")))
+
+
+def linked(nodes: DataFrame) -> DataFrame:
+    """One row: ``nodes``, and ``linked``, how many of them refer to a reading."""
+    return nodes.agg(F.count("*").alias("nodes"), F.count_if(F.coalesce(F.col("source_ref").cast("string"), F.lit("")) != "").alias("linked"))

@@ -188,3 +188,50 @@ def sample_raster(points: DataFrame, cells: DataFrame, west: float, north: float
     value = F.when(~F.isnan("elev") & ((F.col("elev") != nodata) if nodata is not None else F.lit(True)), F.col("elev"))
     c = cells.select(F.col("row").alias("_row"), F.col("col").alias("_col"), value.alias("elevation_m"))
     return at.join(c, ["_row", "_col"], "left").drop("_row", "_col")
+
+
+REMOTE = "array<struct<feature_type:string,geom_geojson:string,source_attrs:map<string,string>>>"
+
+
+def remote_rows(df: DataFrame, column: str = "value") -> DataFrame:
+    """Answers of the bounding-box procedures, JSON text, to ``layer, attrs, geom``; shapes of one part only have a ``geom``.  Rows of a
+    layer other than the two line layers are dropped; bodies come without a layer."""
+    shape = "struct<type:string,coordinates:string>"
+    r = df.select(F.explode(F.from_json(column, REMOTE)).alias("r")).select("r.*").withColumn("g", F.from_json("geom_geojson", shape))
+    line, lines = F.from_json("g.coordinates", f"array<{PAIR}>"), F.from_json("g.coordinates", f"array<array<{PAIR}>>")
+    areas = F.from_json("g.coordinates", f"array<array<array<{PAIR}>>>")
+    one = lambda parts: F.when(F.size(parts) == 1, parts[0])
+    ring = F.when(F.col("g.type") == "LineString", line).when(F.col("g.type") == "MultiLineString", one(lines)).when(F.col("g.type") == "Polygon", lines[0]).when(F.col("g.type") == "MultiPolygon", one(areas)[0])
+    out = r.select(F.coalesce("feature_type", F.lit("water_body")).alias("layer"), F.col("source_attrs").alias("attrs"), F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("geom"))
+    return out.where(F.col("layer").isin("major_river", "minor_stream", "water_body"))
+
+
+def fetch_in_bbox(spark: SparkSession, names: list[str], bbox: tuple[float, float, float, float], post) -> DataFrame:
+    """Rows of remote bounding-box procedures for (south, west, north, east); ``post(name, body)`` gives the answer's text.  Errors go up, so
+    that :func:`first_available` can turn to files."""
+    body = json.dumps(dict(zip(("p_south", "p_west", "p_north", "p_east"), bbox)))
+    return remote_rows(spark.createDataFrame([(post(n, body),) for n in names], "value string"))
+
+
+def bbox_of(lines: DataFrame, lon: str = "x", lat: str = "y", margin: float = 0.0) -> tuple[float, float, float, float]:
+    """South, west, north, east of the vertices, with a margin."""
+    p = lines.select(F.explode("geom").alias("p")).agg(F.min(f"p.{lat}"), F.min(f"p.{lon}"), F.max(f"p.{lat}"), F.max(f"p.{lon}")).first()
+    return p[0] - margin, p[1] - margin, p[2] + margin, p[3] + margin
+
+
+def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of left whose key is not in right, for a report."""
+    return left.join(right.select(key), key, "left_anti").select(*left.columns)
+
+
+def dump_features(df: DataFrame, path: str) -> int:
+    """Writes features as lines of JSON and returns their number; none is worth a warning, not an error."""
+    import warnings
+
+    from thalweg.storage import materialize_told
+
+    rows, told = materialize_told(geojson_lines(df), "features", n=F.count(F.lit(1)))
+    rows.write.text(path)
+    if not told.get("n"):
+        warnings.warn(f"no features written to {path}", stacklevel=2)
+    return told.get("n", 0)

@@ -10,6 +10,6 @@ from thalweg.sources.documents import flatten_response
 
 def follow_responses(spark: SparkSession, folder: str, delay: str = "1 day", **filters) -> DataFrame:
     """Ways of the response files that arrive in a folder.  A way seen again within ``delay`` is not repeated, so the state stays bounded."""
-    raw = spark.readStream.option("wholetext", True).text(folder).withColumn("seen_at", F.current_timestamp())
+    raw = spark.readStream.text(folder, wholetext=True).withColumn("seen_at", F.current_timestamp())
     ways = flatten_response(raw, **filters).withColumn("seen_at", F.current_timestamp())
     return ways.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["osm_id"])

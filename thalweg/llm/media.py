@@ -221,11 +221,13 @@ def _pages_or_faults(data: bytes) -> Iterator[Page | UnsupportedPage]:
         raise ValueError(f"broken TIFF: {e}") from e
 
 
-def write_pages(pages: list[np.ndarray], packing: int = DEFLATE, predictor: int = 2, strip_rows: int = ROWS_A_STRIP, tile: tuple[int, int] | None = None) -> bytes:
-    """Little-endian TIFF of pages (height x width x samples, uint8) in strips, or in tiles of (height, width)."""
+def write_pages(pages: list[np.ndarray], packing=DEFLATE, predictor=2, strip_rows: int = ROWS_A_STRIP, tile=None) -> bytes:
+    """Little-endian TIFF of pages (height x width x samples, uint8) in strips, or in tiles of (height, width).  Packing, predictor and
+    tile may be lists, with a value for each page."""
     out = bytearray(struct.pack("<2sHL", b"II", 42, 0))
     link = 4
-    for page in pages:
+    each = lambda v: v if isinstance(v, list) else [v] * len(pages)
+    for page, packing, predictor, tile in zip(pages, each(packing), each(predictor), each(tile)):
         height, width, samples = page.shape
         if tile:
             h, w = tile
@@ -345,3 +347,24 @@ def text_media(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages"]
     schema = f"doc_id {dict(df.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int"
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def embedding_pages(df: DataFrame, id_col="vec_id", vector_col="embedding") -> DataFrame:
+    """``vec_id, page, width, height, compression, predictor, pixels_md5, error``: each vector of 64 numbers as a picture of 8 x 8 samples in a
+    file of eight pages, one for each packing in strips of three rows and in tiles of 4 x 16, read back by ``tiff_pages``.  A vector
+    of another length or null has no file and no rows."""
+
+    def store_vectors(batches):
+        for b in batches:
+            ids, files = [], []
+            for key, vector in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if vector is None or len(vector) != 64 or any(x is None for x in vector):
+                    continue
+                grid = np.clip(np.floor(np.array(vector, np.float64) * 20) + 80, 33, 126).astype(np.uint8).reshape(8, 8, 1)
+                ids.append(key)
+                files.append(write_pages([grid] * 8, [NONE, LZW, DEFLATE, PACKBITS] * 2, [1 + (key + p) % 2 for p in range(8)], 3, [None] * 4 + [(4, 16)] * 4))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(files, pa.binary())], ["id", "tiff"])
+
+    kind = dict(df.dtypes)[id_col]
+    files = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(store_vectors, f"id {kind}, tiff binary")
+    return tiff_pages(files, "id", "tiff").select(F.col("id").alias("vec_id"), "page", "width", "height", "compression", "predictor", F.md5("pixels").alias("pixels_md5"), "error")

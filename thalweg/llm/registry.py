@@ -13,6 +13,19 @@ def op1_extendible_sharding(spark, sf_dir):
     return import_module("thalweg.llm.sharding").extendible_shards(_documents(spark, sf_dir))
 
 
+def small_shards(spark, sf_dir):
+    """The first operator with shards of 64 KiB, so that small tables split too."""
+    return import_module("thalweg.llm.sharding").extendible_shards(_documents(spark, sf_dir), limit=64 << 10)
+
+
+def small_shards_directory(spark, sf_dir):
+    return import_module("thalweg.llm.sharding").directory(small_shards(spark, sf_dir))
+
+
+def tiff_pages(spark, sf_dir):
+    return import_module("thalweg.llm.media").embedding_pages(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_ppm_language(spark, sf_dir):
     return import_module("thalweg.llm.langid").identify(_documents(spark, sf_dir))
 
@@ -52,10 +65,12 @@ def op10_chat_repair(spark, sf_dir):
 
 
 def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    named = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
+    return named | {"shards_of_64_kib": small_shards, "shards_directory": small_shards_directory, "tiff_pages": tiff_pages}
 
 
-OP1_SQL = """
+def _shards_sql(limit: int) -> str:
+    return f"""
 with h as (
   select doc_id, octet_length(encode(coalesce(text, ''))) as n_bytes,
          ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 15))::bigint as h
@@ -65,9 +80,39 @@ nodes as (select depth, prefix, cast(sum(n_bytes) as bigint) as shard_bytes, cou
 leaf as (
   select l.doc_id, l.n_bytes, l.depth, l.prefix, n.shard_bytes, n.shard_rows,
          row_number() over (partition by l.doc_id order by l.depth) as k
-  from levels l join nodes n using (depth, prefix) where n.shard_bytes <= 16777216)
-select doc_id, cast(n_bytes as bigint) as n_bytes, (1::bigint << depth) | prefix as shard, cast(0 as integer) as part, depth, shard_bytes, shard_rows
-from leaf where k = 1
+  from levels l join nodes n using (depth, prefix) where n.shard_bytes <= {limit} or n.shard_rows = 1),
+placed as (select doc_id, cast(n_bytes as bigint) as n_bytes, (1::bigint << depth) | prefix as shard, cast(0 as integer) as part, depth, shard_bytes, shard_rows
+  from leaf where k = 1)
+"""
+
+
+OP1_SQL = _shards_sql(16 << 20) + "select * from placed"
+SMALL_SQL = _shards_sql(64 << 10) + "select * from placed"
+DIRECTORY_SQL = _shards_sql(64 << 10) + """, deep as (select max(depth) as g from placed)
+select distinct shard, depth, (shard - (1::bigint << depth)) << (g - depth) as first_slot, ((shard - (1::bigint << depth)) + 1 << (g - depth)) - 1 as last_slot, 1::bigint << (g - depth) as slots, g as global_depth from placed, deep
+"""
+
+#: All pairs that share a shingle, counted; components by the least id.
+OP6_SQL = """
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from documents),
+s as (
+  select doc_id, case when len(words) >= 5 then list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+                      when len(words) > 0 then [array_to_string(words, ' ')] else []::varchar[] end as sh
+  from w),
+flat as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+pairs as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as both_have from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from pairs where 100 * both_have >= 80 * (n + m - both_have)),
+either_way as (select a, b from links union all select b, a from links),
+cc(node, comp) using key (node) as (select doc_id, doc_id from s
+  union select e.b, min(c.comp) from cc c join either_way e on e.a = c.node join recurring.cc r on r.node = e.b where c.comp < r.comp group by e.b)
+select doc_id, cast(len(sh) as bigint) as n_shingles, comp as component_id from s join cc on node = doc_id
+"""
+
+#: The pages hold the samples of the embedding as they are, whatever their form.
+TIFF_SQL = """
+with e as (select vec_id, array_to_string(list_transform(embedding, lambda x: chr(cast(least(126, greatest(33, floor(x::double * 20) + 80)) as integer))), '') as cells from embeddings)
+select vec_id, cast(p as integer) as page, 8 as width, 8 as height, cast(case p % 4 when 0 then 1 when 1 then 5 when 2 then 8 else 32773 end as integer) as compression, cast(1 + (vec_id + p) % 2 as integer) as predictor, md5(cells) as pixels_md5, cast(null as varchar) as error
+from e, range(0, 8) t(p)
 """
 
 OP8_SQL = """
@@ -104,4 +149,4 @@ from p
 
 
 def oracle_sql():
-    return {"op1_extendible_sharding": OP1_SQL, "op8_curriculum_mix": OP8_SQL}
+    return {"op1_extendible_sharding": OP1_SQL, "op6_partenum_jaccard": OP6_SQL, "op8_curriculum_mix": OP8_SQL, "shards_of_64_kib": SMALL_SQL, "shards_directory": DIRECTORY_SQL, "tiff_pages": TIFF_SQL}

@@ -32,13 +32,13 @@ def hash_bits(id_col: str, text_col: str):
 def _trie_step(cells: DataFrame, base: int, deep: int, limit: int) -> DataFrame:
     """Leaves for the cells of one histogram.  cells(cell, bytes, n_rows): prefixes of ``deep`` bits below parents of ``base``
     bits that are known to be too large (or the root).  Returns cell -> (depth, prefix, shard_bytes, shard_rows); cells
-    that are themselves too large have depth null."""
+    that are themselves too large have depth null.  A prefix with one row is not split, however large the row."""
     first = base + 1 if base else 0
     level = cells.select(
         "cell", "bytes", "n_rows", F.explode(F.sequence(F.lit(first), F.lit(deep))).alias("depth")
     ).withColumn("prefix", F.expr(f"shiftright(cell, {deep} - depth)"))
     nodes = level.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n_rows").alias("shard_rows"))
-    fits = level.join(nodes.where(F.col("shard_bytes") <= limit), ["depth", "prefix"])
+    fits = level.join(nodes.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1)), ["depth", "prefix"])
     best = fits.groupBy("cell").agg(
         F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("leaf")
     )
@@ -50,7 +50,7 @@ def extendible_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``n_bytes`` is the UTF-8 length of the text (null: 0).  ``shard`` is the trie leaf as a number, a leading 1 bit
     followed by the prefix bits (1: the root), so shards order along the hash space.  ``shard_bytes <= limit`` unless a
-    single row is larger than the limit; such a row is alone in its shard.
+    single row is larger than the limit; such a row is alone in its shard, at the shortest prefix it has alone.
 
     Null ids and null texts hash as empty strings.  Rows equal in id and text have equal hashes; if they alone exceed
     the limit no bit parts them, so they are dealt by count into ``part`` 0, 1, ... (0 for all others).  Ties cannot
@@ -80,11 +80,7 @@ def extendible_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if deep == HASH_BITS:
             done.append(_deal_equal(todo, limit))
             break
-        alone = todo.where("n_rows = 1").drop("cell", "n_rows")
-        done.append(
-            alone.withColumns({"depth": F.lit(deep), "prefix": cell, "shard_bytes": F.col("n_bytes"), "shard_rows": F.lit(1).cast("long"), "part": F.lit(0)})
-        )
-        todo = materialize(todo.where("n_rows > 1").drop("cell", "n_rows"), "shard-large")
+        todo = materialize(todo.drop("cell", "n_rows"), "shard-large")
         base, deep = deep, min(HASH_BITS, deep + _STEP)
     out = done[0].select(*_COLUMNS)
     for more in done[1:]:
@@ -115,3 +111,13 @@ def _deal_equal(rows: DataFrame, limit: int) -> DataFrame:
     )
     size = F.least(F.col("each"), F.col("n_rows") - F.col("part") * F.col("each"))
     return dealt.withColumns({"depth": F.lit(HASH_BITS), "prefix": F.col("cell"), "shard_rows": size, "shard_bytes": size * F.col("n_bytes")})
+
+
+def directory(shards: DataFrame) -> DataFrame:
+    """The directory of placed rows, one row per shard: ``shard, depth, first_slot, last_slot, slots, global_depth``.  A directory of
+    ``global_depth`` bits has one slot per prefix of that many bits; a shard owns the slots from first to last."""
+    leaves = shards.groupBy("shard").agg(F.first("depth").alias("depth"))
+    both = leaves.crossJoin(F.broadcast(leaves.agg(F.max("depth").alias("global_depth"))))  # one row
+    free = "global_depth - depth"
+    first = F.expr(f"shiftleft(shard - shiftleft(1L, depth), {free})")
+    return both.select("shard", "depth", first.alias("first_slot"), (first + F.expr(f"shiftleft(1L, {free})") - 1).alias("last_slot"), F.expr(f"shiftleft(1L, {free})").alias("slots"), "global_depth")

@@ -21,7 +21,7 @@ def trie(rows, limit):
     while waiting:
         prefix, own = waiting.pop()
         total = sum(size[i] for i in own)
-        if total <= limit or len(prefix) == 60 or len(own) == 1 and len(prefix) >= 1000:
+        if total <= limit or len(prefix) == 60 or len(own) == 1:
             for i in own:
                 leaf[i] = (int("1" + prefix, 2), total)
             continue
@@ -36,12 +36,25 @@ def test_shards_against_plain_trie(spark):
     r = random.Random(1)
     rows = [(i, "x" * r.randrange(0, 300)) for i in range(400)] + [(1000, None), (None, "abc"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("x", "x")
-    for limit in (2000, 700, 1 << 30):
+    for limit in (2000, 700, 200, 1 << 30):  # rows have up to 299 bytes
         got = Counter((r.doc_id, r.n_bytes, r.shard, r.shard_bytes) for r in S.extendible_shards(df, limit=limit).collect())
         want = Counter((d, len((t or "").encode()), *trie(rows, limit)[i]) for i, (d, t) in enumerate(rows))
         assert got == want
 
 
+def test_directory_covers_the_hash_space(spark):
+    rows = [(i, "x" * (i % 90)) for i in range(300)]
+    placed = S.extendible_shards(spark.createDataFrame(rows, "doc_id long, text string"), limit=900)
+    slots = sorted(S.directory(placed).collect(), key=lambda r: r.first_slot)
+    (bits,) = {r.global_depth for r in slots}
+    assert len(slots) > 8 and bits == max(r.depth for r in slots) and all(r.last_slot - r.first_slot + 1 == r.slots == 1 << (bits - r.depth) for r in slots)
+    assert all(a.last_slot < b.first_slot for a, b in zip(slots, slots[1:])) and slots[-1].last_slot < 1 << bits
+    for r in placed.collect():
+        key = hashlib.md5(f"{r.doc_id}:{hashlib.md5(dict(rows)[r.doc_id].encode()).hexdigest()}".encode()).hexdigest()
+        slot = int(key[:15], 16) >> (60 - bits)
+        assert [x.shard for x in slots if x.first_slot <= slot <= x.last_slot] == [r.shard]
+
+
 def test_oversized_rows_and_equal_rows(spark):
     rows = [(1, "a" * 5000), (2, "b" * 10), (3, "c" * 10)] + [(7, "same" * 5)] * 50
     df = spark.createDataFrame([r + (0, 0) for r in rows], "doc_id long, text string, h int, cell int")

@@ -178,3 +178,38 @@ def test_run_for_one_area(spark, tmp_path):
     assert nodes.count() == 5 and shown.count() == 4 and {r.version_id for r in nodes.collect()} == {out["version"]}
     with pytest.raises(ValueError):
         P.run_area(areas, ("พิษณุโลก", "เมือง", "ค"), primary, supplement)
+
+
+def test_responses_by_box(spark):
+    """The first endpoint refuses, the second answers, one partition for each box."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from thalweg.sources.responses import fetch_responses
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):
+            query = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            good = self.path == "/good" and self.headers["User-Agent"] == W.AGENT
+            self.send_response(200 if good else 503)
+            self.end_headers()
+            way = {"type": "way", "id": int(query.split("](")[1].split(".")[0]), "tags": {"waterway": "canal"}, "geometry": [{"lat": 1.0, "lon": 2.0}, {"lat": 1.5, "lon": 2.5}]}
+            self.wfile.write(json.dumps({"elements": [way]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    raw = fetch_responses(spark, [f"{base}/bad", f"{base}/good"], [(1.0, 2.0, 3.0, 4.0), (5.0, 6.0, 7.0, 8.0)], timeout=20)
+    assert raw.rdd.getNumPartitions() == 2 and sorted(r.osm_id for r in W.flatten_response(raw).collect()) == [1, 5]
+    server.shutdown()
+
+
+def test_names_and_quotes(spark):
+    from thalweg.functions import text as T
+
+    row = spark.range(1).select(T.quoted(F.lit("o'k")).alias("a"), T.title(F.lit("x"), F.lit(""), F.lit("y"), fallback=F.lit("z")).alias("b"), T.title(F.lit(""), fallback=F.lit("z")).alias("c")).first()
+    assert tuple(row) == ("o''k", "x y", "z")
+    assert P.admin_text(" อ. เมือง ") == "เมือง" and P.admin_text("จังหวัดตาก") == "จังหวัดตาก"

@@ -135,13 +135,17 @@ def response_query(bbox: tuple[float, float, float, float], tags=WATER_TAGS, tim
     return f'[out:json][timeout:{timeout}];way["waterway"~"^({"|".join(tags)})$"]({s},{w},{n},{e});out geom;'
 
 
+#: What requests call themselves.
+AGENT = "thalweg"
+
+
 def fetch_first(query: str, endpoints: list[str], timeout: int = 90, post=None) -> str:
     """The first endpoint's answer; an error that names all failures if none answers.  ``post(url, data, timeout)`` may stand in for
     the network."""
     if post is None:
         import urllib.request
 
-        post = lambda url, data, t: urllib.request.urlopen(urllib.request.Request(url, data=data), timeout=t).read().decode()
+        post = lambda url, data, t: urllib.request.urlopen(urllib.request.Request(url, data=data, headers={"User-Agent": AGENT}), timeout=t).read().decode()
     failures = []
     for url in endpoints:
         try:

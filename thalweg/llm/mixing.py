@@ -27,6 +27,10 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD)).cast("long")
 
 
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
 def source_targets(sized: DataFrame) -> DataFrame:
     """``sized(skey, size)`` to one row per source: ``skey, source_size, rank, target``.  The number of rows is that of the
     sources.  Targets are shares by weight, levelled off at ``MOST_REPEATS`` times the source; the level of the others
@@ -66,14 +70,14 @@ def demand_time(u: Column, points) -> Column:
 
 
 def plan_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """Adds ``_source_size, _target, _taken, _total, _rank, _ahead`` to a table that has ``_size`` (words) and ``_tie``.
+    """Adds ``_source_size, _target, _taken, _total, _rank, _ahead`` to a table that has ``_size`` (words) and ``_digest`` (md5 of the text).
 
     The cumulative sum within a source is taken in two steps, within hash buckets and over bucket totals, so that a
-    source with a third of all rows is spread over many tasks.
+    source with a third of all rows is spread over many tasks, as are rows without an id or with one id.
     """
     keyed = df.withColumn(
         "_skey", F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
-    ).withColumn("_h", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
+    ).withColumn("_h", F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.col("_digest")).cast("binary")))
     narrow = materialize(keyed.select(F.col("_skey").alias("skey"), F.col("_size").alias("size"), F.conv(F.substring("_h", 1, 4), 16, 10).cast("int").alias("b")).groupBy("skey", "b").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "mix-totals")
     n, total = narrow.agg(F.sum("n"), F.sum("size")).first()
     bits = min(int(math.log2(_MOST_BUCKETS)), max(0, math.ceil(math.log2(max(1, (n or 0) / _BUCKET_ROWS)))))
@@ -84,7 +88,7 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source")
     table = offsets.join(source_targets(narrow.select("skey", "size")), "skey")
     table = table.select(F.col("skey").alias("_skey"), F.col("bucket").alias("_bucket"), "_offset", F.col("source_size").alias("_source_size"), F.col("rank").alias("_rank"), F.col("target").alias("_target"))
     rows = keyed.withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")).withColumn("_bucket", bucket("_b"))
-    inside = Window.partitionBy("_skey", "_bucket").orderBy("_h", F.col(id_col), "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_skey", "_bucket").orderBy("_h", F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_within", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     rows = rows.join(table, ["_skey", "_bucket"]).withColumn("_ahead", F.col("_offset") + F.col("_within"))
     demand = F.floor(F.col("_target") + 0.5).cast("long")
@@ -111,11 +115,11 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``size`` counts words (null text: 0).  ``taken`` counts the words the mix takes, repeats included: whole copies, but
     for one document per source whose last copy is cut where the demand ends, so a source's taken words equal its target
     rounded.  ``position`` is that of the first copy, null when nothing is taken.  Null sources form one source that
-    comes last.  Order within a source: md5 of the id, id, size, content; only rows equal in all of these may swap.
+    comes last.  Order within a source: md5 of id and content; only rows equal in both may swap.
     Sources without words have target 0.  An empty table gives no rows.
     """
     narrow = materialize(
-        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("_size"), F.xxhash64(text_col).alias("_tie")),
+        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("_size"), _digest(F.col(text_col)).alias("_digest")),
         "mix-sizes",
     )
     plan = plan_mix(narrow, "doc_id", "source")
@@ -132,7 +136,7 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     columns = df.columns
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"))
     text = F.col("row").getField(text_col)
-    sized = packed.withColumns({"_size": word_count(text), "_tie": F.xxhash64(text)})
+    sized = packed.withColumns({"_size": word_count(text), "_digest": _digest(text)})
     plan = plan_mix(sized, "_id", "_source")
     n = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(F.lit(0)).cast("int")
     copies = plan.withColumn("_n", n).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))

@@ -117,7 +117,7 @@ from e, range(0, 8) t(p)
 
 OP8_SQL = """
 with d as (
-  select doc_id, case when source is null then '1' else '0' || source end as skey, md5(coalesce(cast(doc_id as varchar), '')) as h,
+  select doc_id, case when source is null then '1' else '0' || source end as skey, md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as h,
          cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size
   from documents),
 t as (select skey, cast(sum(size) as bigint) as source_size, row_number() over (order by skey) - 1 as rnk from d group by skey),

@@ -25,7 +25,7 @@ def test_counts_against_the_library():
 def test_every_code_point_against_the_library():
     """Alone, between letters, after an apostrophe and beside digits, assigned or not."""
     tokenizer, pieces = Tokenizer.from_file(PATH), T.Pieces(PATH)
-    assert pieces.apart
+    assert pieces.apart and pieces.ascii
     points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
     for form in ("{0}", "ab{0}cd", "'{0} 1{0}2", "e\u0301{0}\u0301 {0}"):
         texts = [form.format(c) for c in points]
@@ -39,7 +39,7 @@ def test_every_code_point_against_the_library():
 def test_other_vocabularies_are_split_by_their_own_rules():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer, pieces = Tokenizer.from_file(path), T.Pieces(path)
-    assert not pieces.apart
+    assert not pieces.apart and not pieces.ascii
     for text in [*odd_texts(300, 9), "  two  blanks\n\nand lines\t."]:
         words = pieces.pretokens(text)
         assert sum(n * k for (_, n), k in zip(words.items(), pieces.count(list(words)))) == len(tokenizer.encode(text, add_special_tokens=False).ids), repr(text)

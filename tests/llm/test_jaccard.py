@@ -52,7 +52,7 @@ def varied(seed, n=160):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
-    for size in [3, 5, 6, 8, 9, 12, 14, 17, 19, 20, 25, 33, 60, 120, 300] * (n // 40):
+    for size in [3, 5, 6, 8, 9, 12, 14, 17, 19, 20, 25, 33, 60, 120, 300, 1200] * (n // 40):
         base = [rng.choice(vocabulary) for _ in range(size)]
         for _ in range(3):
             copy = list(base)
@@ -150,6 +150,21 @@ def test_sketches_bound_differences():
             assert apart <= len(np.setxor1d(sets[i], sets[j])) and (i != j or apart == 0)
 
 
+def test_wide_sketches_bound_differences():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 6000, int(rng.integers(400, 5000)), dtype=np.uint64)) for _ in range(20)]
+    marks = J.wide_sketches(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])])
+    for i in range(20):
+        assert (marks[i] is None) == (len(sets[i]) <= J.SKETCH)
+        for j in range(20):
+            if marks[i] is not None and marks[j] is not None:
+                assert J._apart(marks[i], marks[j]) <= len(np.setxor1d(sets[i], sets[j])) and (i != j or J._apart(marks[i], marks[j]) == 0)
+    a = sets[0]
+    other = np.unique(rng.integers(10_000, 90_000, len(a), dtype=np.uint64))
+    p, q = J.wide_sketches(np.r_[a, other], np.array([0, len(a), len(a) + len(other)]))
+    assert J._apart(p, q) * 180 > (len(a) + len(other)) * 20  # sets with nothing in common are told apart
+
+
 def test_words_match_plain_split():
     texts = ["", "a", " a  b\tc\n", "é x y", "  ", None, "x" * 100 + " y", "A a"]
     data, offsets = tk.utf8(pa.array(texts))

@@ -13,8 +13,8 @@ two adjacent ones, and each set is signed for its own band and for the next.
   members are enumerated.
 
 Both are complete: every similar pair shares a signature.  Sets sharing one form a group.  Copies collapse to one set first.
-Each member is compared exactly with the hub of its group, the member that meets most others, and linked sets become one
-component.  Other members of one hub are compared only if they are in different components and their parity sketches,
+Each member is compared exactly with the hub of its group, its member of the highest rank in an order of all sets, and linked
+sets become one component.  Other members of one hub are compared only if they are in different components and their parity sketches,
 which differ in at most as many bits as the sets in members, are near enough.  Signatures, hubs and components that very many
 sets have are dealt to many tasks.
 """
@@ -42,7 +42,7 @@ U64 = np.uint64
 _PROBE_DOCS, _FREQUENT, _MOST_FREQUENT = 8000, 16, 100_000
 _SIG_ROWS = 1_500_000
 #: Parts of a partition, and pairs of set ids with one set from which they are dealt to more tasks.
-_PARTS, _LARGE_HUB, _BLOCK = 3, 4000, 2048
+_PARTS, _LARGE_HUB, _BLOCK = 3, 512, 2048
 
 
 def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,58 +163,102 @@ def _sizes(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids.view(np.int64), mask=n == 0), _long(n)], ["doc_id", "set_id", "n_shingles"])
 
 
-def _signer(percent: int, frequent=None, slices: int = 1):
-    """Rows ``key, slice, set_id``; those of frequent keys are dealt into slices 1, 2, ..."""
+def _place(sig: np.ndarray, places: int) -> np.ndarray:
+    return ((sig >> U64(32)) * U64(places)) >> U64(32)
+
+
+def _signer(percent: int):
+    """Signatures of the documents, one row each."""
 
     def sign(batches):
-        seen, hot = _Seen(), frequent.value if frequent is not None else np.zeros(0, U64)
         for _, _, _, flat, bounds in _batches(batches):
-            ids = tk.set_ids(flat, bounds)
-            fresh = seen.fresh(ids)
-            flat, bounds = _pick(flat, bounds, fresh)
-            who, sig = signatures(flat, bounds, percent)
-            own, part = ids[fresh][who], np.zeros(len(sig), np.int16)
-            if len(hot):
-                met = hot[np.minimum(np.searchsorted(hot, sig), len(hot) - 1)] == sig
-                part[met] = 1 + (tk.mix(own[met]) % U64(slices)).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([_long(sig), pa.array(part), _long(own)], ["key", "slice", "set_id"])
+            yield pa.RecordBatch.from_arrays([_long(signatures(flat, bounds, percent)[1])], ["signature"])
 
     return sign
 
 
-def _groups(batches):
-    """Rows of a partition whose key two sets or more have; those of frequent keys all."""
-    got = [tuple(c.to_numpy() for c in b.columns) for b in batches]
-    if not got:
-        return
-    key, part, ids = (np.concatenate(x) for x in zip(*got))
-    del got
-    order = np.lexsort((ids, key))
-    key, part, ids = key[order], part[order], ids[order]
-    fresh = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])] if len(key) else np.zeros(0, bool)
-    key, part, ids = key[fresh], part[fresh], ids[fresh]
+def _packer(percent: int, places: int, frequent):
+    """Signatures and set ids, packed by the place where equal signatures meet: ``place, often, keys, ids``.  The key of a signature is its
+    place and 32 bits of it.  What has a frequent signature goes to a place by its set id, with the whole key."""
+
+    def pack(batches):
+        seen, hot = _Seen(), frequent.value
+        for _, _, _, flat, bounds in _batches(batches):
+            ids = tk.set_ids(flat, bounds)
+            fresh = seen.fresh(ids)
+            flat, bounds = _pick(flat, bounds, fresh)
+            who, sig = signatures(flat, bounds, percent)
+            own, place = ids[fresh][who], _place(sig, places)
+            key = sig & U64(0xFFFFFFFF)
+            often = hot[np.minimum(np.searchsorted(hot, sig), len(hot) - 1)] == sig if len(hot) else np.zeros(len(sig), bool)
+            for flag in (False, True):
+                at = np.flatnonzero(often == flag)
+                if not len(at):
+                    continue
+                to = tk.mix(own[at]) % U64(places) if flag else place[at]
+                keys = (place[at] << U64(32)) | key[at] if flag else key[at].astype(np.uint32)
+                order = np.argsort(to.astype(np.int32), kind="stable")
+                to, keys, held = to[order], keys[order], own[at][order]
+                cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+                ends = np.r_[cut, len(to)].astype(np.int32)
+                packed = lambda x: pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends * np.int32(x.itemsize)), pa.py_buffer(np.ascontiguousarray(x))])  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(to[cut].astype(np.int32)), pa.array(np.full(len(cut), flag)), packed(keys), packed(held)], ["place", "often", "keys", "ids"])
+
+    return pack
+
+
+def _rank(ids: np.ndarray) -> np.ndarray:
+    """An order of all sets that has nothing to do with their contents: the hub of a group is its member of the highest rank."""
+    return tk.mix(ids.view(U64) ^ U64(0x9B05688C2B3E6C1F)) >> U64(1)
+
+
+def _hubs(batches):
+    """Groups of a partition, as rows ``key, a, b``: each member b of a group with its hub a, once; where the signature is frequent the group
+    is elsewhere too, so its key and b, with a null."""
+    keys, ids, often = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for b in batches:
+        for place, flag, k, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+            raw = k.as_buffer()
+            keys.append(np.frombuffer(raw, np.int64) if flag else np.frombuffer(raw, np.uint32).astype(np.int64) | (place << 32))
+            ids.append(np.frombuffer(i.as_buffer(), np.int64))
+            often.append(np.full(len(ids[-1]), flag))
+    key, ids, often = (np.concatenate(x) for x in (keys, ids, often))
+    del keys
+    out = lambda k, a, b: pa.RecordBatch.from_arrays([k, a, b], ["key", "a", "b"])
+    if often.any():
+        rows = np.unique(np.stack([key[often], ids[often]]), axis=1)
+        yield out(pa.array(rows[0]), pa.nulls(rows.shape[1], pa.int64()), pa.array(rows[1]))
+        key, ids = key[~often], ids[~often]
     if not len(key):
         return
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    many = np.repeat(size > 1, size) | (part > 0)
-    yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(ids[many])], ["key", "set_id"])
-
-
-def _grouped(text: DataFrame, percent: int, n_docs: int, n_shingles: int) -> DataFrame:
-    """``key, set_id`` of the signatures that two sets or more have.  A first look at some documents tells which signatures a large part
+    order = np.lexsort((_rank(ids), key))
+    key, ids = key[order], ids[order]
+    last = np.flatnonzero(np.r_[key[1:] != key[:-1], True])
+    hub = np.repeat(ids[last], np.diff(np.r_[-1, last]))
+    met = hub != ids
+    hub, ids = hub[met], ids[met]
+    order = np.lexsort((ids, hub))
+    hub, ids = hub[order], ids[order]
+    fresh = np.r_[True, (hub[1:] != hub[:-1]) | (ids[1:] != ids[:-1])] if len(hub) else np.zeros(0, bool)
+    yield out(pa.nulls(int(fresh.sum()), pa.int64()), pa.array(hub[fresh]), pa.array(ids[fresh]))
+
+
+def _hub_pairs(text: DataFrame, percent: int, n_docs: int, n_shingles: int) -> DataFrame:
+    """``a, b``: each member b of a group, the sets with one signature, with the hub a of the group.  A first look at some documents tells which signatures a large part
     of all sets have; their rows are dealt to many partitions."""
     spark = text.sparkSession
     share = min(1.0, _PROBE_DOCS / max(1, n_docs))
     probe = text.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = "key long, slice short, set_id long"
-    counts = probe.mapInArrow(_signer(percent), rows).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= _FREQUENT)
-    keys = [r[0] for r in counts.orderBy(F.desc("n"), "key").limit(_MOST_FREQUENT).select("key").collect()]
+    counts = probe.mapInArrow(_signer(percent), "signature long").groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= _FREQUENT)
+    keys = [r[0] for r in counts.orderBy(F.desc("n"), "signature").limit(_MOST_FREQUENT).select("signature").collect()]
     frequent = spark.sparkContext.broadcast(np.sort(np.array(keys, np.int64).view(U64)))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_shingles * 3 // 4 // _SIG_ROWS))
-    slices = min(32_000, max(16, parts // 64))
-    signed = text.mapInArrow(_signer(percent, frequent, slices), rows)
-    return materialize(signed.repartition(parts, "key", "slice").mapInArrow(_groups, "key long, set_id long"), "jaccard-groups")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_shingles // _SIG_ROWS))
+    packed = text.mapInArrow(_packer(percent, 4 * parts, frequent), "place int, often boolean, keys binary, ids binary")
+    found = materialize(packed.repartition(parts, "place").mapInArrow(_hubs, "key long, a long, b long"), "jaccard-groups")
+    spread = found.where("key is not null").select("key", "b")
+    hubs = spread.groupBy("key").agg(F.max(F.struct(F.xxhash64("b").alias("rank"), "b")).alias("top"))  # frequent signatures only
+    far = spread.join(F.broadcast(hubs), "key").select(F.col("top.b").alias("a"), "b").where("a <> b")
+    return found.where("key is null").select("a", "b").unionByName(far).distinct()
 
 
 def _bit_places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -254,33 +298,63 @@ def sketches(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _members(bloom):
+def wide_sketches(flat: np.ndarray, bounds: np.ndarray) -> list[np.ndarray | None]:
+    """Longer sketches of sets of more than ``SKETCH`` members, as 64-bit words: as many bits as members, up to the next power of two.  A
+    sketch folds to a shorter one by adding up its parts modulo 2."""
+    out: list[np.ndarray | None] = []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if hi - lo <= SKETCH:
+            out.append(None)
+            continue
+        bits = 1 << (hi - lo - 1).bit_length()
+        place = (tk.mix(flat[lo:hi] ^ U64(0x6A09E667F3BCC909)) & U64(bits - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).view(np.int64))
+    return out
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two wide sketches differ, the longer one folded; at most as many as the sets differ in members."""
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, n), axis=0) for x in (a, b))
+    return int(np.bitwise_count((a ^ b).view(U64)).sum())
+
+
+def _filtered(batches, bloom):
+    """Sets whose ids pass the bit table, once a task: ids, members flat and bounds."""
+    table, seen = bloom.value, _Seen()
+    for _, _, _, flat, bounds in _batches(batches):
+        ids = tk.set_ids(flat, bounds)
+        at = _bit_places(ids, len(table) * 8)
+        hit = ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0) & (ids != 0)
+        hit[hit] = seen.fresh(ids[hit])
+        yield ids[hit], *_pick(flat, bounds, hit)
+
+
+def _sets_of(text: DataFrame, ids: DataFrame, of, columns: str, label: str) -> DataFrame:
+    """A table with a row for each set id of ``ids`` and what ``of(flat, bounds)`` gives for the sets in the texts."""
+    bloom = text.sparkSession.sparkContext.broadcast(_bloom(ids, ids.count()))
+
     def read(batches):
-        table, seen = bloom.value, _Seen()
-        bits = len(table) * 8
-        for _, _, _, flat, bounds in _batches(batches):
-            ids = tk.set_ids(flat, bounds)
-            at = _bit_places(ids, bits)
-            hit = ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0) & (ids != 0)
-            hit[hit] = seen.fresh(ids[hit])
-            flat, bounds = _pick(flat, bounds, hit)
-            marks = sketches(flat, bounds)
-            cuts = np.arange(len(marks) + 1) * (SKETCH // 64)
-            yield pa.RecordBatch.from_arrays(
-                [_long(ids[hit]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _long(flat)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(marks.ravel()))],
-                ["set_id", "members", "sketch"],
-            )
+        for own, flat, bounds in _filtered(batches, bloom):
+            yield pa.RecordBatch.from_arrays([_long(own), *of(flat, bounds)], names)
+
+    names = ["set_id", *[c.split()[0] for c in columns.split(", ")]]
+    rows = text.mapInArrow(read, f"set_id long, {columns}")
+    return materialize(rows.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]), label)
 
-    return read
 
+def _list_members(flat, bounds):
+    return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _long(flat))]
 
-def _hub_pairs(groups: DataFrame) -> DataFrame:
-    """``a, b``: each member b of a group with the hub a of the group, the member that meets most others over all groups."""
-    total = groups.count()
-    size = groups.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("members"))
-    met = salted_join(groups, size, "key", total, "set_id", least=_LARGE_HUB).groupBy("set_id").agg(F.sum("members").alias("met"))
-    top = groups.join(met, "set_id").groupBy("key").agg(F.max(F.struct("met", "set_id")).alias("top"), F.count("*").alias("n"))
-    return salted_join(groups, top, "key", total, "set_id", least=_LARGE_HUB).select(F.col("top.set_id").alias("a"), F.col("set_id").alias("b")).where("a <> b").distinct()
+
+def _list_sketches(flat, bounds):
+    marks = sketches(flat, bounds)
+    cuts = pa.array(np.arange(len(marks) + 1) * (SKETCH // 64), pa.int32())
+    return [_long(np.diff(bounds)), pa.ListArray.from_arrays(cuts, pa.array(marks.ravel())), pa.array(wide_sketches(flat, bounds), pa.list_(pa.int64()))]
+
+
+def _ids_of(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "jaccard-ids")
 
 
 def _differences(percent: int):
@@ -320,11 +394,12 @@ def _differences(percent: int):
     return run
 
 
-def _similar(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` of set ids that are similar.  ``pairs``: a table.  The members of b go to the place of a; a set a
-    in very many pairs is repeated in several places."""
-    own = members.select("set_id", "members")
-    total = pairs.count()
+def _similar(text: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Table of those of the pairs ``a, b`` of set ids that are similar.  ``pairs``: a table.  Only the sets of these pairs are read again
+    from the texts.  The members of b go to the place of a; a set a in very many pairs is repeated in several places."""
+    ids = _ids_of(pairs)
+    members = _sets_of(text, ids, _list_members, "members array<long>", "jaccard-members")
+    total, own = pairs.count(), members
     share = max(_LARGE_HUB, total // LARGE_KEYS)
     times = pairs.groupBy("a").agg(F.count("*").alias("n"))
     slices = F.ceil(F.col("n") / share).cast("int")
@@ -333,25 +408,56 @@ def _similar(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     right = dealt.select("a", "slice", "b").join(own.withColumnRenamed("set_id", "b"), "b").select("a", "slice", "b", "members")
     left = times.join(own.withColumnRenamed("set_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(None).cast("long").alias("b"), "members")
     rows = left.unionByName(right).repartition("a", "slice").sortWithinPartitions("a", "slice", F.asc_nulls_first("b"))
-    return rows.mapInArrow(_differences(percent), "a long, b long")
+    out = materialize(rows.mapInArrow(_differences(percent), "a long, b long"), "jaccard-links")
+    forget(ids, members)
+    return out
+
+
+_WORDS = [f"s{k}" for k in range(SKETCH // 64)]
+_APART = " + ".join(f"bit_count({w} ^ {w}_)" for w in _WORDS)
+
+
+def _marks(marks: DataFrame, name: str, tail: str = "") -> DataFrame:
+    """Sizes and sketches of sets, under the given name of the set and with a tail to the other names."""
+    return marks.select(F.col("set_id").alias(name), F.col("size").alias(f"size{tail}"), *[F.col("sketch")[k].alias(w + tail) for k, w in enumerate(_WORDS)])
+
+
+def _may_be_similar(percent: int) -> str:
+    return f"({_APART}) * {100 + percent} <= (size + size_) * {100 - percent}"
+
+
+def _near(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sketches are near enough for similar sets, so that the members of few sets are read.  Large sets are
+    compared by their wide sketches too."""
+    left = pairs.groupBy("a").agg(F.count("*").alias("n")).join(_marks(marks, "a"), "a")
+    met = salted_join(pairs, left, "a", pairs.count(), "b", least=_LARGE_HUB).join(_marks(marks, "b", "_"), "b")
+    met = materialize(met.where(_may_be_similar(percent)).select("a", "b", "size", "size_"), "jaccard-met")
+    large = F.least("size", "size_") > SKETCH
+    wide = marks.where("wide is not null").select("set_id", "wide")
+    both = met.where(large).join(wide.select(F.col("set_id").alias("a"), F.col("wide").alias("p")), "a").join(wide.select(F.col("set_id").alias("b"), F.col("wide").alias("q")), "b")
+
+    def compare(batches):
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            apart = np.array([_apart(p.values.to_numpy(), q.values.to_numpy()) for p, q in zip(batch.column(4), batch.column(5))], np.int64)
+            near = pa.array(apart * (100 + percent) <= (n + m) * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
+
+    return met.where(~large).select("a", "b").unionByName(both.select("a", "b", "size", "size_", "p", "q").mapInArrow(compare, "a long, b long"))
 
 
-def _open_pairs(tested: DataFrame, found: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(tested: DataFrame, found: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of members of one hub that are in different components and whose sketches are near enough for similar sets.  Members
     of a group have a hub in common, so no similar pair is missed.  The test is part of the join; what fails it is not made.  The
     members of a large hub are dealt into blocks, and each two blocks meet in a place of their own."""
     rows = tested.select(F.col("a").alias("hub"), F.col("b").alias("x")).join(found.select(F.col("node").alias("x"), "component"), "x", "left")
     rows = rows.select("hub", "x", F.coalesce("component", "x").alias("c"))
     mixed = rows.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks")).where("lo < hi").drop("lo", "hi")
-    words = [f"s{k}" for k in range(SKETCH // 64)]
-    marks = members.select(F.col("set_id").alias("x"), F.size("members").cast("long").alias("size"), *[F.col("sketch")[k].alias(w) for k, w in enumerate(words)])
-    rows = salted_join(rows, mixed, "hub", tested.count(), "x", least=_LARGE_HUB).join(marks, "x")
+    rows = salted_join(rows, mixed, "hub", tested.count(), "x", least=_LARGE_HUB).join(_marks(marks, "x"), "x")
     rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("x", F.lit(5)), "blocks").cast("int")), "jaccard-open")
-    own = rows.select("hub", "x", "c", "size", *words, F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    other = rows.select("hub", *[F.col(c).alias(f"{c}_") for c in ("x", "c", "size", *words)], F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
-    apart = " + ".join(f"bit_count({w} ^ {w}_)" for w in words)
-    near = f"({apart}) * {100 + percent} <= (size + size_) * {100 - percent}"
-    met = own.join(other, ["hub", "i", "j"]).where(f"(i < j or x < x_) and c <> c_ and {near}")
+    own = rows.select("hub", "x", "c", "size", *_WORDS, F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    other = rows.select("hub", *[F.col(c).alias(f"{c}_") for c in ("x", "c", "size", *_WORDS)], F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+    met = own.join(other, ["hub", "i", "j"]).where(f"(i < j or x < x_) and c <> c_ and {_may_be_similar(percent)}")
     return met.select(F.least("x", "x_").alias("a"), F.greatest("x", "x_").alias("b")).distinct()
 
 
@@ -366,19 +472,20 @@ def similar_sets(df: DataFrame, sets: DataFrame, text_col: str = "text", percent
     spark = df.sparkSession
     text = df.select(F.col(text_col).cast("string").alias("text"))
     n_docs, n_shingles = sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    groups = _grouped(text, percent, n_docs, n_shingles)
-    ids = materialize(groups.select("set_id").distinct(), "jaccard-ids")
-    n_ids = ids.count()
-    if not n_ids:
+    tested = materialize(_hub_pairs(text, percent, n_docs, n_shingles), "jaccard-tested")
+    if tested.isEmpty():
         return spark.createDataFrame([], "node long, component long")
-    bloom = spark.sparkContext.broadcast(_bloom(ids, n_ids))
-    members = materialize(text.mapInArrow(_members(bloom), "set_id long, members array<long>, sketch array<long>").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-members")
-    tested = materialize(_hub_pairs(groups), "jaccard-tested")
-    links = materialize(_similar(tested, members, percent), "jaccard-links")
+    ids = _ids_of(tested)
+    marks = _sets_of(text, ids, _list_sketches, "size long, sketch array<long>, wide array<long>", "jaccard-marks")
+    near = materialize(_near(tested, marks, percent), "jaccard-near")
+    links = _similar(text, near, percent)
     found = materialize(connected_components(links), "jaccard-components")
-    open_pairs = materialize(_open_pairs(tested, found, members, percent), "jaccard-pairs")
-    more = materialize(_similar(open_pairs, members, percent), "jaccard-links")
-    forget(groups, ids, members, tested, open_pairs)
+    open_pairs = materialize(_open_pairs(tested, found, marks, percent), "jaccard-pairs")
+    near_too = materialize(_near(open_pairs, marks, percent), "jaccard-near")
+    forget(ids, marks, tested, near, open_pairs)
+    if near_too.isEmpty():
+        return found
+    more = _similar(text, near_too, percent)
     return found if more.isEmpty() else connected_components(links.unionByName(more))
 
 

@@ -64,6 +64,18 @@ def op10_chat_repair(spark, sf_dir):
     return import_module("thalweg.llm.chat").repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return import_module("thalweg.llm.dense").mined(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return import_module("thalweg.llm.runs").run_digests(_documents(spark, sf_dir))
+
+
+def op13_voronoi_top_k(spark, sf_dir):
+    return import_module("thalweg.llm.dense").searched(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries():
     named = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
     return named | {"shards_of_64_kib": small_shards, "shards_directory": small_shards_directory, "tiff_pages": tiff_pages}
@@ -147,6 +159,50 @@ select doc_id, size, source_size, target, cast(taken as bigint) as taken,
 from p
 """
 
+#: Vectors of whole numbers that take part in the searches.
+_WHOLE_SQL = """e as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)"""
+
+OP11_SQL = f"""
+with {_WHOLE_SQL},
+m as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, v from e where label is not null),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score from m a join m b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank, vec_id as negative_id, positive_score, score as negative_score
+  from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+#: The polynomial of crc32, bit by bit, over the digits of an id.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(cast(doc_id as varchar), '.'), lambda s: ascii(s)::bigint)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::bigint)"""
+
+#: Words that agree with the one a period before, gathered to stretches.
+OP12_SQL = f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w, {_CRC_SQL} as h from documents),
+b as (select doc_id, w, h, h // 10 as g, len(w) as n from d),
+c as (select *, case when h % 10 = 0 and n > 0 then g % n end as a from b),
+f as (select *, 1 + (n - a) // (3 + g % 8) as p from c),
+i as (select doc_id, w, n, a, p, unnest(range(n)) as i from f),
+t as (select doc_id, n, i, w[1 + case when i >= a then a + (i - a) % p else i end] as word from i),
+m as (select x.doc_id, y.i - x.i as period, x.i as i from t x join t y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+k as (select *, i - row_number() over (partition by doc_id, period order by i) as stretch from m),
+r as (select doc_id, period, min(i) as start, count(*) + period as length from k group by doc_id, period, stretch),
+u as (select doc_id, start, length, min(period) as period from r where length >= greatest(6, 4 * period) group by doc_id, start, length),
+best as (select doc_id, count(*) as n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, (-length::decimal(38, 18) / period, start, period)) as top,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed from u group by doc_id),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from u),
+kept as (select t.doc_id, string_agg(word, ' ' order by t.i) as words from t anti join gone on t.doc_id = gone.doc_id and t.i = gone.i group by t.doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, top.s as start, top.l as length, top.p as period, 1000 * top.l // top.p as exponent_milli, sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256
+from d left join best using (doc_id) left join kept using (doc_id)
+"""
+
+OP13_SQL = f"""
+with {_WHOLE_SQL},
+s as (select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.v, b.v) as bigint) as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s qualify rank <= 5
+"""
+
 
 def oracle_sql():
-    return {"op1_extendible_sharding": OP1_SQL, "op6_partenum_jaccard": OP6_SQL, "op8_curriculum_mix": OP8_SQL, "shards_of_64_kib": SMALL_SQL, "shards_directory": DIRECTORY_SQL, "tiff_pages": TIFF_SQL}
+    return {"op11_hard_negatives": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_voronoi_top_k": OP13_SQL, "op1_extendible_sharding": OP1_SQL, "op6_partenum_jaccard": OP6_SQL, "op8_curriculum_mix": OP8_SQL, "shards_of_64_kib": SMALL_SQL, "shards_directory": DIRECTORY_SQL, "tiff_pages": TIFF_SQL}

@@ -191,11 +191,11 @@ def test_coverage_and_noding_fixtures(spark):
     a = S.segments(lines_of(spark, {1: [(0, 0), (100, 0)], 2: [(0, 500), (100, 500)], 3: [(5, 5), (5, 5)]}), "line_id")
     b = S.segments(lines_of(spark, {9: [(0, 10), (50, 10)]}), "line_id")
     for reach, want in ((10.0, 0.5), (26.0, 0.74)):
-        got = {r.line_id: round(r.fraction, 6) for r in S.coverage(a, b, "line_id", reach, 40.0).collect()}
+        got = {r.line_id: round(r.fraction, 6) for r in S.coverage(a, b, "line_id", reach).collect()}
         assert got[1] == want and got[2] == 0 and got[3] == 0
-    assert {r.fraction for r in S.coverage(a, b.limit(0), "line_id", 10.0, 40.0).collect()} == {0.0}
+    assert {r.fraction for r in S.coverage(a, b.limit(0), "line_id", 10.0).collect()} == {0.0}
     cross = S.segments(lines_of(spark, {1: [(0, 0), (10, 10)], 2: [(0, 10), (10, 0)], 3: [(100, 0), (110, 0)], 4: [(104, 0), (120, 0)], 5: [(108, 0), (108, 5)]}), "line_id")
-    pieces = S.node_segments(cross, "line_id", 7.0).collect()
+    pieces = S.node_segments(cross, "line_id").collect()
     spans = sorted((p.x1, p.x2) for p in pieces if p.line_id in (3, 4))
     assert sum(p.line_id in (1, 2) for p in pieces) == 4
     assert spans == [(100, 104), (104, 108), (108, 110), (110, 120)]

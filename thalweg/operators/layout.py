@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from thalweg.functions import geometry as G
 from thalweg.functions.text import size_class
 from thalweg.operators.network import labelled_nodes
+from thalweg.operators.selection import median
 
 
 def grid_unit(edges: DataFrame) -> DataFrame:
     """One row, ``grid``: the exact median of the edge lengths, loops included; 1 where it isn't positive."""
-    return edges.agg(F.median("length_m").alias("m")).select(F.when(F.coalesce(F.nanvl("m", F.lit(0.0)), F.lit(0.0)) > 0, F.col("m")).otherwise(1.0).alias("grid"))
+    m = F.max("median")
+    return median(edges, "length_m").agg(F.when(F.coalesce(F.nanvl(m, F.lit(0.0)), F.lit(0.0)) > 0, m).otherwise(1.0).alias("grid"))
 
 
 def _place(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:

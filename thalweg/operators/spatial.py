@@ -1,11 +1,15 @@
-"""Distance joins over segments and points, by grid cells instead of nested loops."""
+"""Distance joins over segments and points, by squares of a quadtree or cells of a grid instead of nested loops."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from thalweg.functions import geometry as G
+from thalweg.functions import kernels as K
+from thalweg.operators import quadtree
 from thalweg.operators.components import connected_components
 from thalweg.operators.skew import salted_join
 from thalweg.storage import materialize
@@ -18,53 +22,40 @@ def segments(lines: DataFrame, key: str, geom: str = "geom", *keep: str) -> Data
     return pairs.select(key, *keep, "seg", F.col("_s.p.x").alias("x1"), F.col("_s.p.y").alias("y1"), F.col("_s.q.x").alias("x2"), F.col("_s.q.y").alias("y2"))
 
 
-def _cells(df: DataFrame, cell: float, reach: float, a: str = "") -> DataFrame:
-    """Adds the cells (cx, cy) that a segment's box meets, grown by ``reach``.  Segments are cut into strips by columns of cells
-    first, so a long oblique segment meets cells near it, not all of its box."""
-    x1, y1, x2, y2 = (F.col(f"{a}{c}") for c in ("x1", "y1", "x2", "y2"))
-    low, high = F.least(x1, x2) - reach, F.greatest(x1, x2) + reach
-    out = df.withColumn("cx", F.explode(F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))))
-    # the part of the segment over the column, grown by reach
-    left, right = F.col("cx") * F.lit(cell) - reach, (F.col("cx") + 1) * F.lit(cell) + reach
-    slope = (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0))
-    at = lambda x: y1 + slope * (F.greatest(F.least(x1, x2), F.least(F.greatest(x1, x2), x)) - x1)
-    ya, yb = F.coalesce(at(left), y1), F.coalesce(at(right), y2)
-    return out.withColumn("cy", F.explode(F.sequence(F.floor((F.least(ya, yb) - reach) / cell).cast("long"), F.floor((F.greatest(ya, yb) + reach) / cell).cast("long"))))
-
-
-def _renamed(df: DataFrame, prefix: str = "o_") -> DataFrame:
-    return df.select([F.col(c).alias(prefix + c) for c in df.columns])
-
-
-#: What rounding may move a place by.
-_SLACK = 1e-6
-
-
-def near_segments(left: DataFrame, right: DataFrame, reach: float, cell: float, also: str = "true") -> DataFrame:
+def near_segments(left: DataFrame, right: DataFrame, reach: float, also: str = "true", radius: float | None = None) -> DataFrame:
     """Pairs of segments at most ``reach`` apart, once each: all columns of left, those of right with ``o_`` before the name, and
-    ``gap2``, the squared distance.  Two segments may share many cells; the pair is taken in the cell where the left one is
-    met, so nothing is shuffled to remove repeats.  ``also``: a condition on the pairs."""
-    a = _cells(left, cell, _SLACK)
-    b = _cells(_renamed(right), cell, reach + _SLACK, "o_")
-    far = f"least(x1, x2) > greatest(o_x1, o_x2) + {reach + _SLACK} or least(o_x1, o_x2) > greatest(x1, x2) + {reach + _SLACK} or least(y1, y2) > greatest(o_y1, o_y2) + {reach + _SLACK} or least(o_y1, o_y2) > greatest(y1, y2) + {reach + _SLACK}"
-    pairs = a.join(b, ["cx", "cy"]).where(f"({also}) and not ({far})")
-    steps = G.segment_distance()
-    told = G.apply(pairs, steps)
-    own = F.floor(F.col("near_x") / F.lit(cell)) == F.col("cx")
-    met = told.where((F.col("gap2") <= F.lit(reach * reach)) & own & (F.floor(F.col("near_y") / F.lit(cell)) == F.col("cy")))
-    return met.drop("cx", "cy", *[n for n, _ in steps if n != "gap2"])
-
-
-def coverage(lines: DataFrame, others: DataFrame, key: str, reach: float, cell: float) -> DataFrame:
+    ``gap2``, the squared distance.  Two segments may share many squares; the pair is taken in the one where the left segment is
+    met, so nothing is shuffled to remove repeats.  ``also``: a condition on the pairs.  With ``radius``, ``lo`` and ``hi`` tell
+    which part of the left segment lies within it.  Segments with a null or non-finite end meet nothing."""
+    pairs, tree = quadtree.meet(left, right, reach, also)
+    names = [c for c in pairs.columns if c != "_leaf"]
+    more = ["gap2"] if radius is None else ["gap2", "lo", "hi"]
+
+    def work(batches):
+        for b in batches:
+            ends = [b.column(p + c).to_numpy() for p in ("", "o_") for c in ("x1", "y1", "x2", "y2")]
+            gap2, t = K.segment_gap(*ends)
+            x, y = ends[0] + t * (ends[2] - ends[0]), ends[1] + t * (ends[3] - ends[1])
+            met = np.flatnonzero((gap2 <= reach * reach) & (tree.at(x, y) == b.column("_leaf").to_numpy()))
+            taken = b.take(pa.array(met))
+            found = [gap2[met]] if radius is None else [gap2[met], *K.capsule_interval(*[e[met] for e in ends], radius)]
+            yield pa.RecordBatch.from_arrays([*[taken.column(c) for c in names], *map(pa.array, found)], [*names, *more])
+
+    schema = StructType([pairs.schema[c] for c in names])
+    for c in more:
+        schema = schema.add(c, "double")
+    return pairs.mapInArrow(work, schema)
+
+
+def coverage(lines: DataFrame, others: DataFrame, key: str, reach: float) -> DataFrame:
     """``key, length, fraction``: the share of each line's length within ``reach`` of the other lines.  Both sides are segment tables.
     Lines of no length, and lines with nothing near, have fraction 0."""
-    pairs = near_segments(lines, others, reach, cell)
-    # no filter on lo here: pushed down through the steps it would repeat all of them; an empty range covers nothing
-    spans = G.apply(pairs, G.capsule_interval(reach)).withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(0.0))})
+    spans = near_segments(lines, others, reach, radius=reach)
+    size = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
     ahead = F.max("hi").over(Window.partitionBy(key, "seg").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("fresh", F.greatest(F.lit(0.0), F.col("hi") - F.greatest(F.col("lo"), F.coalesce(ahead, F.lit(0.0)))))
-    covered = spans.groupBy(key).agg(F.sum(F.col("fresh") * F.sqrt("qa")).alias("covered"))
-    long = lines.groupBy(key).agg(F.sum(F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)).alias("length"))
+    covered = spans.groupBy(key).agg(F.sum(F.col("fresh") * size).alias("covered"))
+    long = lines.groupBy(key).agg(F.sum(size).alias("length"))
     share = F.when(F.col("length") > 0, F.coalesce("covered", F.lit(0.0)) / F.col("length")).otherwise(F.lit(0.0))
     return long.join(covered, key, "left").select(key, "length", share.alias("fraction"))
 
@@ -93,11 +84,11 @@ def within_polygon(lines: DataFrame, ring: list[tuple[float, float]], buffer: fl
     return lines.where((F.size(passed) % 2 == 1) | F.exists(corners, near)).select(key).distinct()
 
 
-def _cuts(segs: DataFrame, key: str, cell: float) -> DataFrame:
+def _cuts(segs: DataFrame, key: str) -> DataFrame:
     """``key, seg, t``: where segments are met by others (crossings, touching ends, ends of collinear overlaps), ends included.  The end that
     a segment shares with the next of its line is no such place."""
     segs = segs.where("x1 <> x2 or y1 <> y2")
-    pairs = near_segments(segs, segs, 1e-9, cell, f"struct({key}, seg) < struct(o_{key}, o_seg)")
+    pairs = near_segments(segs, segs, 1e-9, f"struct({key}, seg) < struct(o_{key}, o_seg)")
 
     def side(a: str, b: str, shared: str):
         """Places on the segment with prefix a where the one with prefix b meets it."""
@@ -115,10 +106,10 @@ def _cuts(segs: DataFrame, key: str, cell: float) -> DataFrame:
     return pairs.select(F.explode(both).alias("c")).select(F.col("c.k").alias(key), "c.seg", "c.t").distinct()
 
 
-def node_segments(segs: DataFrame, key: str, cell: float) -> DataFrame:
+def node_segments(segs: DataFrame, key: str) -> DataFrame:
     """Cuts all segments where they meet: ``key, seg, piece, x1, y1, x2, y2``.  Pieces that several segments share appear once, for the
     least (key, seg)."""
-    cuts = _cuts(segs, key, cell).where("t > 0 and t < 1")
+    cuts = _cuts(segs, key).where("t > 0 and t < 1")
     ends = segs.where("x1 <> x2 or y1 <> y2").select(key, "seg", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
     every = cuts.unionByName(ends)
     here = Window.partitionBy(key, "seg").orderBy("t")
@@ -136,12 +127,12 @@ def plain_vertices(geom):
     return F.filter(geom, lambda p, i: (i == 0) | (p != geom[F.greatest(i - 1, F.lit(0))]))
 
 
-def node_lines(lines: DataFrame, key: str, cell: float, geom: str = "geom") -> DataFrame:
+def node_lines(lines: DataFrame, key: str, geom: str = "geom") -> DataFrame:
     """Cuts polylines where they meet each other or themselves: ``key, piece, geom``, each piece with all vertices between two such places or
     line ends.  Pieces that several lines share appear once, for the least (key, piece).  Coordinates are rounded to six places; lines
     without length give nothing.  A line with its places is one row."""
     shaped = lines.select(key, plain_vertices(F.col(geom)).alias("g")).where(F.size("g") >= 2)
-    places = _cuts(segments(shaped, key, "g"), key, cell)
+    places = _cuts(segments(shaped, key, "g"), key)
     places = places.select(key, F.when(F.col("t") == 1, F.struct((F.col("seg") + 1).alias("s"), F.lit(0.0).alias("t"))).otherwise(F.struct(F.col("seg").alias("s"), "t")).alias("at"))
     places = places.groupBy(key).agg(F.collect_set("at").alias("places"))
     whole = shaped.join(places, key, "left")
@@ -177,10 +168,10 @@ def midpoints(segs: DataFrame, key: str) -> DataFrame:
     return half.select(key, "seg", (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("mx"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("my")).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "seg")
 
 
-def nearest_line(points: DataFrame, segs: DataFrame, key: str, reach: float, cell: float, *attrs: str) -> DataFrame:
+def nearest_line(points: DataFrame, segs: DataFrame, key: str, reach: float, *attrs: str) -> DataFrame:
     """``key`` of each point with the nearest line within ``reach``, the least key in a tie, its distance and ``attrs``; null if none."""
     spots = points.select(key, F.col("mx").alias("x1"), F.col("my").alias("y1"), F.col("mx").alias("x2"), F.col("my").alias("y2"), F.lit(0).alias("seg"))
-    pairs = near_segments(spots, segs, reach, cell)
+    pairs = near_segments(spots, segs, reach)
     best = pairs.groupBy(key).agg(F.min(F.struct("gap2", f"o_{key}", *[f"o_{a}" for a in attrs])).alias("b"))
     return points.join(best, key, "left").select(*points.columns, F.col(f"b.o_{key}").alias("near_id"), F.sqrt("b.gap2").alias("distance"), *[F.col(f"b.o_{a}").alias(a) for a in attrs])
 

@@ -10,7 +10,9 @@ from thalweg.functions import text as T
 from thalweg.operators import diagrams as D
 from thalweg.operators import layout as L
 from thalweg.operators import network as N
+from thalweg.operators import selection as M
 from thalweg.operators import spatial as S
+from thalweg.plans import closed_forms as C
 from thalweg.plans import pipeline as P
 from thalweg.plans import views as V
 from thalweg.plans.views import COMPONENTS_SQL, NET_SQL, PTS_SQL, SEGS_SQL, TRACKS_SQL
@@ -121,7 +123,7 @@ _RING_SQL = " union all ".join(f"select {a!r}::double as o_x1, {b!r}::double as
 
 
 @query("q06_clip_intersects", f"""with {SEGS_SQL}, ring as ({_RING_SQL}), p as (select * from segs, ring)
-select distinct line_id from {steps_sql('p', G.segment_distance())} where gap2 <= 900 or (x1 between -80 and 70 and y1 between -60 and 90)""")
+select distinct line_id from {steps_sql('p', C.segment_distance())} where gap2 <= 900 or (x1 between -80 and 70 and y1 between -60 and 90)""")
 def q06(spark, d):
     return S.within_polygon(S.segments(V.short_lines(spark, d), "line_id"), RING, 30.0, "line_id")
 
@@ -149,7 +151,7 @@ def q08(spark, d):
 def _coverage_sql(mine: str, other: str, reach: float) -> str:
     o = ", ".join(f"o.{c} as o_{c}" for c in ("line_id", "seg", "x1", "y1", "x2", "y2"))
     pair = f"(select s.line_id, s.seg, s.x1, s.y1, s.x2, s.y2, {o} from segs s join segs o on {mine} and {other})"
-    return f"""spans as (select * from {steps_sql(pair, G.capsule_interval(reach))} where lo is not null),
+    return f"""spans as (select * from {steps_sql(pair, C.capsule_interval(reach))} where lo is not null),
   merged as (select line_id, sqrt(qa) * greatest(0, hi - greatest(lo, coalesce(max(hi) over (partition by line_id, seg order by lo, hi rows between unbounded preceding and 1 preceding), 0))) as part from spans),
   covered as (select line_id, sum(part) as covered from merged group by line_id),
   long as (select line_id, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) as length from segs s where {mine} group by line_id),
@@ -158,7 +160,7 @@ def _coverage_sql(mine: str, other: str, reach: float) -> str:
 
 def _share(spark, d, mine, other, reach):
     segs = S.segments(V.short_lines(spark, d), "line_id", "geom", "source", "tag")
-    return S.coverage(segs.where(mine), segs.where(other), "line_id", reach, 60.0)
+    return S.coverage(segs.where(mine), segs.where(other), "line_id", reach)
 
 
 @query("q09_coverage_fraction", f"with {SEGS_SQL}, {_coverage_sql("s.source = 'supplement'", "o.source = 'primary'", 5.0)} select line_id, round(length, 4) as length_m, round(fraction, 3) as fraction from share")
@@ -213,7 +215,7 @@ def q15(spark, d):
 select s.line_id, cast(s.seg as integer) as seg, coalesce(n, 0) + 1 as n_pieces, round(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 3) as length_m from segs s left join cuts using (line_id, seg)""")
 def q16(spark, d):
     segs = S.segments(V.short_lines(spark, d), "line_id")
-    pieces = S.node_segments(segs, "line_id", 60.0)
+    pieces = S.node_segments(segs, "line_id")
     size = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
     return pieces.groupBy("line_id", "seg").agg(F.count("*").alias("n_pieces"), F.round(F.sum(size), 3).alias("length_m"))
 
@@ -233,7 +235,7 @@ PIECES_SQL = f"""{SEGS_SQL},
 
 @query("q16_noding_polylines", f"with {PIECES_SQL} select line_id, cast(piece as integer) as piece, n_vertices, px as x1, py as y1, qx as x2, qy as y2, round(length_m, 3) as length_m from pieces")
 def q16_lines(spark, d):
-    pieces = S.node_lines(V.short_lines(spark, d), "line_id", 60.0)
+    pieces = S.node_lines(V.short_lines(spark, d), "line_id")
     end = lambda k, c, n: F.element_at("geom", k)[c].alias(n)
     return pieces.select("line_id", "piece", F.size("geom").alias("n_vertices"), end(1, "x", "x1"), end(1, "y", "y1"), end(-1, "x", "x2"), end(-1, "y", "y2"), F.round(G.length(F.col("geom")), 3).alias("length_m"))
 
@@ -241,13 +243,13 @@ def q16_lines(spark, d):
 @query("q17_nearest_attr_transfer", f"""with {SEGS_SQL}, l as (select *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as d from segs where source = 'supplement'),
   r as (select *, coalesce(sum(d) over (partition by line_id order by seg rows between unbounded preceding and 1 preceding), 0) as before, sum(d) over (partition by line_id) as total from l),
   m as (select line_id, arg_min(x1 + (total / 2 - before) / d * (x2 - x1), seg) as mx, arg_min(y1 + (total / 2 - before) / d * (y2 - y1), seg) as my from r where total > 0 and before <= total / 2 and before + d >= total / 2 and d > 0 group by line_id),
-  p as (select m.line_id, mx, my, o.line_id as near_id, o.tag as near_tag, {G.point_segment('mx', 'my', 'o.x1', 'o.y1', 'o.x2', 'o.y2')} as gap2 from m join segs o on o.source = 'primary'),
+  p as (select m.line_id, mx, my, o.line_id as near_id, o.tag as near_tag, {C.point_segment('mx', 'my', 'o.x1', 'o.y1', 'o.x2', 'o.y2')} as gap2 from m join segs o on o.source = 'primary'),
   b as (select line_id, min(gap2) as g, arg_min(near_id, (gap2, near_id)) as near_id, arg_min(near_tag, (gap2, near_id)) as near_tag from p where gap2 <= 144 group by line_id)
 select m.line_id, round(mx, 6) as mx, round(my, 6) as my, near_id, round(sqrt(g), 6) as distance, coalesce('tag ' || near_tag, 'unknown_split_error') as source from m left join b using (line_id)""")
 def q17(spark, d):
     segs = S.segments(V.short_lines(spark, d), "line_id", "geom", "source", "tag")
     mids = S.midpoints(segs.where("source = 'supplement'"), "line_id")
-    near = S.nearest_line(mids, segs.where("source = 'primary'"), "line_id", 12.0, 60.0, "tag")
+    near = S.nearest_line(mids, segs.where("source = 'primary'"), "line_id", 12.0, "tag")
     return near.select("line_id", F.round("mx", 6).alias("mx"), F.round("my", 6).alias("my"), "near_id", F.round("distance", 6).alias("distance"), F.coalesce(F.concat(F.lit("tag "), F.col("tag").cast("string")), F.lit("unknown_split_error")).alias("source"))
 
 
@@ -365,6 +367,13 @@ def q26(spark, d):
     return L.layout(nodes, edges).select("node_id", F.round("schematic_x", 3).alias("schematic_x"), F.round("schematic_y", 3).alias("schematic_y"))
 
 
+@query("q26_edge_length_median", f"with {NET_SQL} select 'all' as part, null as tag, median(length_m) as median_m, count(*) as n from net union all select source, tag, median(length_m), count(*) from net group by source, tag")
+def q26_median(spark, d):
+    e = V.net(spark, d, ids=False)
+    whole = M.median(e, "length_m").select(F.lit("all").alias("part"), F.lit(None).cast("string").alias("tag"), F.col("median").alias("median_m"), "n")
+    return whole.unionByName(M.median(e, "length_m", ("source", "tag")).select(F.col("source").alias("part"), "tag", F.col("median").alias("median_m"), "n"))
+
+
 _ROUTE_SQL = f"""with {PTS_SQL}, g as (select seq, x, y, floor(x / 100) * 100 as gx, floor(y / 100) * 100 as gy, lead(seq) over w as s2, lead(x) over w as x2, lead(y) over w as y2, lead(floor(x / 100) * 100) over w as gx2, lead(floor(y / 100) * 100) over w as gy2 from pts window w as (order by seq)),
   b as (select *, case when abs(x2 - x) >= abs(y2 - y) then gx2 else gx end as bx, case when abs(x2 - x) >= abs(y2 - y) then gy else gy2 end as by_ from g where s2 is not null),
   k as (select *, case when gx = gx2 and gy = gy2 then 'zero' when (bx = gx and by_ = gy) or (bx = gx2 and by_ = gy2) then 'straight' else 'elbow' end as kind from b)"""
@@ -552,7 +561,7 @@ _OFF = 1.3e-7
 select edge_id, u, v, round(length_m, 2) as length_m, n_edges, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from merged join spot a on a.node = u join spot b on b.node = v""")
 def q36(spark, d):
     lines = V.short_lines(spark, d).withColumn("tag", F.col("tag").cast("string")).withColumn("name", F.lit(None).cast("string"))
-    nodes, edges = P.noded(lines, P.Settings(snap=10.0, cell=60.0))
+    nodes, edges = P.noded(lines, P.Settings(snap=10.0))
     at = lambda k, n: nodes.select(F.col("node_id").alias(k), *[F.round(F.col(c) + _OFF, 4).alias(f"{c}{n}") for c in ("x", "y")])
     merged = N.contract(edges, nodes).join(at("u", 1), "u").join(at("v", 2), "v")
     return merged.select("edge_id", "u", "v", F.round("length_m", 2).alias("length_m"), "n_edges", "x1", "y1", "x2", "y2")

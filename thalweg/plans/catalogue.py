@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thalweg.functions import geometry as G
 from thalweg.functions import text as T
+from thalweg.operators import areas as A
 from thalweg.operators import diagrams as D
 from thalweg.operators import layout as L
 from thalweg.operators import network as N
@@ -128,6 +129,20 @@ def q06(spark, d):
     return S.within_polygon(S.segments(V.short_lines(spark, d), "line_id"), RING, 30.0, "line_id")
 
 
+@query("q06_points_in_areas", f"""with {PTS_SQL}, {V.AREAS_SQL}
+select seq, area_id from pts, sides where (ay > y) <> (by_ > y) and x < ax + (y - ay) * (bx - ax) / (by_ - ay) group by seq, area_id having count(*) % 2 = 1""")
+def q06_points(spark, d):
+    return A.points_in_areas(V.points(spark, d), V.supplier_areas(spark, d), "seq")
+
+
+@query("q06_lines_in_areas", f"""with {SEGS_SQL}, {V.AREAS_SQL}, p as (select line_id, seg, x1, y1, x2, y2, area_id, ax as o_x1, ay as o_y1, bx as o_x2, by_ as o_y2 from segs, sides),
+  near as (select distinct line_id, area_id from {steps_sql('p', C.segment_distance())} where gap2 <= 100),
+  inside as (select line_id, area_id from p where seg = 0 and (o_y1 > y1) <> (o_y2 > y1) and x1 < o_x1 + (y1 - o_y1) * (o_x2 - o_x1) / (o_y2 - o_y1) group by line_id, area_id having count(*) % 2 = 1)
+select * from near union select * from inside""")
+def q06_lines(spark, d):
+    return A.lines_in_areas(S.segments(V.short_lines(spark, d), "line_id"), V.supplier_areas(spark, d), 10.0)
+
+
 @query("q07_line_length_area", f"""with {TRACKS_SQL}, s as (select user_id, k, x, y, lead(x) over w as nx, lead(y) over w as ny, first_value(x) over w as fx, first_value(y) over w as fy from tracks window w as (partition by user_id order by k))
 select user_id, count(*) as n_vertices, round(coalesce(sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y))), 0), 4) as length_m,
   round(abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) / 2, 2) as area_m2 from s group by user_id""")

@@ -47,6 +47,24 @@ def net(spark, sf_dir, u="l_partkey", v="1000000 + l_suppkey", ids=True) -> Data
     return dense_ids(li.select(F.struct(*ROW).alias("k"), *edges), "k", "edge_id").drop("k") if ids else li.select(*edges)
 
 
+#: Rings of an area for each supplier, around its centre: the outer one, a hole (of two thirds of the areas) and a part beside it (of every other).
+OUTER = ((1.0, 0.2), (0.3, 0.9), (-0.8, 0.6), (-0.9, -0.5), (0.1, -1.0), (0.7, -0.6))
+HOLE = ((0.3, 0.1), (-0.2, 0.3), (0.0, -0.4))
+BESIDE = ((1.5, 0.0), (2.1, 0.1), (1.9, 0.7))
+
+
+def supplier_areas(spark, sf_dir) -> DataFrame:
+    """``area_id, rings``: areas of several parts with holes."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("area_id"), (F.col("s_suppkey") * 37 % 800 - 400).alias("x"), (F.col("s_suppkey") * 91 % 800 - 400).alias("y"), (F.lit(20) + F.col("s_suppkey") % 7 * 15).alias("r"))
+    ring = lambda places: F.array(*[F.struct((F.col("x") + F.col("r") * a).alias("x"), (F.col("y") + F.col("r") * b).alias("y")) for a, b in places])
+    rings = [F.array(ring(OUTER)), F.when(F.col("area_id") % 3 > 0, F.array(ring(HOLE))).otherwise(F.array().cast("array<array<struct<x:double,y:double>>>")), F.when(F.col("area_id") % 2 == 0, F.array(ring(BESIDE))).otherwise(F.array().cast("array<array<struct<x:double,y:double>>>"))]
+    return s.select("area_id", F.concat(*rings).alias("rings"))
+
+
+_SIDES = ", ".join(f"({k}, {a}::double, {b}::double, {c}::double, {e}::double)" for k, places in enumerate((OUTER, HOLE, BESIDE)) for (a, b), (c, e) in zip(places, places[1:] + places[:1]))
+AREAS_SQL = f"""shape(part, ax, ay, bx, by_) as (values {_SIDES}),
+  sup as (select s_suppkey as area_id, s_suppkey * 37 % 800 - 400 as x, s_suppkey * 91 % 800 - 400 as y, 20 + s_suppkey % 7 * 15 as r from supplier),
+  sides as (select area_id, x + r * ax as ax, y + r * ay as ay, x + r * bx as bx, y + r * by_ as by_ from sup join shape on part = 0 or (part = 1 and area_id % 3 > 0) or (part = 2 and area_id % 2 = 0))"""
 PTS_SQL = "pts as (select vec_id as seq, embedding[1]::double * 1000 as x, embedding[2]::double * 1000 as y, label from embeddings)"
 SEGS_SQL = """v as (select vec_id as line_id, case when label % 2 = 0 then 'primary' else 'supplement' end as source, label as tag, embedding[1]::double * 1000 as ax, embedding[2]::double * 1000 as ay,
     embedding[3]::double * 100 as p, embedding[4]::double * 100 as q, embedding[5]::double * 100 as r, embedding[6]::double * 100 as s from embeddings),

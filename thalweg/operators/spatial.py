@@ -176,6 +176,74 @@ def nearest_line(points: DataFrame, segs: DataFrame, key: str, reach: float, *at
     return points.join(best, key, "left").select(*points.columns, F.col(f"b.o_{key}").alias("near_id"), F.sqrt("b.gap2").alias("distance"), *[F.col(f"b.o_{a}").alias(a) for a in attrs])
 
 
+def nearest_places(points: DataFrame, segs: DataFrame, key: str, line_key: str = "line_id") -> DataFrame:
+    """``key, line_key, seg, t, x, y, distance``: for each of ``points(key, x, y)``, however far, the nearest place on the segments of lines; the
+    least line and segment in a tie.  Points with a null or non-finite coordinate are left out, and all where there is no line.
+
+    Rings are grown: points that have no segment within the reach so far are looked for again with four times the reach, so each round has
+    fewer points, and what is found within the reach is the nearest."""
+    segs = materialize(quadtree.plain_segments(segs).select(line_key, "seg", "x1", "y1", "x2", "y2"), "lines")
+    spots = points.select(key, F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"), F.col("x").cast("double").alias("x2"), F.col("y").cast("double").alias("y2"))
+    spots = materialize(quadtree.plain_segments(spots), "points")
+    extent = lambda c: F.max(F.greatest(f"{c}1", f"{c}2")) - F.min(F.least(f"{c}1", f"{c}2"))
+    both = spots.select("x1", "y1", "x2", "y2").unionByName(segs.select("x1", "y1", "x2", "y2")).agg(extent("x").alias("w"), extent("y").alias("h")).first()
+    n = segs.count()
+    columns = [F.col(f"b.o_{c}").alias(c) for c in (line_key, "seg")]
+    ends = {c: F.col(f"b.o_{c}") for c in ("x1", "y1", "x2", "y2")}
+    dx, dy = ends["x2"] - ends["x1"], ends["y2"] - ends["y1"]
+    square = dx * dx + dy * dy
+    t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x1") - ends["x1"]) * dx + (F.col("y1") - ends["y1"]) * dy) / F.when(square > 0, square)))).otherwise(0.0)
+    widest = 1.01 * ((both.w or 0.0) + (both.h or 0.0)) + 1.0
+    reach, found = max(1e-3, 2 * (max(both.w or 0.0, 1e-3) * max(both.h or 0.0, 1e-3) / max(n, 1)) ** 0.5), None
+    while n:
+        reach = min(reach, widest)
+        pairs = near_segments(spots, segs, reach)
+        best = pairs.groupBy(key).agg(F.min(F.struct("gap2", *[f"o_{c}" for c in (line_key, "seg", "x1", "y1", "x2", "y2")])).alias("b"), F.first("x1").alias("x1"), F.first("y1").alias("y1"))
+        best = materialize(best.select(key, *columns, t.alias("t"), F.sqrt("b.gap2").alias("distance"), ends["x1"].alias("_x"), ends["y1"].alias("_y"), dx.alias("_dx"), dy.alias("_dy")), "nearest")
+        found = best if found is None else found.unionByName(best)
+        spots = materialize(spots.join(best, key, "left_anti"), "points")
+        if reach >= widest or spots.isEmpty():
+            break
+        reach *= 4
+    if found is None:
+        return spots.limit(0).join(segs.limit(0).select(line_key, "seg")).select(key, line_key, "seg", *[F.lit(0.0).alias(c) for c in ("t", "x", "y", "distance")])
+    return found.select(key, line_key, "seg", "t", (F.col("_x") + F.col("t") * F.col("_dx")).alias("x"), (F.col("_y") + F.col("t") * F.col("_dy")).alias("y"), "distance")
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Sum of a column over all rows up to each one in an order that has no ties, by range partitions and their sums, not in one task."""
+    spark = df.sparkSession
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(slices, *order).withColumn("_p", F.spark_partition_id()), "running")
+    sums = ranged.groupBy("_p").agg(F.sum(value).alias("_sum"), F.min(F.struct(*order)).alias("_low"))
+    before = sums.select("_p", F.coalesce(F.sum("_sum").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
+    inside = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_p").select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
+def split_lines(lines: DataFrame, places: DataFrame, key: str = "line_id", geom: str = "geom") -> DataFrame:
+    """``key, piece, geom``: lines cut at ``places(key, seg, t)``, pieces numbered from 0 along each line.  Places at the ends of a line, repeated
+    places and places of other lines cut nothing; lines without places are one piece, lines of less than two different vertices none.  ``key``
+    is unique in ``lines`` and not null.
+
+    Vertices and places are put in one order and dealt by ranges of it, so a line with very many places is worked on by many tasks."""
+    shaped = materialize(lines.where(F.col(key).isNotNull()).select(key, plain_vertices(F.col(geom)).alias("g")).where("size(g) >= 2"), "shaped")
+    vertices = shaped.select(key, F.posexplode("g").alias("s", "p"), F.size("g").alias("n"))
+    vertices = vertices.select(key, "s", F.lit(0.0).alias("t"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.lit(False).alias("cut"), (F.col("s") == 0).cast("long").alias("starts"))
+    at = places.select(key, F.when(F.col("t") >= 1, F.col("seg") + 1).otherwise(F.col("seg")).alias("s"), F.when((F.col("t") >= 1) | (F.col("t") < 0), F.lit(0.0)).otherwise(F.col("t")).alias("t")).distinct()
+    segs = segments(shaped, key, "g")
+    ends = segs.groupBy(key).agg(F.max("seg").alias("last"))
+    inner = at.join(ends, key).where("(s > 0 or t > 0) and s <= last").drop("last").join(segs.withColumnRenamed("seg", "s"), [key, "s"])
+    along = lambda c: (F.col(f"{c}1") + F.col("t") * (F.col(f"{c}2") - F.col(f"{c}1"))).alias(c)
+    cuts = inner.select(key, "s", "t", along("x"), along("y"), F.lit(True).alias("cut"), F.lit(1).cast("long").alias("starts"))
+    rows = running_sum(vertices.unionByName(cuts), [key, "s", "t", "cut"], "starts", "g")
+    both = rows.withColumn("g", F.explode(F.when(F.col("cut"), F.array(F.col("g") - 1, F.col("g"))).otherwise(F.array("g"))))
+    pieces = both.groupBy("g").agg(F.first(key).alias(key), F.sort_array(F.collect_list(F.struct("s", "t", "cut", "x", "y"))).alias("v"))
+    pieces = materialize(pieces.select(key, "g", plain_vertices(F.transform("v", lambda p: F.struct(p.x.alias("x"), p.y.alias("y")))).alias(geom)), "pieces")
+    first = pieces.groupBy(key).agg(F.min("g").alias("first"))
+    return pieces.join(first, key).select(key, (F.col("g") - F.col("first")).alias("piece"), geom)
+
+
 #: Neighbours of a cell of side tolerance / sqrt(2) that may hold a point within the tolerance, one of each two opposite ones.
 _AROUND = [(i, j) for i in (0, 1, 2) for j in (-2, -1, 0, 1, 2) if (i, j) > (0, 0) and (abs(i), abs(j)) != (2, 2)]
 

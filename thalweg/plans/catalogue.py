@@ -536,6 +536,35 @@ def q35(spark, d):
     return D.effective_ops(ops)
 
 
+_PLACES_SQL = f"""{SEGS_SQL}, sup as (select s_suppkey as structure_id, s_suppkey * 37 % 800 - 400.0::double as x, s_suppkey * 91 % 800 - 400.0::double as y from supplier),
+  f as (select structure_id, line_id, seg, x, y, x1, y1, x2, y2, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) as n from sup, segs),
+  w as (select *, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / n)) as t from f),
+  z as (select structure_id, line_id, seg, t, x1 + t * (x2 - x1) as px, y1 + t * (y2 - y1) as py, sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2) as distance from w),
+  places as (select * from z qualify row_number() over (partition by structure_id order by round(distance, 9), line_id, seg) = 1)"""
+
+
+def _structures(spark, d):
+    s = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("structure_id"), (F.col("s_suppkey") * 37 % 800 - 400).alias("x"), (F.col("s_suppkey") * 91 % 800 - 400).alias("y"))
+    lines = V.short_lines(spark, d)
+    return S.nearest_places(s, S.segments(lines, "line_id"), "structure_id"), lines
+
+
+@query("q35_structures_on_lines", f"with {_PLACES_SQL} select structure_id, line_id, round(px, 6) as x, round(py, 6) as y, round(distance, 6) as distance from places")
+def q35_structures(spark, d):
+    r = lambda c: F.round(c, 6).alias(c)
+    return _structures(spark, d)[0].select("structure_id", "line_id", r("x"), r("y"), r("distance"))
+
+
+@query("q35_split_at_structures", f"""with {_PLACES_SQL}, d as (select line_id, max(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) filter (where seg = 0) as d0, max(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) filter (where seg = 1) as d1 from segs group by line_id),
+  m as (select distinct line_id, round(case when seg = 0 then t * d0 else d0 + t * d1 end, 9) as pos from places join d using (line_id)),
+  c as (select line_id, pos from m join d using (line_id) where pos > 0 and pos < round(d0 + d1, 9) union all select line_id, 0 from d union all select line_id, d0 + d1 from d),
+  p as (select line_id, row_number() over w - 1 as piece, lead(pos) over w - pos as length_m from c window w as (partition by line_id order by pos))
+select line_id, piece, round(length_m, 4) as length_m from p where length_m is not null""")
+def q35_split(spark, d):
+    places, lines = _structures(spark, d)
+    return S.split_lines(lines, places).select("line_id", "piece", F.round(G.length(F.col("geom")), 4).alias("length_m"))
+
+
 @query("q35_delete_split", f"""with {NET_SQL}, n as (select distinct unnest([u, v]) as k from net), e as (select 'e' || edge_id as edge_key, 'n' || u as a, 'n' || v as b, name as label, edge_id from net where u % 5 <> 0)
 select edge_key, a as source_node_key, b as target_node_key, label from e where edge_id % 3 <> 0
 union all select edge_key || 'a', a, 'm' || edge_id, label from e where edge_id % 3 = 0 union all select edge_key || 'b', 'm' || edge_id, b, '' from e where edge_id % 3 = 0""")

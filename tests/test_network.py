@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from thalweg.functions import geometry as G
 from thalweg.functions import text as T
 from thalweg.operators import diagrams as D
+from thalweg.operators import editlog
 from thalweg.operators import layout as L
 from thalweg.operators import network as N
 from thalweg.operators import spatial as S
@@ -235,7 +236,7 @@ def test_publish_and_read_back(spark, tmp_path):
 def test_undo_and_redo(spark):
     ops = ["edit", "edit", "undo", "edit", "redo", "undo", "undo", "undo", "redo"]
     df = spark.createDataFrame([(1, k, o) for k, o in enumerate(ops)], "doc long, seq long, op string")
-    assert [r.seq for r in D.effective_ops(df).collect()] == [0]
+    assert [r.seq for r in editlog.effective_ops(df).collect()] == [0]
 
 
 def test_failover_and_guards(spark):

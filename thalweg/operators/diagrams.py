@@ -45,6 +45,25 @@ def current_versions(versions: DataFrame, area: str = "tambon_id") -> DataFrame:
     return versions.where(F.col("source").isin(*SOURCES)).withColumn("is_current", F.row_number().over(w) == 1)
 
 
+def difference(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """``key, change, fields`` of the keys that differ: ``added``, ``removed`` or ``changed``, and then the columns that did, by name; a column
+    that one side lacks counts as null there.  Keys that are null take no part; rows that share a key are compared as a set of rows, and then
+    ``fields`` is empty where only their combination changed.  Rows are compared by 64-bit hashes of each column, summed a key, in one full
+    outer join; no row is moved."""
+    names = sorted((set(before.columns) | set(after.columns)) - {key})
+
+    def told(df: DataFrame, side: str) -> DataFrame:
+        own = df.where(F.col(key).isNotNull()).select(key, *[F.to_json(F.struct(F.col(c).alias("v"))).alias(c) if c in df.columns else F.lit("{}").alias(c) for c in names])
+        total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+        return own.groupBy(key).agg(*[total(c).alias(f"{side}{i}") for i, c in enumerate(names)], (total(*names) if names else F.count("*").cast("decimal(30,0)")).alias(f"{side}_row"))
+
+    both = told(before, "a").join(told(after, "b"), key, "full_outer")
+    change = F.when(F.col("a_row").isNull(), "added").when(F.col("b_row").isNull(), "removed").when(F.col("a_row") != F.col("b_row"), "changed")
+    differs = F.array_compact(F.array(*[F.when(F.col(f"a{i}") != F.col(f"b{i}"), F.lit(c)) for i, c in enumerate(names)])) if names else F.array().cast("array<string>")
+    fields = F.when(F.col("a_row").isNotNull() & F.col("b_row").isNotNull(), differs).otherwise(F.array().cast("array<string>"))
+    return both.select(key, change.alias("change"), fields.alias("fields")).where("change is not null")
+
+
 def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that name a node their version lacks."""
     key = nodes.select("version_id", "node_key")
@@ -90,37 +109,6 @@ def drawn_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(end("source_node_key", 1), "source_node_key").join(end("target_node_key", 2), "target_node_key")
 
 
-def effective_ops(ops: DataFrame, by: str = "doc") -> DataFrame:
-    """Edits in force after undo and redo: ``ops(doc, seq, op, ...)``.  An edit after an undo drops what could be redone.  The log of
-    a document is read once in its order; the stack of its edits is all that is held."""
-    kind = dict(ops.dtypes)[by]
-
-    def fold(batches):
-        doc, stack, cursor, begun = None, [], 0, False
-        for b in batches:
-            docs, seqs = [], []
-            for own, seq, op in zip(*(c.to_pylist() for c in b.columns)):
-                if begun and own != doc:
-                    docs += [doc] * cursor
-                    seqs += stack[:cursor]
-                    stack, cursor = [], 0
-                doc, begun = own, True
-                if op == "undo":
-                    cursor = max(0, cursor - 1)
-                elif op == "redo":
-                    cursor = min(cursor + 1, len(stack))
-                else:
-                    del stack[cursor:]
-                    stack.append(seq)
-                    cursor += 1
-            yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field(0).type), pa.array(seqs, pa.int64())], [by, "seq"])
-        if cursor:
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * cursor, b.schema.field(0).type), pa.array(stack[:cursor], pa.int64())], [by, "seq"])
-
-    log = ops.select(by, F.col("seq").cast("long").alias("seq"), "op").repartition(by).sortWithinPartitions(by, "seq")
-    return log.mapInArrow(fold, f"`{by}` {kind}, seq long")
-
-
 def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the nodes ``gone(node_key)`` and the edges at them."""
     left = nodes.join(gone, "node_key", "left_anti")

@@ -9,6 +9,7 @@ from thalweg.functions import geometry as G
 from thalweg.functions import text as T
 from thalweg.operators import areas as A
 from thalweg.operators import diagrams as D
+from thalweg.operators import editlog as E
 from thalweg.operators import layout as L
 from thalweg.operators import network as N
 from thalweg.operators import selection as M
@@ -18,6 +19,7 @@ from thalweg.plans import pipeline as P
 from thalweg.plans import views as V
 from thalweg.plans.views import COMPONENTS_SQL, NET_SQL, PTS_SQL, SEGS_SQL, TRACKS_SQL
 from thalweg.sources import documents as W
+from thalweg.sources import versions
 from thalweg.storage import materialize, shared_dir
 
 QUERIES: dict = {}
@@ -448,6 +450,36 @@ def q31(spark, d):
     return D.current_versions(v, "area").select("area", "version_id", "source", "is_current")
 
 
+def _two_versions(spark, d):
+    """A store with two versions of a diagram made of events: ``root, first, second``."""
+    import uuid
+
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    e = V.table(spark, d, "events")
+    key = lambda p: F.concat(F.lit(p), F.col("event_id").cast("string"))
+    label = F.when(F.col("event_id") % 7 == 0, F.lit("moved")).otherwise(F.col("event_type"))
+    nodes = [e.where("event_id % 3 <> 0").select(key("n").alias("node_key"), F.col("event_type").alias("label"), F.col("user_id").alias("pos_x")),
+        e.where("event_id % 5 <> 0").select(key("n").alias("node_key"), label.alias("label"), (F.col("user_id") + F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)).alias("pos_x"))]
+    edges = [e.where(f"event_id % {n} <> 0 and event_id % 2 = 0").select(key("e").alias("edge_key"), key("n").alias("source_node_key"), key("n").alias("target_node_key"), F.lit(n % 5).alias("weight")) for n in (3, 5)]
+    return root, *[versions.publish(n, g, root, "area", "engine") for n, g in zip(nodes, edges)]
+
+
+@query("q31_version_difference", """with n as (select event_id as i, event_id % 3 <> 0 as a, event_id % 5 <> 0 as b, event_id % 7 = 0 and event_type <> 'moved' as relabelled, event_id % 11 = 0 as shifted from events)
+select 'nodes' as part, 'n' || i as key, case when not a then 'added' when not b then 'removed' else 'changed' end as change,
+  case when a and b then concat_ws(',', case when relabelled then 'label' end, case when shifted then 'pos_x' end) else '' end as fields from n where a <> b or (a and b and (relabelled or shifted))
+union all select 'edges', 'e' || i, case when not a then 'added' when not b then 'removed' else 'changed' end, case when a and b then 'weight' else '' end from n where i % 2 = 0 and (a or b)""")
+def q31_difference(spark, d):
+    root, first, second = _two_versions(spark, d)
+    return versions.compare(spark, root, first, second).withColumn("fields", F.array_join("fields", ","))
+
+
+@query("q31_version_restore", "select 'n' || event_id as node_key, event_type as label, user_id as pos_x from events where event_id % 3 <> 0")
+def q31_restore(spark, d):
+    root, first, _ = _two_versions(spark, d)
+    versions.restore(spark, root, first)
+    return versions.current(spark, root, "area")[0].select("node_key", "label", "pos_x")
+
+
 _TYPE = "case event_type when 'click' then 'gate' when 'view' then 'weir' when 'purchase' then 'waterbody' when 'signup' then 'pump' end"
 _STATUS = "case when event_id % 4 = 0 then 'ชำรุด' end"
 
@@ -533,7 +565,7 @@ select doc, unnest(list_slice(stack, 1, cur)) as seq from last where cur > 0""")
 def q35(spark, d):
     op = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
     ops = V.table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("seq"), op.alias("op"))
-    return D.effective_ops(ops)
+    return E.effective_ops(ops)
 
 
 _PLACES_SQL = f"""{SEGS_SQL}, sup as (select s_suppkey as structure_id, s_suppkey * 37 % 800 - 400.0::double as x, s_suppkey * 91 % 800 - 400.0::double as y from supplier),

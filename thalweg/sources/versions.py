@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.operators.diagrams import SOURCES, current_versions, orphans
+from thalweg.operators.diagrams import SOURCES, current_versions, difference, orphans
 
 VERSIONS = "version_id string, tambon_id string, source string, label string, entered_by string, created_at timestamp"
 
@@ -39,10 +39,33 @@ def current(spark: SparkSession, root: str, area: str) -> tuple[DataFrame, DataF
     v = current_versions(spark.read.schema(VERSIONS).parquet(f"{root}/versions").where(F.col("tambon_id") == area)).where("is_current").select("version_id").first()
     if v is None:
         raise ValueError(f"no version of {area}")
-    pick = lambda name: spark.read.parquet(f"{root}/{name}/version_id={v.version_id}").withColumn("version_id", F.lit(v.version_id))
+    return version(spark, root, v.version_id)
+
+
+def version(spark: SparkSession, root: str, version_id: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one version, an error where it was not made visible."""
+    if spark.read.schema(VERSIONS).parquet(f"{root}/versions").where(F.col("version_id") == version_id).isEmpty():
+        raise ValueError(f"no version {version_id}")
+    pick = lambda name: spark.read.parquet(f"{root}/{name}/version_id={version_id}").withColumn("version_id", F.lit(version_id))
     return pick("nodes"), pick("edges")
 
 
+def compare(spark: SparkSession, root: str, before: str, after: str) -> DataFrame:
+    """``part, key, change, fields``: nodes and edges that were added, removed or changed from one version to another."""
+    parts = []
+    for part, key, a, b in zip(("nodes", "edges"), ("node_key", "edge_key"), version(spark, root, before), version(spark, root, after)):
+        parts.append(difference(a.drop("version_id"), b.drop("version_id"), key).select(F.lit(part).alias("part"), F.col(key).alias("key"), "change", "fields"))
+    return parts[0].unionByName(parts[1])
+
+
+def restore(spark: SparkSession, root: str, version_id: str, label: str = "", entered_by: str = "", password: str | None = None, secret: str | None = None) -> str:
+    """Publishes an earlier version's nodes and edges once more, as the newest version of its area, and returns the new id; nothing that was
+    written before is touched.  A community version needs the ``secret`` again."""
+    nodes, edges = version(spark, root, version_id)
+    old = spark.read.schema(VERSIONS).parquet(f"{root}/versions").where(F.col("version_id") == version_id).first()
+    return publish(nodes.drop("version_id"), edges.drop("version_id"), root, old.tambon_id, old.source, label or f"restored from {version_id}", entered_by, password, secret)
+
+
 def shown(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A published diagram for use: an error where it has no nodes."""
     if nodes.isEmpty():

@@ -82,13 +82,83 @@ def test_rasters(spark, tmp_path):
     places = {1: (100.05, 16.95), 2: (100.15, 16.95), 3: (100.05, 16.85), 4: (100.15, 16.85), 5: (100.25, 16.99), 6: (100.35, 16.99), 7: (99.9, 16.95)}
     east, north = G.project(F.col("lon"), F.col("lat"))
     nodes = spark.createDataFrame([(k, *p) for k, p in places.items()], "node_id long, lon double, lat double").select("node_id", east.alias("x"), north.alias("y"))
-    cells = rasters.read_rasters(spark, str(tmp_path / "deg/*.tif"))
-    got = {r.node_id: r.elevation_m for r in rasters.sample_elevation(nodes, cells).collect()}
+    blocks = rasters.read_rasters(spark, str(tmp_path / "deg/*.tif"))
+    got = {r.node_id: r.elevation_m for r in rasters.sample_elevation(nodes, blocks).collect()}
     assert got == {1: 1.0, 2: 2.0, 3: 3.0, 4: None, 5: 5.0, 6: None, 7: None}
     write_raster(tmp_path / "m.tif", [[7.0, 8.0]], 600000.0, 1800000.0, 100.0, epsg=32647)
     flat = spark.createDataFrame([(1, 600050.0, 1799950.0), (2, 600150.0, 1799950.0), (3, 600250.0, 1799950.0)], "node_id long, x double, y double")
     assert {r.node_id: r.elevation_m for r in rasters.sample_elevation(flat, rasters.read_rasters(spark, str(tmp_path / "m.tif"))).collect()} == {1: 7.0, 2: 8.0, 3: None}
-    assert {r.elevation_m for r in rasters.sample_elevation(flat, cells.limit(0)).collect()} == {None}
+    assert {r.elevation_m for r in rasters.sample_elevation(flat, blocks.limit(0)).collect()} == {None}
+
+
+def test_tiles_zones_and_overlaps(spark, tmp_path):
+    """Two files share a row of cells, one has another resolution, one another zone, and one is of no known system."""
+    (tmp_path / "m").mkdir()
+    write_raster(tmp_path / "m/a.tif", [[1.0, 2.0], [3.0, -9999.0]], 600000.0, 1800000.0, 100.0, epsg=32647, nodata=-9999)
+    write_raster(tmp_path / "m/b.tif", [[30.0, 40.0], [50.0, 60.0]], 600000.0, 1799900.0, 100.0, epsg=32647)
+    write_raster(tmp_path / "m/c.tif", [[70.0] * 10] * 10, 600200.0, 1800000.0, 10.0, epsg=32647, packed=True)
+    east, north = G.project(F.lit(103.0), F.lit(15.0), 32648)
+    other = spark.range(1).select(east.alias("x"), north.alias("y")).first()
+    write_raster(tmp_path / "m/d.tif", [[5.0]], other.x - 50, other.y + 50, 100.0, epsg=32648)
+    far = spark.range(1).select(*[c.alias(n) for n, c in zip("xy", G.project(F.lit(103.0), F.lit(15.0), 32647))]).first()
+    places = {1: (600050.0, 1799950.0), 2: (600050.0, 1799850.0), 3: (600150.0, 1799850.0), 4: (600250.0, 1799950.0), 5: (600150.0, 1799750.0), 6: (far.x, far.y), 7: (0.0, 0.0)}
+    nodes = spark.createDataFrame([(k, *p) for k, p in places.items()] + [(8, None, 1.0)], "node_id long, x double, y double")
+    blocks = rasters.read_rasters(spark, str(tmp_path / "m/*.tif"))
+    got = [tuple(r) for r in rasters.sample_elevation(nodes, blocks).collect()]
+    assert sorted(got) == [(1, 1.0), (2, 3.0), (3, 40.0), (4, 70.0), (5, 60.0), (6, 5.0), (7, None), (8, None)]
+    write_raster(tmp_path / "m/e.tif", [[1.0]], 0.0, 0.0, 1.0, epsg=24047)
+    with pytest.raises(ValueError):
+        rasters.sample_elevation(nodes, rasters.read_rasters(spark, str(tmp_path / "m/*.tif")))
+
+
+def test_few_blocks_of_a_large_raster_are_unpacked(spark, tmp_path, monkeypatch):
+    """A raster of tiles with a few points: only their tiles are unpacked."""
+    side, tile = 1000, 100
+    tiles = [zlib.compress(b"".join(struct.pack("<100h", *[r * tile + k] + [1] * 99) for r in range(tile))) for k in range(100)]
+    body, places = b"", []
+    for t in tiles:
+        places.append(8 + len(body))
+        body += t
+    extra = struct.pack("<100I", *places) + struct.pack("<100I", *map(len, tiles)) + struct.pack("<3d", 1, 1, 0) + struct.pack("<6d", 0, 0, 0, 0, 0, 0) + struct.pack("<8H", 1, 1, 0, 1, 3072, 0, 1, 32647)
+    at = 8 + len(body)
+    tags = [(256, 4, 1, side), (257, 4, 1, side), (258, 3, 1, 16), (259, 3, 1, 8), (317, 3, 1, 2), (322, 4, 1, tile), (323, 4, 1, tile), (324, 4, 100, at), (325, 4, 100, at + 400), (339, 3, 1, 2), (33550, 12, 3, at + 800), (33922, 12, 6, at + 824), (34735, 3, 8, at + 872)]
+    entries = b"".join(struct.pack("<HHI", t, k, n) + (struct.pack("<HH", v, 0) if k == 3 and n == 1 else struct.pack("<I", v)) for t, k, n, v in tags)
+    (tmp_path / "t.tif").write_bytes(struct.pack("<2sHI", b"II", 42, at + len(extra)) + body + extra + struct.pack("<H", len(tags)) + entries + bytes(4))
+    blocks = rasters.read_rasters(spark, str(tmp_path / "t.tif"))
+    assert blocks.count() == 100
+    spots = [(0.5, -0.5), (150.5, -250.5), (999.5, -999.5), (151.5, -250.5)]
+    seen = []
+    monkeypatch.setattr(rasters, "cells_of", lambda b, f=rasters.cells_of: (seen.append(b.count()), f(b))[1])
+    got = sorted(tuple(r) for r in rasters.sample_elevation(spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "node_id long, x double, y double"), blocks).collect())
+    value = lambda x, y: (int(-y) % tile) * tile + (int(-y) // tile) * 10 + int(x) // tile + int(x) % tile
+    assert seen == [3] and got == [(i, float(value(*p))) for i, p in enumerate(spots)]
+
+
+def test_lines_of_other_systems_and_several_parts(spark):
+    point = lambda c: F.struct(*[v.alias(n) for n, v in zip("xy", c)])
+    row = spark.range(1).select(F.array(point(G.project(F.lit(102.0), F.lit(14.0), 32648)), point(G.project(F.lit(102.1), F.lit(14.1), 32648))).alias("geom"), F.array(point(G.project(F.lit(102.0), F.lit(14.0))), point(G.project(F.lit(102.1), F.lit(14.1)))).alias("want"))
+    rows = row.withColumn("srid", F.lit(32648)).unionByName(row.withColumn("geom", F.col("want")).withColumn("srid", F.lit(32647)))
+    rows = rows.unionByName(row.withColumn("geom", F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((102.0, 14.0), (102.1, 14.1))])).withColumn("srid", F.lit(4326)))
+    moved = P.in_metres(rows).collect()
+    # the other zone's series is used some 3 degrees from its middle
+    assert all(abs(p[c] - q[c]) < 0.01 for r in moved for p, q in zip(r.geom, r.want) for c in "xy") and {r.srid for r in moved} == {32647}
+    south = spark.range(1).select(*[c.alias(n) for n, c in zip("xy", G.moved(*G.project(F.lit(30.0), F.lit(-20.0), 32735), 32735, 4326))]).first()
+    assert abs(south.x - 30.0) < 1e-8 and abs(south.y + 20.0) < 1e-8
+    for odd in (24047, 32661, None):
+        with pytest.raises(ValueError):
+            P.in_metres(rows.withColumn("srid", F.lit(odd).cast("int")))
+    shape = [[(0.0, 0.0), (1.0, 0.0)], [(5.0, 5.0), (6.0, 6.0), (7.0, 7.0)]]
+    parts = spark.createDataFrame([(4, shape, "a"), (9, shape[:1], "b"), (2, None, "c"), (3, shape[::-1], "d")], "line_id long, parts array<array<struct<x:double,y:double>>>, name string")
+    got = {(r.line_id, r.name, len(r.geom)) for r in P.part_lines(parts).collect()}
+    assert got == {(4, "a", 2), (11, "a", 3), (9, "b", 2), (3, "d", 3), (10, "d", 2)}
+
+
+def test_clip_by_an_area_with_a_hole(spark):
+    ring = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    area = spark.createDataFrame([([ring(0.0, 10_000.0), ring(2_000.0, 8_000.0), ring(20_000.0, 21_000.0)],)], "rings array<array<struct<x:double,y:double>>>")
+    lines = [(1, [(500.0, 500.0), (600.0, 600.0)]), (2, [(5_000.0, 5_000.0), (5_100.0, 5_100.0)]), (3, [(2_200.0, 5_000.0), (4_000.0, 5_000.0)]), (4, [(20_500.0, 20_500.0), (20_600.0, 20_500.0)]), (5, [(15_000.0, 0.0), (15_000.0, 1.0)])]
+    got = P.clipped(spark.createDataFrame(lines, "line_id long, geom array<struct<x:double,y:double>>"), area)
+    assert {r.line_id for r in got.collect()} == {1, 3, 4}
 
 
 def test_remote_rows_and_files_after(spark):

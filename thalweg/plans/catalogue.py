@@ -299,6 +299,30 @@ def q20(spark, d):
     return N.drop_parallel(e, 5000.0).select("u", "v", "edge_id")
 
 
+def _gap2(p: str, line: str) -> str:
+    """Squared distance of the bend of one line from another; both run from (a, 0) by (x, y) to (b, 0)."""
+    return f"least({C.point_segment(p + '.x', p + '.y', line + '.a', '0', line + '.x', line + '.y')}, {C.point_segment(p + '.x', p + '.y', line + '.x', line + '.y', line + '.b', '0')})"
+
+
+@query("q20_parallel_lines", f"""with par as (select l_partkey % 40 as u, 40 + l_suppkey % 10 as v, l_extendedprice as len, l_returnflag = 'R' as main, 50.0::double * (l_partkey % 40 + 40 + l_suppkey % 10) + 10 * l_quantity as x, 2000.0::double * l_discount as y,
+    row_number() over (order by {", ".join(V.ROW)}) - 1 as edge_id from lineitem),
+  k as (select * from par qualify main or not max(main) over (partition by u, v)),
+  g as (select u, v, list({{'id': edge_id, 'a': 100.0::double * u, 'b': 100.0::double * v, 'x': x, 'y': y}} order by len desc, edge_id) as l from k group by u, v),
+  f as (select u, v, list_reduce(list_prepend([]::struct(id bigint, a double, b double, x double, y double)[], list_transform(l, lambda e: [e])),
+    lambda kept, e: case when len(list_filter(kept, lambda o: greatest({_gap2('o', 'e[1]')}, {_gap2('e[1]', 'o')}) <= 47.3 * 47.3)) = 0 then list_concat(kept, e) else kept end) as kept from g)
+select u, v, unnest(kept).id as edge_id from f""")
+def q20_lines(spark, d):
+    """Lines with the same ends are repeats by their Hausdorff distance; every other one runs backwards."""
+    bend = "50.0d * (l_partkey % 40 + 40 + l_suppkey % 10) + 10 * l_quantity"
+    at = lambda x, y: f"named_struct('x', cast({x} as double), 'y', cast({y} as double))"
+    geom = F.expr(f"array({at('100 * (l_partkey % 40)', '0')}, {at(bend, '2000 * l_discount')}, {at('100 * (40 + l_suppkey % 10)', '0')})")
+    li = V.table(spark, d, "lineitem")
+    e = S.dense_ids(li.select(F.struct(*V.ROW).alias("k"), F.expr("l_partkey % 40").alias("a"), F.expr("40 + l_suppkey % 10").alias("b"), F.col("l_extendedprice").alias("length_m"), F.when(F.col("l_returnflag") == "R", "primary").otherwise("supplement").alias("source"), geom.alias("geom")), "k", "edge_id").drop("k")
+    back = F.col("edge_id") % 2 == 1
+    e = e.select("edge_id", F.when(back, F.col("b")).otherwise(F.col("a")).alias("u"), F.when(back, F.col("a")).otherwise(F.col("b")).alias("v"), "length_m", "source", F.when(back, F.reverse("geom")).otherwise(F.col("geom")).alias("geom"))
+    return N.drop_parallel(e, 47.3, shaped=True).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "edge_id")
+
+
 def contract_sql(edges: str) -> str:
     """Common tables that merge the edges at pass-through nodes of the table ``edges(edge_id, u, v, length_m, kind, name)`` into
     ``merged(edge_id, u, v, length_m, name, n_edges)``."""
@@ -427,6 +451,24 @@ def q29(spark, d):
     return s.select(F.concat(F.lit("n"), "seq").alias("node_key"), F.col("sx").alias("pos_x"), F.col("sy").alias("pos_y"))
 
 
+@query("q29_bends", f"""with {SEGS_SQL}, b as (select a.line_id, a.x1 as x1, a.y1 as y1, c.x2 as x2, c.y2 as y2, c.x1 as px, c.y1 as py, sqrt((c.x2 - a.x1) ** 2 + (c.y2 - a.y1) ** 2) as n from segs a join segs c on c.line_id = a.line_id and a.seg = 0 and c.seg = 1)
+select line_id, round(((px - x1) * (y2 - y1) - (py - y1) * (x2 - x1)) / n, 4) as seg_dist, round(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (n * n), 6) as seg_weight from b""")
+def q29_bends(spark, d):
+    at = lambda k: [F.col("geom")[k][c] for c in "xy"]
+    dist, weight = G.bend_offset(*at(1), *at(0), *at(2))
+    return V.short_lines(spark, d).select("line_id", F.round(dist, 4).alias("seg_dist"), F.round(weight, 6).alias("seg_weight"))
+
+
+@query("q29_display_edges", f"""with {PTS_SQL}, e as (select seq - 1 as edge_id, seq - 1 as u, case when seq % 5 = 0 then seq - 1 else seq end as v, label from pts where seq > 0)
+select 'e' || edge_id as edge_key, 'n' || u as source_node_key, 'n' || v as target_node_key, case when label % 2 = 0 then 'main' else 'branch' end as edge_type from e where u <> v""")
+def q29_edges(spark, d):
+    """Edges for display; those from a node to itself are left out."""
+    p, _, places = _route_inputs(spark, d)
+    n = F.col("node_id")
+    edges = p.where("node_id > 0").select((n - 1).alias("edge_id"), (n - 1).alias("u"), F.when(n % 5 == 0, n - 1).otherwise(n).alias("v"), F.when(F.col("label") % 2 == 0, "river").otherwise("canal").alias("tag"), F.lit(None).cast("string").alias("name"))
+    return L.elements(L.route(edges, p, places), places)[1].select("edge_key", "source_node_key", "target_node_key", "edge_type")
+
+
 @query("q30_elements_split", f"""with {NET_SQL} select 'edge' as kind, 'e' || edge_id as key, 'n' || u as a, 'n' || v as b, case when edge_id % 3 = 0 then '' else name end as label, edge_id % 2 = 0 as flag, cast(null as double) as x from net
 union all select 'node', 'n' || edge_id, null, null, '', null, length_m from net where edge_id % 2 = 0""")
 def q30(spark, d):
@@ -473,6 +515,16 @@ def q31_difference(spark, d):
     return versions.compare(spark, root, first, second).withColumn("fields", F.array_join("fields", ","))
 
 
+@query("q31_orphans", """with n as (select user_id % 5 as v, event_id as k from events where event_id % 3 <> 0), e as (select user_id % 5 as v, event_id as k, event_id + 5 as t from events where event_id % 2 = 0)
+select v as version_id, 'e' || k as edge_key from e where not exists (select 1 from n where n.v = e.v and n.k = e.k) or not exists (select 1 from n where n.v = e.v and n.k = e.t)""")
+def q31_orphans(spark, d):
+    e = V.table(spark, d, "events").withColumn("version_id", F.col("user_id") % 5)
+    key = lambda p, k: F.concat(F.lit(p), F.expr(k).cast("string"))
+    nodes = e.where("event_id % 3 <> 0").select("version_id", key("n", "event_id").alias("node_key"))
+    edges = e.where("event_id % 2 = 0").select("version_id", key("e", "event_id").alias("edge_key"), key("n", "event_id").alias("source_node_key"), key("n", "event_id + 5").alias("target_node_key"))
+    return D.orphans(edges, nodes)
+
+
 @query("q31_version_restore", "select 'n' || event_id as node_key, event_type as label, user_id as pos_x from events where event_id % 3 <> 0")
 def q31_restore(spark, d):
     root, first, _ = _two_versions(spark, d)
@@ -513,6 +565,11 @@ def q32(spark, d):
 _LEGEND_SQL = " union all ".join([f"select '{k}' as k, '{v}' as label" for k, v in (D.LEGEND | D.BROKEN_LEGEND).items()])
 
 
+@query("q32_linked_nodes", f"select count(*) as nodes, count(*) filter (where coalesce({_REF.format('varchar')}, '') <> '') as linked from events")
+def q32_linked(spark, d):
+    return D.linked(_diagram(spark, d)[0])
+
+
 @query("q32_legend", f"""with words as ({_LEGEND_SQL}), m as (select distinct value > 50 as main from events), n as (select {_KIND} as t, event_id % 4 = 0 as bad from events)
 select 0 as part, case when main then 'main' else 'branch' end as key, case when main then 'ลำน้ำหลัก' else 'ลำน้ำสาขา' end as label from m
 union all select distinct 1, t, label from n join words on k = t
@@ -568,6 +625,34 @@ def q35(spark, d):
     return E.effective_ops(ops)
 
 
+_FRESH = "case event_type when 'click' then 'gate' when 'view' then 'weir' when 'purchase' then 'waterbody' when 'signup' then 'pump' else 'text_box' end"
+
+
+@query("q35_insert_move", f"""with fresh as (select event_id, {_FRESH} as t, case when event_id % 3 > 0 then event_type end as text, user_id as x, event_id as y from events where event_id % 4 = 0),
+  named as (select event_id, t, case t when 'gate' then 'ปตร.' when 'weir' then 'ฝาย' when 'waterbody' then 'ชื่อแหล่งน้ำ' || chr(10) || '(ความจุ)' when 'pump' then '' else text end as label, x, y from fresh where t <> 'text_box' or text is not null),
+  every as (select event_id, 'pump' as t, 'old' as label, 90 as rotation, 'v' as dir, user_id as x, event_id as y from events where event_id % 4 = 1 union all select event_id, t, label, 0, 'h', x, y from named)
+select 'n' || event_id as node_key, t as node_type, label, rotation, dir, case when event_id % 16 = 0 then x + 2 when event_id % 8 < 2 then x + 1 else x end as pos_x, case when event_id % 16 = 0 then y - 2 when event_id % 8 < 2 then y - 1 else y end as pos_y from every""")
+def q35_insert(spark, d):
+    """Nodes after some were inserted and some, new and old ones, moved once or twice."""
+    e = V.table(spark, d, "events").withColumn("node_key", F.concat(F.lit("n"), F.col("event_id").cast("string")))
+    old = e.where("event_id % 4 = 1").select("node_key", F.lit("pump").alias("node_type"), F.lit("old").alias("label"), F.lit(90).alias("rotation"), F.lit("v").alias("dir"), F.col("user_id").alias("pos_x"), F.col("event_id").alias("pos_y"))
+    fresh = e.where("event_id % 4 = 0").select("node_key", F.expr(_FRESH).alias("node_type"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("label"), F.col("user_id").alias("pos_x"), F.col("event_id").alias("pos_y"))
+    move = lambda k, where: e.where(where).select("node_key", F.lit(k).alias("seq"), (F.col("user_id") + k).alias("pos_x"), (F.col("event_id") - k).alias("pos_y"))
+    return D.move_nodes(D.insert_nodes(old, fresh), move(1, "event_id % 8 < 2").unionByName(move(2, "event_id % 16 = 0")))
+
+
+@query("q35_draw_edges", """select 'e' || event_id as edge_key, 'n' || event_id as source_node_key, 'n' || (event_id + 2) as target_node_key, '' as label from events where event_id % 2 = 0
+union all select 'f' || a.event_id, 'n' || a.event_id, 'n' || b.event_id, 'คลองใหม่' from events a join events b on b.event_id = a.event_id + a.event_id % 3 where a.event_id % 3 <> 0 and a.event_id % 5 <> 0 and b.event_id % 5 <> 0""")
+def q35_draw(spark, d):
+    """Edges are added between two different nodes that exist."""
+    e = V.table(spark, d, "events")
+    key = lambda p, k: F.concat(F.lit(p), F.expr(k).cast("string"))
+    old = e.where("event_id % 2 = 0").select(key("e", "event_id").alias("edge_key"), key("n", "event_id").alias("source_node_key"), key("n", "event_id + 2").alias("target_node_key"), F.lit("").alias("label"))
+    nodes = e.where("event_id % 5 <> 0").select(key("n", "event_id").alias("node_key"))
+    fresh = e.select(key("f", "event_id").alias("edge_key"), key("n", "event_id").alias("source_node_key"), key("n", "event_id + event_id % 3").alias("target_node_key"), F.lit("main").alias("edge_type"))
+    return D.draw_edges(old, nodes, fresh).select("edge_key", "source_node_key", "target_node_key", "label")
+
+
 _PLACES_SQL = f"""{SEGS_SQL}, sup as (select s_suppkey as structure_id, s_suppkey * 37 % 800 - 400.0::double as x, s_suppkey * 91 % 800 - 400.0::double as y from supplier),
   f as (select structure_id, line_id, seg, x, y, x1, y1, x2, y2, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) as n from sup, segs),
   w as (select *, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / n)) as t from f),

@@ -103,3 +103,18 @@ def test_false_claims_give_one_error_row(spark):
     got = {r.id: (r.page, r.pixels and len(r.pixels), r.error) for r in M.tiff_pages(df, "id", "tiff").collect()}
     assert got["claim"] == (0, None, "page is too large") and got["plain"] == (0, None, "strip or tile is short") and got["missing"] == (0, None, "strip or tile is missing")
     assert got["bomb"] == (0, 64, None) and got["zero"][1] is None and len(got) == 5
+
+
+def test_pages_of_odd_vectors(spark):
+    nan = float("nan")
+    rows = [("a", [0.5] * 64), ("a", [0.5] * 64), (None, [1.0, None, nan]), ("b", None), ("c", []), ("d", [float("inf"), -float("inf")]), ("e", [0.1] * 70)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>").selectExpr("*", "1 as page", "'x' as error")
+    got = {}
+    for r in M.embedding_pages(df).collect():
+        assert r.error is None and r.width == 8
+        got.setdefault(r.vec_id, []).append((r.page, r.height, r.pixels_md5))
+    want = {"a": bytes([90] * 64), None: bytes([100, 0, 0, 0, 0, 0, 0, 0]), "d": bytes([126, 33, 0, 0, 0, 0, 0, 0]), "e": bytes([82] * 70 + [0, 0])}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert sorted(got[k]) == sorted([(p, len(v) // 8, hashlib.md5(v).hexdigest()) for p in range(8)] * (2 if k == "a" else 1))
+    assert M.embedding_pages(df.limit(0)).collect() == []

@@ -350,20 +350,25 @@ def text_media(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
 
 def embedding_pages(df: DataFrame, id_col="vec_id", vector_col="embedding") -> DataFrame:
-    """``vec_id, page, width, height, compression, predictor, pixels_md5, error``: each vector of 64 numbers as a picture of 8 x 8 samples in a
-    file of eight pages, one for each packing in strips of three rows and in tiles of 4 x 16, read back by ``tiff_pages``.  A vector
-    of another length or null has no file and no rows."""
+    """``vec_id, page, width, height, compression, predictor, pixels_md5, error``: each vector as a picture of eight samples a row, the last row
+    filled up with zeros, in a file of eight pages, one for each packing in strips of three rows and in tiles of 4 x 16, read back by
+    ``tiff_pages``.  A sample is floor(20 x) + 80, from 33 to 126; a component that is null or NaN is a zero.  A null or empty vector
+    has no file and no rows.  Ids of any type, null ids and repeated rows are rows like others: pages take turns with the predictor by the
+    position of the page and the number of samples over 80.  Other columns are ignored; an empty table gives no rows."""
 
     def store_vectors(batches):
         for b in batches:
             ids, files = [], []
-            for key, vector in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if vector is None or len(vector) != 64 or any(x is None for x in vector):
+            for k, vector in enumerate(b.column(1)):
+                if not vector.is_valid or not len(vector):
                     continue
-                grid = np.clip(np.floor(np.array(vector, np.float64) * 20) + 80, 33, 126).astype(np.uint8).reshape(8, 8, 1)
-                ids.append(key)
-                files.append(write_pages([grid] * 8, [NONE, LZW, DEFLATE, PACKBITS] * 2, [1 + (key + p) % 2 for p in range(8)], 3, [None] * 4 + [(4, 16)] * 4))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(files, pa.binary())], ["id", "tiff"])
+                x = np.array([np.nan if v is None else v for v in vector.as_py()], np.float64)
+                samples = np.where(np.isnan(x), 0, np.clip(np.floor(np.nan_to_num(x) * 20) + 80, 33, 126)).astype(np.uint8)
+                grid = np.concatenate([samples, np.zeros(-len(samples) % 8, np.uint8)]).reshape(-1, 8, 1)
+                turn = int((samples > 80).sum())
+                ids.append(k)
+                files.append(write_pages([grid] * 8, [NONE, LZW, DEFLATE, PACKBITS] * 2, [1 + (turn + p) % 2 for p in range(8)], 3, [None] * 4 + [(4, 16)] * 4))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(files, pa.binary())], ["id", "tiff"])
 
     kind = dict(df.dtypes)[id_col]
     files = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(store_vectors, f"id {kind}, tiff binary")

@@ -122,9 +122,10 @@ select doc_id, cast(len(sh) as bigint) as n_shingles, comp as component_id from
 
 #: The pages hold the samples of the embedding as they are, whatever their form.
 TIFF_SQL = """
-with e as (select vec_id, array_to_string(list_transform(embedding, lambda x: chr(cast(least(126, greatest(33, floor(x::double * 20) + 80)) as integer))), '') as cells from embeddings)
-select vec_id, cast(p as integer) as page, 8 as width, 8 as height, cast(case p % 4 when 0 then 1 when 1 then 5 when 2 then 8 else 32773 end as integer) as compression, cast(1 + (vec_id + p) % 2 as integer) as predictor, md5(cells) as pixels_md5, cast(null as varchar) as error
-from e, range(0, 8) t(p)
+with e as (select vec_id, embedding, list_transform(embedding, lambda x: least(126, greatest(33, floor(x::double * 20) + 80))) as cells from embeddings),
+f as (select vec_id, cells, array_to_string(list_transform(cells, lambda c: chr(cast(c as integer))), '') as text, len(list_filter(cells, lambda c: c > 80)) as turn from e)
+select vec_id, cast(p as integer) as page, 8 as width, cast(len(cells) // 8 as integer) as height, cast(case p % 4 when 0 then 1 when 1 then 5 when 2 then 8 else 32773 end as integer) as compression, cast(1 + (turn + p) % 2 as integer) as predictor, md5(text) as pixels_md5, cast(null as varchar) as error
+from f, range(0, 8) t(p)
 """
 
 OP8_SQL = """

@@ -42,7 +42,9 @@ def check(rows, segment, spark):
         convs.setdefault(r.conv_id, []).append(r)
     costs = {}
     for conv, own in convs.items():
-        own.sort(key=lambda r: (r.turn is not None, r.turn))
+        own.sort(key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(len(own)))
+        assert [(r.turn is not None, r.turn) for r in own] == sorted((r.turn is not None, r.turn) for r in own)
         text = "".join(r.piece for r in own)
         turns = parse(text)
         assert "".join(f"<|im_start|>{a}\n{b}<|im_end|>\n" for a, b in turns) == text
@@ -98,3 +100,15 @@ def test_order_roles_and_segments(spark):
     check([tuple(r) for r in same.collect()], 4, spark)
     assert {r.cost for r in C.repair(same, segment=4).collect() if r.conv_id is None} == {49 + 2}
     assert C.repair(same, segment=4).where("conv_id is null").count() == 50
+
+
+def test_rendering_where_turns_repeat(spark):
+    """Positions put the pieces of one turn, of null turns and of turns that are no numbers together."""
+    rows = [("1", "0", "user", "hello"), ("1", "0", "user", "again"), ("1", "0", "user", "there"), ("1", "x", "system", "rules"), ("1", None, "user", "late"), ("1", "2", "gpt", "yes")]
+    df = spark.createDataFrame(rows, "conv_id string, turn string, role string, text string").selectExpr("*", "7 as position", "1 as first")
+    for segment in (4096, 2):
+        out = sorted(C.repair(df, segment=segment).collect(), key=lambda r: r.position)
+        assert [r.position for r in out] == list(range(6))
+        turns = parse("".join(r.piece for r in out))
+        assert [a for a, _ in turns] == ["system", "user", "assistant"]
+        assert sorted(turns[1][1].split("\n")) == ["again", "hello", "late", "there"]

@@ -165,7 +165,7 @@ def _cutter(segment: int):
             convs, marks, sizes = (b.column(c).to_pylist() for c in (0, 3, 5))
             for conv, code, size in zip(convs, marks, sizes):
                 if codes and (conv != before or len(codes) >= segment or chars >= SEGMENT_CHARS):
-                    done.append((base + k, -1, before, None, None, None, None, list(matrix("".join(codes)))))
+                    done.append((base + k, -1, before, len(codes), None, None, None, list(matrix("".join(codes)))))
                     k, codes, chars = k + 1, [], 0
                 before = conv
                 seg.append(base + k)
@@ -177,23 +177,26 @@ def _cutter(segment: int):
             if done:
                 yield _rows(done, *_CUT.values(), names=_CUT)
         if codes:
-            yield _rows([(base + k, -1, before, None, None, None, None, list(matrix("".join(codes))))], *_CUT.values(), names=_CUT)
+            yield _rows([(base + k, -1, before, len(codes), None, None, None, list(matrix("".join(codes))))], *_CUT.values(), names=_CUT)
 
     return cut
 
 
 def _chains(batches):
     held: list[tuple] = []
-    names = ("seg", "enter", "leave", "final", "cost")
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+    names = ("seg", "enter", "leave", "final", "cost", "first")
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
     for _, parts in groupby(_plain_rows(batches), key=lambda r: r[0]):
-        segs, matrices = [], []
-        for _, seg, m in parts:
+        segs, matrices, sizes = [], [], []
+        for _, seg, m, n in parts:
             segs.append(seg)
             matrices.append(tuple(m))
+            sizes.append(n)
         states, cost = chain(matrices)
+        first = 0
         for k, seg in enumerate(segs):
-            held.append((seg, states[k], states[k + 1], k == len(segs) - 1, cost))
+            held.append((seg, states[k], states[k + 1], k == len(segs) - 1, cost, first))
+            first += sizes[k]
             if len(held) >= 4096:
                 yield _rows(held, *kinds, names=names)
                 held = []
@@ -201,11 +204,11 @@ def _chains(batches):
 
 
 def _repaired(batches):
-    names = ("conv_id", "turn", "role_in", "role", "action", "n_inserted", "piece", "cost")
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64())
+    names = ("conv_id", "turn", "role_in", "role", "action", "n_inserted", "piece", "cost", "position")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
     held, size = [], 0
     for _, rows in groupby(_plain_rows(batches), key=lambda r: r[0]):
-        enter, leave, final, cost = next(rows)[7:11]  # the segment's own row comes first
+        enter, leave, final, cost, first = next(rows)[7:12]  # the segment's own row comes first
         rows = list(rows)
         state = enter
         for k, (r, move) in enumerate(zip(rows, path("".join(r[5] for r in rows), enter, leave))):
@@ -221,7 +224,7 @@ def _repaired(batches):
                 tail = _END[to]
                 piece += CLOSED + "".join(opened(g) + CLOSED for g in tail)
                 n += len(tail)
-            held.append((conv, turn, role_in, role, action, n, piece, cost))
+            held.append((conv, turn, role_in, role, action, n, piece, cost, first + k))
             size += len(piece)
             state = to
         if size > 4 << 20:
@@ -231,11 +234,11 @@ def _repaired(batches):
 
 
 def repair(df: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text", segment: int = SEGMENT) -> DataFrame:
-    """One row per turn: ``conv_id, turn, role_in, role, action, n_inserted, piece, cost``.
+    """One row per turn: ``conv_id, turn, role_in, role, action, n_inserted, piece, cost, position``.
 
     ``role`` and ``action`` (keep, relabel, merge) tell how the turn is repaired, ``n_inserted`` how many empty turns stand before it
-    (after it too, for the last), ``cost`` is that of the whole conversation.  The pieces of a conversation in the order of turns
-    are its rendering.  conv_id must be an integer.
+    (after it too, for the last), ``cost`` is that of the whole conversation.  The pieces of a conversation in the order of
+    ``position``, from 0, are its rendering.  conv_id must be an integer; a turn that is no whole number counts as null.
 
     Turns are ordered by turn (null first, then negative ones), then role (null first), then the md5 of the text (null as empty);
     rows equal in all of these are turns like others and may swap.  Null texts are empty; roles count without white space around
@@ -246,14 +249,14 @@ def repair(df: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role",
     code = F.lower(F.regexp_replace(F.coalesce(F.col(role_col).cast("string"), F.lit("")), "^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+$", ""))
     names = F.create_map(*[F.lit(x) for k, v in {**{r: r for r in ROLES}, **ALIASES}.items() for x in (k, v[0])])
     turns = df.select(
-        F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role_in"),
+        F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).try_cast("long").alias("turn"), F.col(role_col).cast("string").alias("role_in"),
         F.coalesce(names[code], F.lit("?")).alias("code"), text.alias("text"), F.length(F.coalesce(text, F.lit(""))).alias("size"),
         F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("tie"),
     )
     order = ["conv_id", "turn", "role_in", "digest", "tie"]
     ranged = turns.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "turn", "role_in", "code", "text", "size")
     cut = materialize(ranged.mapInArrow(_cutter(segment), "seg long, idx int, conv_id long, turn long, role_in string, code string, text string, m array<long>"), "chat-segments")
-    own = cut.where("m is not null").select("conv_id", "seg", "m").repartition("conv_id").sortWithinPartitions("conv_id", "seg")
-    states = own.mapInArrow(_chains, "seg long, enter int, leave int, final boolean, cost long")
+    own = cut.where("m is not null").select("conv_id", "seg", "m", F.col("turn").alias("n")).repartition("conv_id").sortWithinPartitions("conv_id", "seg")
+    states = own.mapInArrow(_chains, "seg long, enter int, leave int, final boolean, cost long, first long")
     whole = cut.where("m is null").drop("m").unionByName(states.withColumn("idx", F.lit(-1)), allowMissingColumns=True)
-    return whole.repartition("seg").sortWithinPartitions("seg", "idx").mapInArrow(_repaired, "conv_id long, turn long, role_in string, role string, action string, n_inserted int, piece string, cost long")
+    return whole.repartition("seg").sortWithinPartitions("seg", "idx").mapInArrow(_repaired, "conv_id long, turn long, role_in string, role string, action string, n_inserted int, piece string, cost long, position long")

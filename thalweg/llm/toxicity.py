@@ -24,8 +24,8 @@ TRAIN_DOCS, TRAIN_CHARS = (1600, 800), 20_000
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 VOCABULARY, TRIGRAMS = 16_384, 4096
-#: With fewer spared documents of class 1 than this, all documents calibrate the scores.
-FEW = 30
+#: What a document that was trained on counts in the calibration, beside 1 for a spared one.
+SEEN = 0.1
 #: Passes over the sample: at least the first number, and more, up to the second, while there were fewer steps than ``STEPS``.
 EPOCHS, STEPS, BATCH, RATE = (4, 24), 400, 256, 0.01
 U64 = np.uint64
@@ -272,10 +272,10 @@ def train(texts, labels, share: float | None = None, epochs=EPOCHS, seed: int =
     owner, start = window_starts(n_words)
     np.maximum.at(best, owner, net.window_logits(words, owner, start))
     told = np.isfinite(best)
-    use = told & spared if (labels[told & spared] == 1).sum() >= FEW and (labels[told & spared] == 0).any() else told
-    y = labels[use]
-    weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    net.a, net.c = _calibrate(best[use], y, weight)
+    y, weight = labels[told], np.where(spared[told], 1.0, SEEN)
+    of_class = np.array([weight[y == c].sum() for c in (0, 1)])
+    weight = weight * np.where(y == 1, share, 1 - share) / np.maximum(1e-9, of_class[y.astype(int)]) * len(y)
+    net.a, net.c = _calibrate(best[told], y, weight)
     return net
 
 

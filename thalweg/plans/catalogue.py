@@ -482,6 +482,21 @@ def q30(spark, d):
     return a.unionByName(nodes.select(F.lit("node").alias("kind"), F.col("node_key").alias("key"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), "label", F.lit(None).cast("boolean").alias("flag"), F.col("pos_x").alias("x")))
 
 
+@query("q30_script_roundtrip", f"with {NET_SQL} select 'n' || node as key, '' as label, cast(null as varchar) as a from (select u as node from net union select v from net) union all select 'e' || edge_id, coalesce(name, ''), 'n' || u from net where u <> v")
+def q30_scripts(spark, d):
+    """Elements to script files and back."""
+    import uuid
+
+    e = V.net(spark, d)
+    ids = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nodes = e.select(F.explode(F.array("u", "v")).alias("i")).distinct().select(ids("n", "i").alias("node_key"), F.lit("").alias("label"), F.lit(1.5).alias("pos_x"), F.lit(2.5).alias("pos_y"))
+    edges = e.where("u <> v").select(ids("e", "edge_id").alias("edge_key"), ids("n", "u").alias("source_node_key"), ids("n", "v").alias("target_node_key"), F.col("name").alias("label"))
+    path = f"{shared_dir(spark)}/scripts-{uuid.uuid4().hex}"
+    W.write_scripts(D.export_elements(nodes, edges).select("value"), path, "engineElements")
+    back_nodes, back_edges = W.split_elements(W.read_scripts(spark, path))
+    return back_nodes.select(F.col("node_key").alias("key"), "label", F.lit(None).cast("string").alias("a")).unionByName(back_edges.select(F.col("edge_key").alias("key"), "label", F.col("source_node_key").alias("a")))
+
+
 _SOURCE = "case event_type when 'click' then 'engine' when 'view' then 'community' else event_type end"
 
 

@@ -94,6 +94,31 @@ def write_script(path: str, variable: str, items: list[dict], comment: str = "ge
         f.write(f"// {comment}\nconst {variable} = {json.dumps(items, ensure_ascii=False, indent=2)}\n;\n")
 
 
+def write_scripts(elements: DataFrame, path: str, variable: str, comment: str = "generated", column: str = "value") -> None:
+    """A folder of one script file per partition, each a whole one, from JSON elements; no element is held on the driver.  Files appear when
+    all are written."""
+
+    def frame(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([f"// {comment}", f"const {variable} = ["])], ["value"])
+        before = None  # the last element has no comma
+        for b in batches:
+            rows = [r for r in b.column(0).to_pylist() if r is not None]
+            if rows:
+                out = ([before + ","] if before is not None else []) + [r + "," for r in rows[:-1]]
+                before = rows[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(([before] if before is not None else []) + ["]", ";"])], ["value"])
+
+    elements.select(F.col(column).cast("string").alias("value")).mapInArrow(frame, "value string").write.text(path)
+
+
+def read_scripts(spark: SparkSession, path: str) -> DataFrame:
+    """``elements``: the array of each script file, as JSON text."""
+    return spark.read.text(path, wholetext=True).select(unwrap_script(F.col("value")).alias("elements"))
+
+
 ELEMENT = (
     "struct<data:struct<id:string,source:string,target:string,label:string,type:string,rotation:int,dir:string,engineStraight:boolean,engineBend:boolean,segDist:double,segWeight:double>,"
     "position:struct<x:double,y:double>>"

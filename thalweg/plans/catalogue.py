@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thalweg.functions import geometry as G
 from thalweg.functions import text as T
 from thalweg.operators import areas as A
+from thalweg.operators import compaction as O
 from thalweg.operators import diagrams as D
 from thalweg.operators import editlog as E
 from thalweg.operators import layout as L
@@ -439,6 +440,37 @@ def _route_inputs(spark, d):
     return p, edges, p.select("node_id", cell("x").alias("schematic_x"), cell("y").alias("schematic_y"))
 
 
+@query("q27_crossings", f"""with {PTS_SQL}, e as (select seq as edge_id, x as x1, y as y1, lead(x) over w as x2, lead(y) over w as y2 from pts window w as (order by seq)),
+  s as (select a.edge_id as i, b.edge_id as j from e a join e b on a.edge_id < b.edge_id
+    where ((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * ((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) < 0
+      and ((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * ((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) < 0)
+select edge_id, count(*) as crossings from (select i as edge_id from s union all select j from s) group by edge_id""")
+def q27_crossings(spark, d):
+    p, e, _ = _route_inputs(spark, d)
+    end = lambda k, n: p.select(F.col("node_id").alias(k), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    return O.crossings(e.join(end("u", 1), "u").join(end("v", 2), "v"))
+
+
+def _rank_sql(nodes: str, out: str, along: str, across: str, name: str) -> str:
+    """The table ``nodes`` with the places of one axis beside: groups of linked nodes with equal places, who stands beside whom, longest path."""
+    return f"""tie_{name} as (select l.u, l.v from links l join {nodes} a on a.node = l.u join {nodes} b on b.node = l.v where a.{along} = b.{along}), both_{name} as (select u as a, v as b from tie_{name} union select v, u from tie_{name}),
+  cc_{name}(node, grp) using key (node) as (select node, node from {nodes} union select t.b, min(c.grp) from cc_{name} c join both_{name} t on t.a = c.node join recurring.cc_{name} r on r.node = t.b where c.grp < r.grp group by t.b),
+  held_{name} as (select * from {nodes} join cc_{name} using (node)),
+  arc_{name} as (select distinct f, grp as t from (select grp, lag(grp) over (partition by {across} order by {along}, grp) as f from held_{name}) where f <> grp),
+  way_{name}(grp, n) as (select distinct grp, 0 from held_{name} union select t, n + 1 from way_{name} join arc_{name} on f = grp),
+  {out} as (select h.* exclude (grp), r.{name} from held_{name} h join (select grp, max(n) as {name} from way_{name} group by grp) r using (grp))"""
+
+
+@query("q27_compaction", f"""with recursive {PTS_SQL}, n0 as (select seq as node, floor(x / 40) as x, floor(y / 40) as y from pts), links as (select seq - 1 as u, seq as v from pts where seq > 0),
+  {_rank_sql('n0', 'n1', 'x', 'y', 'col')}, {_rank_sql('n1', 'n2', 'y', 'col', 'line')}
+select node as node_id, cast(col as bigint) as col, cast(line as bigint) as line from n2""")
+def q27_compaction(spark, d):
+    p, e, _ = _route_inputs(spark, d)
+    cell = lambda c: F.floor(F.col(c) / 40)
+    places = O.compacted(p.select("node_id", cell("x").alias("schematic_x"), cell("y").alias("schematic_y")), e)
+    return places.select("node_id", F.col("column").alias("col"), F.col("row").alias("line"))
+
+
 @query("q28_waterway_size", f"with {NET_SQL} select edge_id, case when tag in ('river', 'major_river') then 'main' else 'branch' end as waterway_size from net")
 def q28(spark, d):
     return V.net(spark, d).select("edge_id", T.size_class(F.col("tag")).alias("waterway_size"))

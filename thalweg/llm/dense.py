@@ -88,9 +88,10 @@ class Best:
 
 
 def _blocks(anchors: DataFrame, width: int, limit: int) -> Iterator[dict[str, np.ndarray]]:
-    """The rows of a table as blocks of bounded size, one partition of it at a time."""
+    """The rows of a table as blocks of bounded size, one partition of about that size at a time."""
     rows, held = [], 0
-    for r in anchors.toLocalIterator():
+    parts = -(-anchors.count() * (8 * width + 64) // limit)
+    for r in anchors.repartition(max(1, parts)).toLocalIterator():
         rows.append(r)
         held += 8 * width + 64
         if held >= limit:

@@ -9,6 +9,9 @@ from thalweg.operators.components import connected_components
 from thalweg.operators.spatial import dense_ids, near_segments
 from thalweg.storage import forget, materialize, materialize_told
 
+#: Steps of the longest paths between two written tables.
+STEPS = 4
+
 
 def crossings(segs: DataFrame, key: str = "edge_id") -> DataFrame:
     """``key, crossings``: how many segments of other lines each line of a segment table crosses, for lines that cross any.  Segments cross where each
@@ -31,11 +34,15 @@ def _ranked(nodes: DataFrame, links: DataFrame, along: str, across: str, name: s
     order = F.struct(across, along, "grp", "node_id").alias("k")
     numbered = materialize(dense_ids(held.select(order, F.col(across).alias("line"), "grp"), "k", "n").select("line", "grp", "n"), "numbered")
     after = numbered.select("line", F.col("grp").alias("to"), (F.col("n") - 1).alias("n"))
-    arcs = materialize(numbered.join(after, ["line", "n"]).where("grp <> to").select("grp", "to").distinct(), "arcs")
+    arcs = numbered.join(after, ["line", "n"]).where("grp <> to").select("grp", "to", F.lit(1).alias("step")).distinct()
+    # each group also keeps what it has
+    arcs = materialize(arcs.unionByName(held.select("grp", F.col("grp").alias("to"), F.lit(0).alias("step")).distinct()), "arcs")
     ranks, told = materialize_told(held.select("grp").distinct().withColumn("rank", F.lit(0).cast("long")), "ranks", total=F.sum("rank"))
     while True:
-        least = arcs.join(ranks, "grp").groupBy("to").agg((F.max("rank") + 1).alias("least")).withColumnRenamed("to", "grp")
-        moved, now = materialize_told(ranks.join(least, "grp", "left").select("grp", F.greatest("rank", F.coalesce("least", F.lit(0))).alias("rank")), "ranks", total=F.sum("rank"))
+        moved = ranks
+        for _ in range(STEPS):
+            moved = arcs.join(moved, "grp").groupBy("to").agg(F.max(F.col("rank") + F.col("step")).alias("rank")).withColumnRenamed("to", "grp")
+        moved, now = materialize_told(moved, "ranks", total=F.sum("rank"))
         forget(ranks)
         ranks = moved
         if now.get("total") == told.get("total"):

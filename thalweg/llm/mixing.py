@@ -132,7 +132,11 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: whole input rows, each as often as it is taken (the last copy when at least half of it is), dealt
-    into partitions by training position and sorted within them.  Columns as in ``df``."""
+    into partitions by training position and sorted within them.  Columns as in ``df``.
+
+    Null and empty texts have no words and are not taken; null sources form one source that comes last; null ids are ids like others.
+    Repeated rows are rows of their own; rows that are alike in id and content may swap.  An empty table gives no rows.  Columns
+    may have any names."""
     columns = df.columns
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"))
     text = F.col("row").getField(text_col)

@@ -344,7 +344,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """Rows that are not predicted toxic; columns as in ``docs``."""
+    """Rows that are not predicted toxic; columns as in ``docs``, whatever their names.
+
+    Null texts and texts without words score 0 and stay.  Repeated rows stay or go alike, null ids are never learned from, and an empty table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
     at = docs.columns.index(text_col)
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from thalweg.llm import decontaminate as D
 
@@ -83,6 +84,53 @@ def test_items_of_every_length_with_spread_edits():
     assert missed == set()
 
 
+def planted(n, kind, spread, rng, count=100):
+    """Items of n words, each with the most edits allowed, planted in a document of its own."""
+    texts, docs = [], []
+    for _ in range(count):
+        piece = [f"v{rng.randrange(50000)}" for _ in range(n)]
+        texts.append(" ".join(piece))
+        edits = n * 20 // 100
+        for k in reversed(range(edits)):
+            at = (2 * k + 1) * n // (2 * edits) if spread else rng.randrange(len(piece))
+            op = rng.choice(["swap", "add", "cut"]) if kind == "mixed" else kind
+            piece[at : at + (op != "add")] = [] if op == "cut" else [f"z{rng.randrange(50000)}"]
+        docs.append(" ".join(["before"] * 9 + piece + ["after"] * 9))
+    return texts, docs
+
+
+@pytest.mark.parametrize("kind", ["swap", "add", "cut", "mixed"])
+def test_walks_alone_reach_their_target(kind):
+    """The walks are the only way to a candidate: items of every length within reach are found at the stated recall."""
+    rng = random.Random(kind)
+    for n in [*range(1, 13), 15, 20, 60]:
+        for spread in (True, False):
+            texts, docs = planted(n, kind, spread, rng)
+            items = D.Items(texts)
+            got = D.matches(*D._texts_words(docs), items, items.cells())
+            found = set(zip(got[0].tolist(), got[1].tolist()))
+            assert sum((k, k) in found for k in range(len(texts))) >= D.TARGET * len(texts), (n, spread)
+
+
+def test_exact_copies_are_always_found():
+    """Equal windows have equal embeddings: items of repeated words, at the begin and the end of a text, at any percent."""
+    texts = ["la " * n for n in (1, 2, 4, 5, 7, 13)] + ["a b " * n for n in (1, 3, 8)] + ["x", "x y", "p q r s t"]
+    docs = [side.format(t) for t in texts for side in ("{}", "q9 {}", "{} q9", "q8 q9 {} q9 q8")]
+    for percent in (60, 80, 100):
+        items = D.Items(texts, percent)
+        got = D.matches(*D._texts_words(docs), items, items.cells(), percent)
+        exact = set(zip(got[0][got[2] == 0].tolist(), got[1][got[2] == 0].tolist()))
+        assert {(d, d // 4) for d in range(len(docs))} <= exact
+
+
+def test_windows_are_as_large_as_their_item():
+    items = D.Items([" ".join(f"w{i}" for i in range(n)) for n in range(1, 31)])
+    assert [n for n, *_ in items.lengths] == list(D.LENGTHS)
+    for n, family, tables, _ in items.lengths:
+        own = np.diff(items.before)[items.item[np.concatenate([place for _, place in tables])]]
+        assert own.min() == n and all(len(bits) == 2 * n for bits, _ in family)
+
+
 def test_batches_of_candidates_change_nothing(monkeypatch):
     rows, texts = corpus(6)
     items, docs = D.Items([t for _, t in texts]), D._texts_words([t for _, t in rows])

@@ -2,13 +2,17 @@
 
 The symbols are words (ASCII letters in lower case, white space and ASCII punctuation are separators).  The CGK random walk
 reads a window symbol by symbol: at step j it emits the symbol under its pointer, and a random function of step and symbol
-tells whether the pointer moves on.  Two windows at a small edit distance walk in step, so their embeddings agree but for
-the steps near an edit, and a few sampled steps agree with good probability.  A repetition is one walk with one sample
-of steps; its key folds the sampled symbols.  Windows start at every word of a document and at every word of an item, so
-a passage is met by as many pairs of windows as it has words.  The walks alone miss short items and evenly spread edits, so
-an item that allows k edits is also cut into k + 1 pieces: k edits leave at least one piece as it is, and every place where
-a document holds a piece is a candidate too (an item that allows none is one piece, itself).  Candidates are verified by the
-exact edit distance between the whole item and the best passage of the document around it; none within reach is missed.
+tells whether the pointer moves on.  Two windows at a small edit distance fall back into step after an edit, so their
+embeddings agree at many steps (small Hamming distance), and a few sampled steps agree with good probability.  A repetition
+is one walk with one sample of its steps; its key folds the sampled symbols.
+
+Windows are as large as the item: an item of n words is embedded in windows of the largest length of ``LENGTHS`` that n
+reaches, from each of its words, and so is a document, once for each length that the items use.  A window of L words is
+walked for 2 L steps, which reads it to its end on average.  An item longer than the last length has, by the pigeonhole
+principle, a window with no more than its share of the edits.  Items that allow no edit (fewer than five words) need
+one repetition, since equal windows have equal embeddings; the others get several walks (``WALKS``) with three samples each,
+so that the recall of items of every length, with the most edits allowed, reaches ``TARGET`` (a test measures it).
+Candidates are verified by the exact edit distance between the whole item and the best passage of the document around it.
 """
 
 from __future__ import annotations
@@ -23,53 +27,65 @@ from thalweg.llm import textkernel as tk
 
 #: A passage matches an item of n words within n * (100 - PERCENT) // 100 word edits.
 PERCENT = 80
-REPETITIONS, SAMPLED_STEPS = 5, (0, 2, 4, 6, 8)
-#: An item's window is used in a repetition if its walk sampled so many different words.
-DIFFERENT = 4
+#: Walks by length of window in words; an item uses the largest length that it reaches.  Shorter windows need more walks.
+WALKS = {1: 10, 2: 10, 3: 10, 4: 10, 5: 10, 6: 8, 8: 6, 10: 5, 12: 4}
+LENGTHS = tuple(WALKS)
+#: For each walk the parts of it that a sample of steps is taken from, and the steps sampled.
+SPANS, SAMPLED = (0.3, 0.6, 1.0), 5
+#: The recall that these repetitions reach at the default ``percent``.
+TARGET = 0.99
+#: An item's window is used in a repetition if its sample holds so many different places, or half of a shorter window, or as
+#: many as the item has at best.
+DIFFERENT = 3
 #: Items handled in one pass over the documents, so that what is sent to the workers stays small.
 BLOCK_ITEMS, BLOCK_WORDS = 4096, 1_000_000
-#: Candidates gathered before they are verified, so that a frequent piece takes no more memory.
+#: Candidates gathered before they are verified, so that a frequent key takes no more memory.
 BATCH_PAIRS = 1 << 20
+#: Windows walked at a time.
+BATCH_WINDOWS = 1 << 15
 U64 = np.uint64
 _CELL_BITS = 22
 
 
-def walks(repetitions: int = REPETITIONS, sampled=SAMPLED_STEPS, seed: int = 7):
-    """Per repetition: which hash bit decides each step, and the sampled steps."""
-    rng = np.random.default_rng(seed)
-    return [(rng.permutation(64)[: sampled[-1] + 1], np.array(sampled)) for _ in range(repetitions)]
-
-
-def window_keys(hashes: np.ndarray, last: np.ndarray, walk, count: bool = False):
-    """Keys of the windows that start at every word.  ``last``: for each word the index of the last word of its text, where
-    the walk stays.  With ``count`` also the number of different words sampled."""
-    bits, sampled = walk
-    at = np.arange(len(hashes))
-    key = np.zeros(len(hashes), U64)
-    chosen = set(sampled.tolist())
-    seen, different = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
-    for step in range(int(sampled[-1]) + 1):
+def walks(length: int, edits: bool = True, seed: int = 7):
+    """The walks of windows of ``length`` words: which hash bit decides each step, and samples of steps, each beginning with
+    step 0.  Where no item of the length allows edits there is one walk, sampled at every step."""
+    rng = np.random.default_rng([seed, length])
+    steps = 2 * length
+    if not edits:
+        return [(rng.integers(0, 64, steps), [np.arange(steps)])]
+    out = []
+    for _ in range(WALKS[length]):
+        samples = []
+        for span in SPANS:
+            reach = max(min(SAMPLED, steps), int(span * steps))
+            samples.append(np.r_[0, np.sort(1 + rng.choice(reach - 1, min(SAMPLED, reach) - 1, replace=False))])
+        out.append((rng.integers(0, 64, steps), samples))
+    return out
+
+
+def window_keys(hashes: np.ndarray, starts: np.ndarray, last: np.ndarray, walk, count: bool = False):
+    """For each sample of a walk the keys of the windows at ``starts``, whose last words are ``last``; there the walk stays.
+    With ``count`` also the number of different places sampled."""
+    bits, samples = walk
+    keys = [np.zeros(len(starts), U64) for _ in samples]
+    different = [np.zeros(len(starts), np.int64) for _ in samples]
+    seen = [np.full(len(starts), -1) for _ in samples]
+    wanted = [set(s.tolist()) for s in samples]
+    at, final = starts.copy(), max(int(s[-1]) for s in samples)
+    for step in range(final + 1):
         symbol = hashes[at]
-        if step in chosen:
-            key = (key ^ symbol) * U64(0x9E3779B97F4A7C15)
-            key ^= key >> U64(29)
-            if count:
-                different += at != seen
-                seen = at.copy()
-        if step < sampled[-1]:
+        for k, steps in enumerate(wanted):
+            if step in steps:
+                key = (keys[k] ^ symbol) * U64(0x9E3779B97F4A7C15)
+                keys[k] = key ^ (key >> U64(29))
+                if count:
+                    different[k] += at != seen[k]
+                    seen[k] = at.copy()
+        if step < final:
             at += ((symbol >> U64(bits[step])) & U64(1)).astype(np.int64)
             np.minimum(at, last, out=at)
-    return (key, different) if count else key
-
-
-def piece_keys(hashes: np.ndarray, length: int) -> np.ndarray:
-    """Keys of the runs of ``length`` words that start at every word; runs over the end of the data have no meaning."""
-    key = np.zeros(len(hashes), U64)
-    for step in range(length):
-        key[: len(hashes) - step] ^= hashes[step:]
-        key *= U64(0x9E3779B97F4A7C15)
-        key ^= key >> U64(29)
-    return key
+    return (keys, different) if count else keys
 
 
 def _texts_words(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -77,41 +93,45 @@ def _texts_words(texts) -> tuple[np.ndarray, np.ndarray]:
     return tk.words(data, offsets, space=tk.PUNCTUATION)
 
 
+def _cell(keys: np.ndarray) -> np.ndarray:
+    return (keys >> U64(64 - _CELL_BITS)).astype(np.int64)
+
+
 class Items:
-    """Keys of all windows of a block of items, sorted, per repetition, keys of their pieces, per length, and the items' words."""
+    """A block of items: their words and, for each length of window and each repetition, the sorted keys of all windows with the
+    place each begins at."""
 
     def __init__(self, texts, percent: int = PERCENT):
         self.hashes, self.before = _texts_words(texts)
         size = np.diff(self.before)
-        item = np.repeat(np.arange(len(size)), size)
-        anchor = np.arange(len(item)) - self.before[item]
-        last = self.before[item + 1] - 1 if len(item) else np.zeros(0, np.int64)
-        self.walks, self.tables = walks(), []
-        for walk in self.walks:
-            keys, different = window_keys(self.hashes, last, walk, count=True)
-            # a walk that stood still, or reached the end, sampled too few words to tell anything
-            telling = np.flatnonzero(different >= np.minimum(DIFFERENT, size[item] - size[item] // 3))
-            order = telling[np.argsort(keys[telling], kind="stable")]
-            self.tables.append((keys[order], item[order], anchor[order]))
+        self.item = np.repeat(np.arange(len(size)), size)
+        length = np.array([0, *LENGTHS])[np.searchsorted(LENGTHS, size, side="right")]
         self.lengths = []
-        pieces = size * (100 - percent) // 100 + 1
-        which = np.repeat(np.arange(len(size)), pieces)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin, end = nth * size[which] // pieces[which], (nth + 1) * size[which] // pieces[which]
-        for length in np.unique(end - begin).tolist():
-            if length:
-                own = np.flatnonzero(end - begin == length)
-                keys = piece_keys(self.hashes, length)[self.before[which[own]] + begin[own]]
-                order = np.argsort(keys, kind="stable")
-                self.lengths.append(length)
-                self.tables.append((keys[order], which[own][order], begin[own][order]))
+        for n in np.unique(length[length > 0]).tolist():
+            edits = bool((size[length == n] * (100 - percent) // 100).any())
+            starts = np.flatnonzero(length[self.item] == n) if edits else self.before[:-1][length == n]
+            last = np.minimum(starts + n, self.before[self.item[starts] + 1]) - 1
+            tables, family = [], walks(n, edits)
+            for walk in family:
+                for keys, different in zip(*window_keys(self.hashes, starts, last, walk, count=True)):
+                    # a sample that stood still, or met the end, tells too little, but each item keeps its best
+                    best = np.zeros(len(size), np.int64)
+                    np.maximum.at(best, self.item[starts], different)
+                    telling = np.flatnonzero(different >= np.minimum(min(DIFFERENT, n // 2), best[self.item[starts]]))
+                    order = telling[np.argsort(keys[telling], kind="stable")]
+                    tables.append((keys[order], starts[order].astype(np.int32)))
+            self.lengths.append((n, family, tables, np.unique(self.hashes[starts])))
 
     def cells(self):
+        """Bit tables by length: of words that begin a window, and of the keys of each repetition."""
         out = []
-        for keys, _, _ in self.tables:
-            table = np.zeros(1 << _CELL_BITS, bool)
-            table[(keys >> U64(64 - _CELL_BITS)).astype(np.int64)] = True
-            out.append(table)
+        for _, _, tables, first in self.lengths:
+            marks = []
+            for keys in [first, *(keys for keys, _ in tables)]:
+                table = np.zeros(1 << _CELL_BITS, bool)
+                table[_cell(keys)] = True
+                marks.append(table)
+            out.append(marks)
         return out
 
 
@@ -149,17 +169,29 @@ def edit_distances(items, regions, allowed=None) -> tuple[np.ndarray, np.ndarray
     return best, end
 
 
+def _hits(hashes, last, items: Items, cells):
+    """For each repetition: its table, the words of the document at which a window has a key of the table, and those keys."""
+    for (length, family, tables, _), (begins, *marks) in zip(items.lengths, cells):
+        starts = np.flatnonzero(begins[_cell(hashes)])
+        found = [([], []) for _ in tables]
+        for lo in range(0, len(starts), BATCH_WINDOWS):
+            some = starts[lo : lo + BATCH_WINDOWS]
+            end = np.minimum(some + length - 1, last[some])
+            own = (keys for walk in family for keys in window_keys(hashes, some, end, walk))
+            for (where, what), keys, mark in zip(found, own, marks):
+                hit = np.flatnonzero(mark[_cell(keys)])
+                where.append(some[hit])
+                what.append(keys[hit])
+        for table, (where, what) in zip(tables, found):
+            if where:
+                yield table, np.concatenate(where), np.concatenate(what)
+
+
 def _candidates(hashes, last, items: Items, cells):
     """Places where an item may lie, in batches: first word of the item's place, item, a word of the document."""
     batch, held = [], 0
-    for k, ((keys, item, anchor), table) in enumerate(zip(items.tables, cells)):
-        if k < len(items.walks):
-            own, fits = window_keys(hashes, last, items.walks[k]), True
-        else:
-            length = items.lengths[k - len(items.walks)]
-            own, fits = piece_keys(hashes, length), np.arange(len(hashes)) + length - 1 <= last
-        hit = np.flatnonzero(table[(own >> U64(64 - _CELL_BITS)).astype(np.int64)] & fits)
-        lo, hi = np.searchsorted(keys, own[hit], "left"), np.searchsorted(keys, own[hit], "right")
+    for (keys, place), hit, own in _hits(hashes, last, items, cells):
+        lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
         some = hi > lo
         hit, lo, n = hit[some], lo[some], (hi - lo)[some]
         total, first = np.cumsum(n), 0
@@ -167,8 +199,9 @@ def _candidates(hashes, last, items: Items, cells):
             room = (total[first - 1] if first else 0) + BATCH_PAIRS - held
             until = max(first + 1, int(np.searchsorted(total, room, "right")))
             h, m = hit[first:until], n[first:until]
-            at = np.repeat(lo[first:until], m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
-            batch.append(np.stack([np.repeat(h, m) - anchor[at], item[at], np.repeat(h, m)]))
+            at = place[np.repeat(lo[first:until], m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))]
+            item = items.item[at]
+            batch.append(np.stack([np.repeat(h, m) - (at - items.before[item]), item, np.repeat(h, m)]))
             held, first = held + len(at), until
             if held >= BATCH_PAIRS or first < len(hit):
                 yield np.concatenate(batch, axis=1)

@@ -284,7 +284,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
     """One row per document and item it contains: ``doc_id, item_id, edits, item_words, first_word, end_word, similarity``.
 
     A document contains an item of n words if one of its passages is within n * (100 - percent) // 100 word edits of it;
-    ``edits`` is the least such distance found.  Null and empty texts, and items without words, match nothing.  Repeated rows
+    ``edits`` is the least such distance found.  Candidates come from random walks: items under five words are found wherever
+    they lie, longer ones with the recall ``TARGET`` at least at the default ``percent`` (not measured at others).  Null and empty texts, and items without words, match nothing.  Repeated rows
     give repeated matches, equal items each a match.  Null ids are reported as null; ids of items and documents may be of
     any simple type.  An empty table on either side gives no rows; other columns are ignored.
     """

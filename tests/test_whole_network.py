@@ -14,3 +14,33 @@ def test_every_row_is_an_edge(spark, sf_dir):
     assert QUERIES["q22_component_report"](spark, sf_dir).first()["size"] == nodes
     assert QUERIES["q26_schematic_layout"](spark, sf_dir).select("node_id").distinct().count() == nodes
     assert entry_module.entry(spark).agg(F.sum("degree")).first()[0] == 2 * n
+
+
+def test_a_large_component_is_walked_in_little_memory():
+    """The walk holds some bytes for each end of an edge; a table of all edges and lists of neighbours held hundreds."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from thalweg.operators import layout
+
+    n, rng = 200_000, np.random.default_rng(1)
+    u, v = rng.integers(0, 2000, n), 2000 + rng.integers(0, 500, n)
+    at, to = np.concatenate([u, v]), np.concatenate([v, u])
+    order = np.argsort(at, kind="stable")
+    met = np.union1d(u, v)
+
+    def batches():
+        rows = lambda at, x, to: pa.RecordBatch.from_pydict({"component": pa.array(np.zeros(len(at), np.int64)), "grid": pa.array([10.0] * len(at)), "at": pa.array(at), "x": pa.array(x, from_pandas=True), "y": pa.array(x, from_pandas=True), "to": to})
+        yield rows(met, met * 1.0, pa.nulls(len(met), pa.int64()))
+        for k in range(0, len(at), 1000):
+            part = order[k : k + 1000]
+            yield rows(at[part], np.full(len(part), np.nan), pa.array(to[part]))
+
+    tracemalloc.start()
+    out = list(layout._walk(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(i for b in out for i in b.column("node_id").to_pylist()) == met.tolist()
+    assert peak < 40 * len(at)

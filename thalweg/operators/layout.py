@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from array import array
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from thalweg.functions import geometry as G
 from thalweg.functions.text import size_class
 from thalweg.operators.network import labelled_nodes
 from thalweg.operators.selection import median
+from thalweg.storage import materialize
 
 
 def grid_unit(edges: DataFrame) -> DataFrame:
@@ -18,41 +22,112 @@ def grid_unit(edges: DataFrame) -> DataFrame:
     return median(edges, "length_m").agg(F.when(F.coalesce(F.nanvl(m, F.lit(0.0)), F.lit(0.0)) > 0, m).otherwise(1.0).alias("grid"))
 
 
-def _place(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """Relative grid places of one component.  From the root, the northernmost node, neighbours are placed when first met, main
-    and long edges first; the next node to leave from is always the last placed."""
-    x, y = dict(zip(nodes.node_id, nodes.x)), dict(zip(nodes.node_id, nodes.y))
-    near: dict[int, list] = {n: [] for n in x}
-    for e in edges.sort_values("edge_id").itertuples():
-        near[e.u].append((e.main, -e.length_m, e.v))
-        near[e.v].append((e.main, -e.length_m, e.u))
-    grid = float(nodes.grid.iloc[0])
-    root = min(x, key=lambda n: (-y[n], n))
-    place, waiting = {root: (0, 0)}, [root]
-    while waiting:
-        n = waiting.pop()
-        for _, _, m in sorted(near[n], key=lambda b: b[:2]):
-            if m in place:
+class _Component:
+    """Nodes of one component in the order of their ids and, as numbers of nodes, the neighbours of each in the order in which they are placed."""
+
+    def __init__(self, grid: float):
+        self.grid, self.parts, self.ids, self.near = grid, [], None, array("i")
+
+    def add_nodes(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+
+    def _gather(self) -> None:
+        if self.ids is not None:
+            return
+        ids, x, y = map(np.concatenate, zip(*self.parts)) if self.parts else np.zeros((3, 0))
+        first = np.ones(len(ids), bool)
+        first[1:] = ids[1:] != ids[:-1]
+        self.parts, self.ids, self.x, self.y = [], ids[first].astype(np.int64), x[first], y[first]
+        self.degree = np.zeros(len(self.ids), np.int64)
+
+    def add_neighbours(self, at: np.ndarray, to: np.ndarray) -> None:
+        self._gather()
+        self.degree += np.bincount(self._numbers(at), minlength=len(self.ids))
+        self.near.frombytes(self._numbers(to).tobytes())
+
+    def _numbers(self, ids: np.ndarray) -> np.ndarray:
+        found = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        if (self.ids[found] != ids).any():
+            raise KeyError("an edge ends at a node without a row")
+        return found.astype(np.int32)
+
+    def places(self) -> pa.RecordBatch:
+        """Grid places.  From the root, the northernmost node, neighbours are placed when first met, main and long edges first; the
+        next node to leave from is always the last placed."""
+        self._gather()
+        x, y, grid = self.x, self.y, self.grid
+        if not (np.isfinite(x).all() and np.isfinite(y).all()):
+            raise ValueError("a node without a place")
+        near, ends = np.frombuffer(self.near, np.int32) if self.near else np.zeros(0, np.int32), np.cumsum(self.degree)
+        starts = ends - self.degree
+        px, py, unmet = np.zeros(len(x)), np.zeros(len(x)), np.ones(len(x), bool)
+        waiting = [int(np.argmax(y))]
+        unmet[waiting] = False
+        while waiting:
+            n = waiting.pop()
+            met = near[starts[n] : ends[n]]
+            met = met[unmet[met]]
+            if not len(met):
                 continue
-            dx, dy = x[m] - x[n], y[m] - y[n]
-            along = abs(dx) >= abs(dy)
-            d = dx if along else dy
-            steps = max(1, round(abs(d) / grid)) * (1 if d >= 0 else -1)
-            place[m] = (place[n][0] + steps * along, place[n][1] + steps * (not along))
-            waiting.append(m)
-    ox, oy = (round(nodes[c].mean() / grid) for c in ("x", "y"))
-    return pd.DataFrame({"node_id": list(place), "schematic_x": [(ox + p[0]) * grid for p in place.values()], "schematic_y": [(oy + p[1]) * grid for p in place.values()]})
+            met = met[np.sort(np.unique(met, return_index=True)[1])]
+            dx, dy = x[met] - x[n], y[met] - y[n]
+            along = np.abs(dx) >= np.abs(dy)
+            d = np.where(along, dx, dy)
+            steps = np.maximum(1.0, np.rint(np.abs(d) / grid)) * np.where(d >= 0, 1.0, -1.0)
+            px[met], py[met] = px[n] + steps * along, py[n] + steps * ~along
+            unmet[met] = False
+            waiting.extend(met.tolist())
+        ox, oy = (round(float(c.mean()) / grid) for c in (x, y))
+        met = ~unmet
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[met]), pa.array((ox + px[met]) * grid), pa.array((oy + py[met]) * grid)], ["node_id", "schematic_x", "schematic_y"])
+
+
+#: Places of small components that are handed on together.
+TOGETHER = 10_000
+
+
+def _walk(batches):
+    """Rows ``component, grid, at, x, y, to``, sorted by component, nodes (``to`` is null) before neighbours, to places."""
+    part, held, done, rows = None, None, [], 0
+    for b in batches:
+        component, at, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("component", "at", "x", "y"))
+        node, to = b.column("to").is_null().to_numpy(zero_copy_only=False), b.column("to").fill_null(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(component)) + 1).tolist(), len(component)]
+        for s, e in zip(cuts, cuts[1:]) if len(component) else ():
+            if held is None or component[s] != part:
+                if held is not None:
+                    done.append(held.places())
+                    rows += len(done[-1])
+                part, held = component[s], _Component(b.column("grid")[s].as_py())
+            m = s + int(node[s:e].sum())
+            if m > s:
+                held.add_nodes(at[s:m], x[s:m], y[s:m])
+            if e > m:
+                held.add_neighbours(at[m:e], to[m:e])
+        if rows >= TOGETHER:
+            yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+            done, rows = [], 0
+    if held is not None:
+        done.append(held.places())
+    yield from done
 
 
 def layout(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node_id, schematic_x, schematic_y`` for ``nodes(node_id, x, y)``.  The walk is sequential within a component; components are
-    independent and run in parallel."""
-    labels = labelled_nodes(edges, nodes)
+    independent and run in parallel.  A component is read in the order of the walk, sorted by Spark; its task holds a number for each
+    end of an edge, and id and place of each node."""
+    labels = materialize(labelled_nodes(edges, nodes), "parts")
     left = nodes.select("node_id", "x", "y").join(labels, "node_id").crossJoin(F.broadcast(grid_unit(edges)))
-    main = (size_class(F.col("tag")) != "main").cast("int").alias("main")
-    right = edges.where("u <> v").select("edge_id", "u", "v", "length_m", main).join(labels.select(F.col("node_id").alias("u"), F.col("component").alias("part")), "u")
-    place = lambda n, e: _place(n, e) if len(n) else pd.DataFrame({"node_id": [], "schematic_x": [], "schematic_y": []})
-    return left.groupBy("component").cogroup(right.groupBy("part")).applyInPandas(place, "node_id long, schematic_x double, schematic_y double")
+    none = F.lit(None).cast("long")
+    left = left.select("component", "grid", F.col("node_id").alias("at"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), none.alias("to"), none.alias("main"), F.lit(None).cast("double").alias("neg"), none.alias("edge_id"))
+    main = (size_class(F.col("tag")) != "main").cast("long").alias("main")
+    both = F.explode(F.array(F.struct(F.col("u").alias("at"), F.col("v").alias("to")), F.struct(F.col("v").alias("at"), F.col("u").alias("to")))).alias("e")
+    right = edges.where("u <> v").select("edge_id", "u", "length_m", main, both).join(labels.withColumnRenamed("node_id", "u"), "u")
+    nothing = F.lit(None).cast("double")
+    right = right.select("component", nothing.alias("grid"), "e.at", nothing.alias("x"), nothing.alias("y"), "e.to", "main", (-F.col("length_m")).cast("double").alias("neg"), "edge_id")
+    rows = left.unionByName(right).withColumn("edge", F.col("to").isNotNull())
+    rows = rows.repartition("component").sortWithinPartitions("component", "edge", "at", "main", "neg", "edge_id").select("component", "grid", "at", "x", "y", "to")
+    return rows.mapInArrow(_walk, "node_id long, schematic_x double, schematic_y double")
 
 
 def route(edges: DataFrame, nodes: DataFrame, places: DataFrame) -> DataFrame:

@@ -286,11 +286,16 @@ def snap(points: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
     return nodes.select("node_id", (F.col("sx") / F.col("members")).alias("x"), (F.col("sy") / F.col("members")).alias("y"), "members"), ends.select("seq", "node_id")
 
 
-def dense_ids(df: DataFrame, key: str, name: str, slices: int | None = None) -> DataFrame:
-    """Consecutive numbers from 0 in the order of a unique key, by range partitions and their sizes, not in one task."""
+def dense_ids(df: DataFrame, key: str, name: str, slices: int | None = None, keep: bool = True) -> DataFrame:
+    """Consecutive numbers from 0 in the order of a unique key, by range partitions and their sizes, not in one task.  The rows are shuffled
+    once and written once, in order, without the key if it is not to ``keep``."""
     slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(slices, key).withColumn("_p", F.spark_partition_id()), "dense")
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min(key).alias("_lo"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
-    return ranged.withColumn("_k", inside).join(F.broadcast(before), "_p").select(*df.columns, (F.col("_before") + F.col("_k")).alias(name))
+    ranged = df.repartitionByRange(slices, key).sortWithinPartitions(key)
+    # the number of a row in its partition, and that of the partition above it; partitions are in the order of the key
+    ranged = ranged.withColumn("_k", F.monotonically_increasing_id())
+    ranged = materialize(ranged if keep else ranged.drop(key), "dense")
+    part = F.shiftrightunsigned("_k", 33)
+    sizes = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
+    columns = [c for c in df.columns if keep or c != key]
+    return ranged.withColumn("_p", part).join(F.broadcast(before), "_p").select(*columns, (F.col("_before") + F.col("_k").bitwiseAND((1 << 33) - 1)).alias(name))

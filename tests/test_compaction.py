@@ -43,3 +43,31 @@ def test_compact_layouts(spark):
     for i in ids:
         assert alone[i][0] == sum(nodes[j][1] == nodes[i][1] and nodes[j][0] < nodes[i][0] for j in ids)
     assert C.compacted(df.limit(0), spark.createDataFrame(links, "u long, v long")).collect() == []
+
+
+def test_long_rows_are_walked_in_slices(spark):
+    """Thousands of nodes on a line take some rounds, not one for every few nodes."""
+    n, rng = 3000, random.Random(5)
+    nodes = [(i, float(i // 500), float(rng.randrange(3))) for i in range(n)]
+    links = [(i, i + 1) for i in range(n - 1) if rng.random() < 0.3]
+    df = spark.createDataFrame(nodes, "node_id long, schematic_x double, schematic_y double")
+    out = {r.node_id: (r.column, r.row) for r in C.compacted(df, spark.createDataFrame(links, "u long, v long"), size=700).collect()}
+
+    def ranks(along, across):
+        grp = list(range(n))
+        for u, v in links:  # in ascending order
+            if along[u] == along[v]:
+                grp[v] = grp[u]
+        members, top, rank = {}, {}, {}
+        for i in range(n):
+            members.setdefault((along[i], grp[i]), set()).add(across[i])
+        for key in sorted(members):
+            r = max(top.get(c, -1) for c in members[key]) + 1
+            top |= dict.fromkeys(members[key], r)
+            rank[key[1]] = r
+        return [rank[g] for g in grp]
+
+    columns = ranks([p[1] for p in nodes], [p[2] for p in nodes])
+    rows = ranks([p[2] for p in nodes], columns)
+    assert out == dict(enumerate(zip(columns, rows)))
+    assert max(columns) > 900

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.operators.components import connected_components
-from thalweg.operators.spatial import dense_ids, near_segments
+from thalweg.operators.spatial import near_segments
 from thalweg.storage import forget, materialize, materialize_told
 
-#: Steps of the longest paths between two written tables.
-STEPS = 4
+#: Nodes that one task walks in order.
+SLICE = 200_000
 
 
 def crossings(segs: DataFrame, key: str = "edge_id") -> DataFrame:
@@ -23,41 +24,92 @@ def crossings(segs: DataFrame, key: str = "edge_id") -> DataFrame:
     return met.select(F.explode(F.array(key, f"o_{key}")).alias(key)).groupBy(key).agg(F.count("*").alias("crossings"))
 
 
-def _ranked(nodes: DataFrame, links: DataFrame, along: str, across: str, name: str) -> DataFrame:
+def _folded(batches):
+    """Rows ``slice, grp, line, top`` sorted by slice, those without a group first: how far each line is taken before the slice.  Gives
+    ``slice, grp, line, rank`` of each group (no line) and of what is last on each line after the slice (no group)."""
+    names = ["slice", "grp", "line", "rank"]
+    part, group, lines, tops = None, None, set(), {}
+    out: list[tuple] = []
+
+    def close():
+        nonlocal group
+        if group is not None:
+            rank = max(tops.get(c, -1) for c in lines) + 1
+            tops.update(dict.fromkeys(lines, rank))
+            out.append((part, group, None, rank))
+        group = None
+        lines.clear()
+
+    def batch():
+        columns = list(zip(*out)) or [()] * 4
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.float64(), pa.int64()))], names)
+        out.clear()
+        return made
+
+    for b in batches:
+        for slice_, grp, line, top in zip(*(b.column(c).to_pylist() for c in ("slice", "grp", "line", "top"))):
+            line = None if line != line else line  # not a number is one line
+            if slice_ != part:
+                close()
+                out.extend((part, None, c, r) for c, r in tops.items())
+                part, tops = slice_, {}
+            if grp is None:
+                tops[line] = top
+                continue
+            if grp != group:
+                close()
+                group = grp
+            lines.add(line)
+        yield batch()
+    close()
+    out.extend((part, None, c, r) for c, r in tops.items())
+    yield batch()
+
+
+def _ranked(nodes: DataFrame, links: DataFrame, along: str, across: str, name: str, size: int) -> DataFrame:
     """Adds the least whole place of each node on one axis that keeps the order of the nodes beside each other, and linked nodes with equal
-    places on equal ones: the longest path of the graph of who stands before whom."""
+    places on equal ones: the longest path of the graph of who stands before whom.
+
+    In the order of places and groups all that stands before a group comes before it, so one pass in that order finds the ranks.  The order is
+    dealt into slices of ``size`` nodes, walked at once; how far each line is taken before a slice comes from the walks of the slices before, so
+    after as many rounds as there are slices, at most, nothing changes.  A slice's task holds a number for each line in it."""
     place = lambda k: nodes.select(F.col("node_id").alias(k), F.col(along).alias(f"at_{k}"))
     tied = links.join(place("u"), "u").join(place("v"), "v").where("at_u = at_v").select(F.col("u").alias("a"), F.col("v").alias("b"))
     group = connected_components(tied).select(F.col("node").alias("node_id"), "component")
     held = materialize(nodes.join(group, "node_id", "left").withColumn("grp", F.coalesce("component", "node_id")).drop("component"), "groups")
-    # neighbours in each row, by numbers in the order of the whole table, so that no row is a task
-    order = F.struct(across, along, "grp", "node_id").alias("k")
-    numbered = materialize(dense_ids(held.select(order, F.col(across).alias("line"), "grp"), "k", "n").select("line", "grp", "n"), "numbered")
-    after = numbered.select("line", F.col("grp").alias("to"), (F.col("n") - 1).alias("n"))
-    arcs = numbered.join(after, ["line", "n"]).where("grp <> to").select("grp", "to", F.lit(1).alias("step")).distinct()
-    # each group also keeps what it has
-    arcs = materialize(arcs.unionByName(held.select("grp", F.col("grp").alias("to"), F.lit(0).alias("step")).distinct()), "arcs")
-    ranks, told = materialize_told(held.select("grp").distinct().withColumn("rank", F.lit(0).cast("long")), "ranks", total=F.sum("rank"))
-    while True:
-        moved = ranks
-        for _ in range(STEPS):
-            moved = arcs.join(moved, "grp").groupBy("to").agg(F.max(F.col("rank") + F.col("step")).alias("rank")).withColumnRenamed("to", "grp")
-        moved, now = materialize_told(moved, "ranks", total=F.sum("rank"))
-        forget(ranks)
-        ranks = moved
-        if now.get("total") == told.get("total"):
+    slices = max(1, -(-held.count() // size))
+    rows = held.select(F.col(along).alias("at"), "grp", F.col(across).cast("double").alias("line"))
+    rows = rows.repartitionByRange(slices, "at", "grp").withColumn("slice", F.spark_partition_id()) if slices > 1 else rows.withColumn("slice", F.lit(0))
+    rows = materialize(rows, "slices")
+
+    def walked(tops: DataFrame | None) -> DataFrame:
+        every = rows.withColumn("top", F.lit(None).cast("long"))
+        if tops is not None:
+            before = Window.partitionBy("line").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+            every = every.unionByName(tops.withColumn("top", F.max("rank").over(before)).where("top is not null").select("line", "slice", "top"), allowMissingColumns=True)
+        sorted_ = every.repartition(slices, "slice").sortWithinPartitions("slice", F.col("grp").isNotNull(), "at", "grp")
+        return sorted_.select("slice", "grp", "line", "top").mapInArrow(_folded, "slice int, grp long, line double, rank long")
+
+    ends, told = None, None
+    for _ in range(slices - 1):
+        following, now = materialize_told(walked(ends).where("grp is null"), "ends", total=F.sum("rank"))
+        if ends is not None:
+            forget(ends)
+        ends = following
+        if told == now.get("total"):
             break
-        told = now
-    return held.join(ranks.withColumnRenamed("rank", name), "grp").drop("grp")
+        told = now.get("total")
+    ranks = walked(ends).where("grp is not null").select("grp", F.col("rank").alias(name))
+    return held.join(ranks, "grp").drop("grp")
 
 
-def compacted(places: DataFrame, links: DataFrame, x: str = "schematic_x", y: str = "schematic_y") -> DataFrame:
+def compacted(places: DataFrame, links: DataFrame, x: str = "schematic_x", y: str = "schematic_y", size: int = SLICE) -> DataFrame:
     """``node_id, column, row``: places on the smallest whole grid where nodes of one row keep their order from left to right, nodes of one of the
     new columns theirs from bottom to top, and nodes linked by an upright or level line stay on one.  ``links(u, v)``.  Nodes at different
     places stay apart; so do nodes at one place that no such line holds together.  Nodes with a null place are left out.
 
-    Columns first, then rows; as many rounds each as there are places on the longest way."""
+    Columns first, then rows; as many rounds each as there are slices of ``size`` nodes, at most."""
     nodes = places.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("node_id", F.col(x).alias("x"), F.col(y).alias("y"))
     links = links.where("u <> v").select("u", "v")
-    wide = materialize(_ranked(nodes, links, "x", "y", "column"), "columns")
-    return _ranked(wide, links, "y", "column", "row").select("node_id", "column", "row")
+    wide = materialize(_ranked(nodes, links, "x", "y", "column", size), "columns")
+    return _ranked(wide, links, "y", "column", "row", size).select("node_id", "column", "row")

@@ -71,3 +71,20 @@ def test_long_rows_are_walked_in_slices(spark):
     rows = ranks([p[2] for p in nodes], columns)
     assert out == dict(enumerate(zip(columns, rows)))
     assert max(columns) > 900
+
+
+def test_many_crossings_are_counted_without_rows_of_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from thalweg.operators import quadtree
+
+    rng = np.random.default_rng(11)
+    x1, y1, x2, y2 = ends = rng.uniform(0, 100, (4, 1500))
+    side = lambda ax, ay, bx, by, px, py: (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+    a, b = side(x1[:, None], y1[:, None], x2[:, None], y2[:, None], x1, y1), side(x1[:, None], y1[:, None], x2[:, None], y2[:, None], x2, y2)
+    apart = np.triu(a * b < 0, 1) & np.triu((a * b < 0).T, 1)
+    want = apart.sum(axis=0) + apart.sum(axis=1)
+    lines = spark.createDataFrame([(i, *v) for i, v in enumerate(ends.T.tolist())], "edge_id long, x1 double, y1 double, x2 double, y2 double")
+    out = C.crossings(lines)
+    assert "Join" not in out._jdf.queryExecution().toString()
+    assert {r.edge_id: r.crossings for r in out.collect()} == {i: n for i, n in enumerate(want.tolist()) if n}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from thalweg.operators import quadtree
 from thalweg.operators.components import connected_components
-from thalweg.operators.spatial import near_segments
 from thalweg.storage import forget, materialize, materialize_told
 
 #: Nodes that one task walks in order.
@@ -16,12 +19,40 @@ SLICE = 200_000
 
 def crossings(segs: DataFrame, key: str = "edge_id") -> DataFrame:
     """``key, crossings``: how many segments of other lines each line of a segment table crosses, for lines that cross any.  Segments cross where each
-    parts the ends of the other; touching ends and lines on top of each other are no crossing."""
+    parts the ends of the other; touching ends and lines on top of each other are no crossing.  Pairs are counted in
+    numpy where they are found and never become rows."""
     own = segs.select(key, "x1", "y1", "x2", "y2")
-    pairs = near_segments(own, own, 0.0, f"{key} < o_{key}")
-    side = lambda a, b, p: f"(({a}x2 - {a}x1) * ({b}y{p} - {a}y1) - ({a}y2 - {a}y1) * ({b}x{p} - {a}x1))"
-    met = pairs.where(f"{side('', 'o_', 1)} * {side('', 'o_', 2)} < 0 and {side('o_', '', 1)} * {side('o_', '', 2)} < 0")
-    return met.select(F.explode(F.array(key, f"o_{key}")).alias(key)).groupBy(key).agg(F.count("*").alias("crossings"))
+    rows, tree = quadtree.meet(own, own, 0.0, capacity=1024)
+
+    def counted(keys: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(some)), pa.array(n[some])], [key, "n"])
+
+    def work(square, b):
+        ends, keys, others = [b.column(f"o_{c}").to_numpy() for c in ("x1", "y1", "x2", "y2")], square.rows.column(key), b.column(f"o_{key}")
+        mine, theirs = np.zeros(len(keys), np.int64), np.zeros(len(others), np.int64)
+        for i, j in quadtree.near_boxes(square.ends, ends, tree.slack):
+            first = pc.less(keys.take(pa.array(i)), others.take(pa.array(j))).fill_null(False).to_numpy(zero_copy_only=False)
+            i, j = i[first], j[first]
+            x1, y1, x2, y2 = (e[i] for e in square.ends)
+            u1, v1, u2, v2 = (e[j] for e in ends)
+            dx, dy, ex, ey = x2 - x1, y2 - y1, u2 - u1, v2 - v1
+            a, c = ex * (y1 - v1) - ey * (x1 - u1), ex * (y2 - v1) - ey * (x2 - u1)
+            met = (a * c < 0) & ((dx * (v1 - y1) - dy * (u1 - x1)) * (dx * (v2 - y1) - dy * (u2 - x1)) < 0)
+            # a pair may share many squares; it counts in the one where the lines cross
+            i, j, t = i[met], j[met], (a[met] / (a[met] - c[met]))
+            here = tree.holds(square.leaf, x1[met] + t * dx[met], y1[met] + t * dy[met])
+            mine += np.bincount(i[here], minlength=len(mine))
+            theirs += np.bincount(j[here], minlength=len(theirs))
+        square.notes["n"] = square.notes.get("n", 0) + mine
+        yield counted(others, theirs)
+
+    def close(square):
+        yield counted(square.rows.column(key), square.notes["n"])
+
+    names = list(own.columns)
+    found = rows.mapInArrow(lambda batches: quadtree.by_square(batches, names, work, close), StructType([own.schema[key]]).add("n", "long"))
+    return found.groupBy(key).agg(F.sum("n").alias("crossings"))
 
 
 def _folded(batches):

@@ -32,6 +32,18 @@ def trie(rows, limit):
     return leaf
 
 
+def test_what_grows_is_not_sent_through_the_driver(spark, monkeypatch):
+    """Many shards are merged with the rows, few are broadcast, and both place alike."""
+    df = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(300)], "doc_id long, text string")
+    found = []
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(S, "_FEW", few, raising=False)
+        out = S.extendible_shards(df, limit=200)
+        rows = sorted((r.doc_id, r.shard, r.shard_bytes) for r in out.collect())
+        found.append((rows, "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()))
+    assert found[0][0] == found[1][0] and [b for _, b in found] == [True, False]
+
+
 def test_shards_against_plain_trie(spark):
     r = random.Random(1)
     rows = [(i, "x" * r.randrange(0, 300)) for i in range(400)] + [(1000, None), (None, "abc"), (None, None)]

@@ -29,20 +29,29 @@ def hash_bits(id_col: str, text_col: str):
     return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
 
 
-def _trie_step(cells: DataFrame, base: int, deep: int, limit: int) -> DataFrame:
+#: Tables of more rows than this are not left to be broadcast.
+_FEW = 10_000
+
+
+def _sent(df: DataFrame, at_most: int) -> DataFrame:
+    """A side of a join that has at most so many rows.  One that grows with the input is merged, as a broadcast goes through the driver."""
+    return df if at_most <= _FEW else df.hint("merge")
+
+
+def _trie_step(cells: DataFrame, base: int, deep: int, limit: int, at_most: int) -> DataFrame:
     """Leaves for the cells of one histogram.  cells(cell, bytes, n_rows): prefixes of ``deep`` bits below parents of ``base``
-    bits that are known to be too large (or the root).  Returns cell -> (depth, prefix, shard_bytes, shard_rows); cells
+    bits that are known to be too large (or the root), ``at_most`` so many.  Returns cell -> (depth, prefix, shard_bytes, shard_rows); cells
     that are themselves too large have depth null.  A prefix with one row is not split, however large the row."""
     first = base + 1 if base else 0
     level = cells.select(
         "cell", "bytes", "n_rows", F.explode(F.sequence(F.lit(first), F.lit(deep))).alias("depth")
     ).withColumn("prefix", F.expr(f"shiftright(cell, {deep} - depth)"))
     nodes = level.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n_rows").alias("shard_rows"))
-    fits = level.join(nodes.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1)), ["depth", "prefix"])
+    fits = level.join(_sent(nodes.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1)), at_most), ["depth", "prefix"])
     best = fits.groupBy("cell").agg(
         F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("leaf")
     )
-    return cells.select("cell", "n_rows").join(best, "cell", "left").select("cell", "n_rows", "leaf.depth", "leaf.prefix", "leaf.shard_bytes", "leaf.shard_rows")
+    return cells.select("cell", "n_rows").join(_sent(best, at_most), "cell", "left").select("cell", "n_rows", "leaf.depth", "leaf.prefix", "leaf.shard_bytes", "leaf.shard_rows")
 
 
 def extendible_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
@@ -66,17 +75,19 @@ def extendible_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     deep = min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + 4) if total > limit else 0
-    base, todo, done = 0, rows, []
+    base, todo, done, parents = 0, rows, [], 1
     while True:
         cell = F.expr(f"shiftright(h, {HASH_BITS - deep})")
         cells = todo.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n_rows"))
-        leaves = materialize(_trie_step(cells, base, deep, limit), "shard-leaves")
-        placed = todo.withColumn("cell", cell).join(leaves.where("depth is not null").drop("n_rows"), "cell").drop("cell")
+        at_most = parents << (deep - base)
+        leaves = materialize(_trie_step(cells, base, deep, limit, at_most), "shard-leaves")
+        placed = todo.withColumn("cell", cell).join(_sent(leaves.where("depth is not null").drop("n_rows"), at_most), "cell").drop("cell")
         done.append(placed.withColumn("part", F.lit(0)))
         large = leaves.where("depth is null").select("cell", "n_rows")
-        if large.isEmpty():
+        parents = large.count()
+        if not parents:
             break
-        todo = todo.withColumn("cell", cell).join(large, "cell")
+        todo = todo.withColumn("cell", cell).join(_sent(large, parents), "cell")
         if deep == HASH_BITS:
             done.append(_deal_equal(todo, limit))
             break

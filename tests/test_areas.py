@@ -66,6 +66,23 @@ def test_odd_rows(spark):
     assert found(spark, points, []) == found(spark, [], [(9, [square])]) == set()
 
 
+def test_pairs_are_not_shuffled(spark, monkeypatch):
+    """Points of one cell in several slices, edges of one area in several batches and blocks; no shuffle but that of points and cells."""
+    rng = random.Random(3)
+    areas = [(k, [star(rng, 0, 0, 10, rng.choice([40, 300])), star(rng, 1, 1, 3, 9)]) for k in range(9)]
+    points = [(i, rng.gauss(0, 4), rng.gauss(0, 4)) for i in range(900)]
+    monkeypatch.setattr(A, "SLICE", 8, raising=False)
+    monkeypatch.setattr(A, "BLOCK", 20, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        assert found(spark, points, areas) == {(p, k) for p, x, y in points for k, rings in areas if odd(x, y, rings)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs = A.points_in_areas(spark.createDataFrame(points, "point_id long, x double, y double"), spark.createDataFrame(areas, RINGS))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(word in plan.split("MapInArrow")[0] for word in ("Join", "Aggregate", "Repartition"))
+
+
 def test_a_million_times_larger_and_far_away(spark):
     rng = random.Random(1)
     ring = star(rng, 4.5e6, -2.25e6, 3e5, 60)

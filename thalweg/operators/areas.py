@@ -8,8 +8,12 @@ edges, and none is compared with a point outside its cells.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from thalweg.operators.spatial import near_segments
 from thalweg.storage import materialize
@@ -43,11 +47,6 @@ def _left(x: str, y: str) -> str:
     return _LEFT.format(x=x, y=y)
 
 
-def _above(x: str, y: str) -> str:
-    """Whether an edge that crosses the upright line at x does so above y."""
-    return f"case when x2 > x1 then not {_left(x, y)} else {_left(x, y)} end"
-
-
 def cover(areas: DataFrame, key: str = "area_id", rings: str = "rings") -> tuple[DataFrame, DataFrame, list[int]]:
     """Cells ``key, level, cx, cy, border, odd`` of the areas, the edges ``key, level, cx, cy, x1, y1, x2, y2`` in those at the border, and
     the levels in use: a cell of level n has a side of 2**n.  ``odd``: whether the lower left corner is inside."""
@@ -90,28 +89,124 @@ def cover(areas: DataFrame, key: str = "area_id", rings: str = "rings") -> tuple
     return materialize(border.unionByName(inner), "area-cells"), at_border, used
 
 
+#: Points of one cell that are held at once; the points of a cell with more are dealt into slices.
+SLICE = 1 << 15
+#: Points compared with edges at once.
+BLOCK = 1 << 20
+_EDGE = ("x1", "y1", "x2", "y2")
+
+
+def _turned(x, y, cx, cy, x1, y1, x2, y2) -> tuple[np.ndarray, np.ndarray]:
+    """For each edge (rows) and point (columns): whether the way from the cell's corner to the point crosses the edge an odd number of times,
+    and whether the point is on the edge.  No edge (nan) is never crossed."""
+    dx, dy = x2 - x1, y2 - y1
+    level = y1 == y2
+
+    def left(px, py):
+        side = dx * (py - y1) - dy * (px - x1)
+        return (side > 0) | ((side == 0) & level)
+
+    # from the corner along the lower side to below the point, then up to it
+    below = left(x, cy)
+    along = (y1 <= cy) & (y2 > cy) & (left(cx, cy) != below)
+    rising = ((x1 > x) != (x2 > x)) & (below != left(x, y))
+    on = (dx * (y - y1) == dy * (x - x1)) & (x >= np.minimum(x1, x2)) & (x <= np.maximum(x1, x2)) & (y >= y1) & (y <= y2)
+    return along ^ rising, on
+
+
+def _told(batches, point: str, key: str, block: int):
+    """Sorted rows of cells, in each the points first and then the areas' rows by area, to ``point, key`` of the points inside.  The points of a cell
+    and slice are held, areas pass by; of an area whose rows go on in the next batch only what is known so far of each point."""
+    place, lefts, spots, area = None, [], None, None
+
+    def done():
+        """The points in the area that is over."""
+        at = np.flatnonzero(area[1] | area[2])
+        if len(at):
+            yield pa.RecordBatch.from_arrays([spots[0].take(pa.array(at)), pa.repeat(area[0], len(at))], [point, key])
+
+    for b in batches:
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("level", "cx", "cy", "_part", "_right")]
+        change = np.zeros(max(len(b) - 1, 0), bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(b)]
+        for s, e in zip(cuts, cuts[1:]) if len(b) else ():
+            here = tuple(int(c[s]) for c in cols[:4])
+            if here != place:
+                if area is not None:
+                    yield from done()
+                place, lefts, spots, area = here, [], None, None
+            rows = b.slice(s, e - s)
+            if not cols[4][s]:
+                lefts.append(rows)
+                continue
+            if not lefts:
+                continue
+            if spots is None:
+                held = pa.Table.from_batches(lefts).combine_chunks()
+                spots = held.column(point).combine_chunks(), held.column("_x").to_numpy(), held.column("_y").to_numpy()
+            n = len(spots[1])
+            cx, cy = here[1] * 2.0 ** here[0], here[2] * 2.0 ** here[0]
+            names, odd = rows.column(key), rows.column("odd").to_numpy(zero_copy_only=False).astype(bool)
+            ends = [rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in _EDGE]
+            same = pc.equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)
+            step = max(1, block // n)
+            for k in range(0, len(rows), step):
+                m = min(step, len(rows) - k)
+                turned, on = _turned(spots[1], spots[2], cx, cy, *(v[k : k + m, None] for v in ends))
+                turned ^= odd[k : k + m, None]
+                starts = np.flatnonzero(np.r_[True, ~same[k : k + m - 1]])
+                turned, on = np.logical_xor.reduceat(turned, starts, axis=0), np.logical_or.reduceat(on, starts, axis=0)
+                first = names[k]
+                if area is not None and area[0].equals(first):
+                    turned[0] ^= area[1]
+                    on[0] |= area[2]
+                elif area is not None:
+                    yield from done()
+                # all but the last area are over
+                a, p = np.nonzero(turned[:-1] | on[:-1])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([spots[0].take(pa.array(p)), names.take(pa.array(starts[a] + k))], [point, key])
+                area = names[int(starts[-1]) + k], turned[-1].copy(), on[-1].copy()
+    if area is not None:
+        yield from done()
+
+
 def points_in_areas(points: DataFrame, areas: DataFrame, point_key: str = "point_id", key: str = "area_id", rings: str = "rings") -> DataFrame:
     """``point_key, key`` of the points ``(x, y)`` in areas, borders included, once each.  A place is inside where it is within an odd number of
-    an area's rings.  Points with a null key or a coordinate that is no finite number, and areas without edges, give no rows."""
+    an area's rings.  Points with a null key or a coordinate that is no finite number, and areas without edges, give no rows.
+
+    Points and the cells of areas are shuffled, pairs are not: they are made cell by cell in numpy, and a place lies in one cell of an area.
+    Only those of keys that have several places are put together."""
     cells, edges, levels = cover(areas, key, rings)
     if not levels:
         return points.select(point_key).limit(0).join(areas.select(key).limit(0))
     finite = points.where(F.col(point_key).isNotNull() & (F.abs(F.col("x").cast("double")) < float("inf")) & (F.abs(F.col("y").cast("double")) < float("inf")))
-    spots = finite.select(F.col(point_key).alias("_p"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
-    spots = spots.withColumn("level", F.explode(F.array(*[F.lit(n) for n in sorted(levels)]))).withColumns({"cx": _cell("_x", "level"), "cy": _cell("_y", "level")})
+    places = finite.groupBy(F.col(point_key).alias("_p"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).agg(F.lit(1).alias("one"))
+    repeated = materialize(places.groupBy("_p").agg(F.count("*").alias("n")).where("n > 1").select("_p"), "repeated-points")
+    around = F.array(*[F.lit(n) for n in sorted(levels)])
+    spots = places.drop("one").withColumn("level", F.explode(around)).withColumns({"cx": _cell("_x", "level"), "cy": _cell("_y", "level")})
+    spots = materialize(spots, "spots")
     place = ["level", "cx", "cy"]
-    met = spots.join(cells, place)
-    inside = met.where("not border").select("_p", key)
-    close = met.where("border").join(edges, [*place, key])
-    x0, y0 = "cx * pow(2.0d, level)", "cy * pow(2.0d, level)"
-    # from the corner along the lower side to below the point, then up to it
-    along = f"(y1 <= {y0} and y2 > {y0} and ({_left(x0, y0)}) <> ({_left('_x', y0)}))"
-    rising = f"(((x1 > _x) <> (x2 > _x)) and ({_above('_x', y0)}) <> ({_above('_x', '_y')}))"
-    on = "((x2 - x1) * (_y - y1) = (y2 - y1) * (_x - x1) and _x between least(x1, x2) and greatest(x1, x2) and _y between y1 and y2)"
-    turns = F.sum(F.expr(f"cast({along} as int) + cast({rising} as int)"))
-    told = close.groupBy("_p", "_x", "_y", key, "odd").agg(turns.alias("turns"), F.max(F.expr(on)).alias("on"))
-    found = told.where((F.col("odd") != (F.col("turns") % 2 == 1)) | F.col("on")).select("_p", key)
-    return inside.unionByName(found).distinct().withColumnRenamed("_p", point_key)
+    busy = materialize(spots.groupBy(*place).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts")).where("parts > 1"), "busy-cells")
+    dealt = spots.join(busy, place, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_p", "_x", "_y"), F.col("parts")), F.lit(0)).cast("int"))
+    none = {c: F.lit(None).cast("double") for c in _EDGE}
+    rows = cells.select(*place, key, "odd", *[c.alias(n) for n, c in none.items()]).unionByName(edges.select(*place, key, F.lit(False).alias("odd"), *_EDGE))
+    rows = rows.join(busy, place, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    both = dealt.select(*place, "_part", "_p", "_x", "_y", F.lit(False).alias("_right")).unionByName(rows.select(*place, "_part", key, "odd", *_EDGE, F.lit(True).alias("_right")), allowMissingColumns=True)
+    # few bytes make much work here, so the number of tasks is not left to bytes
+    spark = points.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    met = both.repartition(tasks, *place, "_part").sortWithinPartitions(*place, "_part", "_right", key)
+    schema = StructType([both.schema["_p"], both.schema[key]])
+    block = BLOCK
+    found = met.mapInArrow(lambda batches: _told(batches, "_p", key, block), schema)
+    if not repeated.isEmpty():
+        found = materialize(found, "points-in-areas")
+        several = found.join(repeated, "_p", "left_semi").distinct()
+        found = found.join(repeated, "_p", "left_anti").unionByName(several)
+    return found.withColumnRenamed("_p", point_key)
 
 
 def lines_in_areas(segs: DataFrame, areas: DataFrame, within: float = 0.0, line_key: str = "line_id", key: str = "area_id", rings: str = "rings") -> DataFrame:

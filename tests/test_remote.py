@@ -138,3 +138,17 @@ def test_scripts_of_partitions(spark, tmp_path):
         nodes, edges = W.split_elements(W.read_scripts(spark, path))
         assert {r.node_key for r in nodes.collect()} == ({"a", "b"} if n < 2 or n == 3 else set())
         assert edges.count() == (0 if n == 2 else 1)
+
+
+def test_scripts_of_a_large_partition(spark, tmp_path, monkeypatch):
+    """Files are of bounded size, whatever the partition; an element longer than that has a file of its own."""
+    monkeypatch.setattr(W, "SCRIPT", 2_000)
+    df = spark.range(500).selectExpr("""concat('{"data":{"id":"n', id, '","label":"', repeat('x', if(id = 7, 3000, 10)), '"}}') as value""").coalesce(1)
+    for packed, suffix in ((None, ".txt"), ("gzip", ".txt.gz")):
+        path = tmp_path / f"s{packed}"
+        W.write_scripts(df, str(path), "elements", "made", compression=packed)
+        files = list(path.glob(f"part-*{suffix}"))
+        texts = [r.value for r in spark.read.text(str(path), wholetext=True).collect()]
+        assert len(files) == len(texts) > 10 and sorted(map(len, texts))[-2] < 2_100
+        nodes, edges = W.split_elements(W.read_scripts(spark, str(path)))
+        assert {r.node_key for r in nodes.collect()} == {f"n{k}" for k in range(500)} and nodes.count() == 500 and edges.count() == 0

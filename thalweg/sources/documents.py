@@ -94,24 +94,36 @@ def write_script(path: str, variable: str, items: list[dict], comment: str = "ge
         f.write(f"// {comment}\nconst {variable} = {json.dumps(items, ensure_ascii=False, indent=2)}\n;\n")
 
 
-def write_scripts(elements: DataFrame, path: str, variable: str, comment: str = "generated", column: str = "value") -> None:
-    """A folder of one script file per partition, each a whole one, from JSON elements; no element is held on the driver.  Files appear when
-    all are written."""
+#: Characters of one script file, but for a longer element: a reader holds a whole file, and its elements, at once.
+SCRIPT = 1 << 22
+
+
+def write_scripts(elements: DataFrame, path: str, variable: str, comment: str = "generated", column: str = "value", compression: str | None = None) -> None:
+    """A folder of script files, each a whole one, from JSON elements; no element is held on the driver.  A partition gives as many files of
+    ``SCRIPT`` characters as it needs, so that files don't grow with the input.  Files appear when all are written."""
+    most = SCRIPT
 
     def frame(batches):
         import pyarrow as pa
 
-        yield pa.RecordBatch.from_arrays([pa.array([f"// {comment}", f"const {variable} = ["])], ["value"])
-        before = None  # the last element has no comma
-        for b in batches:
-            rows = [r for r in b.column(0).to_pylist() if r is not None]
-            if rows:
-                out = ([before + ","] if before is not None else []) + [r + "," for r in rows[:-1]]
-                before = rows[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(([before] if before is not None else []) + ["]", ";"])], ["value"])
+        def script():
+            return pa.RecordBatch.from_arrays([pa.array(["\n".join([f"// {comment}", f"const {variable} = [", *([",\n".join(held)] if held else []), "]", ";"])])], ["value"])
 
-    elements.select(F.col(column).cast("string").alias("value")).mapInArrow(frame, "value string").write.text(path)
+        held, size, written = [], 0, False
+        for b in batches:
+            for row in b.column(0).to_pylist():
+                if row is None:
+                    continue
+                if held and size + len(row) > most:
+                    yield script()
+                    held, size, written = [], 0, True
+                held.append(row)
+                size += len(row) + 2
+        if held or not written:
+            yield script()
+
+    scripts = elements.select(F.col(column).cast("string").alias("value")).mapInArrow(frame, "value string")
+    scripts.write.option("maxRecordsPerFile", 1).text(path, compression=compression)  # a record is a file
 
 
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:

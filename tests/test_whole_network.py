@@ -1,9 +1,13 @@
 """Network queries over all rows of lineitem."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from thalweg.operators import spatial as S
+from thalweg.plans import views as V
 from thalweg.plans.catalogue import QUERIES
+from thalweg.storage import materialize
 
 
 def test_every_row_is_an_edge(spark, sf_dir):
@@ -44,3 +48,32 @@ def test_a_large_component_is_walked_in_little_memory():
     tracemalloc.stop()
     assert sorted(i for b in out for i in b.column("node_id").to_pylist()) == met.tolist()
     assert peak < 40 * len(at)
+
+
+def test_graph_files_are_packed_and_rows_are_shuffled_once(spark, sf_dir):
+    """Disk of a graph's text and of numbered edges: the text is packed, and what edges are made of is not shuffled beside them."""
+    from pathlib import Path
+
+    back = QUERIES["q34_graphml_roundtrip"](spark, sf_dir)
+    folders = {f.rsplit("/", 1)[0] for f in back.inputFiles()}
+    files = [f for folder in folders for f in Path(folder.removeprefix("file:").replace("///", "/")).glob("part-*")]
+    assert files and all(f.name.endswith(".txt.gz") for f in files)
+    rows = back.count()
+    assert sum(f.stat().st_size for f in files) < 40 * rows  # 207 bytes a row as plain text
+
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(S, "materialize", lambda df, label: seen.append(df) or materialize(df, label))
+        V.net(spark, sf_dir)
+    tree = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = tree[tree.index("RepartitionByExpression") :]
+    assert "length_m" not in shuffled and "named_struct" not in shuffled
+
+
+def test_numbers_in_the_order_of_several_columns(spark):
+    rows = [(k % 7 if k % 10 else None, (k * 37) % 101, f"v{k}") for k in range(101)]
+    df = spark.createDataFrame(rows, "a int, b int, c string")
+    got = S.dense_ids(df, ["a", "b"], "n", slices=5, then=[F.upper("c").alias("d")])
+    assert got.columns == ["d", "n"]
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r.d for r in got.orderBy("n").collect()] == [r[2].upper() for r in want] and got.agg(F.max("n")).first()[0] == 100

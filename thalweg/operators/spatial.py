@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -350,16 +350,18 @@ def snap(points: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
     return nodes.select("node_id", (F.col("sx") / F.col("members")).alias("x"), (F.col("sy") / F.col("members")).alias("y"), "members"), ends.select("seq", "node_id")
 
 
-def dense_ids(df: DataFrame, key: str, name: str, slices: int | None = None, keep: bool = True) -> DataFrame:
+def dense_ids(df: DataFrame, key: str | list[str], name: str, slices: int | None = None, keep: bool = True, then: list[Column] | None = None) -> DataFrame:
     """Consecutive numbers from 0 in the order of a unique key, by range partitions and their sizes, not in one task.  The rows are shuffled
-    once and written once, in order, without the key if it is not to ``keep``."""
+    once and written once, in order, without the key if it is not to ``keep``.  ``then``: columns made of the shuffled rows, instead of theirs."""
     slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(slices, key).sortWithinPartitions(key)
+    keys = [key] if isinstance(key, str) else key
+    ranged = df.repartitionByRange(slices, *keys).sortWithinPartitions(*keys)
+    if then is None:
+        then = [F.col(c) for c in df.columns if keep or c not in keys]
     # the number of a row in its partition, and that of the partition above it; partitions are in the order of the key
-    ranged = ranged.withColumn("_k", F.monotonically_increasing_id())
-    ranged = materialize(ranged if keep else ranged.drop(key), "dense")
+    ranged = materialize(ranged.select(*then, F.monotonically_increasing_id().alias("_k")), "dense")
     part = F.shiftrightunsigned("_k", 33)
     sizes = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
-    columns = [c for c in df.columns if keep or c != key]
+    columns = [c for c in ranged.columns if c != "_k"]
     return ranged.withColumn("_p", part).join(F.broadcast(before), "_p").select(*columns, (F.col("_before") + F.col("_k").bitwiseAND((1 << 33) - 1)).alias(name))

@@ -44,7 +44,7 @@ def net(spark, sf_dir, u="l_partkey", v="1000000 + l_suppkey", ids=True) -> Data
 
     li = table(spark, sf_dir, "lineitem")
     edges = [F.expr(u).alias("u"), F.expr(v).alias("v"), F.col("l_extendedprice").alias("length_m"), F.when(F.col("l_returnflag") == "R", "primary").otherwise("supplement").alias("source"), F.when(F.col("l_linestatus") == "F", "river").otherwise("canal").alias("tag"), F.concat(F.lit("e"), "l_orderkey").alias("name"), F.col("l_discount").alias("discount")]
-    return dense_ids(li.select(F.struct(*ROW).alias("k"), *edges), "k", "edge_id", keep=False) if ids else li.select(*edges)
+    return dense_ids(li.select(*ROW), ROW, "edge_id", then=edges) if ids else li.select(*edges)  # what edges are made of is shuffled once
 
 
 #: Rings of an area for each supplier, around its centre: the outer one, a hole (of two thirds of the areas) and a part beside it (of every other).

@@ -106,3 +106,31 @@ def test_lines_near_areas(spark, within):
             if odd(*v[0], rings) or min(gaps) <= within**2:
                 want.add((i, k))
     assert got == want
+
+
+def test_equal_areas_are_compared_once(spark):
+    """Many areas with the same rings are one for the comparison; areas of several rows, without a key or without rings are not mixed up with them."""
+    rng = random.Random(5)
+    shapes = [[star(rng, rng.uniform(0, 60), rng.uniform(0, 60), 12, 9)] for _ in range(4)]
+    areas = [(k, shapes[k % 4]) for k in range(40)] + [(100, shapes[0]), (100, shapes[1]), (101, shapes[0]), (101, shapes[1]), (102, None), (103, None), (None, shapes[2])]
+    df = spark.createDataFrame(areas, RINGS)
+    own, members = A.shapes(df)
+    assert own.where("rings is not null").count() == 4 + 4 and members.count() == 44
+    lines = [(i, [(x := rng.uniform(0, 60), y := rng.uniform(0, 60)), (x + 3, y + 1), (x + 3, y + 4)]) for i in range(60)]
+    segs = S.segments(spark.createDataFrame(lines, "line_id long, geom array<struct<x:double,y:double>>"), "line_id")
+    rows = [tuple(r) for r in A.lines_in_areas(segs, df, 2.0).collect()]
+    want = set()
+    for i, v in lines:
+        near = lambda ring: min(K.segment_gap(*[np.array([c]) for c in (*p, *q, *a, *b)])[0][0] for p, q in zip(v, v[1:]) for a, b in zip(ring, ring[1:] + ring[:1])) <= 4.0  # noqa: B023, E731
+        inside = lambda rings: sum(odd(*v[0], [r]) for r in rings) % 2 == 1  # noqa: B023, E731
+        of = {k: [r for key, rings in areas if key == k and rings for r in rings] for k, _ in areas if k is not None}
+        want |= {(i, k) for k, rings in of.items() if rings and (inside(rings) or any(map(near, rings)))}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_nearness_of_segments():
+    """The same pairs as by their distance."""
+    rng = np.random.default_rng(4)
+    ends = [np.where(rng.random(4000) < 0.5, rng.integers(0, 6, 4000), rng.uniform(0, 6, 4000)).astype(float) for _ in range(8)]
+    for reach in (0.0, 0.5, 1.0):
+        assert (K.within(*ends, reach) == (K.segment_gap(*ends)[0] <= reach * reach)).all()

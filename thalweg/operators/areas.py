@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from thalweg.operators.spatial import near_segments
-from thalweg.storage import materialize
+from thalweg.operators.spatial import near_keys
+from thalweg.storage import materialize, materialize_told
 
 #: Cells along the longer side of an area: twice the root of its number of edges, within these ends.
 FEWEST, MOST = 8, 256
@@ -209,11 +209,31 @@ def points_in_areas(points: DataFrame, areas: DataFrame, point_key: str = "point
     return found.withColumnRenamed("_p", point_key)
 
 
+def shapes(areas: DataFrame, key: str = "area_id", rings: str = "rings") -> tuple[DataFrame, DataFrame | None]:
+    """Areas ``key, rings`` without those that are another one over again, and ``_shape, key``: which of them each area is; None if each is itself.
+    Areas of several rows are not compared."""
+    areas = areas.where(F.col(key).isNotNull()).select(key, rings)
+    several = materialize(areas.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "several-rows")
+    alike = Window.partitionBy(F.xxhash64(rings), rings)
+    first = areas.join(several, key, "left_anti").withColumn("_shape", F.min(key).over(alike))
+    one, told = materialize_told(first.select("_shape", key, F.when(F.col("_shape") == F.col(key), F.col(rings)).alias(rings)), "shapes", again=F.count_if(F.col("_shape") != F.col(key)))
+    if not told.get("again"):
+        return areas, None
+    rest = areas.join(several, key, "left_semi")
+    own = one.where(F.col("_shape") == F.col(key)).select(key, rings).unionByName(rest)
+    # a table, so that its size is known: a small one is sent to the pairs, others meet them by a shuffle
+    return own, materialize(one.select("_shape", key).unionByName(several.select(F.col(key).alias("_shape"), key)), "shape-of")
+
+
 def lines_in_areas(segs: DataFrame, areas: DataFrame, within: float = 0.0, line_key: str = "line_id", key: str = "area_id", rings: str = "rings") -> DataFrame:
     """``line_key, key`` of the lines (a segment table) that come ``within`` a distance of areas or lie in them, once each: lines that come that
-    near to an edge, and lines whose first place is inside."""
+    near to an edge, and lines whose first place is inside.  Areas with the same rings are compared once, and their rows are made at the end; what
+    is shuffled are the pairs of lines and different areas."""
+    own, members = shapes(areas, key, rings)
     starts = segs.groupBy(line_key).agg(F.min(F.struct("seg", "x1", "y1")).alias("s")).select(line_key, F.col("s.x1").alias("x"), F.col("s.y1").alias("y"))
-    inside = points_in_areas(starts, areas, line_key, key, rings)
-    edges = edges_of(areas, key, rings).withColumnRenamed(key, "_area")
-    near = near_segments(segs.select(line_key, "x1", "y1", "x2", "y2"), edges.select("_area", "x1", "y1", "x2", "y2"), within).select(line_key, F.col("o__area").alias(key))
-    return inside.unionByName(near).distinct()
+    inside = points_in_areas(starts, own, line_key, key, rings)
+    near = near_keys(segs, edges_of(own, key, rings), within, line_key, key)
+    pairs = inside.unionByName(near).distinct()
+    if members is None:
+        return pairs
+    return pairs.withColumnRenamed(key, "_shape").join(members, "_shape").select(line_key, key)

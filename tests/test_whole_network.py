@@ -77,3 +77,42 @@ def test_numbers_in_the_order_of_several_columns(spark):
     assert got.columns == ["d", "n"]
     want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert [r.d for r in got.orderBy("n").collect()] == [r[2].upper() for r in want] and got.agg(F.max("n")).first()[0] == 100
+
+
+def test_the_walk_reads_one_list_a_node(spark, monkeypatch):
+    """Neighbours are put in order by many tasks, each once; what one task reads grows with nodes, and its places are those of single rows."""
+    import random
+
+    import pyarrow as pa
+
+    from thalweg.operators import layout as L
+
+    r = random.Random(2)
+    ends = [(r.randrange(60), 1000 + r.randrange(20)) for _ in range(4000)] + [(k, k + 1) for k in range(59)] + [(5, 5)]
+    rows = [(k, u, v, float(r.randrange(50)), r.choice(["river", "canal"])) for k, (u, v) in enumerate(ends)]
+    edges = spark.createDataFrame(rows, "edge_id long, u long, v long, length_m double, tag string")
+    ids = sorted({n for e in ends for n in e})
+    at = {n: (r.uniform(0, 900), r.uniform(0, 900)) for n in ids}
+    nodes = spark.createDataFrame([(n, *at[n]) for n in ids], "node_id long, x double, y double")
+    grid = L.grid_unit(edges).first().grid
+    near = {n: [] for n in ids}
+    for k, u, v, length, tag in sorted(rows, key=lambda e: (e[4] != "river", -e[3], e[0])):
+        if u != v:
+            near[u].append(v)
+            near[v].append(u)
+    single = [(n, *at[n], None) for n in ids] + [(n, None, None, m) for n in ids for m in near[n]]
+    columns = [pa.array(c) for c in zip(*[(0, grid, *x) for x in single])]
+    want = {r["node_id"]: (r["schematic_x"], r["schematic_y"]) for b in L._walk([pa.RecordBatch.from_arrays(columns, ["component", "grid", "at", "x", "y", "to"])]) for r in b.to_pylist()}
+    for whole in (False, True):
+        got = L.layout(nodes, edges, whole=whole)
+        assert {r.node_id: (r.schematic_x, r.schematic_y) for r in got.collect()} == want
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield pa.RecordBatch.from_pydict({"node_id": b.column("at").cast(pa.int64()), "schematic_x": b.column("grid"), "schematic_y": b.column("grid")})
+
+    monkeypatch.setattr(L, "_walk", counted)
+    L.layout(nodes, edges, whole=True).count()
+    assert seen.value <= 4 * len(ids)  # before: a row for each of 8,118 ends

@@ -6,6 +6,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +41,28 @@ class _Component:
         self.parts, self.ids, self.x, self.y = [], ids[first].astype(np.int64), x[first], y[first]
         self.degree = np.zeros(len(self.ids), np.int64)
 
-    def add_neighbours(self, at: np.ndarray, to: np.ndarray) -> None:
+        # ids that lie close together are looked up, others searched for
+        wide = int(self.ids[-1]) - int(self.ids[0]) + 1 if len(self.ids) else 0
+        self.known = None
+        if 0 < wide <= 4 * len(self.ids) + 1_000_000:
+            self.known = np.full(wide, -1, np.int32)
+            self.known[self.ids - self.ids[0]] = np.arange(len(self.ids), dtype=np.int32)
+
+    def add_neighbours(self, at: np.ndarray, many: np.ndarray, to: np.ndarray) -> None:
+        """Neighbours of nodes, one after another: ``many`` of each."""
         self._gather()
-        self.degree += np.bincount(self._numbers(at), minlength=len(self.ids))
+        np.add.at(self.degree, self._numbers(at), many)
         self.near.frombytes(self._numbers(to).tobytes())
 
     def _numbers(self, ids: np.ndarray) -> np.ndarray:
-        found = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-        if (self.ids[found] != ids).any():
+        if self.known is not None:
+            k = ids - self.ids[0]
+            found = self.known[np.clip(k, 0, len(self.known) - 1)]
+            wrong = (k < 0) | (k >= len(self.known)) | (found < 0)
+        else:
+            found = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+            wrong = self.ids[found] != ids
+        if wrong.any():
             raise KeyError("an edge ends at a node without a row")
         return found.astype(np.int32)
 
@@ -86,12 +101,34 @@ class _Component:
 TOGETHER = 10_000
 
 
+def _lists(batches):
+    """Rows ``component, at, to`` in the order of the walk to ``component, at, k, to``: lists of neighbours, numbered in their order.  Of a neighbour
+    that is met again the first is enough; a list that goes on in the next batch is another one."""
+    k = 0
+    for b in batches:
+        if not len(b):
+            continue
+        component, at, to = (b.column(c).to_numpy() for c in ("component", "at", "to"))
+        starts = np.flatnonzero(np.r_[True, (component[1:] != component[:-1]) | (at[1:] != at[:-1])])
+        run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(at)]))
+        order = np.lexsort((to, run))
+        again = (run[order][1:] == run[order][:-1]) & (to[order][1:] == to[order][:-1])
+        kept = np.sort(order[np.r_[True, ~again]])
+        offsets = np.r_[0, np.cumsum(np.bincount(run[kept], minlength=len(starts)))]
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(to[kept]))
+        yield pa.RecordBatch.from_arrays([pa.array(component[starts]), pa.array(at[starts]), pa.array(np.arange(k, k + len(starts))), lists], ["component", "at", "k", "to"])
+        k += len(starts)
+
+
 def _walk(batches):
-    """Rows ``component, grid, at, x, y, to``, sorted by component, nodes (``to`` is null) before neighbours, to places."""
+    """Rows ``component, grid, at, x, y, to``, sorted by component, nodes (``to`` is null) before neighbours, one or a list a row, to places."""
     part, held, done, rows = None, None, [], 0
     for b in batches:
         component, at, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("component", "at", "x", "y"))
-        node, to = b.column("to").is_null().to_numpy(zero_copy_only=False), b.column("to").fill_null(0).to_numpy()
+        node, to = b.column("to").is_null().to_numpy(zero_copy_only=False), b.column("to")
+        listed = pa.types.is_list(to.type)
+        many = pc.fill_null(pc.list_value_length(to), 0).to_numpy().astype(np.int64) if listed else (~node).astype(np.int64)
+        ends, to = np.r_[0, np.cumsum(many)], (to.flatten() if listed else to.drop_null()).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(component)) + 1).tolist(), len(component)]
         for s, e in zip(cuts, cuts[1:]) if len(component) else ():
             if held is None or component[s] != part:
@@ -103,7 +140,7 @@ def _walk(batches):
             if m > s:
                 held.add_nodes(at[s:m], x[s:m], y[s:m])
             if e > m:
-                held.add_neighbours(at[m:e], to[m:e])
+                held.add_neighbours(at[m:e], many[m:e], to[ends[m] : ends[e]])
         if rows >= TOGETHER:
             yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
             done, rows = [], 0
@@ -112,21 +149,30 @@ def _walk(batches):
     yield from done
 
 
-def layout(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def layout(nodes: DataFrame, edges: DataFrame, whole: bool = False) -> DataFrame:
     """``node_id, schematic_x, schematic_y`` for ``nodes(node_id, x, y)``.  The walk is sequential within a component; components are
-    independent and run in parallel.  A component is read in the order of the walk, sorted by Spark; its task holds a number for each
-    end of an edge, and id and place of each node."""
-    labels = materialize(labelled_nodes(edges, nodes), "parts")
-    left = nodes.select("node_id", "x", "y").join(labels, "node_id").crossJoin(F.broadcast(grid_unit(edges)))
+    independent and run in parallel.  ``whole``: they are one component, as of :func:`thalweg.operators.network.trunk`, and none is looked for.
+
+    Many tasks put the neighbours of each node in the order of the walk, each neighbour once.  The task of a component reads one list a
+    node, sorted by Spark; it holds a number for each neighbour, and id and place of each node."""
+    labels = None if whole else materialize(labelled_nodes(edges, nodes), "parts")
+    left = nodes.select("node_id", "x", "y").withColumn("component", F.lit(0).cast("long")) if whole else nodes.select("node_id", "x", "y").join(labels, "node_id")
+    left = left.crossJoin(F.broadcast(grid_unit(edges)))
     none = F.lit(None).cast("long")
-    left = left.select("component", "grid", F.col("node_id").alias("at"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), none.alias("to"), none.alias("main"), F.lit(None).cast("double").alias("neg"), none.alias("edge_id"))
-    main = (size_class(F.col("tag")) != "main").cast("long").alias("main")
+    left = left.select("component", "grid", F.col("node_id").alias("at"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), none.alias("k"), F.lit(None).cast("array<long>").alias("to"))
+    main = (size_class(F.col("tag")) != "main").alias("main")
     both = F.explode(F.array(F.struct(F.col("u").alias("at"), F.col("v").alias("to")), F.struct(F.col("v").alias("at"), F.col("u").alias("to")))).alias("e")
-    right = edges.where("u <> v").select("edge_id", "u", "length_m", main, both).join(labels.withColumnRenamed("node_id", "u"), "u")
+    right = edges.where("u <> v").select("edge_id", "u", (-F.col("length_m")).cast("double").alias("neg"), main, both)
+    right = right.withColumn("component", F.lit(0).cast("long")) if whole else right.join(labels.withColumnRenamed("node_id", "u"), "u")
+    right = right.select("component", F.col("e.at").cast("long").alias("at"), F.col("e.to").cast("long").alias("to"), "main", "neg", "edge_id")
+    # few bytes make much work here, so the number of tasks is not left to bytes
+    spark = edges.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    right = right.repartition(tasks, "component", "at").sortWithinPartitions("component", "at", "main", "neg", "edge_id").select("component", "at", "to")
+    lists = right.mapInArrow(_lists, "component long, at long, k long, to array<long>")
     nothing = F.lit(None).cast("double")
-    right = right.select("component", nothing.alias("grid"), "e.at", nothing.alias("x"), nothing.alias("y"), "e.to", "main", (-F.col("length_m")).cast("double").alias("neg"), "edge_id")
-    rows = left.unionByName(right).withColumn("edge", F.col("to").isNotNull())
-    rows = rows.repartition("component").sortWithinPartitions("component", "edge", "at", "main", "neg", "edge_id").select("component", "grid", "at", "x", "y", "to")
+    rows = left.unionByName(lists.select("component", nothing.alias("grid"), "at", nothing.alias("x"), nothing.alias("y"), "k", "to"))
+    rows = rows.withColumn("edge", F.col("to").isNotNull()).repartition("component").sortWithinPartitions("component", "edge", "at", "k").select("component", "grid", "at", "x", "y", "to")
     return rows.mapInArrow(_walk, "node_id long, schematic_x double, schematic_y double")
 
 

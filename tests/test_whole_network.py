@@ -116,3 +116,15 @@ def test_the_walk_reads_one_list_a_node(spark, monkeypatch):
     monkeypatch.setattr(L, "_walk", counted)
     L.layout(nodes, edges, whole=True).count()
     assert seen.value <= 4 * len(ids)  # before: a row for each of 8,118 ends
+
+
+def test_pieces_of_lines_are_written_once(spark, monkeypatch):
+    from thalweg.plans import pipeline as P
+
+    labels = []
+    for module in (S, P):
+        monkeypatch.setattr(module, "materialize", lambda df, label="table": labels.append(label) or materialize(df, label))
+    geom = lambda y: [(0.0, y), (9.0, 9.0 - y)]
+    lines = spark.createDataFrame([(k, "primary", "t", None, geom(float(k))) for k in range(6)], "line_id long, source string, tag string, name string, geom array<struct<x:double,y:double>>")
+    _, edges = P.noded(lines, P.Settings(snap=0.01))
+    assert edges.count() > 6 and "pieces" not in labels and labels.count("dense") >= 1
